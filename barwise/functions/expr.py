@@ -17,6 +17,12 @@ def change(new, old) -> Column:
     return F.try_divide(col(new) - col(old), col(old))
 
 
+def half_up(c, digits) -> Column:
+    """Round half up after dropping float noise four digits further down, so a value on a rounding
+    tie does not depend on the order in which tasks' partial sums were added."""
+    return F.round(F.round(col(c), digits + 4), digits)
+
+
 def count_if(condition) -> Column:
     return F.count(F.when(condition, 1))
 
@@ -36,7 +42,7 @@ def pick(df: DataFrame, spec: str) -> DataFrame:
     out = []
     for item in spec.replace("\n", " ").split(","):
         name, _, digits = item.strip().partition(":")
-        out.append(F.round(name, int(digits)).alias(name) if digits else F.col(name))
+        out.append(half_up(name, int(digits)).alias(name) if digits else F.col(name))
     return df.select(*out)
 
 

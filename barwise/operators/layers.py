@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE
-from barwise.functions.expr import ANNUAL, count_if
+from barwise.functions.expr import ANNUAL, count_if, half_up
 from barwise.functions.windows import running
 from barwise.operators import cleanse, features
 from barwise.operators.scenario import with_market_scenario
@@ -80,7 +80,7 @@ def sector_scenario_agg(fact, risk_free=RISK_FREE):
     agg = agg.withColumn("sharpe", sharpe)
     values = ["avg_return_ann", "volatility_ann", "win_rate", "avg_rsi", "avg_vol_20d", "sharpe"]
     return agg.select(
-        "sector", "market_scenario", "n_equities", *[F.round(c, 4).alias(c) for c in values]
+        "sector", "market_scenario", "n_equities", *[half_up(c, 4).alias(c) for c in values]
     )
 
 
@@ -109,7 +109,7 @@ def export_features(bars):
         "vol_20d", "drawdown_pct",
     ]
     return df.select(
-        "ticker", "date", "volume", "sector", *[F.round(c, 4).alias(c) for c in values]
+        "ticker", "date", "volume", "sector", *[half_up(c, 4).alias(c) for c in values]
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE
-from barwise.functions.expr import ANNUAL, change, count_if, scalar, share_if
+from barwise.functions.expr import ANNUAL, change, count_if, half_up, scalar, share_if
 
 
 def since(df, days, as_of=None, strict=False):
@@ -27,12 +27,12 @@ def sector_performance(returns, fundamentals, days=252, as_of=None):
         .groupBy("sector")
         .agg(
             F.count_distinct("ticker").alias("n_equities"),
-            F.round(mean, 4).alias("annualised_avg_return"),
-            F.round(dev, 4).alias("annualised_volatility"),
-            F.round(ratio, 4).alias("sharpe_ratio"),
-            F.round(F.avg("beta"), 3).alias("avg_beta"),
-            F.round(F.avg("pe_ratio"), 2).alias("avg_pe"),
-            F.round(share_if(F.col("daily_return") > 0, F.col("daily_return")), 4).alias("win_rate"),
+            half_up(mean, 4).alias("annualised_avg_return"),
+            half_up(dev, 4).alias("annualised_volatility"),
+            half_up(ratio, 4).alias("sharpe_ratio"),
+            half_up(F.avg("beta"), 3).alias("avg_beta"),
+            half_up(F.avg("pe_ratio"), 2).alias("avg_pe"),
+            half_up(share_if(F.col("daily_return") > 0, F.col("daily_return")), 4).alias("win_rate"),
         )
         .orderBy(F.desc("annualised_avg_return"), "sector")
     )
@@ -46,13 +46,13 @@ def sector_performance_features(features, days=252, as_of=None):
         .groupBy("sector")
         .agg(
             F.count_distinct("ticker").alias("n_equities"),
-            F.round(mean, 4).alias("ann_avg_return"),
-            F.round(dev, 4).alias("ann_volatility"),
-            F.round(ratio, 4).alias("sharpe_ratio"),
-            F.round(F.avg("beta"), 3).alias("avg_beta"),
-            F.round(F.avg("pe_ratio"), 2).alias("avg_pe"),
-            F.round(share_if(F.col("daily_return") > 0, F.col("daily_return")), 4).alias("win_rate"),
-            F.round(F.min("drawdown"), 4).alias("max_drawdown"),
+            half_up(mean, 4).alias("ann_avg_return"),
+            half_up(dev, 4).alias("ann_volatility"),
+            half_up(ratio, 4).alias("sharpe_ratio"),
+            half_up(F.avg("beta"), 3).alias("avg_beta"),
+            half_up(F.avg("pe_ratio"), 2).alias("avg_pe"),
+            half_up(share_if(F.col("daily_return") > 0, F.col("daily_return")), 4).alias("win_rate"),
+            half_up(F.min("drawdown"), 4).alias("max_drawdown"),
         )
         .orderBy(F.desc("ann_avg_return"), "sector")
     )
@@ -67,10 +67,10 @@ def sector_summary_1y(returns, as_of=None):
         .groupBy("sector")
         .agg(
             F.count_distinct("ticker").alias("n_equities"),
-            F.round(mean, 4).alias("avg_return_1y"),
-            F.round(dev, 4).alias("volatility"),
-            F.round(positive, 4).alias("win_rate"),
-            F.round(ratio, 4).alias("sharpe"),
+            half_up(mean, 4).alias("avg_return_1y"),
+            half_up(dev, 4).alias("volatility"),
+            half_up(positive, 4).alias("win_rate"),
+            half_up(ratio, 4).alias("sharpe"),
         )
     )
 
@@ -90,7 +90,7 @@ def top_performers(bars, fundamentals, days=252, as_of=None, n=50):
             F.max(F.when(inside, 1)).alias("seen"),
         )
         .filter("seen = 1")
-        .withColumn("return_1y", F.round(change("latest_close", "close_1y"), 4))
+        .withColumn("return_1y", half_up(change("latest_close", "close_1y"), 4))
     )
     dim = fundamentals.select(
         "ticker", "sector", "market_cap_category", "exchange", "beta", "pe_ratio", "dividend_yield"
@@ -125,13 +125,13 @@ def equity_rankings(features):
     ).filter(F.col("roc_252").isNotNull())
     return last.select(
         "ticker", "sector", "market_cap_category", "exchange",
-        F.round("close", 2).alias("latest_close"),
-        F.round("roc_252", 4).alias("return_1y"),
-        F.round("vol_20d", 4).alias("vol_20d"),
-        F.round("rsi_14", 1).alias("rsi_14"),
-        F.round("beta", 3).alias("beta"),
-        F.round("pe_ratio", 2).alias("pe_ratio"),
-        F.round("dividend_yield", 4).alias("div_yield"),
+        half_up("close", 2).alias("latest_close"),
+        half_up("roc_252", 4).alias("return_1y"),
+        half_up("vol_20d", 4).alias("vol_20d"),
+        half_up("rsi_14", 1).alias("rsi_14"),
+        half_up("beta", 3).alias("beta"),
+        half_up("pe_ratio", 2).alias("pe_ratio"),
+        half_up("dividend_yield", 4).alias("div_yield"),
     ).orderBy(F.desc("return_1y"), "ticker")
 
 
@@ -191,7 +191,7 @@ def equity_history(returns, n=252, ticker=None):
 def equity_detail(returns, fundamentals, n=252, ticker=None):
     """Fundamentals with the last ``n`` bars nested, oldest first; at most ``n`` per ticker."""
     bar = F.struct(
-        "date", F.round("close", 2).alias("close"), F.round("log_return", 6).alias("return")
+        "date", half_up("close", 2).alias("close"), half_up("log_return", 6).alias("return")
     )
     nested = (
         equity_history(returns, n, ticker)
@@ -215,7 +215,7 @@ def volatility_regime(returns, high=0.35, normal=0.20, inclusive=True, digits=No
     daily = (
         returns.filter(F.col("daily_return").isNotNull())
         .groupBy("date")
-        .agg((F.round(vol, digits) if digits is not None else vol).alias("cross_sectional_vol"))
+        .agg((half_up(vol, digits) if digits is not None else vol).alias("cross_sectional_vol"))
     )
     v = F.col("cross_sectional_vol")
     middle = v >= normal if inclusive else v > normal
@@ -241,7 +241,7 @@ def market_breadth(features, days=252, as_of=None):
             count_if(F.col("close") > F.col("sma_200")).alias("above_sma200"),
             count_if(F.col("rsi_14") > 70).alias("overbought"),
             count_if(F.col("rsi_14") < 30).alias("oversold"),
-            F.round(F.try_divide(above50.cast("double"), F.count("ticker")), 4).alias("breadth_pct"),
+            half_up(F.try_divide(above50.cast("double"), F.count("ticker")), 4).alias("breadth_pct"),
         )
     )
 
@@ -264,8 +264,8 @@ def sharpe_contribution(sector_perf, scenario_rows):
         sector_perf.join(sector_weights(scenario_rows), "sector")
         .select(
             "sector", "n_equities", "ann_avg_return", "ann_volatility", "sharpe_ratio",
-            F.round(w, 4).alias("portfolio_weight"),
-            F.round(F.col("sharpe_ratio") * w, 4).alias("sharpe_contribution"),
+            half_up(w, 4).alias("portfolio_weight"),
+            half_up(F.col("sharpe_ratio") * w, 4).alias("sharpe_contribution"),
         )
     )
 
@@ -281,12 +281,12 @@ def portfolio_attribution(rankings):
     weighted = df.withColumn("weight", F.lit(1.0) / size)
     return weighted.groupBy("sector").agg(
         F.count(F.lit(1)).alias("n_stocks"),
-        F.round(F.avg("weight"), 6).alias("avg_weight"),
-        F.round(F.sum("weight"), 4).alias("total_weight"),
-        F.round(F.sum(F.col("return_1y") * F.col("weight")), 4).alias("return_contribution"),
-        F.round(F.avg("return_1y"), 4).alias("avg_sector_return"),
-        F.round(F.avg("vol_20d"), 4).alias("avg_vol"),
-        F.round(F.avg("beta"), 3).alias("avg_beta"),
+        half_up(F.avg("weight"), 6).alias("avg_weight"),
+        half_up(F.sum("weight"), 4).alias("total_weight"),
+        half_up(F.sum(F.col("return_1y") * F.col("weight")), 4).alias("return_contribution"),
+        half_up(F.avg("return_1y"), 4).alias("avg_sector_return"),
+        half_up(F.avg("vol_20d"), 4).alias("avg_vol"),
+        half_up(F.avg("beta"), 3).alias("avg_beta"),
     )
 
 
@@ -294,7 +294,7 @@ def portfolio_return_eq(rankings):
     df = rankings.filter(F.col("return_1y").isNotNull())
     size = df.agg(F.count(F.lit(1))).scalar()
     return df.agg(F.sum("return_1y").alias("total")).select(
-        F.round(F.try_divide(F.col("total"), size), 4).alias("eq_weight_portfolio_return")
+        half_up(F.try_divide(F.col("total"), size), 4).alias("eq_weight_portfolio_return")
     )
 
 

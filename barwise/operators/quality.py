@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.constants import NUMERIC_RANGES
-from barwise.functions.expr import change, count_if
+from barwise.functions.expr import change, count_if, half_up
 
 
 @dataclass
@@ -107,7 +107,7 @@ def quality_checks(df, layer, config=None, null_columns=None, as_of=None):
         _check("ohlc_consistency", _fail_if(F.col("bad_prices") > 0),
                F.col("bad_prices") if prices else None, affected=F.col("bad_prices")),
         _check("freshness", _fail_if(F.coalesce(hours > cfg.freshness_hours, F.lit(False)), "WARN"),
-               F.round(hours, 1), cfg.freshness_hours),
+               half_up(hours, 1), cfg.freshness_hours),
     ]
     report = base.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
     if {"ticker", "date"} <= have:

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE, TRADING_DAYS, Z_SCORES
-from barwise.functions.expr import ANNUAL
+from barwise.functions.expr import ANNUAL, half_up
 from barwise.functions.percentiles import exact_percentiles
 
 METRICS = {
@@ -103,7 +103,7 @@ def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2
 
 
 def rounded(profile, by):
-    return profile.select(*by, *[F.round(c, d).alias(c) for c, d in METRICS.items()])
+    return profile.select(*by, *[half_up(c, d).alias(c) for c, d in METRICS.items()])
 
 
 def risk_metrics(returns, risk_free=RISK_FREE):
@@ -170,10 +170,10 @@ def portfolio_metrics(returns, weights, benchmark=None, risk_free=RISK_FREE):
         .join(joint, "portfolio", "left")
         .select(
             "portfolio",
-            F.round(beta, 4).alias("beta"),
-            F.round(ann - (risk_free + beta * (bm - risk_free)), 4).alias("alpha"),
-            F.round(F.try_divide(ann - risk_free, beta), 4).alias("treynor_ratio"),
-            F.round(
+            half_up(beta, 4).alias("beta"),
+            half_up(ann - (risk_free + beta * (bm - risk_free)), 4).alias("alpha"),
+            half_up(F.try_divide(ann - risk_free, beta), 4).alias("treynor_ratio"),
+            half_up(
                 F.when((F.col("var") > 0) & (te > 0), F.try_divide(ann - bm, te)), 4
             ).alias("information_ratio"),
         )

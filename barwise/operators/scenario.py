@@ -6,7 +6,7 @@ from barwise.constants import (
     REGIME_KEYS, REGIME_RULES, REGIME_SENSITIVITY, REGIME_SHOCKS, RISK_FREE, SCENARIOS,
     SECTOR_ALIASES, SECTOR_SENSITIVITY, SENSITIVITY_KEYS, TRADING_DAYS,
 )
-from barwise.functions.expr import ANNUAL
+from barwise.functions.expr import ANNUAL, half_up
 from barwise.operators.risk import risk_profile
 
 
@@ -45,8 +45,8 @@ def scenario_returns(fundamentals, keys=("bull", "base", "bear", "stagflation",
     df = with_scenarios(fundamentals.select("ticker", "sector", beta.alias("beta")), keys)
     return df.select(
         "ticker", "sector", "scenario_name", "mkt_return_shock", "vol_multiplier",
-        F.round(capm(F.col("beta"), F.col("mkt_return_shock"), risk_free), 4).alias("ticker_return"),
-        F.round("beta", 3).alias("beta"),
+        half_up(capm(F.col("beta"), F.col("mkt_return_shock"), risk_free), 4).alias("ticker_return"),
+        half_up("beta", 3).alias("beta"),
     )
 
 
@@ -55,24 +55,24 @@ def capture_ratios(betas, epsilon=0.0, risk_free=RISK_FREE, round_ratio=False):
     shock = {s[0]: s[2] for s in SCENARIOS}
     df = betas.filter(F.col("beta").isNotNull())
     exact = {k: capm(F.col("beta"), F.lit(shock[k]), risk_free) for k in ("bull", "base", "bear")}
-    shown = {k: F.round(v, 4) for k, v in exact.items()}
+    shown = {k: half_up(v, 4) for k, v in exact.items()}
     source = shown if round_ratio else exact
     df = df.withColumns({f"return_{k}": v for k, v in shown.items()}).withColumns(
         {
-            "upside_capture": F.round(source["bull"] / shock["bull"], 4),
-            "downside_capture": F.round(source["bear"] / shock["bear"], 4),
+            "upside_capture": half_up(source["bull"] / shock["bull"], 4),
+            "downside_capture": half_up(source["bear"] / shock["bear"], 4),
         }
     )
     ratio = F.try_divide(F.col("upside_capture"), F.abs("downside_capture") + epsilon)
-    return df.withColumn("capture_ratio", F.round(ratio, 4) if round_ratio else ratio)
+    return df.withColumn("capture_ratio", half_up(ratio, 4) if round_ratio else ratio)
 
 
 def sector_scenario_averages(captures):
     return captures.groupBy("sector").agg(
         F.count_distinct("ticker").alias("n_equities"),
-        *[F.round(F.avg(f"return_{k}"), 4).alias(f"avg_{k}_return") for k in ("bull", "base", "bear")],
-        F.round(F.avg("capture_ratio"), 4).alias("avg_capture_ratio"),
-        F.round(F.avg("beta"), 3).alias("avg_beta"),
+        *[half_up(F.avg(f"return_{k}"), 4).alias(f"avg_{k}_return") for k in ("bull", "base", "bear")],
+        half_up(F.avg("capture_ratio"), 4).alias("avg_capture_ratio"),
+        half_up(F.avg("beta"), 3).alias("avg_beta"),
     )
 
 
@@ -94,7 +94,7 @@ def sector_scenario_returns(sectors, key):
     mult = _multiplier(SECTOR_SENSITIVITY, SENSITIVITY_KEYS, F.col("sector"), F.lit(key))
     return sectors.select(
         "sector", F.lit(key).alias("scenario"), mult.alias("multiplier"),
-        F.round(F.lit(chosen[0][2]) * mult, 4).alias("sector_return"),
+        half_up(F.lit(chosen[0][2]) * mult, 4).alias("sector_return"),
     )
 
 
@@ -108,7 +108,7 @@ def sector_regime_returns(rows):
     shock = F.lit(None).cast("double")
     for k, (move, _) in REGIME_SHOCKS.items():
         shock = F.when(regime == k, move).otherwise(shock)
-    return rows.withColumns({"multiplier": mult, "sector_return": F.round(shock * mult, 4)})
+    return rows.withColumns({"multiplier": mult, "sector_return": half_up(shock * mult, 4)})
 
 
 # ---- stress paths ----------------------------------------------------------------------------
@@ -193,12 +193,12 @@ def stress_portfolio(simulated, weights=None, risk_free=RISK_FREE):
         path.join(spread, by).join(tail, by)
         .select(
             "scenario", "scenario_name",
-            F.round("portfolio_return", 6).alias("portfolio_return"),
-            F.round("portfolio_vol", 6).alias("portfolio_vol"),
-            F.round(F.coalesce(ratio, F.lit(0.0)), 4).alias("sharpe_ratio"),
-            F.round("var_95", 6).alias("var_95"),
-            F.round("cvar_95", 6).alias("cvar_95"),
-            F.round("max_drawdown", 6).alias("max_drawdown"),
+            half_up("portfolio_return", 6).alias("portfolio_return"),
+            half_up("portfolio_vol", 6).alias("portfolio_vol"),
+            half_up(F.coalesce(ratio, F.lit(0.0)), 4).alias("sharpe_ratio"),
+            half_up("var_95", 6).alias("var_95"),
+            half_up("cvar_95", 6).alias("cvar_95"),
+            half_up("max_drawdown", 6).alias("max_drawdown"),
         )
     )
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from barwise.functions.expr import half_up
+
 
 def _bucket(value, *cuts, rising):
     """Score 5 down to 1 by thresholds; a null scores 1."""
@@ -41,7 +43,7 @@ def investment_signals(rankings):
         rankings.filter(F.col("return_1y").isNotNull())
         .select(
             "ticker", "sector", "latest_close", "return_1y", "vol_20d", "rsi_14", "beta", "pe_ratio",
-            F.round(composite_score(), 2).alias("composite_score"),
+            half_up(composite_score(), 2).alias("composite_score"),
             signal_label().alias("signal"),
         )
         .orderBy(F.desc("composite_score"), "ticker")
@@ -64,5 +66,5 @@ def with_signal_score(features):
         - neutral("vol_20d", 0.2) * 50.0
     )
     return features.withColumn(
-        "signal_score", F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)), 1)
+        "signal_score", half_up(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)), 1)
     )

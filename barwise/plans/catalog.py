@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barwise import constants as K
 from barwise import schemas
-from barwise.functions.expr import pick
+from barwise.functions.expr import half_up, pick
 from barwise.operators import (
     cleanse, correlation, features, layers, market, measures, quality, risk, scenario, signals,
 )
@@ -35,7 +35,7 @@ def q(name, spec=None, sql=None, extra=None):
     return register
 
 
-BAR = "ticker, date, open:6, high:6, low:6, close:6, volume, sector"
+BAR = "ticker, date, open, high, low, close, volume, sector"
 FUND = ("ticker, sector, market_cap_category, exchange, country, beta:6, pe_ratio:6, pb_ratio:6, "
         "dividend_yield:6, roe:6, debt_to_equity:6")
 
@@ -57,7 +57,7 @@ def _(t):
     return files.read_csv(t.spark, path, schemas.BARS)
 
 
-@q("scan_partitioned", "ticker, date, close:6, volume, sector",
+@q("scan_partitioned", "ticker, date, close, volume, sector",
    "SELECT {cols} FROM bars WHERE sector IN ('ASIA', 'EUROPE')")
 def _(t):
     path = files.write_parquet(t.bars, _folder(t, "bars"), ["sector"])
@@ -82,16 +82,16 @@ def _(t):
     return files.read_csv(t.spark, path, df.schema)
 
 
-@q("fact_year_quarter", "ticker, date, close:2, market_scenario, signal_score:1, year, quarter",
+@q("fact_year_quarter", "ticker, date, close, market_scenario, signal_score:1, year, quarter",
    "SELECT {cols} FROM gold WHERE year = 1998 AND quarter = 2")
 def _(t):
     path = files.write_parquet(t.layers["gold"], _folder(t, "fact"), ["year", "quarter"])
     return files.read_parquet(t.spark, path).filter("year = 1998 AND quarter = 2")
 
 
-@q("wide_to_long", "ticker, date, open:6, high:6, low:6, close:6, volume:0",
-   """SELECT ticker, date, ROUND(open, 6) AS open, ROUND(high, 6) AS high, ROUND(low, 6) AS low,
-   ROUND(close, 6) AS close, CAST(volume AS DOUBLE) AS volume
+@q("wide_to_long", "ticker, date, open, high, low, close, volume:0",
+   """SELECT ticker, date, open, high, low,
+   close, CAST(volume AS DOUBLE) AS volume
    FROM raw_bars WHERE ticker IN ('S00000', 'S00003', 'S00007') AND close IS NOT NULL
    AND k_once = 1""".replace("FROM raw_bars", """FROM (SELECT *, row_number() OVER
    (PARTITION BY ticker, date ORDER BY close) AS k_once FROM raw_bars) r"""))
@@ -202,7 +202,7 @@ def _(t):
     return cleanse.cleanse_fundamentals(t.raw_fundamentals, drop_negative_pe=True)
 
 
-@q("enrich_fundamentals", "ticker, date, close:6, sector, beta:6, pe_ratio:6, dividend_yield:6, exchange", """
+@q("enrich_fundamentals", "ticker, date, close, sector, beta:6, pe_ratio:6, dividend_yield:6, exchange", """
 SELECT {cols} FROM (SELECT b.ticker, b.date, b.close, coalesce(f.sector, b.sector) AS sector, f.beta,
   f.pe_ratio, f.dividend_yield, f.exchange
   FROM bars b LEFT JOIN clean_fund f ON b.ticker = f.ticker) e""")
@@ -239,7 +239,7 @@ def _(t):
 
 # ---- features --------------------------------------------------------------------------------
 
-@q("returns", "ticker, date, close:6, prev_close:6, daily_return:6, log_return:6", "SELECT {cols} FROM ret")
+@q("returns", "ticker, date, close, prev_close, daily_return:6, log_return:6", "SELECT {cols} FROM ret")
 def _(t):
     return t.returns
 
@@ -349,7 +349,7 @@ def _(t):
     return features.with_rolling_var(t.returns)
 
 
-FEATURES = ("ticker, date, open:2, high:2, low:2, close:2, volume, sector, daily_return:6, log_return:6, "
+FEATURES = ("ticker, date, open, high, low, close, volume, sector, daily_return:6, log_return:6, "
             "sma_20:2, sma_50:2, sma_200:2, ema_12:2, ema_26:2, macd:2, bb_mid:2, bb_upper:2, bb_lower:2, "
             "bb_position:4, rsi_14:4, roc_20:6, roc_60:6, roc_252:6, momentum_zscore:4, vol_20d:6, "
             "vol_60d:6, true_range:2, atr_14:2, avg_vol_20d:4, volume_ratio:6, cum_return:6, "
@@ -365,7 +365,7 @@ def _(t):
     return features.feature_set(t.bars, proxy=PROXY)
 
 
-@q("feature_table_nb", "ticker, date, close:2, daily_return:6, sma_20:2, sma_200:2, bb_position:4, rsi_14:4, "
+@q("feature_table_nb", "ticker, date, close, daily_return:6, sma_20:2, sma_200:2, bb_position:4, rsi_14:4, "
    "roc_252:6, momentum_zscore:4, vol_20d:6, atr_14:2, cum_return:6, drawdown:6, sector, beta:6, pe_ratio:6, roe:6",
    "SELECT {cols} FROM eq_feat")
 def _(t):
@@ -384,22 +384,23 @@ def _(t):
     return market.since(t.equity_features, 252)
 
 
-@q("silver_cleanse", "ticker, date, open:2, high:2, low:2, close:2, volume, daily_return:6, log_return:6, is_outlier",
+@q("silver_cleanse", "ticker, date, open, high, low, close, volume, daily_return:6, log_return:6, is_outlier",
    "SELECT {cols} FROM silver")
 def _(t):
     return t.layers["silver"]
 
 
-@q("silver_features", "ticker, date, close:2, sma_20:2, sma_50:2, sma_200:2, rsi_14:2, vol_20d:6, vol_60d:6, "
+@q("silver_features", "ticker, date, close, sma_20:2, sma_50:2, sma_200:2, rsi_14:2, vol_20d:6, vol_60d:6, "
    "roc_20:6, roc_252:6, bb_upper:2, bb_lower:2, bb_pct:4, drawdown:6", "SELECT {cols} FROM silver_feat")
 def _(t):
     return t.layers["features"]
 
 
-@q("export_features", "ticker, date, close:2, daily_return:4, sma_20:2, sma_50:2, sma_200:2, rsi_14:2, vol_20d:4, drawdown_pct:4",
-   f"""SELECT {{cols}} FROM (SELECT ticker, date, close, daily_return, sma_20, sma_50, sma_200,
-  100 - 100 / (1 + gain / (loss + 1e-8)) AS rsi_14, vol_20d,
-  (growth - max(growth) OVER {O.RUN}) / max(growth) OVER {O.RUN} * 100 AS drawdown_pct
+@q("export_features", "ticker, date, close, daily_return:4, sma_20:2, sma_50:2, sma_200:2, rsi_14:2, vol_20d:4, drawdown_pct:3",
+   f"""SELECT {{cols}} FROM (SELECT ticker, date, ROUND(close, 4) AS close, ROUND(daily_return, 4) AS daily_return,
+  ROUND(sma_20, 4) AS sma_20, ROUND(sma_50, 4) AS sma_50, ROUND(sma_200, 4) AS sma_200,
+  ROUND(100 - 100 / (1 + gain / (loss + 1e-8)), 4) AS rsi_14, ROUND(vol_20d, 4) AS vol_20d,
+  ROUND((growth - max(growth) OVER {O.RUN}) / max(growth) OVER {O.RUN} * 100, 4) AS drawdown_pct
   FROM (SELECT *, {", ".join(O.full("avg(close)", "close", n) + f" AS sma_{n}" for n in (20, 50, 200))},
     {O.full("avg(greatest(daily_return, 0.0))", "daily_return", 14)} AS gain,
     {O.full("avg(-least(daily_return, 0.0))", "daily_return", 14)} AS loss,
@@ -445,8 +446,8 @@ def _(t):
     return market.sector_summary_1y(t.returns)
 
 
-@q("top_performers", "ticker, sector, market_cap_category, exchange, latest_close:6, return_1y:4, beta:6, pe_ratio:6, dividend_yield:6", """
-SELECT p.ticker, f.sector, market_cap_category, exchange, ROUND(latest_close, 6) AS latest_close,
+@q("top_performers", "ticker, sector, market_cap_category, exchange, latest_close, return_1y:4, beta:6, pe_ratio:6, dividend_yield:6", """
+SELECT p.ticker, f.sector, market_cap_category, exchange, latest_close,
   ROUND((latest_close - close_1y) / NULLIF(close_1y, 0), 4) AS return_1y, ROUND(beta, 6) AS beta,
   ROUND(pe_ratio, 6) AS pe_ratio, ROUND(dividend_yield, 6) AS dividend_yield
 FROM (SELECT ticker, arg_max(close, date) AS latest_close,
@@ -469,7 +470,7 @@ def _(t):
     return market.top_bottom(t.rankings)
 
 
-SCREEN = ("ticker, sector, market_cap_category, exchange, country, beta:6, pe_ratio:6, close:2, "
+SCREEN = ("ticker, sector, market_cap_category, exchange, country, beta:6, pe_ratio:6, close, "
           "return_1d:6, return_1y:6, vol_20d:6, rsi_14:4, momentum_zscore:4, total")
 
 
@@ -486,7 +487,7 @@ def _(t):
     )
 
 
-@q("equity_history", "ticker, date, bar_no, close:2, log_return:6", """
+@q("equity_history", "ticker, date, bar_no, close, log_return:6", """
 SELECT {cols} FROM (SELECT ticker, date, close, log_return,
   CAST(row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS INTEGER) AS bar_no FROM ret) h
 WHERE bar_no <= 252""")
@@ -581,8 +582,8 @@ def _(t):
     return market.portfolio_return_eq(t.rankings)
 
 
-@q("weekly_close", "ticker, week, close:6", """
-SELECT ticker, week, ROUND(arg_max(close, date), 6) AS close
+@q("weekly_close", "ticker, week, close", """
+SELECT ticker, week, arg_max(close, date) AS close
 FROM (SELECT *, CAST(date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS DATE) AS week FROM bars) b GROUP BY ticker, week""")
 def _(t):
     return market.weekly_close(t.bars)
@@ -681,7 +682,7 @@ def _(t):
 
 PORTFOLIO_DAYS = {
     "held": """SELECT 'portfolio' AS portfolio, date, sum(w * daily_return) / 0.8 AS r
-FROM ret_only JOIN (VALUES ('S00001', CAST(0.5 AS DOUBLE)), ('S00002', CAST(0.3 AS DOUBLE))) AS h(held_ticker, w)
+FROM calm JOIN (VALUES ('S00001', CAST(0.5 AS DOUBLE)), ('S00002', CAST(0.3 AS DOUBLE))) AS h(held_ticker, w)
 ON ticker = held_ticker GROUP BY date HAVING count(*) = 2""",
     "port": O.risk_sql("held", "portfolio"),
 }
@@ -691,7 +692,7 @@ PORTFOLIO = ("portfolio, total_return, annualised_return, annualised_volatility,
 
 @q("portfolio_metrics", PORTFOLIO, "SELECT {cols} FROM port", PORTFOLIO_DAYS)
 def _(t):
-    return risk.portfolio_metrics(t.returns, WEIGHTS)
+    return risk.portfolio_metrics(t.calm_returns, WEIGHTS)
 
 
 @q("portfolio_vs_benchmark", PORTFOLIO + ", beta, alpha, treynor_ratio, information_ratio", f"""
@@ -699,21 +700,21 @@ SELECT {PORTFOLIO}, ROUND(b, 4) AS beta, ROUND(ann - (0.05 + b * (bm - 0.05)), 4
   ROUND((ann - 0.05) / NULLIF(b, 0), 4) AS treynor_ratio,
   ROUND(CASE WHEN te > 0 THEN (ann - bm) / te END, 4) AS information_ratio
 FROM port CROSS JOIN (SELECT covar_samp(r, mkt_return) / var_samp(mkt_return) AS b, avg(mkt_return) * 252 AS bm,
-    stddev_samp(r - mkt_return) * {O.ANN} AS te FROM held JOIN mkt ON held.date = mkt.date) x
+    stddev_samp(r - mkt_return) * {O.ANN} AS te FROM held JOIN calm_mkt ON held.date = calm_mkt.date) x
 CROSS JOIN (SELECT pow(product(1 + r), 1 / greatest(count(*) / 252.0, 1.0)) - 1 AS ann FROM held) y""",
    PORTFOLIO_DAYS)
 def _(t):
-    return risk.portfolio_metrics(t.returns, WEIGHTS, benchmark=t.market_returns)
+    return risk.portfolio_metrics(t.calm_returns, WEIGHTS, benchmark=t.calm_market)
 
 
 @q("portfolio_risk_bundle", None, f"""
 SELECT b.*, ROUND(CASE ticker WHEN 'S00001' THEN 0.5 / 0.8 WHEN 'S00002' THEN 0.3 / 0.8 ELSE 1.0 END, 6) AS weight
 FROM (SELECT * FROM one_by_one UNION ALL SELECT * FROM port) b""", {
     **PORTFOLIO_DAYS,
-    "one_by_one": O.risk_sql("(SELECT ticker, date, daily_return AS r FROM ret WHERE ticker IN ('S00001', 'S00002'))", "ticker"),
+    "one_by_one": O.risk_sql("(SELECT ticker, date, daily_return AS r FROM calm WHERE ticker IN ('S00001', 'S00002'))", "ticker"),
     "port": O.risk_sql("(SELECT 'PORTFOLIO' AS ticker, date, r FROM held)", "ticker")})
 def _(t):
-    return risk.risk_bundle(t.returns, WEIGHTS).withColumn("weight", F.round("weight", 6))
+    return risk.risk_bundle(t.calm_returns, WEIGHTS).withColumn("weight", half_up("weight", 6))
 
 
 @q("sector_var", "sector, var_90:6, var_95:6, var_99:6, cvar_90:6", """
@@ -920,7 +921,7 @@ def _(t):
     return signals.with_signal_score(t.layers["features"])
 
 
-@q("gold_fact", "ticker, date, close:2, daily_return:6, rsi_14:2, vol_20d:6, drawdown:6, market_scenario, signal_score:1, year, quarter",
+@q("gold_fact", "ticker, date, close, daily_return:6, rsi_14:2, vol_20d:6, drawdown:6, market_scenario, signal_score:1, year, quarter",
    "SELECT {cols} FROM gold")
 def _(t):
     return t.layers["gold"]
@@ -980,7 +981,7 @@ def _(t):
 @q("dq_score", "layer, passed, warned, failed, overall_score:2", """
 SELECT 'bronze' AS layer, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'WARN') AS warned,
   count(*) FILTER (status = 'FAIL') AS failed,
-  ROUND(greatest(0.0, 100.0 - 10.0 * count(*) FILTER (status = 'FAIL') - 3.0 * count(*) FILTER (status = 'WARN')), 2) AS overall_score
+  ROUND(greatest(CAST(0 AS DOUBLE), 100.0 - 10.0 * count(*) FILTER (status = 'FAIL') - 3.0 * count(*) FILTER (status = 'WARN')), 2) AS overall_score
 FROM dq""", DQ_SQL)
 def _(t):
     return quality.quality_score(_dq(t))
@@ -1012,9 +1013,9 @@ def _(t):
 
 # ---- business measures -----------------------------------------------------------------------
 
-@q("m_core", "sector, daily_return:6, latest_close:2, latest_close_literal:2, return_1d:6, return_5d:6, return_5d_literal:6", """
-SELECT sector, ROUND(avg(daily_return), 6) AS daily_return, ROUND(any_value(last_close), 2) AS latest_close,
-  ROUND(max(close), 2) AS latest_close_literal,
+@q("m_core", "sector, daily_return:6, latest_close, latest_close_literal, return_1d:6, return_5d:6, return_5d_literal:6", """
+SELECT sector, ROUND(avg(daily_return), 6) AS daily_return, any_value(last_close) AS latest_close,
+  max(close) AS latest_close_literal,
   ROUND((avg(close) FILTER (date = d1) - avg(close) FILTER (date = d2)) / NULLIF(avg(close) FILTER (date = d2), 0), 6) AS return_1d,
   ROUND((any_value(last_close) - any_value(week_first)) / NULLIF(any_value(week_first), 0), 6) AS return_5d,
   ROUND((max(close) - min(close) FILTER (date >= d1 - 7)) / NULLIF(min(close) FILTER (date >= d1 - 7), 0), 6) AS return_5d_literal
@@ -1142,13 +1143,13 @@ def _kpis(t):
     tails = risk.tail_risk(t.returns.withColumn("grp", F.lit(1)), ["grp"])
     return t.rankings.agg(
         F.count("ticker").alias("total_equities"),
-        F.round(F.avg("return_1y"), 4).alias("market_avg_return_1y"),
-        F.round(F.avg("vol_20d"), 4).alias("market_avg_vol"),
+        half_up(F.avg("return_1y"), 4).alias("market_avg_return_1y"),
+        half_up(F.avg("vol_20d"), 4).alias("market_avg_vol"),
         F.max(t.bars.agg(F.max("date")).scalar()).alias("as_of_date"),
     ).withColumns({
         "market_breadth_pct": last.select("breadth_pct").scalar(),
         "vol_regime": regime.select("vol_regime").scalar(),
-        "var_95": F.round(tails.select("var_95").scalar(), 6),
+        "var_95": half_up(tails.select("var_95").scalar(), 6),
     })
 
 

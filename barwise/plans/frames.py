@@ -77,6 +77,10 @@ class Frames:
         """Returns without the flagged extreme moves."""
         return self.returns.filter("abs(daily_return) <= 0.5")
 
+    @cached_property
+    def calm_market(self):
+        return features.market_returns(self.calm_returns)
+
     @cached_property
     def latest_betas(self):
         return market.latest_per_ticker(

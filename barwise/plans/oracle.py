@@ -212,6 +212,8 @@ SELECT *, CAST(year(date) AS INTEGER) AS year, CAST(quarter(date) AS INTEGER) AS
     + (50.0 - coalesce(NULLIF(rsi_14, 0.0), 50.0)) * 0.3
     - coalesce(NULLIF(vol_20d, 0.0), 0.2) * 50.0, 0.0), 100.0), 1) AS signal_score
 FROM (SELECT *, coalesce(NULLIF(vol_20d, 0.0), 0.15) AS v FROM silver_feat) s""",
+    "calm": "SELECT * FROM ret WHERE abs(daily_return) <= 0.5",
+    "calm_mkt": "SELECT date, avg(daily_return) AS mkt_return FROM calm GROUP BY date",
     "mkt": "SELECT date, avg(daily_return) AS mkt_return FROM ret GROUP BY date",
     "scen": values([(s[1], s[2], s[3]) for s in K.SCENARIOS[:5]], "scenario_name, mkt_return_shock, vol_multiplier"),
     "last_day": "SELECT max(date) AS d FROM bars",
@@ -278,6 +280,26 @@ FROM (SELECT *, pow(1 + tot, 1 / greatest(n / 252.0, 1.0)) - 1 AS ann, s * {ANN}
     GROUP BY {by} HAVING count(r) >= 2) a) z"""
 
 
+def decimal_rounding(sql):
+    """Rewrite ROUND(x, d) to round half up in decimals, as Spark does. DuckDB rounds a double by
+    scaling it in binary, which moves values that lie on a tie."""
+    out, at = [], 0
+    while True:
+        start = sql.find("ROUND(", at)
+        if start < 0:
+            return "".join(out) + sql[at:]
+        depth, comma, i = 1, None, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            if sql[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        inner, digits = decimal_rounding(sql[start + 6:comma]), int(sql[comma + 1:i - 1])
+        cast = f"CAST({inner} AS DECIMAL(38, {digits + 4}))"
+        out += [sql[at:start], f"CAST(round({cast}, {digits}) AS DOUBLE)"]
+        at = i
+
+
 def compose(sql, extra=None):
     """Prefix a statement with the table expressions it needs, in dependency order."""
     known = {**CTES, **(extra or {})}
@@ -291,7 +313,7 @@ def compose(sql, extra=None):
 
     need(sql)
     if not order:
-        return sql
+        return decimal_rounding(sql)
     recursive = "RECURSIVE " if any("UNION ALL SELECT r." in known[n] for n in order) else ""
     body = ",\n".join(f"{n} AS ({known[n].strip()})" for n in order)
-    return f"WITH {recursive}{body}\n{sql.strip()}"
+    return decimal_rounding(f"WITH {recursive}{body}\n{sql.strip()}")

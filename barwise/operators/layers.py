@@ -20,39 +20,34 @@ def silver(bronze_bars, min_days=252, outlier=0.50):
     """Sane bars with returns, liquid tickers only, extreme moves flagged. Returns are taken before
     the liquidity gate; both use the ticker window."""
     df = bronze_bars.filter(cleanse.sane(low_tolerance=0.001))
-    df = df.withColumns(
-        {**features.return_columns(), "_n": F.count("date").over(Window.partitionBy("ticker"))}
+    df = features.with_returns(df).withColumn(
+        "_n_days", F.count("date").over(Window.partitionBy("ticker"))
     )
     return (
-        df.filter(F.col("_n") >= min_days)
+        df.filter(F.col("_n_days") >= min_days)
         .withColumn("is_outlier", F.coalesce(F.abs("daily_return") > outlier, F.lit(False)))
-        .drop("_n", "prev_close")
+        .drop("_n_days", "prev_close")
     )
 
 
 def silver_features(silver_bars):
     """Full-window features; strength from price differences, volatility from simple returns."""
-    lag = F.lag("close").over(features.timeline())
-    df = silver_bars.withColumns(
-        {
-            "_move": F.col("close") - lag,
-            "_r": features.change("close", lag),
-            **features.roc_columns((20, 252)),
-        }
+    prev = F.lag("close").over(features.timeline())
+    moves = (
+        {"_prev": prev},
+        {"move": F.col("close") - F.col("_prev"), "r": features.change("close", "_prev")},
     )
-    bands = features.bollinger_columns(full=True, position="bb_pct")
-    df = df.withColumns(
-        {
-            **features.sma_columns(full=True),
-            **features.rsi_full_columns("_move"),
-            **features.volatility_columns(source="_r", full=True),
-            "bb_upper": bands["bb_upper"],
-            "bb_lower": bands["bb_lower"],
-            "bb_pct": bands["bb_pct"],
-            "growth": F.product(1 + F.col("_r")).over(running()),
-        }
+    df = features.add(silver_bars, moves, features.roc_columns((20, 252)))
+    df = features.long_sma(df, 200, full=True)
+    df = features.add(
+        df,
+        features.sma_columns(full=True),
+        features.rsi_full_columns("move"),
+        features.volatility_columns(source="r", full=True),
+        features.bollinger_columns(full=True, position="bb_pct"),
+        ({"growth": F.product(1 + F.col("r")).over(running())}, {}),
     )
-    return df.withColumn("drawdown", features.growth_drawdown()).drop("_move", "_r", "growth")
+    return features.add(df, features.growth_drawdown()).drop("move", "r", "growth", "bb_mid", "bb_std")
 
 
 def gold_fact(silver_feature_rows):
@@ -95,15 +90,16 @@ def medallion(text, min_days=252):
 
 def export_features(bars):
     """Distribution copy: full-window features on returns, drawdown in percent, four digits."""
-    df = bars.withColumns(features.return_columns())
-    df = df.withColumns(
-        {
-            **features.sma_columns(full=True),
-            **features.rsi_full_columns("daily_return"),
-            **features.volatility_columns((20,), source="daily_return", full=True),
-            "growth": F.product(1 + F.col("daily_return")).over(running()),
-        }
-    ).withColumn("drawdown_pct", 100 * features.growth_drawdown())
+    df = features.long_sma(features.with_returns(bars), 200, full=True)
+    df = features.add(
+        df,
+        features.sma_columns(full=True),
+        features.rsi_full_columns("daily_return"),
+        features.volatility_columns((20,), source="daily_return", full=True),
+        ({"growth": F.product(1 + F.col("daily_return")).over(running())}, {}),
+    )
+    df = features.add(df, features.growth_drawdown(name="drawdown_pct"))
+    df = df.withColumn("drawdown_pct", 100 * F.col("drawdown_pct"))
     values = [
         "open", "high", "low", "close", "daily_return", "sma_20", "sma_50", "sma_200", "rsi_14",
         "vol_20d", "drawdown_pct",

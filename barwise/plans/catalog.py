@@ -71,8 +71,8 @@ def _(t):
 
 
 @q("export_csv_roundtrip", "ticker, date, daily_return:4, sma_20:2, rsi_14:2, volume", """
-SELECT ticker, date, ROUND(ROUND(daily_return, 4), 4) AS daily_return, ROUND(ROUND(sma, 4), 2) AS sma_20,
-  ROUND(ROUND(100 - 100 / (1 + gain / (loss + 1e-8)), 4), 2) AS rsi_14, volume
+SELECT ticker, date, SNAP(ROUND(daily_return, 4), 4) AS daily_return, SNAP(ROUND(sma, 4), 2) AS sma_20,
+  SNAP(ROUND(100 - 100 / (1 + gain / (loss + 1e-8)), 4), 2) AS rsi_14, volume
 FROM (SELECT *, """ + O.full("avg(close)", "close", 20) + """ AS sma,
   """ + O.full("avg(greatest(daily_return, 0.0))", "daily_return", 14) + """ AS gain,
   """ + O.full("avg(-least(daily_return, 0.0))", "daily_return", 14) + """ AS loss FROM ret) f""")
@@ -115,7 +115,7 @@ def _(t):
 
 
 @q("universe_sector_summary", "sector, n_stocks, total_weight:6", """
-SELECT sector, count(ticker) AS n_stocks, ROUND(sum(weight_pct), 6) AS total_weight FROM listing GROUP BY sector""")
+SELECT sector, count(ticker) AS n_stocks, SNAP(sum(weight_pct), 6) AS total_weight FROM listing GROUP BY sector""")
 def _(t):
     return cleanse.universe_sector_summary(t.raw_universe)
 
@@ -220,7 +220,7 @@ def _(t):
    "bar_rows, bar_tickers, fundamental_tickers, null_close_pct:6, tickers_missing_fundamentals, min_date, max_date", """
 SELECT count(*) AS bar_rows, count(DISTINCT ticker) AS bar_tickers,
   (SELECT count(DISTINCT ticker) FROM raw_fund) AS fundamental_tickers,
-  ROUND(count(*) FILTER (close IS NULL) / CAST(count(*) AS DOUBLE), 6) AS null_close_pct,
+  SNAP(count(*) FILTER (close IS NULL) / CAST(count(*) AS DOUBLE), 6) AS null_close_pct,
   (SELECT count(DISTINCT ticker) FROM raw_bars WHERE ticker NOT IN (SELECT ticker FROM raw_fund))
     AS tickers_missing_fundamentals,
   min(date) AS min_date, max(date) AS max_date FROM raw_bars""")
@@ -252,7 +252,7 @@ def _(t):
 
 @q("moving_averages_full", "ticker, date, sma_20:2, sma_50:2, sma_200:2",
    "SELECT ticker, date, " + ", ".join(
-       f"ROUND({O.full('avg(close)', 'close', n)}, 2) AS sma_{n}" for n in (20, 50, 200)) + " FROM bars")
+       f"SNAP({O.full('avg(close)', 'close', n)}, 2) AS sma_{n}" for n in (20, 50, 200)) + " FROM bars")
 def _(t):
     return features.with_moving_averages(t.bars, full=True)
 
@@ -295,7 +295,7 @@ def _(t):
 
 
 @q("volume_features", "ticker, date, avg_vol_20d:4, volume_ratio:6, obv",
-   "SELECT ticker, date, ROUND(avg_vol_20d, 4) AS avg_vol_20d, ROUND(volume_ratio, 6) AS volume_ratio, "
+   "SELECT ticker, date, SNAP(avg_vol_20d, 4) AS avg_vol_20d, SNAP(volume_ratio, 6) AS volume_ratio, "
    "CAST(obv AS BIGINT) AS obv FROM feat")
 def _(t):
     return features.with_volume_features(t.bars)
@@ -315,7 +315,7 @@ def _(t):
 
 
 @q("rolling_beta", "ticker, date, rolling_beta_252:4", f"""
-SELECT ticker, date, ROUND(covar_pop(daily_return, m) OVER {O.rows(252)}
+SELECT ticker, date, SNAP(covar_pop(daily_return, m) OVER {O.rows(252)}
   / (var_pop(m) OVER {O.rows(252)} + 1e-8), 4) AS rolling_beta_252
 FROM (SELECT r.ticker, r.date, r.daily_return, p.daily_return AS m
   FROM ret r LEFT JOIN (SELECT * FROM ret WHERE ticker = '{PROXY}') p ON r.date = p.date) j""")
@@ -324,7 +324,7 @@ def _(t):
 
 
 @q("rolling_beta_sample", "ticker, date, rolling_beta:4", f"""
-SELECT ticker, date, ROUND(CASE WHEN count(daily_return * m) OVER {O.rows(252)} = 252 THEN
+SELECT ticker, date, SNAP(CASE WHEN count(daily_return * m) OVER {O.rows(252)} = 252 THEN
   covar_samp(daily_return, m) OVER {O.rows(252)} / NULLIF(var_samp(m) OVER {O.rows(252)}, 0) END, 4) AS rolling_beta
 FROM (SELECT r.ticker, r.date, r.daily_return, mkt.mkt_return AS m FROM ret r LEFT JOIN mkt ON r.date = mkt.date) j""")
 def _(t):
@@ -336,14 +336,14 @@ def _full_stat(expr, n):
 
 
 @q("rolling_sharpe", "ticker, date, rolling_sharpe:6", f"""
-SELECT ticker, date, ROUND(({_full_stat("avg(daily_return)", 252)} * 252 - 0.05)
+SELECT ticker, date, SNAP(({_full_stat("avg(daily_return)", 252)} * 252 - 0.05)
   / NULLIF({_full_stat("stddev_samp(daily_return)", 252)} * {O.ANN}, 0), 6) AS rolling_sharpe FROM ret""")
 def _(t):
     return features.with_rolling_sharpe(t.returns)
 
 
 @q("rolling_var", "ticker, date, rolling_var:6", f"""
-SELECT ticker, date, ROUND({_full_stat("avg(daily_return)", 60)}
+SELECT ticker, date, SNAP({_full_stat("avg(daily_return)", 60)}
   - 1.6449 * {_full_stat("stddev_samp(daily_return)", 60)}, 6) AS rolling_var FROM ret""")
 def _(t):
     return features.with_rolling_var(t.returns)
@@ -357,7 +357,7 @@ FEATURES = ("ticker, date, open, high, low, close, volume, sector, daily_return:
 
 
 @q("feature_set", FEATURES + ", rolling_beta_252:4", f"""
-SELECT {O.select_list(FEATURES)}, ROUND(b, 4) AS rolling_beta_252
+SELECT {O.select_list(FEATURES)}, SNAP(b, 4) AS rolling_beta_252
 FROM (SELECT feat.*, covar_pop(daily_return, m) OVER {O.rows(252)} / (var_pop(m) OVER {O.rows(252)} + 1e-8) AS b
   FROM feat LEFT JOIN (SELECT date AS d, daily_return AS m FROM ret WHERE ticker = '{PROXY}') p
   ON feat.date = p.d) f""")
@@ -540,7 +540,7 @@ def _(t):
 
 @q("correlation_pairs", "ticker_a, ticker_b, n_common, correlation:4", """
 SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, count(*) AS n_common,
-  ROUND(corr(a.daily_return, b.daily_return), 4) AS correlation
+  SNAP(corr(a.daily_return, b.daily_return), 4) AS correlation
 FROM ret_only a JOIN ret_only b ON a.date = b.date AND a.ticker < b.ticker
 GROUP BY a.ticker, b.ticker HAVING count(*) >= 30""")
 def _(t):
@@ -548,7 +548,7 @@ def _(t):
 
 
 @q("sector_correlation", "sector_a, sector_b, n_common, correlation:6", """
-SELECT a.sector AS sector_a, b.sector AS sector_b, count(*) AS n_common, ROUND(corr(a.r, b.r), 6) AS correlation
+SELECT a.sector AS sector_a, b.sector AS sector_b, count(*) AS n_common, SNAP(corr(a.r, b.r), 6) AS correlation
 FROM sector_days a JOIN sector_days b ON a.date = b.date AND a.sector < b.sector GROUP BY a.sector, b.sector""",
    extra={"sector_days": "SELECT sector, date, avg(daily_return) AS r FROM ret_only GROUP BY sector, date"})
 def _(t):
@@ -590,7 +590,7 @@ def _(t):
 
 
 @q("weekly_sector_return", "sector, week, avg_return:6", """
-SELECT sector, week, ROUND(avg(daily_return), 6) AS avg_return
+SELECT sector, week, SNAP(avg(daily_return), 6) AS avg_return
 FROM (SELECT *, CAST(date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS DATE) AS week FROM ret) b GROUP BY sector, week""")
 def _(t):
     return market.weekly_sector_return(t.returns)
@@ -610,7 +610,7 @@ PIVOT = ["S00000", "S00001", "S00002", "S00003", "S00004"]
 
 
 @q("returns_pivot", "date, " + ", ".join(f"{k}:6" for k in PIVOT),
-   "SELECT date, " + ", ".join(f"ROUND(max(daily_return) FILTER (ticker = '{k}'), 6) AS {k}" for k in PIVOT)
+   "SELECT date, " + ", ".join(f"SNAP(max(daily_return) FILTER (ticker = '{k}'), 6) AS {k}" for k in PIVOT)
    + " FROM ret_only WHERE ticker IN (" + ", ".join(f"'{k}'" for k in PIVOT) + ") GROUP BY date")
 def _(t):
     return cleanse.returns_pivot(t.returns, PIVOT)
@@ -620,7 +620,7 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
 @q("monthly_heatmap", "sector, " + ", ".join(f"{m}:4" for m in MONTHS), "SELECT sector, " + ", ".join(
-    f"ROUND(avg(r) FILTER (m = {i + 1}), 4) AS {m}" for i, m in enumerate(MONTHS)) + """
+    f"SNAP(avg(r) FILTER (m = {i + 1}), 4) AS {m}" for i, m in enumerate(MONTHS)) + """
 FROM (SELECT ticker, sector, month(date) AS m, product(1 + daily_return) - 1 AS r FROM ret_only
   GROUP BY ticker, sector, year(date), month(date)) x GROUP BY sector""")
 def _(t):
@@ -636,7 +636,7 @@ def _(t):
 
 
 @q("beta_histogram", "bin, bin_start:6, n", """
-SELECT CAST(b AS BIGINT) AS bin, ROUND(0.5 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
+SELECT CAST(b AS BIGINT) AS bin, SNAP(0.5 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
 FROM (SELECT CASE WHEN beta < 0.5 THEN 0 WHEN beta >= 1.5 THEN 9 ELSE floor((beta - 0.5) / 0.125) + 1 END AS b FROM fund) f
 GROUP BY b""")
 def _(t):
@@ -644,7 +644,7 @@ def _(t):
 
 
 @q("return_histogram", "bin, bin_start:6, n", """
-SELECT CAST(b AS BIGINT) AS bin, ROUND(-1.0 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
+SELECT CAST(b AS BIGINT) AS bin, SNAP(-1.0 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
 FROM (SELECT CASE WHEN daily_return < -1 THEN 0 WHEN daily_return >= 1 THEN 17
   ELSE floor((daily_return + 1) / 0.125) + 1 END AS b FROM ret_only) f GROUP BY b""")
 def _(t):
@@ -718,8 +718,8 @@ def _(t):
 
 
 @q("sector_var", "sector, var_90:6, var_95:6, var_99:6, cvar_90:6", """
-SELECT r.sector, ROUND(any_value(v90), 6) AS var_90, ROUND(any_value(v95), 6) AS var_95, ROUND(any_value(v99), 6) AS var_99,
-  ROUND(avg(daily_return) FILTER (daily_return <= v90), 6) AS cvar_90
+SELECT r.sector, SNAP(any_value(v90), 6) AS var_90, SNAP(any_value(v95), 6) AS var_95, SNAP(any_value(v99), 6) AS var_99,
+  SNAP(avg(daily_return) FILTER (daily_return <= v90), 6) AS cvar_90
 FROM ret_only r JOIN (SELECT sector, quantile_cont(daily_return, 0.10) AS v90, quantile_cont(daily_return, 0.05) AS v95,
   quantile_cont(daily_return, 0.01) AS v99 FROM ret_only GROUP BY sector) v ON r.sector = v.sector GROUP BY r.sector""")
 def _(t):
@@ -747,8 +747,9 @@ def _(t):
 
 @q("capture_ratios", CAPTURE, """
 SELECT {cols} FROM (SELECT *, upside_capture / NULLIF(abs(downside_capture), 0) AS capture_ratio FROM (
-  SELECT ticker, sector, beta, 0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05) AS return_bull,
-    0.05 + beta * (CAST(0.08 AS DOUBLE) - 0.05) AS return_base, 0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05) AS return_bear,
+  SELECT ticker, sector, beta, ROUND(0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05), 4) AS return_bull,
+    ROUND(0.05 + beta * (CAST(0.08 AS DOUBLE) - 0.05), 4) AS return_base,
+    ROUND(0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05), 4) AS return_bear,
     ROUND((0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05)) / 0.25, 4) AS upside_capture,
     ROUND((0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05)) / -0.30, 4) AS downside_capture
   FROM fund WHERE beta IS NOT NULL) c) d""")
@@ -863,7 +864,7 @@ def _(t):
 
 
 @q("scenario_ticker_paths", "scenario, scenario_name, ticker, annual_return:4", """
-SELECT scenario, scenario_name, ticker, ROUND(product(1 + r) - 1, 4) AS annual_return
+SELECT scenario, scenario_name, ticker, SNAP(product(1 + r) - 1, 4) AS annual_return
 FROM stress_rows WHERE scenario IN ('bull', 'base', 'bear') GROUP BY scenario, scenario_name, ticker""", STRESS)
 def _(t):
     return scenario.stress_ticker_returns(_stress(t))
@@ -973,7 +974,7 @@ UNION ALL SELECT 'duplicates', CASE WHEN dup > 0 THEN 'FAIL' ELSE 'PASS' END, du
 
 
 @q("dq_report", "layer, check_name, status, metric:6, threshold:6, affected_rows", """
-SELECT 'bronze' AS layer, check_name, status, ROUND(metric, 6) AS metric, ROUND(threshold, 6) AS threshold, affected_rows FROM dq""", DQ_SQL)
+SELECT 'bronze' AS layer, check_name, status, SNAP(metric, 6) AS metric, SNAP(threshold, 6) AS threshold, affected_rows FROM dq""", DQ_SQL)
 def _(t):
     return _dq(t)
 
@@ -981,7 +982,7 @@ def _(t):
 @q("dq_score", "layer, passed, warned, failed, overall_score:2", """
 SELECT 'bronze' AS layer, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'WARN') AS warned,
   count(*) FILTER (status = 'FAIL') AS failed,
-  ROUND(greatest(CAST(0 AS DOUBLE), 100.0 - 10.0 * count(*) FILTER (status = 'FAIL') - 3.0 * count(*) FILTER (status = 'WARN')), 2) AS overall_score
+  SNAP(greatest(CAST(0 AS DOUBLE), 100.0 - 10.0 * count(*) FILTER (status = 'FAIL') - 3.0 * count(*) FILTER (status = 'WARN')), 2) AS overall_score
 FROM dq""", DQ_SQL)
 def _(t):
     return quality.quality_score(_dq(t))
@@ -1014,11 +1015,11 @@ def _(t):
 # ---- business measures -----------------------------------------------------------------------
 
 @q("m_core", "sector, daily_return:6, latest_close, latest_close_literal, return_1d:6, return_5d:6, return_5d_literal:6", """
-SELECT sector, ROUND(avg(daily_return), 6) AS daily_return, any_value(last_close) AS latest_close,
+SELECT sector, SNAP(avg(daily_return), 6) AS daily_return, any_value(last_close) AS latest_close,
   max(close) AS latest_close_literal,
-  ROUND((avg(close) FILTER (date = d1) - avg(close) FILTER (date = d2)) / NULLIF(avg(close) FILTER (date = d2), 0), 6) AS return_1d,
-  ROUND((any_value(last_close) - any_value(week_first)) / NULLIF(any_value(week_first), 0), 6) AS return_5d,
-  ROUND((max(close) - min(close) FILTER (date >= d1 - 7)) / NULLIF(min(close) FILTER (date >= d1 - 7), 0), 6) AS return_5d_literal
+  SNAP((avg(close) FILTER (date = d1) - avg(close) FILTER (date = d2)) / NULLIF(avg(close) FILTER (date = d2), 0), 6) AS return_1d,
+  SNAP((any_value(last_close) - any_value(week_first)) / NULLIF(any_value(week_first), 0), 6) AS return_5d,
+  SNAP((max(close) - min(close) FILTER (date >= d1 - 7)) / NULLIF(min(close) FILTER (date >= d1 - 7), 0), 6) AS return_5d_literal
 FROM (SELECT *, first_value(close) OVER (PARTITION BY sector ORDER BY date DESC, ticker DESC) AS last_close,
     first_value(close) OVER (PARTITION BY sector ORDER BY date < d1 - 7, date, ticker) AS week_first_raw,
     CASE WHEN max(date) OVER (PARTITION BY sector) >= d1 - 7 THEN
@@ -1061,7 +1062,7 @@ def _(t):
 
 
 @q("m_breadth", "market_breadth:6, n_advancing, n_declining, new_52w_highs", """
-SELECT ROUND(CAST(sum(up) AS DOUBLE) / NULLIF(sum(up) + sum(down), 0), 6) AS market_breadth,
+SELECT SNAP(CAST(sum(up) AS DOUBLE) / NULLIF(sum(up) + sum(down), 0), 6) AS market_breadth,
   CAST(sum(up) AS BIGINT) AS n_advancing, CAST(sum(down) AS BIGINT) AS n_declining,
   count(*) FILTER (today >= coalesce(high52, 0)) AS new_52w_highs
 FROM (SELECT ticker, count(*) FILTER (date = d AND daily_return > 0) AS up, count(*) FILTER (date = d AND daily_return < 0) AS down,
@@ -1092,8 +1093,8 @@ def _(t):
 
 
 @q("m_volume", "sector, total_volume, avg_daily_volume:4, volume_ratio_20d:6", """
-SELECT sector, CAST(sum(v) AS BIGINT) AS total_volume, ROUND(avg(v), 4) AS avg_daily_volume,
-  ROUND(sum(v) FILTER (date = d) / any_value(base), 6) AS volume_ratio_20d
+SELECT sector, CAST(sum(v) AS BIGINT) AS total_volume, SNAP(avg(v), 4) AS avg_daily_volume,
+  SNAP(sum(v) FILTER (date = d) / any_value(base), 6) AS volume_ratio_20d
 FROM (SELECT sector, date, sum(volume) AS v FROM bars GROUP BY sector, date) s CROSS JOIN last_day
 CROSS JOIN (SELECT avg(volume) AS base FROM (SELECT volume, rank() OVER (ORDER BY date DESC) AS k FROM bars
   WHERE date < (SELECT d FROM last_day)) t WHERE k <= 20) b GROUP BY sector""")
@@ -1102,8 +1103,8 @@ def _(t):
 
 
 @q("m_rolling", "ticker, date, rolling_252d_sharpe:6, rolling_60d_vol:6", f"""
-SELECT ticker, date, ROUND((avg(daily_return) OVER y * 252 - 0.05) / NULLIF(stddev_pop(daily_return) OVER y * {O.ANN}, 0), 6) AS rolling_252d_sharpe,
-  ROUND(stddev_pop(daily_return) OVER qt * {O.ANN}, 6) AS rolling_60d_vol
+SELECT ticker, date, SNAP((avg(daily_return) OVER y * 252 - 0.05) / NULLIF(stddev_pop(daily_return) OVER y * {O.ANN}, 0), 6) AS rolling_252d_sharpe,
+  SNAP(stddev_pop(daily_return) OVER qt * {O.ANN}, 6) AS rolling_60d_vol
 FROM ret WINDOW y AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW),
   qt AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW)""")
 def _(t):
@@ -1111,7 +1112,7 @@ def _(t):
 
 
 @q("m_signal", "ticker, return_1y:6, rsi_14:4, signal_label, volatility_regime", f"""
-SELECT ticker, ROUND(return_1y, 6) AS return_1y, ROUND(rsi_14, 4) AS rsi_14,
+SELECT ticker, SNAP(return_1y, 6) AS return_1y, SNAP(rsi_14, 4) AS rsi_14,
   CASE WHEN return_1y > 0.2 AND rsi_14 < 65 THEN 'Strong Buy' WHEN return_1y > 0.05 AND rsi_14 < 70 THEN 'Buy'
     WHEN return_1y > -0.05 THEN 'Hold' WHEN return_1y > -0.2 THEN 'Sell' ELSE 'Strong Sell' END AS signal_label,
   CASE WHEN vol > 0.35 THEN 'High Volatility' WHEN vol > 0.2 THEN 'Normal' ELSE 'Low Volatility' END AS volatility_regime
@@ -1126,7 +1127,7 @@ def _(t):
 
 
 @q("sector_rotation", "sector, return_1m:6, return_3m:6, return_1y:6, quadrant, momentum_rank", """
-SELECT sector, ROUND(m1, 6) AS return_1m, ROUND(m3, 6) AS return_3m, ROUND(y1, 6) AS return_1y,
+SELECT sector, SNAP(m1, 6) AS return_1m, SNAP(m3, 6) AS return_3m, SNAP(y1, 6) AS return_1y,
   CASE WHEN m3 >= 0 AND m1 >= 0 THEN 'Leading' WHEN m3 >= 0 THEN 'Weakening' WHEN m1 < 0 THEN 'Lagging' ELSE 'Improving' END AS quadrant,
   CAST(rank() OVER (ORDER BY y1 DESC NULLS LAST) AS INTEGER) AS momentum_rank
 FROM (SELECT sector, avg(return_1m) AS m1, avg(return_3m) AS m3, avg(return_1y) AS y1 FROM (""" + O.asof_sql() + """) a GROUP BY sector) s""")

@@ -3,16 +3,23 @@
 import re
 
 from barwise import constants as K
+from barwise.functions.expr import TIE
 
 ANN = "sqrt(252.0)"
 
 
+def snap(text, digits):
+    """Nearest multiple of a power of ten, ties up: the counterpart of ``expr.snap``."""
+    scale = f"CAST({10**digits} AS DOUBLE)"
+    return f"floor(CAST({text} AS DOUBLE) * {scale} + CAST({TIE} AS DOUBLE)) / {scale}"
+
+
 def select_list(spec):
     """Projection text of a ``pick`` spec."""
     out = []
     for item in spec.replace("\n", " ").split(","):
         name, _, digits = item.strip().partition(":")
-        out.append(f"ROUND({name}, {digits}) AS {name}" if digits else name)
+        out.append(f"{snap(name, int(digits))} AS {name}" if digits else name)
     return ", ".join(out)
 
 
@@ -280,23 +287,27 @@ FROM (SELECT *, pow(1 + tot, 1 / greatest(n / 252.0, 1.0)) - 1 AS ann, s * {ANN}
     GROUP BY {by} HAVING count(r) >= 2) a) z"""
 
 
-def decimal_rounding(sql):
-    """Rewrite ROUND(x, d) to round half up in decimals, as Spark does. DuckDB rounds a double by
-    scaling it in binary, which moves values that lie on a tie."""
+def plain_rounding(sql):
+    """Spell out ROUND and SNAP. ``ROUND(x, d)`` becomes decimal half-up rounding as in Spark, since
+    DuckDB rounds a double by scaling it in binary, which moves values that lie on a tie."""
     out, at = [], 0
     while True:
-        start = sql.find("ROUND(", at)
-        if start < 0:
+        found = re.search(r"\b(ROUND|SNAP)\(", sql[at:])
+        if not found:
             return "".join(out) + sql[at:]
-        depth, comma, i = 1, None, start + 6
+        start, i = at + found.start(), at + found.end()
+        first, depth, comma = i, 1, None
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[i], 0)
             if sql[i] == "," and depth == 1:
                 comma = i
             i += 1
-        inner, digits = decimal_rounding(sql[start + 6:comma]), int(sql[comma + 1:i - 1])
-        cast = f"CAST({inner} AS DECIMAL(38, {digits + 4}))"
-        out += [sql[at:start], f"CAST(round({cast}, {digits}) AS DOUBLE)"]
+        inner, digits = plain_rounding(sql[first:comma]), int(sql[comma + 1:i - 1])
+        if found.group(1) == "SNAP":
+            text = snap(inner, digits)
+        else:
+            text = f"CAST(round(CAST({inner} AS DECIMAL(38, {digits + 4})), {digits}) AS DOUBLE)"
+        out += [sql[at:start], text]
         at = i
 
 
@@ -313,7 +324,7 @@ def compose(sql, extra=None):
 
     need(sql)
     if not order:
-        return decimal_rounding(sql)
+        return plain_rounding(sql)
     recursive = "RECURSIVE " if any("UNION ALL SELECT r." in known[n] for n in order) else ""
     body = ",\n".join(f"{n} AS ({known[n].strip()})" for n in order)
-    return decimal_rounding(f"WITH {recursive}{body}\n{sql.strip()}")
+    return plain_rounding(f"WITH {recursive}{body}\n{sql.strip()}")

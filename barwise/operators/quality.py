@@ -117,8 +117,9 @@ def quality_checks(df, layer, config=None, null_columns=None, as_of=None):
 
 def _keyed_checks(df, cfg, have):
     moves = "daily_return" in have
-    value = "daily_return" if moves else "close"
-    counted = df.groupBy("ticker", "date", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # Without returns or closes no move can be found and the check passes.
+    value = F.col("daily_return") if moves else F.col("close") if "close" in have else F.lit(None)
+    counted = df.groupBy("ticker", "date", value.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     # Among a ticker's distinct values in date order; equal neighbours have no move between them.
     w = Window.partitionBy("ticker").orderBy("date", "v")
     move = F.col("v") if moves else change("v", F.lag("v").over(w))

@@ -1,5 +1,7 @@
 """The incremental bar load, run over a folder of arriving files."""
 
+from pyspark.sql import types as T
+
 from barwise import schemas
 from barwise.operators.cleanse import dedup_bars
 
@@ -33,5 +35,6 @@ def _earlier(spark, target, batch_id):
     """Bars written by earlier batches, or None before the first."""
     if batch_id == 0:
         return None
-    rows = spark.read.schema(schemas.BARS.add("batch", "long")).parquet(target)
+    fields = [*schemas.BARS.fields, T.StructField("batch", T.LongType())]
+    rows = spark.read.schema(T.StructType(fields)).parquet(target)
     return rows.filter(rows["batch"] < batch_id)

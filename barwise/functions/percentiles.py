@@ -11,6 +11,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 FINE_BINS = 4096
+FEW = 10_000
+
+
+def few_groups(df, by, limit=FEW):
+    """Whether ``df`` holds at most ``limit`` distinct keys; meant for a small dimension table."""
+    return df.select(*by).distinct().limit(limit + 1).count() <= limit
+
+
+def small_side(df, few):
+    """Broadcast a table of a few rows per group when the number of groups is known to be small.
+    Otherwise it is joined by key, where adaptive execution splits skewed partitions."""
+    return F.broadcast(df) if few else df
 
 
 def _log_bin(x):
@@ -19,10 +31,11 @@ def _log_bin(x):
     return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * magnitude).cast("long")
 
 
-def exact_percentiles(df, value, probs, by=("grp",)):
+def exact_percentiles(df, value, probs, by=("grp",), few=False):
     """One row per group and probability: ``by`` columns, ``p``, ``percentile``.
 
-    ``by`` needs at least one column; use a literal column for the whole table.
+    ``by`` needs at least one column; use a literal column for the whole table. ``few`` states that
+    the number of groups has been checked to be small.
     """
     by = list(by)
     x = F.col("x")
@@ -62,7 +75,7 @@ def exact_percentiles(df, value, probs, by=("grp",)):
         F.coalesce(F.floor(F.try_divide(x - F.col("lo"), width)), F.lit(0)), F.lit(FINE_BINS - 1)
     )
     inside = (
-        rows.withColumn("bin", _log_bin(x)).join(bins, [*by, "bin"]).withColumn("fine", fine_bin)
+        rows.withColumn("bin", _log_bin(x)).join(small_side(bins, few), [*by, "bin"]).withColumn("fine", fine_bin)
     )
     fine = inside.groupBy(*by, "bin", "fine").agg(F.count(F.lit(1)).alias("n"))
     in_bin = Window.partitionBy(*by, "bin").orderBy("fine").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,7 +89,7 @@ def exact_percentiles(df, value, probs, by=("grp",)):
 
     # Rank the distinct values left in the wanted fine bins.
     cells = wanted.select(*by, "bin", "fine").distinct()
-    left = inside.join(cells, [*by, "bin", "fine"]).groupBy(*by, "bin", "fine", "x").agg(
+    left = inside.join(small_side(cells, few), [*by, "bin", "fine"]).groupBy(*by, "bin", "fine", "x").agg(
         F.count(F.lit(1)).alias("n")
     )
     in_cell = (

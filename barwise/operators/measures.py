@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barwise.constants import RISK_FREE, Z_SCORES
 from barwise.functions.expr import ANNUAL, change, count_if, scalar
 from barwise.functions.windows import trailing_days
-from barwise.operators.risk import tail_risk
+from barwise.operators.risk import selection_tail_risk
 from barwise.operators.scenario import capm, scenario_array
 from barwise.operators.signals import signal_label
 
@@ -117,8 +117,7 @@ def selection_drawdown(returns):
 
 
 def risk(returns, fundamentals, by=("sector",), risk_free=RISK_FREE):
-    everything = returns.select("daily_return").withColumn("grp", F.lit(1))
-    tails = tail_risk(everything, ["grp"])
+    tails = selection_tail_risk(returns)
     groups = returns.groupBy(*by).agg((F.avg("daily_return") * 252).alias("annualised_return"))
     betas = fundamentals.groupBy(*by).agg(F.avg("beta").alias("average_beta"))
     df = (

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE, TRADING_DAYS, Z_SCORES
 from barwise.functions.expr import ANNUAL, half_up
-from barwise.functions.percentiles import exact_percentiles
+from barwise.functions.percentiles import exact_percentiles, small_side
 
 METRICS = {
     "total_return": 6, "annualised_return": 6, "annualised_volatility": 6, "sharpe_ratio": 4,
@@ -191,26 +191,32 @@ def risk_bundle(returns, weights, risk_free=RISK_FREE):
     return parts.join(weight, "ticker", "left").unionByName(whole.withColumn("weight", F.lit(1.0)))
 
 
-def tail_risk(returns, by, levels=(0.95, 0.99)):
+def tail_risk(returns, by, levels=(0.95, 0.99), few=False):
     """Historical value at risk per level and expected shortfall at the first, per group.
 
     Groups may hold any share of the rows: percentiles are exact but never built in one task.
+    ``few`` states that the number of groups has been checked to be small.
     """
     df = returns.select(*by, "daily_return").filter(F.col("daily_return").isNotNull())
     name = lambda level: f"var_{round(level * 100)}"
     probs = {level: round(1 - level, 10) for level in levels}
     wide = (
-        exact_percentiles(df, "daily_return", list(probs.values()), by)
+        exact_percentiles(df, "daily_return", list(probs.values()), by, few)
         .groupBy(*by)
         .agg(*[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(name(lv))
                for lv, p in probs.items()])
     )
     first = name(levels[0])
-    # One threshold row per group, so the join side is as small as the list of groups.
     shortfall = (
-        df.join(wide.select(*by, first), list(by))
+        df.join(small_side(wide.select(*by, first), few), list(by))
         .groupBy(*by)
         .agg(F.avg(F.when(F.col("daily_return") <= F.col(first), F.col("daily_return")))
              .alias(first.replace("var", "cvar")))
     )
     return wide.join(shortfall, list(by))
+
+
+def selection_tail_risk(returns, levels=(0.95, 0.99)):
+    """The same over all rows: one group by construction."""
+    everything = returns.select("daily_return").withColumn("grp", F.lit(1))
+    return tail_risk(everything, ["grp"], levels, few=True)

@@ -135,17 +135,20 @@ def stress_returns(returns, betas, keys=("bull", "base", "bear"), days=TRADING_D
         .agg((F.stddev_samp("daily_return") * ANNUAL).alias("hist_vol"))
         .join(betas.select("ticker", F.col("beta")).filter("beta is not null"), "ticker")
     )
-    paths = with_scenarios(vols, keys).withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
     day = F.col("day").cast("string")
-    daily = TRADING_DAYS**0.5
-    market = F.col("mkt_return_shock") / TRADING_DAYS + (
-        F.lit(MARKET_VOL) * F.col("vol_multiplier") / daily * normal_draw(F.lit("market"), day)
-    )
-    noise = (
-        F.col("hist_vol") * F.col("vol_multiplier") / daily * normal_draw(F.col("ticker"), day)
+    # Draws depend on ticker and day only, so they are taken before the scenarios fan out.
+    paths = vols.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumns(
+        {
+            "market_draw": normal_draw(F.lit("market"), day),
+            "ticker_draw": normal_draw(F.col("ticker"), day),
+        }
     )
+    daily = TRADING_DAYS**0.5
+    scale = F.col("vol_multiplier") / daily
+    market = F.col("mkt_return_shock") / TRADING_DAYS + MARKET_VOL * scale * F.col("market_draw")
+    noise = F.col("hist_vol") * scale * F.col("ticker_draw")
     rf = risk_free / TRADING_DAYS
-    return paths.select(
+    return with_scenarios(paths, keys).select(
         "scenario", "scenario_name", "ticker", "day",
         (rf + F.col("beta") * (market - rf) + noise).alias("daily_return"),
     )

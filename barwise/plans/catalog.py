@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from barwise import constants as K
 from barwise import schemas
 from barwise.functions.expr import half_up, pick
+from barwise.functions.percentiles import few_groups
 from barwise.operators import (
     cleanse, correlation, features, layers, market, measures, quality, risk, scenario, signals,
 )
 from barwise.plans import oracle as O
-from barwise.plans.frames import PROXY, Frames
+from barwise.plans.frames import PROXY, Frames, StoredFrames
 from barwise.sources import derived, files
 
 BUILDERS, SQL = {}, {}
@@ -723,7 +724,8 @@ SELECT r.sector, SNAP(any_value(v90), 6) AS var_90, SNAP(any_value(v95), 6) AS v
 FROM ret_only r JOIN (SELECT sector, quantile_cont(daily_return, 0.10) AS v90, quantile_cont(daily_return, 0.05) AS v95,
   quantile_cont(daily_return, 0.01) AS v99 FROM ret_only GROUP BY sector) v ON r.sector = v.sector GROUP BY r.sector""")
 def _(t):
-    return risk.tail_risk(t.returns, ["sector"], levels=(0.90, 0.95, 0.99))
+    few = few_groups(t.fundamentals, ["sector"])
+    return risk.tail_risk(t.returns, ["sector"], levels=(0.90, 0.95, 0.99), few=few)
 
 
 # ---- scenarios and regimes -------------------------------------------------------------------
@@ -1141,7 +1143,7 @@ def _kpis(t):
     """Headline figures in one row, each a scalar over its own query."""
     last = market.latest_rows(market.market_breadth(t.equity_features), 1)
     regime = market.latest_rows(market.volatility_regime(t.returns), 1)
-    tails = risk.tail_risk(t.returns.withColumn("grp", F.lit(1)), ["grp"])
+    tails = risk.selection_tail_risk(t.returns)
     return t.rankings.agg(
         F.count("ticker").alias("total_equities"),
         half_up(F.avg("return_1y"), 4).alias("market_avg_return_1y"),
@@ -1163,13 +1165,14 @@ SELECT (SELECT d FROM last_day) AS as_of_date, count(*) AS total_equities, ROUND
   ROUND((SELECT quantile_cont(daily_return, 0.05) FROM ret_only), 6) AS var_95
 FROM ranks""")
 def _(t):
-    return _kpis(t)
+    return _kpis(StoredFrames(t.spark, t.sf_dir))
 
 
 @q("market_summary")
 def _(t):
     """One nested row: headline figures, sector rows and both ends of the ranking. Every nested list
     has a fixed or sector-count length."""
+    t = StoredFrames(t.spark, t.sf_dir)
     sectors = market.sector_performance(t.returns, t.clean_fundamentals)
     ends = market.top_bottom(t.rankings, 5)
 

@@ -3,7 +3,7 @@
 from functools import cached_property
 
 from barwise.operators import cleanse, features, layers, market
-from barwise.sources import derived
+from barwise.sources import derived, files
 
 PROXY = "S00000"
 
@@ -86,3 +86,21 @@ class Frames:
         return market.latest_per_ticker(
             self.equity_features.filter("beta is not null"), ["sector", "beta", "date"]
         ).drop("date")
+
+
+class StoredFrames(Frames):
+    """Frames for reports that read the same inputs many times: bars and rankings are written once
+    to the shared folder and scanned from there, as they are between ingestion and reporting."""
+
+    def _stored(self, name, df):
+        path = f"{files.shared_folder(self.spark)}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @cached_property
+    def bars(self):
+        return self._stored("bars", derived.bars(self.spark, self.sf_dir))
+
+    @cached_property
+    def rankings(self):
+        return self._stored("rankings", market.equity_rankings(self.equity_features))

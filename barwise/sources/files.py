@@ -60,6 +60,12 @@ def write_json(df, path):
     return path
 
 
+def register_views(**frames):
+    """Name frames for use in SQL text."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+
+
 def shared_folder(spark):
     """A fresh folder all executors can reach.
 

@@ -83,6 +83,19 @@ def test_round_trips(make_bars, spark, tmp_path):
     assert sorted(map(tuple, files.read_csv(spark, c, schemas.BARS).collect())) == want
 
 
+def test_views(make_bars, spark):
+    files.register_views(quotes=make_bars({"A": [1.0, 2.0]}))
+    assert spark.sql("SELECT max(close) AS m FROM quotes").first().m == 2.0
+
+
+def test_shared_folder_follows_the_session(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert files.shared_folder(spark).startswith(str(tmp_path))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def checks(df, **kw):
     return {r.check_name: r for r in quality.quality_checks(df, "bronze", as_of="2020-01-03 00:00:00", **kw).collect()}
 

@@ -88,12 +88,16 @@ def test_views(make_bars, spark):
     assert spark.sql("SELECT max(close) AS m FROM quotes").first().m == 2.0
 
 
-def test_shared_folder_follows_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert files.shared_folder(spark).startswith(str(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def session(master, folder):
+    from types import SimpleNamespace as NS
+
+    return NS(conf=NS(get=lambda key, default: folder), sparkContext=NS(master=master))
+
+
+def test_shared_folder_follows_the_session():
+    assert files.shared_folder(session("yarn", "hdfs:///shared")).startswith("hdfs:///shared/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.shared_folder(session("yarn", None))
 
 
 def checks(df, **kw):

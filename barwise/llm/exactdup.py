@@ -47,6 +47,8 @@ def run_stream(spark, path, schema, checkpoint, id_col="doc_id", text_col="text"
     """Bring the keyed state in ``checkpoint`` up to date with the Parquet files of ``path``."""
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     # As a pattern the path may also be a single file, which the file source refuses by its plain name.
     path = f"{path[:-1]}[{path[-1]}]"
     source = session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)

@@ -2,15 +2,28 @@
 
 from pyspark.sql import functions as F
 
-from barwise.llm import decontaminate, exactdup, mixing
+from barwise.llm import binary, decontaminate, exactdup, mixing, tokencount
 
 WEIGHTS, LIMIT = (5, 2, 1), 3.0
+END_ID, TOKEN_LIMIT = 2, 4096
+
+
+def vocabulary_file(name):
+    """Place of a public tokenizer file; the package with the files is only needed here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark, sf_dir):
+    counts = tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     groups = exactdup.exact_groups(spark, f"{sf_dir}/documents.parquet")
     return groups.select(
@@ -24,6 +37,11 @@ def op4_mix_sources(spark, sf_dir):
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_binary_output(spark, sf_dir):
+    written = binary.encode(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), END_ID)
+    return written.withColumnRenamed("id", "doc_id")
+
+
 def op8_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -33,8 +51,10 @@ def op8_decontaminate(spark, sf_dir):
 
 
 BUILDERS = {
+    "op1_token_counts": op1_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_binary_output": op5_binary_output,
     "op8_decontaminate": op8_decontaminate,
 }
 

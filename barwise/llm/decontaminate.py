@@ -89,6 +89,7 @@ def clean(docs, items, width=WIDTH, id_col="doc_id", text_col="text", item_col="
     hit = occurrences(docs, items, width, id_col, text_col, item_col, item_text_col).select(
         F.col("id").alias("_id"), F.col("key").alias("_key")
     ).distinct()
+    hit = stored(hit)  # few rows, whose size the planner then knows
     own_key = row_key(F.col(id_col), F.col(text_col))
     return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (own_key == F.col("_key")), "left_anti")
 

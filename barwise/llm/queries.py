@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barwise.llm import binary, decontaminate, exactdup, mixing, tokencount
+from barwise.llm import binary, decontaminate, exactdup, mixing, neardup, tokencount
 
 WEIGHTS, LIMIT = (5, 2, 1), 3.0
 END_ID, TOKEN_LIMIT = 2, 4096
@@ -24,6 +24,11 @@ def op1_token_counts(spark, sf_dir):
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_near_dedup(spark, sf_dir):
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def op3_exact_dedup(spark, sf_dir):
     groups = exactdup.exact_groups(spark, f"{sf_dir}/documents.parquet")
     return groups.select(
@@ -52,6 +57,7 @@ def op8_decontaminate(spark, sf_dir):
 
 BUILDERS = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_binary_output": op5_binary_output,

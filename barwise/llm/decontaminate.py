@@ -6,18 +6,22 @@ prefix: document positions are matched on prefix words alone, with the length bo
 window) and the positional bound (the window fits around the position) applied at once. The whole window is then
 compared. Hits are merged as intervals.
 
-Everything is DataFrame code. The prefix table is stored before the join, so the planner knows its size: it is broadcast
-while it is below the session's threshold and shuffled beyond.
+Everything is DataFrame code. The prefix table follows the benchmark, not the corpus. It is stored and counted, then
+broadcast in blocks of at most ``BLOCK`` rows, so a benchmark of any size is matched without shuffling the corpus' words.
 
 Cases: null or empty texts and items have no words; items with equal windows are each reported; items without an
 identifier hit words but are not listed; repeated documents get the same result each; empty tables give no hits.
 """
 
-from pyspark.sql import Window, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barwise.llm.common import row_key, stored, word_array
 
 WIDTH = 10
+#: Rows (a word and two small numbers each) broadcast at once.
+BLOCK = 200_000
 
 
 def windows(items, width=WIDTH, item_col="item_id", text_col="text"):
@@ -39,7 +43,11 @@ def prefixes(wins, doc_words):
     """Distinct (word, at, length): the rarest word of each window and its place. Rarity counts rows of the corpus that
     hold the word; ties go to the smaller word."""
     vocabulary = stored(wins.select(F.explode("words").alias("word")).distinct())
-    found = doc_words.select(F.explode("words").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").count()
+    seen = doc_words.select(F.explode("words").alias("word"))
+    if vocabulary.count() <= BLOCK:
+        found = seen.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count()
+    else:
+        found = seen.groupBy("word").count().join(vocabulary, "word", "left_semi")
     texts = wins.select("words").distinct().select("words", F.concat_ws(" ", "words").alias("window"))
     places = texts.select("window", F.size("words").alias("length"), F.posexplode("words").alias("at", "word"))
     ranked = places.join(found, "word", "left").groupBy("window", "length").agg(
@@ -48,14 +56,17 @@ def prefixes(wins, doc_words):
     return ranked.select(F.col("p.word").alias("word"), F.col("p.at").alias("at"), "length").distinct()
 
 
-def occurrences(docs, items, width=WIDTH, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text"):
+def occurrences(docs, items, width=WIDTH, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", block=BLOCK):
     """Every place where a window of an item occurs: id, key, start (from 0), length, item."""
     wins = stored(windows(items, width, item_col, item_text_col))
     words = document_words(docs, id_col, text_col)
     prefix = stored(prefixes(wins, words))
     spots = words.select("id", "key", "words", F.posexplode("words").alias("pos", "word"))
     start = F.col("pos") - F.col("at")
-    candidates = spots.join(prefix, "word").filter((start >= 0) & (start + F.col("length") <= F.size("words"))).select(
+    blocks = max(-(-prefix.count() // block), 1)
+    of_block = F.pmod(F.xxhash64("word", "at", "length"), F.lit(blocks))
+    matched = [spots.join(F.broadcast(prefix.filter(of_block == b)), "word") for b in range(blocks)]
+    candidates = reduce(DataFrame.unionAll, matched).filter((start >= 0) & (start + F.col("length") <= F.size("words"))).select(
         "id", "key", start.alias("start"), "length",
         F.concat_ws(" ", F.slice("words", start + 1, F.col("length"))).alias("window"),
     )

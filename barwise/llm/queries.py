@@ -2,12 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from barwise.llm import binary, decontaminate, exactdup, mixing, neardup, tokencount
+from barwise.llm import binary, decontaminate, exactdup, extract, langid, licenses, mixing, neardup, tokencount, urls
 
 WEIGHTS, LIMIT = (5, 2, 1), 3.0
 END_ID, TOKEN_LIMIT = 2, 4096
 
 
+#: verdict, then host and path
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
 def vocabulary_file(name):
     """Place of a public tokenizer file; the package with the files is only needed here."""
     import public_tokenizers
@@ -47,6 +51,24 @@ def op5_binary_output(spark, sf_dir):
     return written.withColumnRenamed("id", "doc_id")
 
 
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.languages(docs, langid.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op7_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base, every = F.col("base.label"), F.concat("base.label", "matches.label")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").alias("first_word"), F.array_max("base.first").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("labels"),
+        # a whole template was found, or only a phrase, or nothing
+        F.when(F.size("matches") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
 def op8_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -55,13 +77,27 @@ def op8_decontaminate(spark, sf_dir):
     )
 
 
+def op9_html_extract(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op10_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "confidence"
+    )
+
+
 BUILDERS = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_binary_output": op5_binary_output,
+    "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_extract": op9_html_extract,
+    "op10_url_filter": op10_url_filter,
 }
 
 SQL = {

@@ -1,8 +1,18 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
 
-from barwise.llm import decontaminate, mixing
+from barwise.llm import binary, decontaminate, langid, mixing, neardup
 from barwise.llm.common import stored
-from barwise.llm.queries import LIMIT, WEIGHTS, table
+from barwise.llm.queries import END_ID, LIMIT, WEIGHTS, table, vocabulary_file
+
+
+def known_language(spark, docs, sf_dir):
+    """Documents without letters, or whose words agree on no language, go."""
+    return langid.known_language(docs, langid.fit(docs))
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each class of near duplicates stays."""
+    return neardup.keep_one(docs)
 
 
 def drop_benchmark(spark, docs, sf_dir):
@@ -15,9 +25,18 @@ def mix_sources(spark, docs, sf_dir):
     return mixing.take(docs, WEIGHTS, LIMIT)
 
 
+def write_ids(spark, docs, sf_dir):
+    """Token ids of all documents in wavelet matrix files; what the files say of each document."""
+    written = binary.encode(docs, vocabulary_file("byte_bpe_50k.json"), END_ID)
+    return written.withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
+    ("language_id", known_language),
+    ("near_dedup", drop_near_copies),
     ("benchmark_decontamination", drop_benchmark),
     ("source_mixing", mix_sources),
+    ("binary_output", write_ids),
 ]
 
 #: Language models, sketches and tokenizers have no SQL form; tests/llm holds the pipeline against a brute-force version.

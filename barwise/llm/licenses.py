@@ -65,7 +65,7 @@ class Automaton:
         return len(self.free) - 1
 
     def _compile(self, label, text, at):
-        pieces, opened = _MARK.split(text), []
+        begin, pieces, opened = at, _MARK.split(text), []
         for i, piece in enumerate(pieces):
             if i % 2 == 0:
                 for word in text_words(piece):
@@ -92,7 +92,7 @@ class Automaton:
                     self.free[s].append(at)
         if opened:
             raise ValueError(f"unclosed region: {text}")
-        if at in self._closed({at}) and not text_words(_MARK.sub(" ", text)):
+        if at in self._closed({begin}):
             raise ValueError(f"no wording: {text}")
         self.ends[at] = label
 

@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Window, functions as F
 
-from barwise.llm import wavelet
+from barwise.llm import vocab, wavelet
 from barwise.llm.common import stored
-from barwise.llm.vocab import Cache
 from barwise.sources.files import shared_folder
 
 SHARD_TOKENS = 1 << 23
@@ -28,7 +27,7 @@ _STEP = 500  # documents encoded at a time
 
 def _shards(path, end_id, shard_tokens):
     def run(batches):
-        cache = Cache(path)
+        cache = vocab.cache(path)
         dtype, number = cache.dtype, TaskContext.get().partitionId() << 32
         bits = max(int(max(cache.vocab.size - 1, end_id)).bit_length(), 1)
         end = np.array([end_id], dtype).tobytes()
@@ -70,7 +69,8 @@ def _read(batches):
     for batch in batches:
         for data in batch.column("content"):
             number, matrix, doc_ids, lengths = wavelet.parse(data.as_buffer().to_pybytes())
-            ids = memoryview(matrix.decode().tobytes())
+            narrow = "<u2" if len(matrix.planes) <= 16 else "<u4"
+            ids = memoryview(matrix.decode(narrow).astype("<u4").tobytes())
             ends = np.cumsum(lengths)
             crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
             yield pa.RecordBatch.from_arrays(

@@ -5,11 +5,14 @@ the file's own library. Where a file's rules allow no cut, a text is one pre-tok
 """
 
 import re
+from itertools import chain
 
 import numpy as np
 
 WHOLE = "="  # a whole text
-_open = {}
+#: white space characters, and each beside a space
+_BESIDE = [(c, " " + c, c + " ") for c in map(chr, range(0x3001)) if c.isspace()]
+_open, _caches = {}, {}
 
 
 class Pieces:
@@ -64,26 +67,57 @@ class Tokens:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not spec.get("normalizer")
         )
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(added)) if added else None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size()
-        self._unsafe = re.compile(r"\s |^ | \s| $")
+        self._bytes = None
         self._cut = re.compile(r"(?<=\S) (?=\S)")
 
     def pretokens(self, text):
         if not text:
             return []
-        if not self.cuts or (self.special and self.special.search(text)):
+        if not self.cuts or any(t in text for t in self.special):
             return [WHOLE + text]
-        parts = self._cut.split(text) if self._unsafe.search(text) else text.split(" ")
-        out = [" " + p for p in parts]
-        out[0] = "^" + parts[0]
-        return out
+        parts = text.split(" ") if self._lone(text) else self._cut.split(text)
+        # all parts but the first follow a space
+        return ["^" + parts[0], *map(" ".__add__, parts[1:])]
+
+    def _lone(self, text):
+        """Whether every space stands between two characters that are not white space."""
+        if text[0] == " " or text[-1] == " ":
+            return False
+        for c, after, before in _BESIDE:
+            if c in text and (after in text or before in text):
+                return False
+        return True
 
     def ids(self, pretokens):
-        texts = [p if p[0] == " " else p[1:] for p in pretokens]
+        spaced = [p for p in pretokens if p[0] == " "]
+        found = dict(zip(spaced, self._joined(spaced)))
+        rest = [p for p in pretokens if p[0] != " "]
+        found.update(zip(rest, self._each([p[1:] for p in rest])))
+        return [found[p] for p in pretokens]
+
+    def _each(self, texts):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, parts, together=200):
+        """Parts that begin with a space: many are encoded as one text and told apart by the bytes of its tokens, which
+        is cheaper for the library than as many short texts."""
+        if self._bytes is None:
+            self._bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
+        groups = [parts[k : k + together] for k in range(0, len(parts), together)]
+        out = []
+        for group, ids in zip(groups, self._each(["".join(g) for g in groups])):
+            ends = np.cumsum(self._bytes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in group])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] < len(ends) and (ends[at] == wanted).all():
+                stops = (at + 1).tolist()
+                out += map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops))
+            else:
+                out += self._each(group)
+        return out
+
 
 def load(path):
     """The tokenizer of a file, opened once in each process."""
@@ -93,9 +127,10 @@ def load(path):
 
 
 class Cache:
-    """Bytes of the ids of pre-tokens. It holds ``most`` of them and starts anew beyond; results don't depend on it."""
+    """Bytes of the ids of texts, by way of their pre-tokens. It holds the bytes of ``most`` pre-tokens and starts anew
+    beyond; results don't depend on it."""
 
-    def __init__(self, path, most=500_000):
+    def __init__(self, path, most=800_000):
         self.vocab, self.most, self.known = load(path), most, {}
         self.dtype = np.dtype("<u2" if self.vocab.size <= 1 << 16 else "<u4")
 
@@ -104,9 +139,20 @@ class Cache:
         cut = [self.vocab.pretokens(t or "") for t in texts]
         if len(self.known) > self.most:
             self.known = {}
-        new = list({p for parts in cut for p in parts if p not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update((p, np.array(i, self.dtype).tobytes()) for p, i in zip(some, self.vocab.ids(some)))
-        get = self.known.__getitem__
+        known = self.known
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            ids = self.vocab.ids(some)
+            ends = np.cumsum([len(i) for i in ids]) * self.dtype.itemsize
+            data = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
+            known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+        get = known.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
+
+
+def cache(path):
+    """The cache of a file, shared by the tasks that a process runs."""
+    if path not in _caches:
+        _caches[path] = Cache(path)
+    return _caches[path]

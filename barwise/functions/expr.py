@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from barwise.constants import TRADING_DAYS
 
 ANNUAL = TRADING_DAYS**0.5
-TIE = 0.5001
 
 
 def col(c) -> Column:
@@ -19,19 +18,8 @@ def change(new, old) -> Column:
 
 
 def half_up(c, digits) -> Column:
-    """Round half up after dropping float noise four digits further down, so a value on a rounding
-    tie does not depend on the order in which tasks' partial sums were added."""
-    return F.round(F.round(col(c), digits + 4), digits)
-
-
-def snap(c, digits) -> Column:
-    """Nearest multiple of ``10**-digits``, ties up, for whole columns of computed values.
-
-    ``round`` on a double goes through a decimal object per value; this stays in machine arithmetic.
-    As in ``half_up``, values within float noise below a tie go with the tie.
-    """
-    scale = float(10**digits)
-    return F.floor(col(c) * scale + TIE) / scale
+    """Decimal rounding, ties away from zero."""
+    return F.round(col(c), digits)
 
 
 def count_if(condition) -> Column:
@@ -53,7 +41,7 @@ def pick(df: DataFrame, spec: str) -> DataFrame:
     out = []
     for item in spec.replace("\n", " ").split(","):
         name, _, digits = item.strip().partition(":")
-        out.append(snap(name, int(digits)).alias(name) if digits else F.col(name))
+        out.append(half_up(name, int(digits)).alias(name) if digits else F.col(name))
     return df.select(*out)
 
 

@@ -11,17 +11,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 FINE_BINS = 4096
-FEW = 10_000
-
-
-def few_groups(df, by, limit=FEW):
-    """Whether ``df`` holds at most ``limit`` distinct keys; meant for a small dimension table."""
-    return df.select(*by).distinct().limit(limit + 1).count() <= limit
 
 
 def small_side(df, few):
-    """Broadcast a table of a few rows per group when the number of groups is known to be small.
-    Otherwise it is joined by key, where adaptive execution splits skewed partitions."""
+    """Broadcast a table of a few rows per group where the caller has one group. Otherwise no hint: adaptive execution
+    broadcasts by measured size and splits skewed partitions."""
     return F.broadcast(df) if few else df
 
 
@@ -35,7 +29,7 @@ def exact_percentiles(df, value, probs, by=("grp",), few=False):
     """One row per group and probability: ``by`` columns, ``p``, ``percentile``.
 
     ``by`` needs at least one column; use a literal column for the whole table. ``few`` states that
-    the number of groups has been checked to be small.
+    there is one group by construction.
     """
     by = list(by)
     x = F.col("x")

@@ -4,6 +4,7 @@ One shuffle by ticker serves everything. Short frames are plain window aggregate
 (ticker, date); frames of 200 rows and more are built from blocks (see ``functions.rolling``).
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.functions.expr import ANNUAL, change
@@ -250,9 +251,9 @@ def with_growth_drawdown(bars):
 
 
 def proxy_returns(bars, proxy):
-    """Return series of one ticker: at most one row per calendar day."""
+    """Return series of one ticker, one row per date. Give ``bars`` of that ticker alone where the source can."""
     one = with_returns(bars.filter(F.col("ticker") == proxy))
-    return one.select("date", F.col("daily_return").alias("mkt_return"))
+    return one.groupBy("date").agg(F.first("daily_return").alias("mkt_return"))
 
 
 def market_returns(returns):
@@ -261,14 +262,13 @@ def market_returns(returns):
 
 
 def join_market(frame, market):
-    """Attach a per-date market return. One row per date, so broadcasting it is bounded by the
-    calendar (a century of days is below a megabyte)."""
-    return frame.join(F.broadcast(market), "date", "left")
+    """Attach a per-date market return. No hint: adaptive execution broadcasts it by measured size."""
+    return frame.join(market, "date", "left")
 
 
-def with_rolling_beta(bars, proxy, n=252):
+def with_rolling_beta(bars, proxy, n=252, proxy_bars=None):
     """Population covariance over population variance; null throughout if the proxy is absent."""
-    frame = join_market(with_returns(bars), proxy_returns(bars, proxy))
+    frame = join_market(with_returns(bars), proxy_returns(bars if proxy_bars is None else proxy_bars, proxy))
     frame = long_frame(frame, n, {"_b": ("daily_return", "mkt_return")})
     return _population_beta(frame, f"rolling_beta_{n}").drop("mkt_return")
 
@@ -298,7 +298,7 @@ def with_rolling_var(returns, n=60, z=1.6449):
     return add(returns, (windows, {"rolling_var": value}))
 
 
-def feature_set(bars, proxy=None, drop_first=False):
+def feature_set(bars, proxy=None, drop_first=False, proxy_bars=None):
     """All features at once. ``drop_first`` removes rows without a return before anything else is
     computed, so every later frame starts one bar later."""
     if drop_first:
@@ -310,7 +310,7 @@ def feature_set(bars, proxy=None, drop_first=False):
         frame = add(bars, return_columns(), roc_columns())
     year = {"_z": ("roc_252",)}
     if proxy is not None:
-        frame = join_market(frame, proxy_returns(bars, proxy))
+        frame = join_market(frame, proxy_returns(bars if proxy_bars is None else proxy_bars, proxy))
         year["_b"] = ("daily_return", "mkt_return")
     frame = _zscore(long_frame(frame, 252, year))
     if proxy is not None:
@@ -338,22 +338,32 @@ def with_labels(features):
     return features.withColumns({"ma_signal": cross, "rsi_signal": state})
 
 
+EMA_BLOCK = 128
+
+
+def exponential(df, value, span, out):
+    """The recursive average ``a * x + (1 - a) * before`` with a = 2 / (span + 1), seeded with the first value.
+
+    Rows are cut into blocks of 128. Inside a block the recursion is a weighted running sum, whose weights stay within
+    (1 - a)**-128; what a block leaves to the next is carried along the few blocks of a ticker with an array fold."""
+    a = 2.0 / (span + 1)
+    keep, x, pos = 1.0 - a, F.col(value), F.col("_row") % EMA_BLOCK
+    inside = Window.partitionBy("ticker", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    weight = F.when(F.col("_row") == 0, 1.0).otherwise(a)
+    df = df.withColumn("_own", F.pow(F.lit(keep), pos) * F.sum(weight * x * F.pow(F.lit(keep), -pos)).over(inside))
+    ends = F.when(pos == EMA_BLOCK - 1, F.col("_own"))
+    # the ends of the full blocks before this one, oldest first: one value per 128 rows
+    before = Window.partitionBy("ticker").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    carried = F.aggregate(F.collect_list(ends).over(before), F.lit(0.0), lambda acc, e: acc * F.lit(keep**EMA_BLOCK) + e)
+    return df.withColumn(out, F.col("_own") + F.pow(F.lit(keep), pos + 1) * carried).drop("_own")
+
+
 def ema_exact(bars, spans=(12, 26), signal=9):
-    """Recursive exponential averages, seeded with the first close, plus MACD and its signal line.
-
-    The recursion needs each ticker's rows in order, so this is the one grouped-pandas operator; a
-    group is one ticker's calendar.
-    """
-    fast, slow = spans
-    schema = f"ticker string, date date, ema_{fast} double, ema_{slow} double, macd double, macd_signal double"
-
-    def smooth(pdf):
-        pdf = pdf.sort_values("date")
-        a = pdf["close"].ewm(span=fast, adjust=False).mean()
-        b = pdf["close"].ewm(span=slow, adjust=False).mean()
-        out = pdf[["ticker", "date"]].copy()
-        out[f"ema_{fast}"], out[f"ema_{slow}"], out["macd"] = a, b, a - b
-        out["macd_signal"] = (a - b).ewm(span=signal, adjust=False).mean()
-        return out
-
-    return bars.select("ticker", "date", "close").groupBy("ticker").applyInPandas(smooth, schema)
+    """Recursive exponential averages, seeded with the first close, plus MACD and its signal line."""
+    fast, slow = (f"ema_{n}" for n in spans)
+    rows = bars.select("ticker", "date", "close").withColumn("_row", F.row_number().over(timeline()) - 1)
+    rows = rows.withColumn("_block", F.floor(F.col("_row") / EMA_BLOCK))
+    for span, name in zip(spans, (fast, slow)):
+        rows = exponential(rows, "close", span, name)
+    rows = exponential(rows.withColumn("macd", F.col(fast) - F.col(slow)), "macd", signal, "macd_signal")
+    return rows.select("ticker", "date", fast, slow, "macd", "macd_signal")

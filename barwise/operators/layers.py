@@ -4,9 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE
-from barwise.functions.expr import ANNUAL, count_if, half_up
+from barwise.functions.expr import ANNUAL, count_if, half_up, scalar
 from barwise.functions.windows import running
 from barwise.operators import cleanse, features
+from barwise.operators.quality import assert_quality, quality_checks, quality_score
 from barwise.operators.scenario import with_market_scenario
 from barwise.operators.signals import with_signal_score
 
@@ -109,6 +110,7 @@ def export_features(bars):
     )
 
 
+# The columns of the published export.
 EXPORT_FUNDAMENTALS = [
     "ticker", "name", "sector", "sub_industry", "beta", "market_cap_cat", "weight_pct", "pe_ratio",
     "dividend_yield", "roe", "debt_to_equity", "market_cap",
@@ -119,27 +121,37 @@ def export_fundamentals(fundamentals):
     return fundamentals.select(*[c for c in EXPORT_FUNDAMENTALS if c in fundamentals.columns])
 
 
-def layer_audit(steps):
-    """Rows in and out and score per layer, with a total line.
-
-    ``steps`` maps a layer name to (input frame, output frame, score column).
-    """
-    rows = None
-    for i, (name, (before, after, score)) in enumerate(steps.items()):
-        row = (
-            after.agg(F.count(F.lit(1)).alias("records_out"))
-            .select(
-                F.lit(i + 1).alias("step"),
-                F.lit(name).alias("layer"),
-                before.agg(F.count(F.lit(1))).scalar().alias("records_in"),
-                "records_out",
-                score.cast("double").alias("quality_score"),
-            )
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    total = rows.agg(
+def layer_reports(layers, config=None, as_of=None):
+    """The check report of each checked layer: bronze and silver whole, gold on its known key, close and return."""
+    gold = layers["gold"].select("ticker", "date", "close", "daily_return").dropna()
+    frames = {"bronze": layers["bronze"], "silver": layers["silver"], "gold": gold}
+    return {name: quality_checks(df, name, config, as_of=as_of) for name, df in frames.items()}
+
+
+def checked_medallion(text, min_days=252, config=None, as_of=None):
+    """All layers, after their checks have run; a strict config raises at the first layer that fails one."""
+    out = medallion(text, min_days)
+    gold = out["gold"].select("ticker", "date", "close", "daily_return").dropna()
+    for name, df in (("bronze", out["bronze"]), ("silver", out["silver"]), ("gold", gold)):
+        assert_quality(df, name, config, as_of=as_of)
+    return out
+
+
+def layer_audit(text, layers, config=None, as_of=None):
+    """Rows in and out and the check score of each layer, with a total line. The features step has no checks of its own
+    and counts as 100. Every figure is a scalar over one layer, so equal ones are computed once."""
+    rows = {name: scalar(df, F.count(F.lit(1))) for name, df in (("raw", text), *((k, layers[k]) for k in ("bronze", "silver", "features", "gold")))}
+    score = {k: scalar(quality_score(r), F.max("overall_score")) for k, r in layer_reports(layers, config, as_of).items()}
+    names = list(rows)
+    steps = [
+        F.struct(F.lit(i).alias("step"), F.lit(name).alias("layer"), rows[names[i - 1]].alias("records_in"), rows[name].alias("records_out"),
+                 score.get(name, F.lit(100.0)).cast("double").alias("quality_score"))
+        for i, name in enumerate(names) if i
+    ]
+    audit = text.sparkSession.range(1).select(F.explode(F.array(*steps)).alias("s")).select("s.*")
+    total = audit.agg(
         F.lit(0).alias("step"), F.lit("total").alias("layer"),
         F.sum("records_in").alias("records_in"), F.sum("records_out").alias("records_out"),
         F.avg("quality_score").alias("quality_score"),
     )
-    return rows.unionByName(total)
+    return audit.unionByName(total)

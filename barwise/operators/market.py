@@ -7,7 +7,7 @@ from barwise.constants import RISK_FREE
 from barwise.functions.expr import ANNUAL, change, count_if, half_up, scalar, share_if
 
 
-def since(df, days, as_of=None, strict=False):
+def since(df, days, as_of=None):
     """Rows dated within ``days`` calendar days before ``as_of`` (default: the last date)."""
     end = F.lit(as_of).cast("date") if as_of is not None else scalar(df, F.max("date"))
     return df.filter(F.col("date") >= F.date_sub(end, days))

@@ -125,9 +125,7 @@ def risk(returns, fundamentals, by=("sector",), risk_free=RISK_FREE):
         .withColumns(
             {
                 "_s": selection_stats(returns),
-                "_t": tails.agg(
-                    F.first(F.struct("var_95", "var_99", "cvar_95"))
-                ).scalar(),
+                "_t": tails,
                 "max_drawdown": selection_drawdown(returns),
             }
         )

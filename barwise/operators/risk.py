@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE, TRADING_DAYS, Z_SCORES
-from barwise.functions.expr import ANNUAL, half_up
+from barwise.functions.expr import ANNUAL, half_up, scalar
 from barwise.functions.percentiles import exact_percentiles, small_side
 
 METRICS = {
@@ -110,35 +110,21 @@ def risk_metrics(returns, risk_free=RISK_FREE):
     return rounded(risk_profile(returns, ["ticker"], risk_free=risk_free), ["ticker"])
 
 
-def portfolio_series(returns, weights):
-    """Daily weighted return on the dates where every known ticker has one.
+def normalised_weights(returns, weights):
+    """``weights`` (ticker, weight) of the tickers that have returns, summing to 1; unknown tickers drop out."""
+    known = weights.join(returns.select("ticker").distinct(), "ticker", "left_semi")
+    return known.select("ticker", F.try_divide(F.col("weight"), scalar(known, F.sum("weight"))).alias("weight"))
 
-    ``weights`` is a dict; unknown tickers drop out and the rest are normalised.
-    """
-    pairs = [F.struct(F.lit(t).alias("k"), F.lit(float(w)).alias("w")) for t, w in weights.items()]
-    table = F.map_from_entries(F.array(*pairs))
-    held = returns.filter(F.col("ticker").isin(list(weights))).withColumn(
-        "w", F.element_at(table, F.col("ticker"))
-    )
-    # One row per held ticker: as many as the caller listed.
-    known = held.groupBy("ticker").agg(F.first("w").alias("w"))
-    n_known = known.agg(F.count(F.lit(1))).scalar()
-    total = known.agg(F.sum("w")).scalar()
+
+def portfolio_series(returns, weights):
+    """Daily weighted return on the dates where every known ticker has one. ``weights``: ticker, weight."""
+    held = normalised_weights(returns, weights)
     return (
-        held.filter(F.col("daily_return").isNotNull())
+        returns.filter(F.col("daily_return").isNotNull()).join(held, "ticker")
         .groupBy("date")
-        .agg(F.sum(F.col("w") * F.col("daily_return")).alias("s"), F.count("w").alias("n"))
-        .filter(F.col("n") == n_known)
-        .select("date", F.try_divide(F.col("s"), total).alias("daily_return"))
-    )
-
-
-def normalised_weights(returns, weights):
-    known = returns.filter(F.col("ticker").isin(list(weights))).select("ticker").distinct()
-    pairs = [F.struct(F.lit(t).alias("k"), F.lit(float(w)).alias("w")) for t, w in weights.items()]
-    raw = F.element_at(F.map_from_entries(F.array(*pairs)), F.col("ticker"))
-    return known.select(
-        "ticker", (raw / F.sum(raw).over(Window.partitionBy())).alias("weight")
+        .agg(F.sum(F.col("weight") * F.col("daily_return")).alias("daily_return"), F.count("weight").alias("n"))
+        .filter(F.col("n") == scalar(held, F.count("weight")))
+        .select("date", "daily_return")
     )
 
 
@@ -148,6 +134,9 @@ def portfolio_metrics(returns, weights, benchmark=None, risk_free=RISK_FREE):
     series = portfolio_series(returns, weights).withColumn("portfolio", F.lit("portfolio"))
     base = risk_profile(series, ["portfolio"], risk_free=risk_free)
     out = rounded(base, ["portfolio"]).drop("win_rate", "best_day", "worst_day", "skewness", "kurtosis")
+    # The holdings of one portfolio: an entry per ticker of the universe at most.
+    entries = F.sort_array(F.collect_list(F.struct("ticker", "weight")))
+    out = out.withColumn("weights", F.map_from_entries(normalised_weights(returns, weights).agg(entries).scalar()))
     if benchmark is None:
         return out
     p, m = F.col("daily_return"), F.col("mkt_return")
@@ -183,7 +172,7 @@ def portfolio_metrics(returns, weights, benchmark=None, risk_free=RISK_FREE):
 
 def risk_bundle(returns, weights, risk_free=RISK_FREE):
     """Metrics of the portfolio and of each held ticker, one row each."""
-    held = returns.filter(F.col("ticker").isin(list(weights)))
+    held = returns.join(weights.select("ticker").distinct(), "ticker", "left_semi")
     parts = rounded(risk_profile(held, ["ticker"], risk_free=risk_free), ["ticker"])
     whole = portfolio_series(returns, weights).withColumn("ticker", F.lit("PORTFOLIO"))
     whole = rounded(risk_profile(whole, ["ticker"], risk_free=risk_free), ["ticker"])
@@ -195,7 +184,7 @@ def tail_risk(returns, by, levels=(0.95, 0.99), few=False):
     """Historical value at risk per level and expected shortfall at the first, per group.
 
     Groups may hold any share of the rows: percentiles are exact but never built in one task.
-    ``few`` states that the number of groups has been checked to be small.
+    ``few`` states that there is one group by construction.
     """
     df = returns.select(*by, "daily_return").filter(F.col("daily_return").isNotNull())
     name = lambda level: f"var_{round(level * 100)}"
@@ -217,6 +206,14 @@ def tail_risk(returns, by, levels=(0.95, 0.99), few=False):
 
 
 def selection_tail_risk(returns, levels=(0.95, 0.99)):
-    """The same over all rows: one group by construction."""
-    everything = returns.select("daily_return").withColumn("grp", F.lit(1))
-    return tail_risk(everything, ["grp"], levels, few=True)
+    """The same over all rows as one struct: var_95, var_99, cvar_95. The thresholds are scalars, so no table is joined
+    to them. The group key is a constant that the optimizer does not see through, which keeps the joins by key."""
+    r = F.col("daily_return")
+    everything = returns.select(r).filter(r.isNotNull()).withColumn("grp", F.hash(r) * 0)
+    probs = {level: round(1 - level, 10) for level in levels}
+    found = exact_percentiles(everything, "daily_return", list(probs.values()), ["grp"], few=True)
+    names = {level: f"var_{round(level * 100)}" for level in levels}
+    wide = found.agg(F.struct(*[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(names[lv]) for lv, p in probs.items()])).scalar()
+    first = names[levels[0]]
+    tail = returns.agg(F.avg(F.when(r <= wide[first], r))).scalar()
+    return F.struct(*[wide[n].alias(n) for n in names.values()], tail.alias(first.replace("var", "cvar")))

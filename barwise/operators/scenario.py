@@ -1,13 +1,11 @@
-"""Scenario returns, capture ratios, stress paths and market regimes."""
+"""Scenario returns, capture ratios and market regimes."""
 
 from pyspark.sql import functions as F
 
 from barwise.constants import (
-    REGIME_KEYS, REGIME_RULES, REGIME_SENSITIVITY, REGIME_SHOCKS, RISK_FREE, SCENARIOS,
-    SECTOR_ALIASES, SECTOR_SENSITIVITY, SENSITIVITY_KEYS, TRADING_DAYS,
+    REGIME_RULES, REGIME_SENSITIVITY, REGIME_SHOCKS, RISK_FREE, SCENARIOS, SECTOR_ALIASES, SECTOR_SENSITIVITY,
 )
-from barwise.functions.expr import ANNUAL, half_up
-from barwise.operators.risk import risk_profile
+from barwise.functions.expr import half_up
 
 
 def _chosen(keys):
@@ -76,10 +74,9 @@ def sector_scenario_averages(captures):
     )
 
 
-def _multiplier(table, keys, sector, key):
-    """Lookup of a fixed sector-by-key table as a map literal; missing entries count as 1."""
-    cells = {f"{s}|{k}": m for s, row in table.items() for k, m in zip(keys, row)}
-    entries = [F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("v")) for k, v in cells.items()]
+def _multiplier(cells, sector, key):
+    """Lookup in a fixed table {(sector, key): multiplier} as a map literal; missing entries count as 1."""
+    entries = [F.struct(F.lit(f"{s}|{k}").alias("k"), F.lit(float(v)).alias("v")) for (s, k), v in cells.items()]
     found = F.try_element_at(
         F.map_from_entries(F.array(*entries)), F.concat_ws("|", sector, key)
     )
@@ -91,7 +88,8 @@ def sector_scenario_returns(sectors, key):
     chosen = _chosen([key])
     if not chosen:
         raise KeyError(f"unknown scenario: {key}")
-    mult = _multiplier(SECTOR_SENSITIVITY, SENSITIVITY_KEYS, F.col("sector"), F.lit(key))
+    cells = {(s, k): v for s, row in SECTOR_SENSITIVITY.items() for k, v in row.items()}
+    mult = _multiplier(cells, F.col("sector"), F.lit(key))
     return sectors.select(
         "sector", F.lit(key).alias("scenario"), mult.alias("multiplier"),
         half_up(F.lit(chosen[0][2]) * mult, 4).alias("sector_return"),
@@ -101,111 +99,16 @@ def sector_scenario_returns(sectors, key):
 def sector_regime_returns(rows):
     """Regime shock times sector multiplier for (sector, market_scenario) rows. Long and short
     sector names both match."""
-    table = dict(REGIME_SENSITIVITY)
-    table.update({SECTOR_ALIASES[s]: row for s, row in REGIME_SENSITIVITY.items() if s in SECTOR_ALIASES})
+    cells = {(s, k): v for k, row in REGIME_SENSITIVITY.items() for s, v in row.items()}
+    cells |= {(SECTOR_ALIASES[s], k): v for (s, k), v in cells.items() if s in SECTOR_ALIASES}
     regime = F.lower("market_scenario")
-    mult = _multiplier(table, REGIME_KEYS, F.col("sector"), regime)
+    mult = _multiplier(cells, F.col("sector"), regime)
     shock = F.lit(None).cast("double")
     for k, (move, _) in REGIME_SHOCKS.items():
         shock = F.when(regime == k, move).otherwise(shock)
     return rows.withColumns({"multiplier": mult, "sector_return": half_up(shock * mult, 4)})
 
 
-# ---- stress paths ----------------------------------------------------------------------------
-
-def normal_draw(*parts):
-    """A standard normal draw fixed by its key (Box-Muller on two 32-bit digest words), so a task
-    that runs again gets the same path."""
-    digest = F.md5(F.concat_ws("|", *parts))
-    word = lambda i: F.conv(F.substring(digest, i, 8), 16, 10).cast("double")
-    u1, u2 = (word(1) + 0.5) / 4294967296.0, (word(9) + 0.5) / 4294967296.0
-    return F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.pi() * u2)
-
-
-MARKET_VOL = 0.18  # Fixed value: annual market volatility of the base path.
-
-
-def stress_returns(returns, betas, keys=("bull", "base", "bear"), days=TRADING_DAYS,
-                   risk_free=RISK_FREE):
-    """Simulated daily returns (scenario, ticker, day): market path through each beta plus noise
-    at the ticker's own volatility. Rows come from exploding per-ticker rows; nothing is joined to
-    every row of another table."""
-    vols = (
-        returns.groupBy("ticker")
-        .agg((F.stddev_samp("daily_return") * ANNUAL).alias("hist_vol"))
-        .join(betas.select("ticker", F.col("beta")).filter("beta is not null"), "ticker")
-    )
-    day = F.col("day").cast("string")
-    # Draws depend on ticker and day only, so they are taken before the scenarios fan out.
-    paths = vols.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumns(
-        {
-            "market_draw": normal_draw(F.lit("market"), day),
-            "ticker_draw": normal_draw(F.col("ticker"), day),
-        }
-    )
-    daily = TRADING_DAYS**0.5
-    scale = F.col("vol_multiplier") / daily
-    market = F.col("mkt_return_shock") / TRADING_DAYS + MARKET_VOL * scale * F.col("market_draw")
-    noise = F.col("hist_vol") * scale * F.col("ticker_draw")
-    rf = risk_free / TRADING_DAYS
-    return with_scenarios(paths, keys).select(
-        "scenario", "scenario_name", "ticker", "day",
-        (rf + F.col("beta") * (market - rf) + noise).alias("daily_return"),
-    )
-
-
-def stress_ticker_returns(simulated):
-    return simulated.groupBy("scenario", "scenario_name", "ticker").agg(
-        (F.product(1 + F.col("daily_return")) - 1).alias("annual_return")
-    )
-
-
-def stress_portfolio(simulated, weights=None, risk_free=RISK_FREE):
-    """Portfolio outcome per scenario: return, population volatility, ratio, historical tail risk
-    and drawdown. Weights default to equal; given ones are normalised over the simulated tickers,
-    falling back to equal when they sum to nothing."""
-    if weights:
-        pairs = [F.struct(F.lit(t).alias("k"), F.lit(float(v)).alias("v")) for t, v in weights.items()]
-        w = F.coalesce(
-            F.try_element_at(F.map_from_entries(F.array(*pairs)), F.col("ticker")), F.lit(0.0)
-        )
-    else:
-        w = F.lit(1.0)
-    r = F.col("daily_return")
-    daily = simulated.groupBy("scenario", "scenario_name", "day").agg(
-        F.when(F.sum(w) > 0, F.try_divide(F.sum(w * r), F.sum(w))).otherwise(F.avg(r))
-        .alias("daily_return")
-    )
-    # One row per scenario and day from here on.
-    by = ["scenario", "scenario_name"]
-    path = risk_profile(daily.withColumnRenamed("day", "date"), by, risk_free=risk_free).select(
-        *by, F.col("total_return").alias("portfolio_return"), "max_drawdown"
-    )
-    spread = daily.groupBy(*by).agg(
-        (F.stddev_pop(r) * ANNUAL).alias("portfolio_vol"),
-        F.percentile(r, F.lit(0.05)).alias("var_95"),
-    )
-    tail = (
-        daily.join(spread, by)
-        .groupBy(*by)
-        .agg(F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"))
-    )
-    excess = F.col("portfolio_return") - risk_free
-    ratio = F.when(F.col("portfolio_vol") > 0, F.try_divide(excess, F.col("portfolio_vol")))
-    return (
-        path.join(spread, by).join(tail, by)
-        .select(
-            "scenario", "scenario_name",
-            half_up("portfolio_return", 6).alias("portfolio_return"),
-            half_up("portfolio_vol", 6).alias("portfolio_vol"),
-            half_up(F.coalesce(ratio, F.lit(0.0)), 4).alias("sharpe_ratio"),
-            half_up("var_95", 6).alias("var_95"),
-            half_up("cvar_95", 6).alias("cvar_95"),
-            half_up("max_drawdown", 6).alias("max_drawdown"),
-        )
-    )
-
-
 # ---- regimes ---------------------------------------------------------------------------------
 
 def with_market_scenario(features):

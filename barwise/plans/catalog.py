@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from barwise import constants as K
 from barwise import schemas
 from barwise.functions.expr import half_up, pick
-from barwise.functions.percentiles import few_groups
 from barwise.operators import (
     cleanse, correlation, features, layers, market, measures, quality, risk, scenario, signals,
 )
 from barwise.plans import oracle as O
-from barwise.plans.frames import PROXY, Frames, StoredFrames
+from barwise.plans.frames import PROXY, Frames
 from barwise.sources import derived, files
 
 BUILDERS, SQL = {}, {}
@@ -71,9 +70,9 @@ def _(t):
     return files.read_parquet(t.spark, path, schemas.BARS)
 
 
-@q("export_csv_roundtrip", "ticker, date, daily_return:4, sma_20:2, rsi_14:2, volume", """
-SELECT ticker, date, SNAP(ROUND(daily_return, 4), 4) AS daily_return, SNAP(ROUND(sma, 4), 2) AS sma_20,
-  SNAP(ROUND(100 - 100 / (1 + gain / (loss + 1e-8)), 4), 2) AS rsi_14, volume
+@q("export_csv_roundtrip", "ticker, date, daily_return:4, sma_20:4, rsi_14:4, volume", """
+SELECT ticker, date, ROUND(daily_return, 4) AS daily_return, ROUND(sma, 4) AS sma_20,
+  ROUND(100 - 100 / (1 + gain / (loss + 1e-8)), 4) AS rsi_14, volume
 FROM (SELECT *, """ + O.full("avg(close)", "close", 20) + """ AS sma,
   """ + O.full("avg(greatest(daily_return, 0.0))", "daily_return", 14) + """ AS gain,
   """ + O.full("avg(-least(daily_return, 0.0))", "daily_return", 14) + """ AS loss FROM ret) f""")
@@ -90,25 +89,25 @@ def _(t):
     return files.read_parquet(t.spark, path).filter("year = 1998 AND quarter = 2")
 
 
-@q("wide_to_long", "ticker, date, open, high, low, close, volume:0",
-   """SELECT ticker, date, open, high, low,
-   close, CAST(volume AS DOUBLE) AS volume
-   FROM raw_bars WHERE ticker IN ('S00000', 'S00003', 'S00007') AND close IS NOT NULL
-   AND k_once = 1""".replace("FROM raw_bars", """FROM (SELECT *, row_number() OVER
-   (PARTITION BY ticker, date ORDER BY close) AS k_once FROM raw_bars) r"""))
+@q("wide_to_long", "ticker, date, open, high, low, close, volume:0", f"""
+SELECT ticker, date, open, high, low, close, CAST(volume AS DOUBLE) AS volume
+FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY {O.BAR_ORDER}) AS n FROM raw_bars) r
+WHERE n = 1 AND close IS NOT NULL""")
 def _(t):
-    # A vendor's wide layout made from the bars of a list of symbols, as a download returns it.
-    tickers = ["S00000", "S00003", "S00007"]
+    # The vendor's wide layout of one download: a column for each field and ticker of the dimension.
+    tickers = _tickers(t)
     fields = ["open", "high", "low", "close", "volume"]
-    wide = (
-        t.raw_bars.filter(F.col("ticker").isin(tickers))
-        .groupBy("date")
-        .agg(*[F.max(F.when(F.col("ticker") == k, F.col(f))).alias(f"{f}|{k}")
-               for k in tickers for f in fields])
-    )
+    one = cleanse.dedup_bars(t.raw_bars)
+    packed = one.groupBy("date").pivot("ticker", tickers).agg(F.first(F.struct(*fields)))
+    wide = packed.select("date", *[F.col(f"`{k}`").getField(f).alias(f"{f}|{k}") for k in tickers for f in fields])
     return cleanse.wide_to_long(wide, tickers, fields)
 
 
+def _tickers(t):
+    """The ticker list of the dimension: a wide layout has as many columns, so it is a list by nature."""
+    return [r.ticker for r in t.fundamentals.select("ticker").orderBy("ticker").collect()]
+
+
 @q("universe_filter", "ticker, name, sector, sub_industry, weight_pct:6, beta:6, market_cap_cat",
    "SELECT {cols} FROM univ WHERE sector IN ('ASIA', 'EUROPE', 'AFRICA')")
 def _(t):
@@ -116,7 +115,7 @@ def _(t):
 
 
 @q("universe_sector_summary", "sector, n_stocks, total_weight:6", """
-SELECT sector, count(ticker) AS n_stocks, SNAP(sum(weight_pct), 6) AS total_weight FROM listing GROUP BY sector""")
+SELECT sector, count(ticker) AS n_stocks, ROUND(sum(weight_pct), 6) AS total_weight FROM listing GROUP BY sector""")
 def _(t):
     return cleanse.universe_sector_summary(t.raw_universe)
 
@@ -221,7 +220,7 @@ def _(t):
    "bar_rows, bar_tickers, fundamental_tickers, null_close_pct:6, tickers_missing_fundamentals, min_date, max_date", """
 SELECT count(*) AS bar_rows, count(DISTINCT ticker) AS bar_tickers,
   (SELECT count(DISTINCT ticker) FROM raw_fund) AS fundamental_tickers,
-  SNAP(count(*) FILTER (close IS NULL) / CAST(count(*) AS DOUBLE), 6) AS null_close_pct,
+  ROUND(count(*) FILTER (close IS NULL) / CAST(count(*) AS DOUBLE), 6) AS null_close_pct,
   (SELECT count(DISTINCT ticker) FROM raw_bars WHERE ticker NOT IN (SELECT ticker FROM raw_fund))
     AS tickers_missing_fundamentals,
   min(date) AS min_date, max(date) AS max_date FROM raw_bars""")
@@ -253,7 +252,7 @@ def _(t):
 
 @q("moving_averages_full", "ticker, date, sma_20:2, sma_50:2, sma_200:2",
    "SELECT ticker, date, " + ", ".join(
-       f"SNAP({O.full('avg(close)', 'close', n)}, 2) AS sma_{n}" for n in (20, 50, 200)) + " FROM bars")
+       f"ROUND({O.full('avg(close)', 'close', n)}, 2) AS sma_{n}" for n in (20, 50, 200)) + " FROM bars")
 def _(t):
     return features.with_moving_averages(t.bars, full=True)
 
@@ -290,13 +289,13 @@ def _(t):
     return features.with_volatility(t.bars)
 
 
-@q("atr", "ticker, date, true_range:2, atr_14:2", "SELECT {cols} FROM feat")
+@q("atr", "ticker, date, true_range, atr_14:2", "SELECT {cols} FROM feat")
 def _(t):
     return features.with_atr(t.bars)
 
 
 @q("volume_features", "ticker, date, avg_vol_20d:4, volume_ratio:6, obv",
-   "SELECT ticker, date, SNAP(avg_vol_20d, 4) AS avg_vol_20d, SNAP(volume_ratio, 6) AS volume_ratio, "
+   "SELECT ticker, date, ROUND(avg_vol_20d, 4) AS avg_vol_20d, ROUND(volume_ratio, 6) AS volume_ratio, "
    "CAST(obv AS BIGINT) AS obv FROM feat")
 def _(t):
     return features.with_volume_features(t.bars)
@@ -316,16 +315,16 @@ def _(t):
 
 
 @q("rolling_beta", "ticker, date, rolling_beta_252:4", f"""
-SELECT ticker, date, SNAP(covar_pop(daily_return, m) OVER {O.rows(252)}
+SELECT ticker, date, ROUND(covar_pop(daily_return, m) OVER {O.rows(252)}
   / (var_pop(m) OVER {O.rows(252)} + 1e-8), 4) AS rolling_beta_252
 FROM (SELECT r.ticker, r.date, r.daily_return, p.daily_return AS m
   FROM ret r LEFT JOIN (SELECT * FROM ret WHERE ticker = '{PROXY}') p ON r.date = p.date) j""")
 def _(t):
-    return features.with_rolling_beta(t.bars, PROXY)
+    return features.with_rolling_beta(t.bars, PROXY, proxy_bars=t.proxy_bars)
 
 
 @q("rolling_beta_sample", "ticker, date, rolling_beta:4", f"""
-SELECT ticker, date, SNAP(CASE WHEN count(daily_return * m) OVER {O.rows(252)} = 252 THEN
+SELECT ticker, date, ROUND(CASE WHEN count(daily_return * m) OVER {O.rows(252)} = 252 THEN
   covar_samp(daily_return, m) OVER {O.rows(252)} / NULLIF(var_samp(m) OVER {O.rows(252)}, 0) END, 4) AS rolling_beta
 FROM (SELECT r.ticker, r.date, r.daily_return, mkt.mkt_return AS m FROM ret r LEFT JOIN mkt ON r.date = mkt.date) j""")
 def _(t):
@@ -337,14 +336,14 @@ def _full_stat(expr, n):
 
 
 @q("rolling_sharpe", "ticker, date, rolling_sharpe:6", f"""
-SELECT ticker, date, SNAP(({_full_stat("avg(daily_return)", 252)} * 252 - 0.05)
+SELECT ticker, date, ROUND(({_full_stat("avg(daily_return)", 252)} * 252 - 0.05)
   / NULLIF({_full_stat("stddev_samp(daily_return)", 252)} * {O.ANN}, 0), 6) AS rolling_sharpe FROM ret""")
 def _(t):
     return features.with_rolling_sharpe(t.returns)
 
 
 @q("rolling_var", "ticker, date, rolling_var:6", f"""
-SELECT ticker, date, SNAP({_full_stat("avg(daily_return)", 60)}
+SELECT ticker, date, ROUND({_full_stat("avg(daily_return)", 60)}
   - 1.6449 * {_full_stat("stddev_samp(daily_return)", 60)}, 6) AS rolling_var FROM ret""")
 def _(t):
     return features.with_rolling_var(t.returns)
@@ -353,17 +352,17 @@ def _(t):
 FEATURES = ("ticker, date, open, high, low, close, volume, sector, daily_return:6, log_return:6, "
             "sma_20:2, sma_50:2, sma_200:2, ema_12:2, ema_26:2, macd:2, bb_mid:2, bb_upper:2, bb_lower:2, "
             "bb_position:4, rsi_14:4, roc_20:6, roc_60:6, roc_252:6, momentum_zscore:4, vol_20d:6, "
-            "vol_60d:6, true_range:2, atr_14:2, avg_vol_20d:4, volume_ratio:6, cum_return:6, "
+            "vol_60d:6, true_range, atr_14:2, avg_vol_20d:4, volume_ratio:6, cum_return:6, "
             "cum_max_return:6, drawdown:6")
 
 
 @q("feature_set", FEATURES + ", rolling_beta_252:4", f"""
-SELECT {O.select_list(FEATURES)}, SNAP(b, 4) AS rolling_beta_252
+SELECT {O.select_list(FEATURES)}, ROUND(b, 4) AS rolling_beta_252
 FROM (SELECT feat.*, covar_pop(daily_return, m) OVER {O.rows(252)} / (var_pop(m) OVER {O.rows(252)} + 1e-8) AS b
   FROM feat LEFT JOIN (SELECT date AS d, daily_return AS m FROM ret WHERE ticker = '{PROXY}') p
   ON feat.date = p.d) f""")
 def _(t):
-    return features.feature_set(t.bars, proxy=PROXY)
+    return features.feature_set(t.bars, proxy=PROXY, proxy_bars=t.proxy_bars)
 
 
 @q("feature_table_nb", "ticker, date, close, daily_return:6, sma_20:2, sma_200:2, bb_position:4, rsi_14:4, "
@@ -397,8 +396,8 @@ def _(t):
     return t.layers["features"]
 
 
-@q("export_features", "ticker, date, close, daily_return:4, sma_20:2, sma_50:2, sma_200:2, rsi_14:2, vol_20d:4, drawdown_pct:3",
-   f"""SELECT {{cols}} FROM (SELECT ticker, date, ROUND(close, 4) AS close, ROUND(daily_return, 4) AS daily_return,
+@q("export_features", "ticker, date, close, daily_return:4, sma_20:4, sma_50:4, sma_200:4, rsi_14:4, vol_20d:4, drawdown_pct:4",
+   f"""SELECT {{cols}} FROM (SELECT ticker, date, ROUND(CAST(CAST(close AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS close, ROUND(daily_return, 4) AS daily_return,
   ROUND(sma_20, 4) AS sma_20, ROUND(sma_50, 4) AS sma_50, ROUND(sma_200, 4) AS sma_200,
   ROUND(100 - 100 / (1 + gain / (loss + 1e-8)), 4) AS rsi_14, ROUND(vol_20d, 4) AS vol_20d,
   ROUND((growth - max(growth) OVER {O.RUN}) / max(growth) OVER {O.RUN} * 100, 4) AS drawdown_pct
@@ -496,9 +495,18 @@ def _(t):
     return market.equity_history(t.returns)
 
 
-@q("equity_detail")
+@q("equity_detail", None, """
+SELECT f.ticker, f.sector, h.n_bars, h.history FROM clean_fund f JOIN (
+  SELECT ticker, count(*) AS n_bars, string_agg(strftime(date, '%Y-%m-%d') || ' ' || printf('%.2f', ROUND(CAST(CAST(close AS VARCHAR) AS DECIMAL(38, 18)), 2)::DOUBLE) || ' '
+    || coalesce(printf('%.6f', ROUND(log_return, 6)), '-'), ';' ORDER BY date) AS history
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM ret) x WHERE n <= 252 GROUP BY ticker) h
+ON f.ticker = h.ticker""")
 def _(t):
-    return market.equity_detail(t.returns, t.clean_fundamentals)
+    """The nested history is compared as text."""
+    bar = lambda h: F.concat_ws(" ", h["date"].cast("string"), F.format_string("%.2f", h["close"]),
+                                F.when(h["return"].isNull(), "-").otherwise(F.format_string("%.6f", h["return"])))
+    return market.equity_detail(t.returns, t.clean_fundamentals).select(
+        "ticker", "sector", F.size("history").cast("long").alias("n_bars"), F.array_join(F.transform("history", bar), ";").alias("history"))
 
 
 @q("volatility_regime", "date, cross_sectional_vol:6, rolling_20d_vol:6, vol_regime", """
@@ -541,16 +549,18 @@ def _(t):
 
 @q("correlation_pairs", "ticker_a, ticker_b, n_common, correlation:4", """
 SELECT a.ticker AS ticker_a, b.ticker AS ticker_b, count(*) AS n_common,
-  SNAP(corr(a.daily_return, b.daily_return), 4) AS correlation
-FROM ret_only a JOIN ret_only b ON a.date = b.date AND a.ticker < b.ticker
-GROUP BY a.ticker, b.ticker HAVING count(*) >= 30""")
+  ROUND(corr(a.daily_return, b.daily_return), 4) AS correlation
+FROM recent a JOIN recent b ON a.date = b.date AND a.ticker < b.ticker
+GROUP BY a.ticker, b.ticker HAVING count(*) >= 5""",
+   extra={"recent": "SELECT * FROM ret_only WHERE date >= (SELECT max(date) - 252 FROM ret)"})
 def _(t):
-    return correlation.pairwise_correlation(t.returns, min_common=30)
+    # The given bars are sparse: a pair shares some ten of the look-back's days, so fewer are asked for than by default.
+    return correlation.pairwise_correlation(market.since(t.returns, 252), min_common=5)
 
 
 @q("sector_correlation", "sector_a, sector_b, n_common, correlation:6", """
-SELECT a.sector AS sector_a, b.sector AS sector_b, count(*) AS n_common, SNAP(corr(a.r, b.r), 6) AS correlation
-FROM sector_days a JOIN sector_days b ON a.date = b.date AND a.sector < b.sector GROUP BY a.sector, b.sector""",
+SELECT a.sector AS sector_a, b.sector AS sector_b, count(*) AS n_common, ROUND(corr(a.r, b.r), 6) AS correlation
+FROM sector_days a JOIN sector_days b ON a.date = b.date AND a.sector < b.sector GROUP BY a.sector, b.sector HAVING count(*) >= 2""",
    extra={"sector_days": "SELECT sector, date, avg(daily_return) AS r FROM ret_only GROUP BY sector, date"})
 def _(t):
     return correlation.sector_correlation(t.returns)
@@ -591,37 +601,52 @@ def _(t):
 
 
 @q("weekly_sector_return", "sector, week, avg_return:6", """
-SELECT sector, week, SNAP(avg(daily_return), 6) AS avg_return
+SELECT sector, week, ROUND(avg(daily_return), 6) AS avg_return
 FROM (SELECT *, CAST(date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS DATE) AS week FROM ret) b GROUP BY sector, week""")
 def _(t):
     return market.weekly_sector_return(t.returns)
 
 
-@q("weekly_close_arrays")
+WEEK = "CAST(date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS DATE)"
+
+
+@q("weekly_close_arrays", None, f"""
+SELECT ticker, string_agg(strftime(week, '%Y-%m-%d'), ',' ORDER BY week) AS weeks, string_agg(printf('%.4f', ROUND(CAST(CAST(close AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE), ',' ORDER BY week) AS closes
+FROM (SELECT ticker, week, arg_max(close, date) AS close FROM (SELECT *, {WEEK} AS week FROM bars) b GROUP BY ticker, week) w GROUP BY ticker""")
 def _(t):
-    return market.weekly_close_arrays(t.bars)
+    return _joined(market.weekly_close_arrays(t.bars), "ticker", "closes", "%.4f")
 
 
-@q("weekly_sector_arrays")
+@q("weekly_sector_arrays", None, f"""
+SELECT sector, string_agg(strftime(week, '%Y-%m-%d'), ',' ORDER BY week) AS weeks,
+  string_agg(coalesce(printf('%.4f', ROUND(avg_return, 4)), '-'), ',' ORDER BY week) AS returns
+FROM (SELECT sector, week, avg(daily_return) AS avg_return FROM (SELECT *, {WEEK} AS week FROM ret) b GROUP BY sector, week) w GROUP BY sector""")
 def _(t):
-    return market.weekly_sector_arrays(t.returns)
+    return _joined(market.weekly_sector_arrays(t.returns), "sector", "returns", "%.4f")
 
 
-PIVOT = ["S00000", "S00001", "S00002", "S00003", "S00004"]
+def _joined(df, key, values, pattern):
+    """Parallel lists as text."""
+    show = lambda v: F.when(v.isNull(), "-").otherwise(F.format_string(pattern, half_up(v, 4)))
+    return df.select(key, F.array_join(F.transform("weeks", lambda w: w.cast("string")), ",").alias("weeks"),
+                     F.array_join(F.transform(values, show), ",").alias(values))
 
 
-@q("returns_pivot", "date, " + ", ".join(f"{k}:6" for k in PIVOT),
-   "SELECT date, " + ", ".join(f"SNAP(max(daily_return) FILTER (ticker = '{k}'), 6) AS {k}" for k in PIVOT)
-   + " FROM ret_only WHERE ticker IN (" + ", ".join(f"'{k}'" for k in PIVOT) + ") GROUP BY date")
+@q("returns_pivot", None, "SELECT date, ticker, ROUND(daily_return, 6) AS daily_return FROM ret_only")
 def _(t):
-    return cleanse.returns_pivot(t.returns, PIVOT)
+    """Dates by every ticker of the dimension; told row by row, as the columns follow the data."""
+    tickers = _tickers(t)
+    wide = cleanse.returns_pivot(t.returns, tickers)
+    cells = F.map_from_arrays(F.array(*[F.lit(k) for k in tickers]), F.array(*[F.col(f"`{k}`") for k in tickers]))
+    long = wide.select("date", F.explode(cells).alias("ticker", "daily_return"))
+    return long.filter("daily_return IS NOT NULL").select("date", "ticker", half_up("daily_return", 6).alias("daily_return"))
 
 
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
 @q("monthly_heatmap", "sector, " + ", ".join(f"{m}:4" for m in MONTHS), "SELECT sector, " + ", ".join(
-    f"SNAP(avg(r) FILTER (m = {i + 1}), 4) AS {m}" for i, m in enumerate(MONTHS)) + """
+    f"ROUND(avg(r) FILTER (m = {i + 1}), 4) AS {m}" for i, m in enumerate(MONTHS)) + """
 FROM (SELECT ticker, sector, month(date) AS m, product(1 + daily_return) - 1 AS r FROM ret_only
   GROUP BY ticker, sector, year(date), month(date)) x GROUP BY sector""")
 def _(t):
@@ -637,7 +662,7 @@ def _(t):
 
 
 @q("beta_histogram", "bin, bin_start:6, n", """
-SELECT CAST(b AS BIGINT) AS bin, SNAP(0.5 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
+SELECT CAST(b AS BIGINT) AS bin, ROUND(0.5 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
 FROM (SELECT CASE WHEN beta < 0.5 THEN 0 WHEN beta >= 1.5 THEN 9 ELSE floor((beta - 0.5) / 0.125) + 1 END AS b FROM fund) f
 GROUP BY b""")
 def _(t):
@@ -645,7 +670,7 @@ def _(t):
 
 
 @q("return_histogram", "bin, bin_start:6, n", """
-SELECT CAST(b AS BIGINT) AS bin, SNAP(-1.0 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
+SELECT CAST(b AS BIGINT) AS bin, ROUND(-1.0 + (b - 1) * 0.125, 6) AS bin_start, count(*) AS n
 FROM (SELECT CASE WHEN daily_return < -1 THEN 0 WHEN daily_return >= 1 THEN 17
   ELSE floor((daily_return + 1) / 0.125) + 1 END AS b FROM ret_only) f GROUP BY b""")
 def _(t):
@@ -673,7 +698,10 @@ def _(t):
 
 # ---- risk and portfolios ---------------------------------------------------------------------
 
-WEIGHTS = {"S00001": 0.5, "S00002": 0.3, "GHOST": 0.4}
+def _weights(t):
+    """A portfolio over the whole universe by listed weight, and a ticker that nobody knows."""
+    ghost = t.spark.createDataFrame([("GHOST", 0.4)], "ticker string, weight double")
+    return t.universe.select("ticker", F.col("weight_pct").alias("weight")).unionByName(ghost)
 
 
 @q("risk_metrics", None, O.risk_sql("(SELECT ticker, date, daily_return AS r FROM ret)", "ticker"))
@@ -681,58 +709,80 @@ def _(t):
     return risk.risk_metrics(t.returns)
 
 
+# A dense calendar for portfolios: the mean return of each ticker by month, so that all tickers share dates.
 PORTFOLIO_DAYS = {
-    "held": """SELECT 'portfolio' AS portfolio, date, sum(w * daily_return) / 0.8 AS r
-FROM calm JOIN (VALUES ('S00001', CAST(0.5 AS DOUBLE)), ('S00002', CAST(0.3 AS DOUBLE))) AS h(held_ticker, w)
-ON ticker = held_ticker GROUP BY date HAVING count(*) = 2""",
+    "monthly": "SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS date, avg(daily_return) AS daily_return FROM ret_only GROUP BY ALL",
+    "stake": "SELECT ticker, weight_pct / sum(weight_pct) OVER () AS weight FROM univ WHERE ticker IN (SELECT ticker FROM ret)",
+    "held": """SELECT 'portfolio' AS portfolio, date, sum(weight * daily_return) AS r
+FROM monthly JOIN stake USING (ticker) GROUP BY date HAVING count(*) = (SELECT count(*) FROM stake)""",
     "port": O.risk_sql("held", "portfolio"),
+    "month_mkt": "SELECT date, avg(daily_return) AS mkt_return FROM monthly GROUP BY date",
 }
-PORTFOLIO = ("portfolio, total_return, annualised_return, annualised_volatility, sharpe_ratio, sortino_ratio, "
-             "max_drawdown, calmar_ratio, var_95, cvar_95, var_99")
+PORTFOLIO = ("total_return annualised_return annualised_volatility sharpe_ratio sortino_ratio "
+             "max_drawdown calmar_ratio var_95 cvar_95 var_99").split()
+AGAINST = "beta alpha treynor_ratio information_ratio".split()
+
 
+def _digits(df, names):
+    """Compounded figures span many powers of ten, so nine significant digits of each are compared, as text."""
+    return df.select("portfolio", *[F.format_string("%.8e", c).alias(c) for c in names],
+                     F.format_string("%.4f", F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, w: a + w * w)).alias("concentration"),
+                     F.size("weights").alias("n_held"))
 
-@q("portfolio_metrics", PORTFOLIO, "SELECT {cols} FROM port", PORTFOLIO_DAYS)
+
+def _digits_sql(names):
+    return "portfolio, " + ", ".join(f"printf('%.8e', {c}) AS {c}" for c in names) + (
+        ", (SELECT printf('%.4f', sum(weight * weight)) FROM stake) AS concentration"
+        ", (SELECT CAST(count(*) AS INTEGER) FROM stake) AS n_held")
+
+
+@q("portfolio_metrics", None, f"SELECT {_digits_sql(PORTFOLIO)} FROM port", PORTFOLIO_DAYS)
 def _(t):
-    return risk.portfolio_metrics(t.calm_returns, WEIGHTS)
+    return _digits(risk.portfolio_metrics(t.monthly_returns, _weights(t)), PORTFOLIO)
 
 
-@q("portfolio_vs_benchmark", PORTFOLIO + ", beta, alpha, treynor_ratio, information_ratio", f"""
-SELECT {PORTFOLIO}, ROUND(b, 4) AS beta, ROUND(ann - (0.05 + b * (bm - 0.05)), 4) AS alpha,
-  ROUND((ann - 0.05) / NULLIF(b, 0), 4) AS treynor_ratio,
+@q("portfolio_vs_benchmark", None, f"""
+SELECT {_digits_sql(PORTFOLIO + AGAINST)} FROM (SELECT port.*, ROUND(b, 4) AS beta,
+  ROUND(ann - (0.05 + b * (bm - 0.05)), 4) AS alpha, ROUND((ann - 0.05) / NULLIF(b, 0), 4) AS treynor_ratio,
   ROUND(CASE WHEN te > 0 THEN (ann - bm) / te END, 4) AS information_ratio
 FROM port CROSS JOIN (SELECT covar_samp(r, mkt_return) / var_samp(mkt_return) AS b, avg(mkt_return) * 252 AS bm,
-    stddev_samp(r - mkt_return) * {O.ANN} AS te FROM held JOIN calm_mkt ON held.date = calm_mkt.date) x
-CROSS JOIN (SELECT pow(product(1 + r), 1 / greatest(count(*) / 252.0, 1.0)) - 1 AS ann FROM held) y""",
+    stddev_samp(r - mkt_return) * {O.ANN} AS te FROM held JOIN month_mkt ON held.date = month_mkt.date) x
+CROSS JOIN (SELECT pow(product(1 + r), 1 / greatest(count(*) / 252.0, 1.0)) - 1 AS ann FROM held) y) z""",
    PORTFOLIO_DAYS)
 def _(t):
-    return risk.portfolio_metrics(t.calm_returns, WEIGHTS, benchmark=t.calm_market)
+    benchmark = features.market_returns(t.monthly_returns)
+    return _digits(risk.portfolio_metrics(t.monthly_returns, _weights(t), benchmark=benchmark), PORTFOLIO + AGAINST)
+
+
+BUNDLE = PORTFOLIO + "win_rate best_day worst_day skewness kurtosis".split()
 
 
-@q("portfolio_risk_bundle", None, f"""
-SELECT b.*, ROUND(CASE ticker WHEN 'S00001' THEN 0.5 / 0.8 WHEN 'S00002' THEN 0.3 / 0.8 ELSE 1.0 END, 6) AS weight
-FROM (SELECT * FROM one_by_one UNION ALL SELECT * FROM port) b""", {
+@q("portfolio_risk_bundle", None, "SELECT b.ticker, " + ", ".join(f"printf('%.8e', {c}) AS {c}" for c in BUNDLE) + """,
+  ROUND(coalesce(weight, 1.0), 6) AS weight
+FROM (SELECT * FROM one_by_one UNION ALL SELECT * FROM port) b LEFT JOIN stake ON b.ticker = stake.ticker""", {
     **PORTFOLIO_DAYS,
-    "one_by_one": O.risk_sql("(SELECT ticker, date, daily_return AS r FROM calm WHERE ticker IN ('S00001', 'S00002'))", "ticker"),
+    "one_by_one": O.risk_sql("(SELECT ticker, date, daily_return AS r FROM monthly WHERE ticker IN (SELECT ticker FROM stake))", "ticker"),
     "port": O.risk_sql("(SELECT 'PORTFOLIO' AS ticker, date, r FROM held)", "ticker")})
 def _(t):
-    return risk.risk_bundle(t.calm_returns, WEIGHTS).withColumn("weight", half_up("weight", 6))
+    found = risk.risk_bundle(t.monthly_returns, _weights(t))
+    return found.select("ticker", *[F.format_string("%.8e", c).alias(c) for c in BUNDLE], half_up("weight", 6).alias("weight"))
 
 
 @q("sector_var", "sector, var_90:6, var_95:6, var_99:6, cvar_90:6", """
-SELECT r.sector, SNAP(any_value(v90), 6) AS var_90, SNAP(any_value(v95), 6) AS var_95, SNAP(any_value(v99), 6) AS var_99,
-  SNAP(avg(daily_return) FILTER (daily_return <= v90), 6) AS cvar_90
+SELECT r.sector, ROUND(any_value(v90), 6) AS var_90, ROUND(any_value(v95), 6) AS var_95, ROUND(any_value(v99), 6) AS var_99,
+  ROUND(avg(daily_return) FILTER (daily_return <= v90), 6) AS cvar_90
 FROM ret_only r JOIN (SELECT sector, quantile_cont(daily_return, 0.10) AS v90, quantile_cont(daily_return, 0.05) AS v95,
   quantile_cont(daily_return, 0.01) AS v99 FROM ret_only GROUP BY sector) v ON r.sector = v.sector GROUP BY r.sector""")
 def _(t):
-    few = few_groups(t.fundamentals, ["sector"])
-    return risk.tail_risk(t.returns, ["sector"], levels=(0.90, 0.95, 0.99), few=few)
+    return risk.tail_risk(t.returns, ["sector"], levels=(0.90, 0.95, 0.99))
 
 
 # ---- scenarios and regimes -------------------------------------------------------------------
 
 @q("scenario_returns_long", None, """
 SELECT ticker, sector, scenario_name, mkt_return_shock, vol_multiplier,
-  ROUND(0.05 + b * (mkt_return_shock - 0.05), 4) AS ticker_return, ROUND(b, 3) AS beta
+  ROUND(CAST(CAST(0.05 + b * (mkt_return_shock - 0.05) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS ticker_return,
+  ROUND(b, 3) AS beta
 FROM (SELECT ticker, sector, coalesce(NULLIF(beta, 0), 1.0) AS b FROM univ) f CROSS JOIN scen""")
 def _(t):
     return scenario.scenario_returns(t.universe)
@@ -749,9 +799,9 @@ def _(t):
 
 @q("capture_ratios", CAPTURE, """
 SELECT {cols} FROM (SELECT *, upside_capture / NULLIF(abs(downside_capture), 0) AS capture_ratio FROM (
-  SELECT ticker, sector, beta, ROUND(0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05), 4) AS return_bull,
-    ROUND(0.05 + beta * (CAST(0.08 AS DOUBLE) - 0.05), 4) AS return_base,
-    ROUND(0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05), 4) AS return_bear,
+  SELECT ticker, sector, beta, ROUND(CAST(CAST(0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS return_bull,
+    ROUND(CAST(CAST(0.05 + beta * (CAST(0.08 AS DOUBLE) - 0.05) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS return_base,
+    ROUND(CAST(CAST(0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS return_bear,
     ROUND((0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05)) / 0.25, 4) AS upside_capture,
     ROUND((0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05)) / -0.30, 4) AS downside_capture
   FROM fund WHERE beta IS NOT NULL) c) d""")
@@ -772,6 +822,23 @@ def _(t):
 
 # The test tables carry region names; each listed region and industry number stands for a sector.
 SECTOR_NAMES = [*K.SECTOR_SENSITIVITY, "Other"]
+# Fixed values of the published tables, spelled out on this side too.
+SECTOR_LIST = """['Technology', 'Financials', 'Healthcare', 'Consumer Discretionary', 'Consumer Staples', 'Energy',
+  'Industrials', 'Utilities', 'Materials', 'Real Estate', 'Communication Services', 'Other']"""
+SECTOR_MULTIPLIERS = """SELECT sector, scenario, CAST(multiplier AS DOUBLE) AS multiplier FROM (VALUES
+  ('Technology', 1.30, 1.00, 1.40), ('Financials', 1.15, 1.00, 1.20), ('Healthcare', 0.85, 0.90, 0.70),
+  ('Consumer Discretionary', 1.20, 1.00, 1.30), ('Consumer Staples', 0.60, 0.80, 0.45), ('Energy', 1.25, 0.95, 1.10),
+  ('Industrials', 1.10, 1.00, 1.05), ('Utilities', 0.40, 0.70, 0.35), ('Materials', 1.10, 0.95, 1.00),
+  ('Real Estate', 0.90, 0.85, 1.15), ('Communication Services', 1.05, 0.95, 1.10)) AS t(sector, bull, base, bear)
+  UNPIVOT (multiplier FOR scenario IN (bull, base, bear))"""
+REGIME_MULTIPLIERS = """SELECT sector, regime, CAST(multiplier AS DOUBLE) AS multiplier FROM (VALUES
+  ('Technology', 1.40, 1.30, 1.30, 1.10, 1.00), ('Financials', 1.20, 1.10, 1.15, 1.20, 1.00),
+  ('Healthcare', 0.70, 0.80, 0.85, 0.90, 0.90), ('Consumer Discretionary', 1.30, 1.20, 1.20, 1.15, 1.00),
+  ('Communication Services', 1.10, 1.05, 1.05, 1.00, 0.95), ('Industrials', 1.05, 1.00, 1.10, 1.15, 1.00),
+  ('Consumer Staples', 0.45, 0.55, 0.60, 0.70, 0.80), ('Energy', 1.10, 1.15, 1.25, 1.10, 0.95),
+  ('Real Estate', 1.15, 1.00, 0.90, 1.05, 0.85), ('Materials', 1.00, 1.05, 1.10, 1.10, 0.95),
+  ('Utilities', 0.35, 0.40, 0.40, 0.55, 0.70)) AS t(sector, bear, volatile, bull, recovery, normal)
+  UNPIVOT (multiplier FOR regime IN (bear, volatile, bull, recovery, normal))"""
 
 
 def _sector_rows(t):
@@ -783,18 +850,14 @@ def _sector_rows(t):
     ).distinct()
 
 
-NATION_SECTORS = ("SELECT DISTINCT list_extract([" + ", ".join(f"'{s}'" for s in SECTOR_NAMES)
-                  + f"], CAST(s_nationkey % {len(SECTOR_NAMES)} + 1 AS INTEGER)) AS sector FROM supplier")
-
-
 @q("sector_scenario_returns", "sector, scenario, multiplier:4, sector_return:4", """
 SELECT s.sector, k.scenario, ROUND(coalesce(m.multiplier, 1.0), 4) AS multiplier,
   ROUND(k.shock * coalesce(m.multiplier, 1.0), 4) AS sector_return
 FROM present s CROSS JOIN shocks k LEFT JOIN mults m ON m.sector = s.sector AND m.scenario = k.scenario""", {
-    "present": NATION_SECTORS,
-    "shocks": O.values([(s[0], s[2]) for s in K.SCENARIOS[:5]], "scenario, shock"),
-    "mults": O.values([(s, k, m) for s, row in K.SECTOR_SENSITIVITY.items()
-                       for k, m in zip(K.SENSITIVITY_KEYS, row)], "sector, scenario, multiplier")})
+    "present": f"SELECT DISTINCT list_extract({SECTOR_LIST}, CAST(s_nationkey % 12 + 1 AS INTEGER)) AS sector FROM supplier",
+    "shocks": """SELECT scenario, CAST(shock AS DOUBLE) AS shock FROM (VALUES ('bull', 0.25), ('base', 0.08), ('bear', -0.30),
+  ('stagflation', -0.15), ('rate_shock', -0.10)) AS t(scenario, shock)""",
+    "mults": SECTOR_MULTIPLIERS})
 def _(t):
     rows = None
     for key in [s[0] for s in K.SCENARIOS[:5]]:
@@ -807,14 +870,14 @@ def _(t):
 SELECT g.sector, g.market_scenario, CAST(g.n AS DOUBLE) AS n, ROUND(coalesce(m.multiplier, 1.0), 4) AS multiplier,
   ROUND(k.shock * coalesce(m.multiplier, 1.0), 4) AS sector_return
 FROM (SELECT p.sector, market_scenario, count(*) AS n FROM gold
-  JOIN (SELECT s_suppkey, list_extract([""" + ", ".join(f"'{s}'" for s in SECTOR_NAMES) + f"""],
-    CAST(s_nationkey % {len(SECTOR_NAMES)} + 1 AS INTEGER)) AS sector FROM supplier) p
+  JOIN (SELECT s_suppkey, list_extract(""" + SECTOR_LIST + """,
+    CAST(s_nationkey % 12 + 1 AS INTEGER)) AS sector FROM supplier) p
   ON gold.ticker = printf('S%05d', s_suppkey) GROUP BY p.sector, market_scenario) g
 JOIN shocks k ON k.regime = lower(g.market_scenario)
 LEFT JOIN mults m ON m.sector = g.sector AND m.regime = lower(g.market_scenario)""", {
-    "shocks": O.values([(k, v[0]) for k, v in K.REGIME_SHOCKS.items()], "regime, shock"),
-    "mults": O.values([(K.SECTOR_ALIASES.get(s, s), k, m) for s, row in K.REGIME_SENSITIVITY.items()
-                       for k, m in zip(K.REGIME_KEYS, row)], "sector, regime, multiplier")})
+    "shocks": """SELECT regime, CAST(shock AS DOUBLE) AS shock FROM (VALUES ('bear', -0.30), ('volatile', -0.05), ('bull', 0.25),
+  ('recovery', 0.12), ('normal', 0.08)) AS t(regime, shock)""",
+    "mults": REGIME_MULTIPLIERS})
 def _(t):
     names = F.array(*[F.lit(s) for s in SECTOR_NAMES])
     industry = derived.read(t.spark, t.sf_dir, "supplier").select(
@@ -828,50 +891,6 @@ def _(t):
     return scenario.sector_regime_returns(rows)
 
 
-def _stress(t, **kw):
-    return scenario.stress_returns(t.calm_returns, t.fundamentals, **kw)
-
-
-def _draw(key):
-    hexed = f"md5({key})"
-    word = lambda i: f"CAST(('0x' || substr({hexed}, {i}, 8)) AS BIGINT)"
-    return (f"sqrt(-2 * ln(({word(1)} + 0.5) / 4294967296.0)) "
-            f"* cos(2 * pi() * (({word(9)} + 0.5) / 4294967296.0))")
-
-
-STRESS = {
-    "vols": f"""SELECT r.ticker, any_value(f.beta) AS beta, stddev_samp(daily_return) * {O.ANN} AS hist_vol
-FROM ret_only r JOIN fund f ON r.ticker = f.ticker WHERE abs(daily_return) <= 0.5 GROUP BY r.ticker""",
-    "stress_set": O.values([(s[0], s[1], s[2], s[3]) for s in K.SCENARIOS], "scenario, scenario_name, shock, mult"),
-    "stress_rows": f"""SELECT scenario, scenario_name, ticker, day,
-  0.05 / 252 + beta * (shock / 252 + 0.18 * mult / {O.ANN} * zm - 0.05 / 252) + hist_vol * mult / {O.ANN} * zt AS r
-FROM (SELECT *, {_draw("'market|' || day")} AS zm, {_draw("ticker || '|' || day")} AS zt
-  FROM vols CROSS JOIN stress_set CROSS JOIN (SELECT unnest(range(1, 253)) AS day) days) d""",
-    "stress_days": "SELECT scenario, scenario_name, day AS date, avg(r) AS r FROM stress_rows GROUP BY scenario, scenario_name, day",
-}
-
-
-@q("scenario_stress_paths", None, f"""
-SELECT scenario, any_value(scenario_name) AS scenario_name, ROUND(product(1 + r) - 1, 6) AS portfolio_return,
-  ROUND(stddev_pop(r) * {O.ANN}, 6) AS portfolio_vol,
-  ROUND((product(1 + r) - 1 - 0.05) / (stddev_pop(r) * {O.ANN}), 4) AS sharpe_ratio,
-  ROUND(any_value(v), 6) AS var_95, ROUND(avg(r) FILTER (r <= v), 6) AS cvar_95,
-  ROUND(min(cum / peak - 1), 6) AS max_drawdown
-FROM (SELECT *, max(cum) OVER (PARTITION BY scenario ORDER BY date) AS peak FROM (
-  SELECT *, product(1 + r) OVER (PARTITION BY scenario ORDER BY date) AS cum,
-    quantile_cont(r, 0.05) OVER (PARTITION BY scenario) AS v FROM stress_days) c) p
-GROUP BY scenario""", STRESS)
-def _(t):
-    return scenario.stress_portfolio(_stress(t, keys=[s[0] for s in K.SCENARIOS] + ["unknown"]))
-
-
-@q("scenario_ticker_paths", "scenario, scenario_name, ticker, annual_return:4", """
-SELECT scenario, scenario_name, ticker, SNAP(product(1 + r) - 1, 4) AS annual_return
-FROM stress_rows WHERE scenario IN ('bull', 'base', 'bear') GROUP BY scenario, scenario_name, ticker""", STRESS)
-def _(t):
-    return scenario.stress_ticker_returns(_stress(t))
-
-
 @q("market_scenario", "ticker, date, market_scenario", "SELECT {cols} FROM gold")
 def _(t):
     return scenario.with_market_scenario(t.layers["features"])
@@ -976,7 +995,7 @@ UNION ALL SELECT 'duplicates', CASE WHEN dup > 0 THEN 'FAIL' ELSE 'PASS' END, du
 
 
 @q("dq_report", "layer, check_name, status, metric:6, threshold:6, affected_rows", """
-SELECT 'bronze' AS layer, check_name, status, SNAP(metric, 6) AS metric, SNAP(threshold, 6) AS threshold, affected_rows FROM dq""", DQ_SQL)
+SELECT 'bronze' AS layer, check_name, status, ROUND(metric, 6) AS metric, ROUND(threshold, 6) AS threshold, affected_rows FROM dq""", DQ_SQL)
 def _(t):
     return _dq(t)
 
@@ -984,44 +1003,102 @@ def _(t):
 @q("dq_score", "layer, passed, warned, failed, overall_score:2", """
 SELECT 'bronze' AS layer, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'WARN') AS warned,
   count(*) FILTER (status = 'FAIL') AS failed,
-  SNAP(greatest(CAST(0 AS DOUBLE), 100.0 - 10.0 * count(*) FILTER (status = 'FAIL') - 3.0 * count(*) FILTER (status = 'WARN')), 2) AS overall_score
+  ROUND(greatest(CAST(0 AS DOUBLE), 100.0 - 10.0 * count(*) FILTER (status = 'FAIL') - 3.0 * count(*) FILTER (status = 'WARN')), 2) AS overall_score
 FROM dq""", DQ_SQL)
 def _(t):
     return quality.quality_score(_dq(t))
 
 
-@q("dq_report_json")
+@q("dq_report_json", None, """
+SELECT 'bronze' AS layer, count(*) AS n_checks, string_agg(check_name || ':' || status || ':' || affected_rows, ',' ORDER BY check_name) AS checks,
+  greatest(CAST(0 AS DOUBLE), 100.0 - 10.0 * count(*) FILTER (status = 'FAIL') - 3.0 * count(*) FILTER (status = 'WARN')) AS overall_score
+FROM dq""", DQ_SQL)
 def _(t):
+    """The report written as JSON and read back."""
     path = files.write_json(quality.report_json(_dq(t)), _folder(t, "dq"))
-    return t.spark.read.schema("layer string, report string").json(path)
+    kind = "checks array<struct<check_name: string, status: string, affected_rows: bigint>>, overall_score double"
+    read = t.spark.read.schema("layer string, report string").json(path).withColumn("r", F.from_json("report", kind))
+    checks = F.sort_array(F.transform("r.checks", lambda c: F.concat_ws(":", c["check_name"], c["status"], c["affected_rows"].cast("string"))))
+    return read.select("layer", F.size("r.checks").cast("long").alias("n_checks"), F.array_join(checks, ",").alias("checks"), F.col("r.overall_score").alias("overall_score"))
+
+
+def _score_sql(table, columns, ranged, prices, moves):
+    """The score of one layer from its own checks: minus 10 per failure, 3 per warning."""
+    nulls = " OR ".join(f"count(*) - count({c}) > 0.01 * count(*)" for c in columns)
+    limits = {"close": "close < 0.01 OR close > 1e6", "open": "open < 0.01 OR open > 1e6", "high": "high < 0.01 OR high > 1e6",
+              "low": "low < 0.01 OR low > 1e6", "volume": "volume < 0 OR volume > 1e12"}
+    outside = " OR ".join(f"count(*) FILTER ({limits[c]}) > 0" for c in ranged)
+    bad = """count(*) FILTER (coalesce(high < low, false) OR coalesce(close > high * 1.001, false) OR coalesce(close < low * 0.999, false)
+      OR coalesce(open > high * 1.001, false) OR coalesce(open < low * 0.999, false)) > 0""" if prices else "false"
+    return f"""(SELECT 100.0 - 10 * (CAST(count(*) < 100 AS INTEGER) + CAST({nulls} AS INTEGER) + CAST({outside} AS INTEGER) + CAST({bad} AS INTEGER)
+      + CAST(count(*) > count(DISTINCT (ticker, date)) AS INTEGER))
+      - 3 * (CAST(epoch(TIMESTAMP '{DQ_AS_OF}' - CAST(max(date) AS TIMESTAMP)) / 3600.0 > 48 AS INTEGER)
+      + CAST(count(*) FILTER (abs(move) > 0.5) > 0.001 * count(*) AS INTEGER)) FROM (SELECT *, {moves} AS move FROM {table}) t)"""
+
+
+_BARS = ["open", "high", "low", "close", "volume"]
+
+
+@q("layer_audit", "step, layer, records_in, records_out, quality_score:2", "SELECT {cols} FROM (" + f"""
+SELECT * FROM audit UNION ALL SELECT 0, 'total', CAST(sum(records_in) AS BIGINT), CAST(sum(records_out) AS BIGINT), avg(quality_score) FROM audit) x""", {
+    "scored": "SELECT " + _score_sql("bronze", [*_BARS, "ticker", "date", "sector"], _BARS, True,
+                                     f"(close - lag(close) OVER {O.W}) / NULLIF(lag(close) OVER {O.W}, 0)") + " AS b, "
+              + _score_sql("silver", [*_BARS, "ticker", "date", "sector", "daily_return", "log_return", "is_outlier"], _BARS, True, "daily_return") + " AS s, "
+              + _score_sql("(SELECT ticker, date, close, daily_return FROM gold WHERE close IS NOT NULL AND daily_return IS NOT NULL)",
+                           ["ticker", "date", "close", "daily_return"], ["close"], False, "daily_return") + " AS g",
+    "audit": """
+SELECT 1 AS step, 'bronze' AS layer, (SELECT count(*) FROM typed_bars) AS records_in, (SELECT count(*) FROM bronze) AS records_out, CAST(b AS DOUBLE) AS quality_score FROM scored
+UNION ALL SELECT 2, 'silver', (SELECT count(*) FROM bronze), (SELECT count(*) FROM silver), s FROM scored
+UNION ALL SELECT 3, 'features', (SELECT count(*) FROM silver), (SELECT count(*) FROM silver), 100
+UNION ALL SELECT 4, 'gold', (SELECT count(*) FROM silver), (SELECT count(*) FROM silver), g FROM scored"""})
+def _(t):
+    config = quality.QualityConfig(min_rows=100, strict=False)
+    return layers.layer_audit(t.text_bars, t.layers, config, as_of=DQ_AS_OF)
 
 
-@q("layer_audit", "step, layer, records_in, records_out, quality_score:2", """
-SELECT * FROM (
-SELECT 1 AS step, 'bronze' AS layer, (SELECT count(*) FROM typed_bars) AS records_in, (SELECT count(*) FROM bronze) AS records_out, CAST(100 AS DOUBLE) AS quality_score
-UNION ALL SELECT 2, 'silver', (SELECT count(*) FROM bronze), (SELECT count(*) FROM silver), 100
-UNION ALL SELECT 3, 'features', (SELECT count(*) FROM silver), (SELECT count(*) FROM silver), 100
-UNION ALL SELECT 4, 'gold', (SELECT count(*) FROM silver), (SELECT count(*) FROM silver), 100) s
-UNION ALL SELECT 0, 'total', (SELECT count(*) FROM typed_bars) + (SELECT count(*) FROM bronze) + 2 * (SELECT count(*) FROM silver),
-  (SELECT count(*) FROM bronze) + 3 * (SELECT count(*) FROM silver), 100""")
-def _(t):
-    f, full = t.layers, F.lit(100.0)
-    return layers.layer_audit({
-        "bronze": (t.text_bars, f["bronze"], full),
-        "silver": (f["bronze"], f["silver"], full),
-        "features": (f["silver"], f["features"], full),
-        "gold": (f["features"], f["gold"], full),
-    })
+@q("sql_over_views", "sector, n_days, avg_return:6, worst:6", """
+SELECT sector, count(DISTINCT date) AS n_days, avg(daily_return) AS avg_return, min(daily_return) AS worst FROM ret_only GROUP BY sector""".replace(
+    "SELECT sector, count", "SELECT {cols} FROM (SELECT sector, count", 1) + ") v")
+def _(t):
+    """SQL text over registered views, as a notebook would write it."""
+    files.register_views(daily_returns=t.returns)
+    return t.spark.sql("""
+        SELECT sector, count(DISTINCT date) AS n_days, avg(daily_return) AS avg_return, min(daily_return) AS worst
+        FROM daily_returns WHERE daily_return IS NOT NULL GROUP BY sector""")
+
+
+@q("export_dimensions", "kind, name, shock:4, multiplier:4, n_days", """
+SELECT 'scenario' AS kind, scenario_name AS name, ROUND(mkt_return_shock, 4) AS shock, ROUND(vol_multiplier, 4) AS multiplier, NULL::BIGINT AS n_days FROM scen
+UNION ALL SELECT 'date', 'weekdays', NULL, NULL, (SELECT count(*) FROM (
+  SELECT CAST(unnest(generate_series((SELECT min(date) FROM bars), (SELECT max(date) FROM bars), INTERVAL 1 DAY)) AS DATE) AS date) s WHERE isodow(date) <= 5)""")
+def _(t):
+    """The scenario and date dimensions written as one small file each and read back."""
+    scenarios = scenario.with_scenarios(t.spark.range(1)).select("scenario_name", "mkt_return_shock", "vol_multiplier")
+    kept = files.read_parquet(t.spark, files.write_small(scenarios, _folder(t, "dim_scenario")))
+    days = files.write_small(market.calendar(t.bars), _folder(t, "dim_date"))
+    counted = files.read_parquet(t.spark, days).agg(F.count(F.lit(1)).alias("n_days"))
+    none = F.lit(None).cast("double")
+    return kept.select(
+        F.lit("scenario").alias("kind"), F.col("scenario_name").alias("name"), F.col("mkt_return_shock").alias("shock"),
+        F.col("vol_multiplier").alias("multiplier"), F.lit(None).cast("long").alias("n_days"),
+    ).unionByName(counted.select(F.lit("date").alias("kind"), F.lit("weekdays").alias("name"), none.alias("shock"), none.alias("multiplier"), "n_days"))
+
+
+@q("export_signals", None, SIGNALS_SQL)
+def _(t):
+    """Signals written as CSV and read back."""
+    df = signals.investment_signals(t.rankings)
+    return files.read_csv(t.spark, files.write_csv(df, _folder(t, "signals")), df.schema)
 
 
 # ---- business measures -----------------------------------------------------------------------
 
 @q("m_core", "sector, daily_return:6, latest_close, latest_close_literal, return_1d:6, return_5d:6, return_5d_literal:6", """
-SELECT sector, SNAP(avg(daily_return), 6) AS daily_return, any_value(last_close) AS latest_close,
+SELECT sector, ROUND(avg(daily_return), 6) AS daily_return, any_value(last_close) AS latest_close,
   max(close) AS latest_close_literal,
-  SNAP((avg(close) FILTER (date = d1) - avg(close) FILTER (date = d2)) / NULLIF(avg(close) FILTER (date = d2), 0), 6) AS return_1d,
-  SNAP((any_value(last_close) - any_value(week_first)) / NULLIF(any_value(week_first), 0), 6) AS return_5d,
-  SNAP((max(close) - min(close) FILTER (date >= d1 - 7)) / NULLIF(min(close) FILTER (date >= d1 - 7), 0), 6) AS return_5d_literal
+  ROUND((avg(close) FILTER (date = d1) - avg(close) FILTER (date = d2)) / NULLIF(avg(close) FILTER (date = d2), 0), 6) AS return_1d,
+  ROUND((any_value(last_close) - any_value(week_first)) / NULLIF(any_value(week_first), 0), 6) AS return_5d,
+  ROUND((max(close) - min(close) FILTER (date >= d1 - 7)) / NULLIF(min(close) FILTER (date >= d1 - 7), 0), 6) AS return_5d_literal
 FROM (SELECT *, first_value(close) OVER (PARTITION BY sector ORDER BY date DESC, ticker DESC) AS last_close,
     first_value(close) OVER (PARTITION BY sector ORDER BY date < d1 - 7, date, ticker) AS week_first_raw,
     CASE WHEN max(date) OVER (PARTITION BY sector) >= d1 - 7 THEN
@@ -1064,7 +1141,7 @@ def _(t):
 
 
 @q("m_breadth", "market_breadth:6, n_advancing, n_declining, new_52w_highs", """
-SELECT SNAP(CAST(sum(up) AS DOUBLE) / NULLIF(sum(up) + sum(down), 0), 6) AS market_breadth,
+SELECT ROUND(CAST(sum(up) AS DOUBLE) / NULLIF(sum(up) + sum(down), 0), 6) AS market_breadth,
   CAST(sum(up) AS BIGINT) AS n_advancing, CAST(sum(down) AS BIGINT) AS n_declining,
   count(*) FILTER (today >= coalesce(high52, 0)) AS new_52w_highs
 FROM (SELECT ticker, count(*) FILTER (date = d AND daily_return > 0) AS up, count(*) FILTER (date = d AND daily_return < 0) AS down,
@@ -1095,8 +1172,8 @@ def _(t):
 
 
 @q("m_volume", "sector, total_volume, avg_daily_volume:4, volume_ratio_20d:6", """
-SELECT sector, CAST(sum(v) AS BIGINT) AS total_volume, SNAP(avg(v), 4) AS avg_daily_volume,
-  SNAP(sum(v) FILTER (date = d) / any_value(base), 6) AS volume_ratio_20d
+SELECT sector, CAST(sum(v) AS BIGINT) AS total_volume, ROUND(avg(v), 4) AS avg_daily_volume,
+  ROUND(sum(v) FILTER (date = d) / any_value(base), 6) AS volume_ratio_20d
 FROM (SELECT sector, date, sum(volume) AS v FROM bars GROUP BY sector, date) s CROSS JOIN last_day
 CROSS JOIN (SELECT avg(volume) AS base FROM (SELECT volume, rank() OVER (ORDER BY date DESC) AS k FROM bars
   WHERE date < (SELECT d FROM last_day)) t WHERE k <= 20) b GROUP BY sector""")
@@ -1105,8 +1182,8 @@ def _(t):
 
 
 @q("m_rolling", "ticker, date, rolling_252d_sharpe:6, rolling_60d_vol:6", f"""
-SELECT ticker, date, SNAP((avg(daily_return) OVER y * 252 - 0.05) / NULLIF(stddev_pop(daily_return) OVER y * {O.ANN}, 0), 6) AS rolling_252d_sharpe,
-  SNAP(stddev_pop(daily_return) OVER qt * {O.ANN}, 6) AS rolling_60d_vol
+SELECT ticker, date, ROUND((avg(daily_return) OVER y * 252 - 0.05) / NULLIF(stddev_pop(daily_return) OVER y * {O.ANN}, 0), 6) AS rolling_252d_sharpe,
+  ROUND(stddev_pop(daily_return) OVER qt * {O.ANN}, 6) AS rolling_60d_vol
 FROM ret WINDOW y AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW),
   qt AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW)""")
 def _(t):
@@ -1114,7 +1191,7 @@ def _(t):
 
 
 @q("m_signal", "ticker, return_1y:6, rsi_14:4, signal_label, volatility_regime", f"""
-SELECT ticker, SNAP(return_1y, 6) AS return_1y, SNAP(rsi_14, 4) AS rsi_14,
+SELECT ticker, ROUND(return_1y, 6) AS return_1y, ROUND(rsi_14, 4) AS rsi_14,
   CASE WHEN return_1y > 0.2 AND rsi_14 < 65 THEN 'Strong Buy' WHEN return_1y > 0.05 AND rsi_14 < 70 THEN 'Buy'
     WHEN return_1y > -0.05 THEN 'Hold' WHEN return_1y > -0.2 THEN 'Sell' ELSE 'Strong Sell' END AS signal_label,
   CASE WHEN vol > 0.35 THEN 'High Volatility' WHEN vol > 0.2 THEN 'Normal' ELSE 'Low Volatility' END AS volatility_regime
@@ -1129,7 +1206,7 @@ def _(t):
 
 
 @q("sector_rotation", "sector, return_1m:6, return_3m:6, return_1y:6, quadrant, momentum_rank", """
-SELECT sector, SNAP(m1, 6) AS return_1m, SNAP(m3, 6) AS return_3m, SNAP(y1, 6) AS return_1y,
+SELECT sector, ROUND(m1, 6) AS return_1m, ROUND(m3, 6) AS return_3m, ROUND(y1, 6) AS return_1y,
   CASE WHEN m3 >= 0 AND m1 >= 0 THEN 'Leading' WHEN m3 >= 0 THEN 'Weakening' WHEN m1 < 0 THEN 'Lagging' ELSE 'Improving' END AS quadrant,
   CAST(rank() OVER (ORDER BY y1 DESC NULLS LAST) AS INTEGER) AS momentum_rank
 FROM (SELECT sector, avg(return_1m) AS m1, avg(return_3m) AS m3, avg(return_1y) AS y1 FROM (""" + O.asof_sql() + """) a GROUP BY sector) s""")
@@ -1143,7 +1220,6 @@ def _kpis(t):
     """Headline figures in one row, each a scalar over its own query."""
     last = market.latest_rows(market.market_breadth(t.equity_features), 1)
     regime = market.latest_rows(market.volatility_regime(t.returns), 1)
-    tails = risk.selection_tail_risk(t.returns)
     return t.rankings.agg(
         F.count("ticker").alias("total_equities"),
         half_up(F.avg("return_1y"), 4).alias("market_avg_return_1y"),
@@ -1152,35 +1228,45 @@ def _kpis(t):
     ).withColumns({
         "market_breadth_pct": last.select("breadth_pct").scalar(),
         "vol_regime": regime.select("vol_regime").scalar(),
-        "var_95": half_up(tails.select("var_95").scalar(), 6),
+        "var_95": half_up(risk.selection_tail_risk(t.returns)["var_95"], 6),
     })
 
 
-@q("report_kpis", "as_of_date, total_equities, market_avg_return_1y, market_avg_vol, market_breadth_pct, vol_regime, var_95", """
+KPI_SQL = """
 SELECT (SELECT d FROM last_day) AS as_of_date, count(*) AS total_equities, ROUND(avg(return_1y), 4) AS market_avg_return_1y,
   ROUND(avg(vol_20d), 4) AS market_avg_vol,
   (SELECT arg_max(breadth_pct, date) FROM (""" + BREADTH_SQL + """) b) AS market_breadth_pct,
   (SELECT CASE WHEN v > 0.35 THEN 'High Volatility' WHEN v >= 0.2 THEN 'Normal' ELSE 'Low Volatility' END
     FROM (SELECT date, stddev_samp(daily_return) * sqrt(252.0) AS v FROM ret_only GROUP BY date ORDER BY date DESC LIMIT 1) x) AS vol_regime,
   ROUND((SELECT quantile_cont(daily_return, 0.05) FROM ret_only), 6) AS var_95
-FROM ranks""")
+FROM ranks"""
+
+
+@q("report_kpis", "as_of_date, total_equities, market_avg_return_1y, market_avg_vol, market_breadth_pct, vol_regime, var_95", KPI_SQL)
 def _(t):
-    return _kpis(StoredFrames(t.spark, t.sf_dir))
+    return _kpis(t)
 
 
-@q("market_summary")
+@q("market_summary", None, f"""
+SELECT *, (SELECT string_agg(sector || '=' || n_equities || '=' || printf('%.3f', avg_beta), ',' ORDER BY sector) FROM summary_sectors) AS sectors,
+  (SELECT string_agg(ticker, ',' ORDER BY return_1y DESC, ticker) FROM (SELECT * FROM ranks ORDER BY return_1y DESC, ticker LIMIT 5) a) AS top_performers,
+  (SELECT string_agg(ticker, ',' ORDER BY return_1y, ticker) FROM (SELECT * FROM ranks ORDER BY return_1y, ticker LIMIT 5) b) AS bottom_performers
+FROM ({KPI_SQL}) k""", {"summary_sectors": """
+SELECT f.sector, count(DISTINCT r.ticker) AS n_equities, ROUND(avg(beta), 3) AS avg_beta
+FROM ret r JOIN clean_fund f ON r.ticker = f.ticker WHERE date >= (SELECT d - 252 FROM last_day) GROUP BY f.sector"""})
 def _(t):
-    """One nested row: headline figures, sector rows and both ends of the ranking. Every nested list
-    has a fixed or sector-count length."""
-    t = StoredFrames(t.spark, t.sf_dir)
+    """One row: headline figures, and as text the sector rows and both ends of the ranking (of fixed or sector-count length)."""
     sectors = market.sector_performance(t.returns, t.clean_fundamentals)
     ends = market.top_bottom(t.rankings, 5)
 
-    def nested(df):
-        return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns)))).scalar()
+    def told(df, text, *order):
+        rows = df.select(F.struct(*order, text.alias("text")).alias("r"))
+        return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["text"]), ",")).scalar()
 
+    r = F.col("return_1y")
     return _kpis(t).withColumns({
-        "sectors": nested(sectors),
-        "top_performers": nested(ends.filter("side = 'top'").drop("side")),
-        "bottom_performers": nested(ends.filter("side = 'bottom'").drop("side")),
-    })
+        "sectors": told(sectors, F.concat_ws("=", "sector", "n_equities", F.format_string("%.3f", "avg_beta")), F.col("sector")),
+        "top_performers": told(ends.filter("side = 'top'"), F.col("ticker"), (-r).alias("o"), F.col("ticker").alias("k")),
+        "bottom_performers": told(ends.filter("side = 'bottom'"), F.col("ticker"), r.alias("o"), F.col("ticker").alias("k")),
+    }).select("as_of_date", "total_equities", "market_avg_return_1y", "market_avg_vol", "market_breadth_pct", "vol_regime", "var_95",
+              "sectors", "top_performers", "bottom_performers")

@@ -2,8 +2,10 @@
 
 from functools import cached_property
 
+from pyspark.sql import functions as F
+
 from barwise.operators import cleanse, features, layers, market
-from barwise.sources import derived, files
+from barwise.sources import derived
 
 PROXY = "S00000"
 
@@ -16,6 +18,10 @@ class Frames:
     def bars(self):
         return derived.bars(self.spark, self.sf_dir)
 
+    @cached_property
+    def proxy_bars(self):
+        return derived.bars(self.spark, self.sf_dir, [PROXY])
+
     @cached_property
     def raw_bars(self):
         return derived.raw_bars(self.spark, self.sf_dir)
@@ -73,13 +79,13 @@ class Frames:
         return features.market_returns(self.returns)
 
     @cached_property
-    def calm_returns(self):
-        """Returns without the flagged extreme moves."""
-        return self.returns.filter("abs(daily_return) <= 0.5")
-
-    @cached_property
-    def calm_market(self):
-        return features.market_returns(self.calm_returns)
+    def monthly_returns(self):
+        """Each ticker's mean daily return by month: a calendar that all tickers share, unlike their sparse trading days."""
+        return (
+            self.returns.filter("daily_return IS NOT NULL")
+            .groupBy("ticker", F.trunc("date", "month").alias("date"))
+            .agg(F.avg("daily_return").alias("daily_return"))
+        )
 
     @cached_property
     def latest_betas(self):
@@ -87,20 +93,3 @@ class Frames:
             self.equity_features.filter("beta is not null"), ["sector", "beta", "date"]
         ).drop("date")
 
-
-class StoredFrames(Frames):
-    """Frames for reports that read the same inputs many times: bars and rankings are written once
-    to the shared folder and scanned from there, as they are between ingestion and reporting."""
-
-    def _stored(self, name, df):
-        path = f"{files.shared_folder(self.spark)}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    @cached_property
-    def bars(self):
-        return self._stored("bars", derived.bars(self.spark, self.sf_dir))
-
-    @cached_property
-    def rankings(self):
-        return self._stored("rankings", market.equity_rankings(self.equity_features))

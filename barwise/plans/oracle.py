@@ -2,24 +2,15 @@
 
 import re
 
-from barwise import constants as K
-from barwise.functions.expr import TIE
-
 ANN = "sqrt(252.0)"
 
 
-def snap(text, digits):
-    """Nearest multiple of a power of ten, ties up: the counterpart of ``expr.snap``."""
-    scale = f"CAST({10**digits} AS DOUBLE)"
-    return f"floor(CAST({text} AS DOUBLE) * {scale} + CAST({TIE} AS DOUBLE)) / {scale}"
-
-
 def select_list(spec):
     """Projection text of a ``pick`` spec."""
     out = []
     for item in spec.replace("\n", " ").split(","):
         name, _, digits = item.strip().partition(":")
-        out.append(f"{snap(name, int(digits))} AS {name}" if digits else name)
+        out.append(f"ROUND(CAST({name} AS DOUBLE), {digits}) AS {name}" if digits else name)
     return ", ".join(out)
 
 
@@ -73,15 +64,6 @@ def full(expr, values, n):
     return f"CASE WHEN count({values}) OVER {rows(n)} = {n} THEN {expr} OVER {rows(n)} END"
 
 
-def values(rows_, names):
-    """A VALUES table from Python tuples."""
-    def lit(v):
-        return "'" + v + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)"
-
-    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows_)
-    return f"SELECT * FROM (VALUES {body}) AS t({names})"
-
-
 CTES = {
     "bars": """
 SELECT ticker, date, max(CASE WHEN first_no = 1 THEN price END) AS open, max(price) AS high,
@@ -177,9 +159,9 @@ FROM eq_feat WHERE date >= (SELECT max(date) - 252 FROM eq_feat) GROUP BY sector
 SELECT ticker, sector, beta, rb AS return_bull, rm AS return_base, rd AS return_bear,
   ROUND(rb / 0.25, 4) AS upside_capture, ROUND(rd / -0.30, 4) AS downside_capture,
   ROUND(ROUND(rb / 0.25, 4) / (abs(ROUND(rd / -0.30, 4)) + 1e-6), 4) AS capture_ratio
-FROM (SELECT ticker, sector, beta, ROUND(0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05), 4) AS rb,
-    ROUND(0.05 + beta * (CAST(0.08 AS DOUBLE) - 0.05), 4) AS rm,
-    ROUND(0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05), 4) AS rd
+FROM (SELECT ticker, sector, beta, ROUND(CAST(CAST(0.05 + beta * (CAST(0.25 AS DOUBLE) - 0.05) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS rb,
+    ROUND(CAST(CAST(0.05 + beta * (CAST(0.08 AS DOUBLE) - 0.05) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS rm,
+    ROUND(CAST(CAST(0.05 + beta * (CAST(-0.30 AS DOUBLE) - 0.05) AS VARCHAR) AS DECIMAL(38, 18)), 4)::DOUBLE AS rd
   FROM (SELECT DISTINCT ticker, sector, beta FROM eq_feat WHERE beta IS NOT NULL) b) x""",
     "silver": f"""
 SELECT *, coalesce(abs(daily_return) > 0.5, false) AS is_outlier FROM (
@@ -219,10 +201,11 @@ SELECT *, CAST(year(date) AS INTEGER) AS year, CAST(quarter(date) AS INTEGER) AS
     + (50.0 - coalesce(NULLIF(rsi_14, 0.0), 50.0)) * 0.3
     - coalesce(NULLIF(vol_20d, 0.0), 0.2) * 50.0, 0.0), 100.0), 1) AS signal_score
 FROM (SELECT *, coalesce(NULLIF(vol_20d, 0.0), 0.15) AS v FROM silver_feat) s""",
-    "calm": "SELECT * FROM ret WHERE abs(daily_return) <= 0.5",
-    "calm_mkt": "SELECT date, avg(daily_return) AS mkt_return FROM calm GROUP BY date",
     "mkt": "SELECT date, avg(daily_return) AS mkt_return FROM ret GROUP BY date",
-    "scen": values([(s[1], s[2], s[3]) for s in K.SCENARIOS[:5]], "scenario_name, mkt_return_shock, vol_multiplier"),
+    # Fixed values, spelled out here so that a wrong one in the engine shows.
+    "scen": """SELECT * FROM (VALUES ('Bull', CAST(0.25 AS DOUBLE), CAST(0.75 AS DOUBLE)), ('Base', 0.08, 1.00),
+  ('Bear', -0.30, 1.80), ('Stagflation', -0.15, 1.40), ('Rate Shock', -0.10, 1.30))
+  AS t(scenario_name, mkt_return_shock, vol_multiplier)""",
     "last_day": "SELECT max(date) AS d FROM bars",
     "snapshot": """
 SELECT f.*, s.close, s.daily_return AS return_1d, s.roc_252 AS return_1y, s.vol_20d, s.rsi_14, s.momentum_zscore
@@ -287,30 +270,6 @@ FROM (SELECT *, pow(1 + tot, 1 / greatest(n / 252.0, 1.0)) - 1 AS ann, s * {ANN}
     GROUP BY {by} HAVING count(r) >= 2) a) z"""
 
 
-def plain_rounding(sql):
-    """Spell out ROUND and SNAP. ``ROUND(x, d)`` becomes decimal half-up rounding as in Spark, since
-    DuckDB rounds a double by scaling it in binary, which moves values that lie on a tie."""
-    out, at = [], 0
-    while True:
-        found = re.search(r"\b(ROUND|SNAP)\(", sql[at:])
-        if not found:
-            return "".join(out) + sql[at:]
-        start, i = at + found.start(), at + found.end()
-        first, depth, comma = i, 1, None
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[i], 0)
-            if sql[i] == "," and depth == 1:
-                comma = i
-            i += 1
-        inner, digits = plain_rounding(sql[first:comma]), int(sql[comma + 1:i - 1])
-        if found.group(1) == "SNAP":
-            text = snap(inner, digits)
-        else:
-            text = f"CAST(round(CAST({inner} AS DECIMAL(38, {digits + 4})), {digits}) AS DOUBLE)"
-        out += [sql[at:start], text]
-        at = i
-
-
 def compose(sql, extra=None):
     """Prefix a statement with the table expressions it needs, in dependency order."""
     known = {**CTES, **(extra or {})}
@@ -324,7 +283,7 @@ def compose(sql, extra=None):
 
     need(sql)
     if not order:
-        return plain_rounding(sql)
+        return sql
     recursive = "RECURSIVE " if any("UNION ALL SELECT r." in known[n] for n in order) else ""
     body = ",\n".join(f"{n} AS ({known[n].strip()})" for n in order)
-    return plain_rounding(f"WITH {recursive}{body}\n{sql.strip()}")
+    return f"WITH {recursive}{body}\n{sql.strip()}"

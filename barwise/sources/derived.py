@@ -26,16 +26,19 @@ def suppliers(spark, sf_dir):
     return with_places(read(spark, sf_dir, "supplier"), spark, sf_dir)
 
 
-def bars(spark, sf_dir):
-    """Daily bars, one per supplier and ship date.
+def bars(spark, sf_dir, tickers=None):
+    """Daily bars, one per supplier and ship date; with ``tickers`` of these alone, filtered by key in the scan.
 
     Line items are aggregated before the dimension join: map tasks combine their rows per
     (supplier, day), so a supplier with a third of all line items costs no more than the others.
     """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct(*LAST_IN_DAY)
+    lines = read(spark, sf_dir, "lineitem")
+    if tickers is not None:
+        lines = lines.filter(F.col("l_suppkey").isin([int(t[1:]) for t in tickers]))
     daily = (
-        read(spark, sf_dir, "lineitem")
+        lines
         .withColumn("price", price)
         .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
         .agg(

@@ -20,7 +20,7 @@ HEADLINE = [
     "correlation_pairs", "sector_correlation",
     # risk and scenarios
     "risk_metrics", "sector_var", "portfolio_vs_benchmark", "scenario_returns_long",
-    "scenario_stress_paths", "sector_scenario_agg",
+    "sector_scenario_agg",
     # reporting
     "investment_signals", "m_risk", "m_horizon", "report_kpis", "market_summary",
 ]

@@ -77,41 +77,53 @@ def test_no_loss_and_constant_series(make_returns):
     assert got["U"].max_drawdown == 0.0 and got["U"].calmar_ratio == 0.0
 
 
-def test_portfolio_ignores_unknown_and_normalises(make_returns):
+def weights_table(spark, weights):
+    return spark.createDataFrame(list(weights.items()), "ticker string, weight double")
+
+
+def test_portfolio_ignores_unknown_and_normalises(make_returns, spark):
     a, b = RNG.normal(0, 0.01, 100), RNG.normal(0, 0.01, 100)
     a[3] = np.nan
     df = make_returns({"A": [None if np.isnan(x) else x for x in a], "B": list(b)})
-    got = risk.portfolio_metrics(df, {"A": 3.0, "B": 1.0, "GHOST": 5.0}).first()
+    held = weights_table(spark, {"A": 3.0, "B": 1.0, "GHOST": 5.0})
+    got = risk.portfolio_metrics(df, held).first()
     want = reference_metrics(pd.Series(0.75 * a + 0.25 * b))
     assert got.total_return == pytest.approx(want["total_return"], abs=1e-6)
     assert got.max_drawdown == pytest.approx(want["max_drawdown"], abs=1e-6)
-    weights = {r.ticker: r.weight for r in risk.normalised_weights(df, {"A": 3.0, "B": 1.0, "GHOST": 5.0}).collect()}
-    assert weights == {"A": 0.75, "B": 0.25}
+    assert got.weights == {"A": 0.75, "B": 0.25}
+    bundle = {r.ticker: r.weight for r in risk.risk_bundle(df, held).collect()}
+    assert bundle == {"A": 0.75, "B": 0.25, "PORTFOLIO": 1.0}
+
+
+def test_equal_weights_over_the_universe(make_returns, spark):
+    m = RNG.normal(0.0005, 0.01, (252, 40))
+    df = make_returns({f"T{i:03d}": list(m[:, i]) for i in range(40)})
+    got = risk.portfolio_metrics(df, weights_table(spark, {f"T{i:03d}": 1.0 for i in range(40)})).first()
+    want = reference_metrics(m.mean(axis=1))
+    for k in ("total_return", "annualised_return", "annualised_volatility", "sharpe_ratio", "max_drawdown", "var_95", "cvar_95"):
+        assert got[k] == pytest.approx(want[k], abs=1.1 * 10 ** -risk.METRICS[k]), k
+    assert len(got.weights) == 40 and sum(got.weights.values()) == pytest.approx(1.0)
 
 
-def test_portfolio_against_itself(make_returns):
+def test_extreme_returns_are_kept(make_returns, spark):
+    """Moves beyond one half count like any other."""
+    xs = [0.9, -0.6, 2.5, 0.01, -0.7] * 10
+    got = risk.portfolio_metrics(make_returns({"A": xs}), weights_table(spark, {"A": 1.0})).first()
+    assert got.total_return == pytest.approx(reference_metrics(xs)["total_return"], rel=1e-5)
+
+
+def test_portfolio_against_itself(make_returns, spark):
     df = make_returns({"A": list(RNG.normal(0.001, 0.01, 252))})
     bench = df.select("date", F.col("daily_return").alias("mkt_return"))
-    got = risk.portfolio_metrics(df, {"A": 1.0}, benchmark=bench).first()
+    got = risk.portfolio_metrics(df, weights_table(spark, {"A": 1.0}), benchmark=bench).first()
     assert got.beta == pytest.approx(1.0) and got.information_ratio is None
 
 
-def test_stress_paths_order_and_repeat(make_returns, spark):
-    df = make_returns({f"T{i}": list(RNG.normal(0, 0.01, 60)) for i in range(6)})
-    betas = spark.createDataFrame([(f"T{i}", 0.8 + 0.1 * i) for i in range(6)], "ticker string, beta double")
-
-    def run(**kw):
-        sim = scenario.stress_returns(df, betas, keys=("bull", "base", "bear", "nope"))
-        return {r.scenario: r for r in scenario.stress_portfolio(sim, **kw).collect()}
+def test_rounding_is_done_once(spark):
+    from barwise.functions.expr import half_up
 
-    got, again = run(), run()
-    assert got == again and set(got) == {"bull", "base", "bear"}
-    assert got["bull"].portfolio_return > got["base"].portfolio_return > got["bear"].portfolio_return
-    assert got["bear"].portfolio_vol > got["bull"].portfolio_vol
-    for r in got.values():
-        assert r.cvar_95 <= r.var_95 and r.max_drawdown <= 0
-    assert run(weights={"GHOST": 1.0}) == got
-    assert run(weights={"T5": 1.0})["bear"] != got["bear"]
+    df = spark.createDataFrame([(0.123449996, -0.00125, 1e17)], "a double, b double, c double")
+    assert tuple(df.select(half_up("a", 4), half_up("b", 4), half_up("c", 4)).first()) == (0.1234, -0.0013, 1e17)
 
 
 def test_sector_scenarios(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwise import schemas
-from barwise.operators import cleanse, quality
+from barwise.operators import cleanse, layers, quality
 from barwise.sources import files
 
 D = dt.date(2020, 1, 1)
@@ -136,3 +136,17 @@ def test_a_hot_key_collapses_before_grouping(spark, make_bars):
     assert cleanse.dedup_bars(df).count() == 3
     assert "WindowGroupLimit" in cleanse.dedup_bars(df)._jdf.queryExecution().executedPlan().toString()
     assert checks(df)["duplicates"].affected_rows == 19999
+
+
+def test_layers_are_checked(spark, make_bars):
+    """Half of the closes missing: the strict run stops at bronze, the lenient one scores every layer."""
+    bars = make_bars({t: [None if i % 2 else 10.0 + i % 7 for i in range(300)] for t in "AB"})
+    text = bars.select(*[F.col(c).cast("string").alias(c) for c in bars.columns])
+    with pytest.raises(quality.QualityError, match="bronze.*null_rates"):
+        layers.checked_medallion(text, min_days=50, as_of="2020-10-27")
+    lenient = quality.QualityConfig(strict=False)
+    got = layers.checked_medallion(text, min_days=50, config=lenient, as_of="2020-10-27")
+    audit = {r.layer: r for r in layers.layer_audit(text, got, lenient, as_of="2020-10-27").collect()}
+    assert audit["bronze"].quality_score == 90.0 and audit["features"].quality_score == 100.0
+    assert audit["silver"].records_in == audit["bronze"].records_out == 600 and audit["silver"].records_out == 300
+    assert audit["total"].records_in == 600 + 600 + 300 + 300

@@ -109,11 +109,15 @@ def test_drawdowns_never_positive(make_bars):
     assert {r[1] for r in mult if r[0] == "B"} == {0.0}
 
 
-def test_ema_is_recursive(make_bars):
-    xs = walk(40)
-    got = ordered(features.ema_exact(make_bars({"A": xs})), "ema_12", "macd")
-    want = pd.Series(xs).ewm(span=12, adjust=False).mean()
-    np.testing.assert_allclose([g[0] for g in got], want)
+@pytest.mark.parametrize("n", [1, 40, 128, 129, 700])
+def test_ema_is_recursive(make_bars, n):
+    xs = walk(n)
+    got = ordered(features.ema_exact(make_bars({"A": xs, "B": [5.0] * 3})), "ticker", "ema_12", "macd", "macd_signal")
+    fast, slow = (pd.Series(xs).ewm(span=k, adjust=False).mean() for k in (12, 26))
+    np.testing.assert_allclose([g[1] for g in got if g[0] == "A"], fast, rtol=1e-9)
+    np.testing.assert_allclose([g[2] for g in got if g[0] == "A"], fast - slow, atol=1e-9)
+    np.testing.assert_allclose([g[3] for g in got if g[0] == "A"], (fast - slow).ewm(span=9, adjust=False).mean(), atol=1e-9)
+    np.testing.assert_allclose([g[1:] for g in got if g[0] == "B"], [(5.0, 0.0, 0.0)] * 3, atol=1e-12)
 
 
 def test_feature_set_matches_single_operators(make_bars):

@@ -21,7 +21,7 @@ from barwise.llm import vocab, wavelet
 from barwise.llm.common import stored
 from barwise.sources.files import shared_folder
 
-SHARD_TOKENS = 1 << 23
+SHARD_TOKENS = 1 << 22
 _STEP = 500  # documents encoded at a time
 
 
@@ -30,26 +30,29 @@ def _shards(path, end_id, shard_tokens):
         cache = vocab.cache(path)
         dtype, number = cache.dtype, TaskContext.get().partitionId() << 32
         bits = max(int(max(cache.vocab.size - 1, end_id)).bit_length(), 1)
-        end = np.array([end_id], dtype).tobytes()
         docs, lengths, data, total = [], [], [], 0
 
         def shard():
-            ids = np.frombuffer(b"".join(data), dtype)
+            ids = np.concatenate(data)
             return pa.RecordBatch.from_arrays([pa.array([wavelet.dump(number, ids, bits, docs, lengths)], pa.binary())], ["payload"])
 
         for batch in batches:
             for at in range(0, len(batch), _STEP):
                 some = batch.slice(at, _STEP)
-                encoded = cache.encode(some.column("text").to_pylist())
-                for id_, ids in zip(some.column("id").to_pylist(), encoded):
+                ids, counts = cache.encode(some.column("text"))
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype(dtype), (counts + 1).tolist()
+                begin, end = 0, 0  # of the ids that wait for their shard
+                for id_, n in zip(some.column("id").to_pylist(), counts):
                     docs.append(id_)
-                    lengths.append(len(ids) // dtype.itemsize + 1)
-                    data += (ids, end)
-                    total += lengths[-1]
+                    lengths.append(n)
+                    total, end = total + n, end + n
                     if total >= shard_tokens:
+                        data.append(ids[begin:end])
                         yield shard()
-                        number += 1
+                        number, begin = number + 1, end
                         docs, lengths, data, total = [], [], [], 0
+                if begin < end:
+                    data.append(ids[begin:end])
         if docs:
             yield shard()
 

@@ -8,8 +8,11 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WHOLE = "="  # a whole text
+TOGETHER = 500  # pre-tokens encoded as one text
 #: white space characters, and each beside a space
 _BESIDE = [(c, " " + c, c + " ") for c in map(chr, range(0x3001)) if c.isspace()]
 _open, _caches = {}, {}
@@ -35,6 +38,14 @@ class Pieces:
         )
         self.size = len(model.pieces)
 
+    def splits(self, text):
+        """Whether the text is cut at its spaces and nowhere else."""
+        return False
+
+    def flat_ids(self, pretokens):
+        ids = self.ids(pretokens)
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(i) for i in ids], np.int64)
+
     def pretokens(self, text):
         if not text:
             return []
@@ -72,6 +83,10 @@ class Tokens:
         self._bytes = None
         self._cut = re.compile(r"(?<=\S) (?=\S)")
 
+    def splits(self, text):
+        """Whether the text is cut at its spaces and nowhere else."""
+        return bool(text) and self.cuts and not any(t in text for t in self.special) and self._lone(text)
+
     def pretokens(self, text):
         if not text:
             return []
@@ -91,32 +106,53 @@ class Tokens:
         return True
 
     def ids(self, pretokens):
-        spaced = [p for p in pretokens if p[0] == " "]
-        found = dict(zip(spaced, self._joined(spaced)))
-        rest = [p for p in pretokens if p[0] != " "]
-        found.update(zip(rest, self._each([p[1:] for p in rest])))
-        return [found[p] for p in pretokens]
-
-    def _each(self, texts):
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, parts, together=200):
-        """Parts that begin with a space: many are encoded as one text and told apart by the bytes of its tokens, which
-        is cheaper for the library than as many short texts."""
+        flat, lengths = self.flat_ids(pretokens)
+        ends = np.cumsum(lengths).tolist()
+        flat = flat.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def flat_ids(self, pretokens):
+        """Ids of pre-tokens in a row, and the number of ids of each. Those that begin with a space are encoded many at a
+        time as one text, and told apart by the bytes of its tokens: cheaper for the library than as many short texts."""
+        ids, lengths, group = [], [], []
+        for p in pretokens:
+            if p[0] == " ":
+                group.append(p)
+                if len(group) < TOGETHER:
+                    continue
+                self._together(group, ids, lengths)
+                group = []
+            else:
+                if group:
+                    self._together(group, ids, lengths)
+                    group = []
+                self._apart([p[1:]], ids, lengths)
+        if group:
+            self._together(group, ids, lengths)
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _encode(self, texts):
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, texts, ids, lengths):
+        each = self._encode(texts)
+        ids += each
+        lengths.append(np.array([len(i) for i in each], np.int64))
+
+    def _together(self, parts, ids, lengths):
         if self._bytes is None:
             self._bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
-        groups = [parts[k : k + together] for k in range(0, len(parts), together)]
-        out = []
-        for group, ids in zip(groups, self._each(["".join(g) for g in groups])):
-            ends = np.cumsum(self._bytes[ids])
-            wanted = np.cumsum([len(p.encode()) for p in group])
-            at = np.searchsorted(ends, wanted)
-            if at[-1] < len(ends) and (ends[at] == wanted).all():
-                stops = (at + 1).tolist()
-                out += map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops))
-            else:
-                out += self._each(group)
-        return out
+        (found,) = self._encode(["".join(parts)])
+        ends = np.cumsum(self._bytes[found])
+        wanted = np.cumsum([len(p.encode()) for p in parts])
+        at = np.searchsorted(ends, wanted)
+        if at[-1] < len(ends) and (ends[at] == wanted).all():
+            ids.append(found)
+            lengths.append(np.diff(at, prepend=-1))
+        else:
+            self._apart(parts, ids, lengths)
 
 
 def load(path):
@@ -127,28 +163,73 @@ def load(path):
 
 
 class Cache:
-    """Bytes of the ids of texts, by way of their pre-tokens. It holds the bytes of ``most`` pre-tokens and starts anew
-    beyond; results don't depend on it."""
+    """Ids of texts by way of their pre-tokens, each of which is encoded once. It holds ``most`` pre-tokens and starts
+    anew beyond; results don't depend on it."""
 
-    def __init__(self, path, most=800_000):
-        self.vocab, self.most, self.known = load(path), most, {}
+    def __init__(self, path, most=1_500_000):
+        self.vocab, self.most = load(path), most
         self.dtype = np.dtype("<u2" if self.vocab.size <= 1 << 16 else "<u4")
+        self._clear()
+
+    def _clear(self):
+        self.rows, self.used = {}, 0  # pre-token: row; ids in use
+        self.flat, self.begin, self.length = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _learn(self, pretokens):
+        """Encode new pre-tokens and append them as rows."""
+        for at in range(0, len(pretokens), 50_000):
+            some = pretokens[at : at + 50_000]
+            ids, lengths = self.vocab.flat_ids(some)
+            n, row = self.used + len(ids), len(self.rows)
+            if n > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), self.dtype)])
+            if row + len(some) > len(self.begin):
+                more = np.zeros(max(row + len(some), len(self.begin)), np.int64)
+                self.begin, self.length = np.concatenate([self.begin, more]), np.concatenate([self.length, more])
+            self.flat[self.used : n] = ids
+            self.length[row : row + len(some)] = lengths
+            self.begin[row : row + len(some)] = self.used + np.cumsum(lengths) - lengths
+            self.rows.update(zip(some, range(row, row + len(some))))
+            self.used = n
+
+    def _lookup(self, pretokens):
+        found = list(map(self.rows.get, pretokens))
+        if None in found:
+            self._learn(list(dict.fromkeys(p for p, r in zip(pretokens, found) if r is None)))
+            found = list(map(self.rows.get, pretokens))
+        return np.array(found, np.int64)
 
     def encode(self, texts):
-        """One bytes object of ids for each text."""
-        cut = [self.vocab.pretokens(t or "") for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list(set(chain.from_iterable(cut)).difference(known))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            ids = self.vocab.ids(some)
-            ends = np.cumsum([len(i) for i in ids]) * self.dtype.itemsize
-            data = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
-            known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
-        get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        """(ids of all texts in a row, number of ids of each text) for an Arrow array of strings; null counts as empty."""
+        texts = texts.fill_null("")
+        if len(self.rows) > self.most:
+            self._clear()
+        strings = texts.to_pylist()
+        plain = np.array([self.vocab.splits(t) for t in strings], bool)
+        rows, counts = [None] * len(strings), np.zeros(len(strings), np.int64)
+        if plain.any():
+            # Arrow splits and numbers the distinct parts; only these are looked up one by one.
+            parts = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+            coded, edges = parts.flatten().dictionary_encode(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            distinct = coded.dictionary.to_pylist()
+            row_of = coded.indices.to_numpy()
+            firsts = edges[:-1]
+            heads = self._lookup(["^" + distinct[k] for k in row_of[firsts]])
+            all_rows = self._lookup(list(map(" ".__add__, distinct)))[row_of]
+            all_rows[firsts] = heads
+            for i, a, b in zip(np.flatnonzero(plain).tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+                rows[i] = all_rows[a:b]
+        for i in np.flatnonzero(~plain).tolist():
+            rows[i] = self._lookup(self.vocab.pretokens(strings[i]))
+        edges = np.cumsum([0] + [len(r) for r in rows])
+        row = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+        lengths = self.length[row]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        kind = np.int32 if max(self.used, ends[-1]) < 1 << 31 else np.int64
+        places = np.repeat((self.begin[row] - ends[:-1]).astype(kind), lengths)
+        places += np.arange(ends[-1], dtype=kind)
+        counts = np.diff(ends[edges])
+        return self.flat[places], counts
 
 
 def cache(path):

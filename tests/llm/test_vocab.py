@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from barwise.llm import vocab, wavelet
@@ -42,8 +43,11 @@ def test_tokens_of_whole_texts(name):
     cache = vocab.Cache(path, most=300)
     for at in range(0, len(all_texts), 50):
         some = all_texts[at : at + 50]
-        for t, data in zip(some, cache.encode(some)):
-            assert np.frombuffer(data, cache.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        flat, counts = cache.encode(pa.array(some))
+        ends = np.cumsum(counts)
+        for t, a, b in zip(some, ends - counts, ends):
+            assert flat[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert [x.tolist() for x in cache.encode(pa.array([None, ""]))] == [[], [0, 0]]
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])

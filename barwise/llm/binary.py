@@ -22,7 +22,7 @@ from barwise.llm.common import stored
 from barwise.sources.files import shared_folder
 
 SHARD_TOKENS = 1 << 22
-_STEP = 500  # documents encoded at a time
+_STEP_BYTES = 8 << 20  # text encoded at a time, about
 
 
 def _shards(path, end_id, shard_tokens):
@@ -37,8 +37,9 @@ def _shards(path, end_id, shard_tokens):
             return pa.RecordBatch.from_arrays([pa.array([wavelet.dump(number, ids, bits, docs, lengths)], pa.binary())], ["payload"])
 
         for batch in batches:
-            for at in range(0, len(batch), _STEP):
-                some = batch.slice(at, _STEP)
+            step = max(len(batch) * _STEP_BYTES // max(batch.nbytes, 1), 1)
+            for at in range(0, len(batch), step):
+                some = batch.slice(at, step)
                 ids, counts = cache.encode(some.column("text"))
                 ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype(dtype), (counts + 1).tolist()
                 begin, end = 0, 0  # of the ids that wait for their shard

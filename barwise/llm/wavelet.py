@@ -46,11 +46,14 @@ class WaveletMatrix:
     @staticmethod
     def packed(ids, bits):
         """The bit planes of ids, highest bit first; each is stable-partitioned by the plane above."""
-        out = []
+        out, ids, spare = [], ids.copy(), np.empty_like(ids)
         for b in reversed(range(bits)):
-            plane = (ids >> ids.dtype.type(b)) & ids.dtype.type(1) != 0
+            plane = (ids & ids.dtype.type(1 << b)).astype(bool)
             out.append(np.packbits(plane, bitorder="little").tobytes())
-            ids = np.concatenate([ids[~plane], ids[plane]])
+            ones, zeros = np.flatnonzero(plane), np.flatnonzero(np.logical_not(plane, out=plane))
+            np.take(ids, zeros, out=spare[: len(zeros)], mode="clip")
+            np.take(ids, ones, out=spare[len(zeros) :], mode="clip")
+            ids, spare = spare, ids
         return out
 
     def access(self, i):
@@ -86,12 +89,13 @@ class WaveletMatrix:
 
     def decode(self, dtype="<u4"):
         """All ids in order, by undoing the partitions from the lowest plane up."""
-        out = np.zeros(self.n, dtype)
+        out, before = np.zeros(self.n, dtype), np.empty(self.n, dtype)
         for b, plane, zeros in zip(range(len(self.planes)), reversed(self.planes), reversed(self.zeros)):
-            bits, before = plane.unpack(), np.empty_like(out)
-            before[~bits] = out[:zeros]
-            before[bits] = out[zeros:] | out.dtype.type(1 << b)
-            out = before
+            bits = plane.unpack()
+            out[zeros:] |= out.dtype.type(1 << b)
+            before[np.flatnonzero(bits)] = out[zeros:]
+            before[np.flatnonzero(np.logical_not(bits, out=bits))] = out[:zeros]
+            out, before = before, out
         return out
 
 

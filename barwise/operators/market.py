@@ -290,11 +290,11 @@ def portfolio_attribution(rankings):
     )
 
 
-def portfolio_return_eq(rankings):
+def portfolio_return_eq(rankings, digits=4):
     df = rankings.filter(F.col("return_1y").isNotNull())
     size = df.agg(F.count(F.lit(1))).scalar()
     return df.agg(F.sum("return_1y").alias("total")).select(
-        half_up(F.try_divide(F.col("total"), size), 4).alias("eq_weight_portfolio_return")
+        half_up(F.try_divide(F.col("total"), size), digits).alias("eq_weight_portfolio_return")
     )
 
 

@@ -65,11 +65,11 @@ def capture_ratios(betas, epsilon=0.0, risk_free=RISK_FREE, round_ratio=False):
     return df.withColumn("capture_ratio", half_up(ratio, 4) if round_ratio else ratio)
 
 
-def sector_scenario_averages(captures):
+def sector_scenario_averages(captures, digits=4):
     return captures.groupBy("sector").agg(
         F.count_distinct("ticker").alias("n_equities"),
-        *[half_up(F.avg(f"return_{k}"), 4).alias(f"avg_{k}_return") for k in ("bull", "base", "bear")],
-        half_up(F.avg("capture_ratio"), 4).alias("avg_capture_ratio"),
+        *[half_up(F.avg(f"return_{k}"), digits).alias(f"avg_{k}_return") for k in ("bull", "base", "bear")],
+        half_up(F.avg("capture_ratio"), digits).alias("avg_capture_ratio"),
         half_up(F.avg("beta"), 3).alias("avg_beta"),
     )
 

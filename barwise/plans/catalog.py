@@ -578,19 +578,19 @@ def _(t):
     )
 
 
-@q("portfolio_attribution", None, """
-SELECT sector, count(*) AS n_stocks, ROUND(avg(w), 6) AS avg_weight, ROUND(sum(w), 4) AS total_weight,
-  ROUND(sum(return_1y * w), 4) AS return_contribution, ROUND(avg(return_1y), 4) AS avg_sector_return,
-  ROUND(avg(vol_20d), 4) AS avg_vol, ROUND(avg(beta), 3) AS avg_beta
+@q("portfolio_attribution", None, f"""
+SELECT sector, count(*) AS n_stocks, {O.tie("avg(w)", 6)} AS avg_weight, {O.tie("sum(w)", 4)} AS total_weight,
+  {O.tie("sum(return_1y * w)", 4)} AS return_contribution, {O.tie("avg(return_1y)", 4)} AS avg_sector_return,
+  {O.tie("avg(vol_20d)", 4)} AS avg_vol, {O.tie("avg(beta)", 3)} AS avg_beta
 FROM (SELECT *, CAST(1.0 AS DOUBLE) / count(*) OVER () AS w FROM ranks) r GROUP BY sector""")
 def _(t):
     return market.portfolio_attribution(t.rankings)
 
 
-@q("portfolio_return_eq", None, """
-SELECT ROUND(sum(return_1y) / count(*), 4) AS eq_weight_portfolio_return FROM ranks""")
+@q("portfolio_return_eq", None, f"""
+SELECT ROUND(sum(return_1y) / count(*), 3) AS eq_weight_portfolio_return FROM ranks""")
 def _(t):
-    return market.portfolio_return_eq(t.rankings)
+    return market.portfolio_return_eq(t.rankings, digits=3)
 
 
 @q("weekly_close", "ticker, week, close", """
@@ -809,14 +809,14 @@ def _(t):
     return scenario.capture_ratios(t.fundamentals)
 
 
-@q("sector_scenario_avg", None, """
-SELECT sector, count(DISTINCT ticker) AS n_equities, ROUND(avg(return_bull), 4) AS avg_bull_return,
-  ROUND(avg(return_base), 4) AS avg_base_return, ROUND(avg(return_bear), 4) AS avg_bear_return,
-  ROUND(avg(capture_ratio), 4) AS avg_capture_ratio, ROUND(avg(beta), 3) AS avg_beta
+@q("sector_scenario_avg", None, f"""
+SELECT sector, count(DISTINCT ticker) AS n_equities, ROUND(avg(return_bull), 3) AS avg_bull_return,
+  ROUND(avg(return_base), 3) AS avg_base_return, ROUND(avg(return_bear), 3) AS avg_bear_return,
+  ROUND(avg(capture_ratio), 3) AS avg_capture_ratio, {O.tie("avg(beta)", 3)} AS avg_beta
 FROM capture GROUP BY sector""")
 def _(t):
     return scenario.sector_scenario_averages(
-        scenario.capture_ratios(t.latest_betas, epsilon=1e-6, round_ratio=True)
+        scenario.capture_ratios(t.latest_betas, epsilon=1e-6, round_ratio=True), digits=3
     )
 
 
@@ -1151,7 +1151,7 @@ def _(t):
     return measures.breadth(t.returns)
 
 
-@q("m_scenario", "scenario_name, scenario_return:6, scenario_vol:4, scenario_sharpe:6, scenario_var_95:4, scenario_max_drawdown:4", f"""
+@q("m_scenario", "scenario_name, scenario_return:5, scenario_vol:4, scenario_sharpe:5, scenario_var_95:4, scenario_max_drawdown:4", f"""
 SELECT {{cols}} FROM (SELECT scenario_name, r AS scenario_return, v AS scenario_vol, (r - 0.05) / v AS scenario_sharpe,
   mean - 1.6449 * dev * vol_multiplier AS scenario_var_95, -2 * v AS scenario_max_drawdown
 FROM (SELECT *, 0.05 + b * (mkt_return_shock - 0.05) AS r, dev * {O.ANN} * vol_multiplier AS v FROM scen
@@ -1222,8 +1222,8 @@ def _kpis(t):
     regime = market.latest_rows(market.volatility_regime(t.returns), 1)
     return t.rankings.agg(
         F.count("ticker").alias("total_equities"),
-        half_up(F.avg("return_1y"), 4).alias("market_avg_return_1y"),
-        half_up(F.avg("vol_20d"), 4).alias("market_avg_vol"),
+        half_up(F.avg("return_1y"), 3).alias("market_avg_return_1y"),
+        half_up(F.avg("vol_20d"), 3).alias("market_avg_vol"),
         F.max(t.bars.agg(F.max("date")).scalar()).alias("as_of_date"),
     ).withColumns({
         "market_breadth_pct": last.select("breadth_pct").scalar(),
@@ -1232,9 +1232,10 @@ def _kpis(t):
     })
 
 
+# The mean of figures rounded to four digits often lies on a tie of the fourth: three are shown.
 KPI_SQL = """
-SELECT (SELECT d FROM last_day) AS as_of_date, count(*) AS total_equities, ROUND(avg(return_1y), 4) AS market_avg_return_1y,
-  ROUND(avg(vol_20d), 4) AS market_avg_vol,
+SELECT (SELECT d FROM last_day) AS as_of_date, count(*) AS total_equities, ROUND(avg(return_1y), 3) AS market_avg_return_1y,
+  ROUND(avg(vol_20d), 3) AS market_avg_vol,
   (SELECT arg_max(breadth_pct, date) FROM (""" + BREADTH_SQL + """) b) AS market_breadth_pct,
   (SELECT CASE WHEN v > 0.35 THEN 'High Volatility' WHEN v >= 0.2 THEN 'Normal' ELSE 'Low Volatility' END
     FROM (SELECT date, stddev_samp(daily_return) * sqrt(252.0) AS v FROM ret_only GROUP BY date ORDER BY date DESC LIMIT 1) x) AS vol_regime,

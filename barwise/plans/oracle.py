@@ -14,6 +14,12 @@ def select_list(spec):
     return ", ".join(out)
 
 
+def tie(x, digits):
+    """Decimal rounding of a figure that often lies on a tie, such as the mean of rounded figures: of the number as it
+    prints, where ROUND of a double would scale in binary first."""
+    return f"ROUND(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits})::DOUBLE"
+
+
 def rows(n):
     return f"(PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 

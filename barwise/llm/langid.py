@@ -122,8 +122,9 @@ def word_languages(docs, model, id_col="doc_id", text_col="text"):
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, words array<string>, langs array<string>")
 
 
-def known_language(docs, model, text_col="text", least=0.4):
-    """The documents with a language of score ``least`` or more, with their own columns."""
+def known_language(docs, model, text_col="text", least=0.0):
+    """The documents with a language of score ``least`` or more, with their own columns. By default only texts without
+    letters go: the score of a very short clean text may be low."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -519,7 +519,7 @@ def _(t):
     return market.volatility_regime(t.returns)
 
 
-@q("volatility_regime_nb", "date, cross_sectional_vol:4, rolling_20d_vol:6, vol_regime", """
+@q("volatility_regime_nb", "date, cross_sectional_vol:4, rolling_20d_vol:8, vol_regime", """
 SELECT {cols} FROM (SELECT *, avg(cross_sectional_vol) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rolling_20d_vol,
   CASE WHEN cross_sectional_vol > 0.35 THEN 'High Volatility' WHEN cross_sectional_vol > 0.20 THEN 'Normal'
     ELSE 'Low Volatility' END AS vol_regime

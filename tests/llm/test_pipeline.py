@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barwise.llm import mixing
@@ -60,5 +61,5 @@ def test_run_equals_stages_and_reruns(spark):
 def test_hash_is_the_same_in_any_engine(spark):
     import hashlib
 
-    rows = spark.range(20).select("id", mixing.hash60(spark.range(20)["id"]).alias("h")).collect()
+    rows = spark.range(20).select("id", mixing.hash60(F.col("id")).alias("h")).collect()
     assert all(r.h == int(hashlib.md5(f"{r.id}:mix-1".encode()).hexdigest()[:15], 16) for r in rows)

@@ -15,6 +15,7 @@ from barwise.operators import (
 from barwise.plans import oracle as O
 from barwise.plans.frames import PROXY, Frames
 from barwise.sources import derived, files
+from barwise.streaming.incremental import load_new_bars
 
 BUILDERS, SQL = {}, {}
 
@@ -108,6 +109,32 @@ def _tickers(t):
     return [r.ticker for r in t.fundamentals.select("ticker").orderBy("ticker").collect()]
 
 
+@q("scan_fundamentals", FUND, "SELECT {cols} FROM fund")
+def _(t):
+    path = files.write_parquet(t.fundamentals, _folder(t, "fundamentals"))
+    return files.read_parquet(t.spark, path, schemas.FUNDAMENTALS)
+
+
+UNIVERSE = "ticker, name, sector, sub_industry, weight_pct:6, beta:6, market_cap_cat"
+
+
+@q("scan_universe", UNIVERSE, "SELECT {cols} FROM univ")
+def _(t):
+    path = files.write_csv(t.universe, _folder(t, "universe"))
+    return files.read_csv(t.spark, path, schemas.UNIVERSE)
+
+
+@q("stream_bars", BAR, "SELECT {cols} FROM bars")
+def _(t):
+    """Bars that arrive as files in two lots, loaded by the file stream."""
+    source, target, state = (_folder(t, n) for n in ("arriving", "loaded", "state"))
+    early = F.col("sector").isin("ASIA", "EUROPE")
+    for lot in (t.bars.filter(early), t.bars.filter(~early)):
+        lot.write.mode("append").parquet(source)
+        loaded = load_new_bars(t.spark, source, target, state)
+    return loaded
+
+
 @q("universe_filter", "ticker, name, sector, sub_industry, weight_pct:6, beta:6, market_cap_cat",
    "SELECT {cols} FROM univ WHERE sector IN ('ASIA', 'EUROPE', 'AFRICA')")
 def _(t):

@@ -166,7 +166,7 @@ class Cache:
     """Ids of texts by way of their pre-tokens, each of which is encoded once. It holds ``most`` pre-tokens and starts
     anew beyond; results don't depend on it."""
 
-    def __init__(self, path, most=1_500_000):
+    def __init__(self, path, most=1_000_000):
         self.vocab, self.most = load(path), most
         self.dtype = np.dtype("<u2" if self.vocab.size <= 1 << 16 else "<u4")
         self._clear()

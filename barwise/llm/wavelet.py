@@ -1,9 +1,9 @@
 """A wavelet matrix of token ids with the table of its documents: one shard of the binary output."""
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 _HEAD = struct.Struct("<4sqqqB")
 _MAGIC = b"WVM1"
@@ -103,8 +103,9 @@ def dump(number, ids, bits, doc_ids, lengths):
     """The bytes of one shard. ``doc_ids`` may hold None."""
     known = np.array([i is not None for i in doc_ids], np.uint8)
     docs = np.array([0 if i is None else i for i in doc_ids], "<i8")
-    blocks = [zlib.compress(x.tobytes(), 6) for x in (known, docs, np.asarray(lengths, "<i8"))]
-    blocks += [zlib.compress(p, 1) for p in WaveletMatrix.packed(ids, bits)]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    blocks = [pack(x.tobytes()) for x in (known, docs, np.asarray(lengths, "<i8"))]
+    blocks += [pack(p) for p in WaveletMatrix.packed(ids, bits)]
     head = _HEAD.pack(_MAGIC, number, len(ids), len(docs), bits)
     return head + struct.pack(f"<{len(blocks)}q", *map(len, blocks)) + b"".join(blocks)
 
@@ -115,9 +116,9 @@ def parse(data):
     if magic != _MAGIC:
         raise ValueError("not a shard")
     sizes = struct.unpack_from(f"<{bits + 3}q", data, _HEAD.size)
-    at, blocks = _HEAD.size + 8 * len(sizes), []
+    at, blocks, unpack = _HEAD.size + 8 * len(sizes), [], zstandard.ZstdDecompressor().decompress
     for size in sizes:
-        blocks.append(zlib.decompress(data[at : at + size]))
+        blocks.append(unpack(data[at : at + size]))
         at += size
     known, docs, lengths = np.frombuffer(blocks[0], np.uint8), np.frombuffer(blocks[1], "<i8"), np.frombuffer(blocks[2], "<i8")
     ids = [int(d) if k else None for k, d in zip(known, docs)]

@@ -49,6 +49,8 @@ NAMES = frozenset(
     "cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion "
     "related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: what an article element may be instead of the article
+OTHER_ARTICLES = frozenset("ad advert advertisement comment comments promo related replies reply respond sponsored".split())
 
 
 class Node:
@@ -70,7 +72,7 @@ def _attributes(text):
 
 def _named_away(tag, text):
     """Whether attributes tell that the element is no part of the text."""
-    if not text or tag in ("html", "body", "main", "article"):
+    if not text or tag in ("html", "body", "main"):
         return False
     found = _attributes(text)
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES:
@@ -78,7 +80,8 @@ def _named_away(tag, text):
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(names.strip()) and not NAMES.isdisjoint(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    away = OTHER_ARTICLES if tag == "article" else NAMES
+    return bool(names.strip()) and not away.isdisjoint(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
 
 
 def parse(source):
@@ -137,25 +140,30 @@ def _ordered(root):
 
 
 def _mark(root):
-    """An element named away, or a header, stays if it holds the article itself; a header of an article keeps its headings."""
-    todo, order = [root], []
+    """If every article or main element lies in something dropped, what holds one stays after all. A page header goes; the
+    header of an article keeps its headings."""
+    todo, order, lost = [root], [], {}
     while todo:
         node = todo.pop()
         order.append(node)
+        lost[id(node)] = node.dropped or (node.parent is not None and lost[id(node.parent)])
         todo += node.children()
+    articles = [n for n in order if n.tag in ("article", "main")]
+    if articles and all(lost[id(n)] for n in articles):
+        for node in articles:
+            while node is not None:
+                node.dropped = node.dropped and (node.tag in RAW or node.tag in ("head", "template"))
+                node = node.parent
     holds = set()
     for node in reversed(order):
         if node.tag in ("article", "main") or any(id(c) in holds for c in node.children()):
             holds.add(id(node))
     for node in order:
-        if node.dropped and id(node) in holds and node.tag not in RAW and node.tag not in ("head", "template"):
-            node.dropped = False
         if node.tag == "header" and id(node) not in holds:
-            up, inside = node.parent, False
-            while up is not None:
-                inside |= up.tag in ("article", "main", "section")
+            up = node.parent
+            while up is not None and up.tag not in ("article", "main", "section"):
                 up = up.parent
-            if not inside:
+            if up is None:
                 node.dropped = True
             else:
                 for child in node.children():

@@ -257,6 +257,10 @@ PAGES = [
     ("<div hidden>no</div><div style='display: none'>no</div><p>yes", "yes"), ("< 3 and > 4 <", "< 3 and > 4 <"),
     ("<body><div class='cookie-notice'>We use cookies</div><p>" + "word " * 20_000 + "</p></body>", " ".join(["word"] * 20_000)),
     ("<p>" + "<b>" * 5000 + "deep", "deep"),
+    ("<body><article><p>x</p><article class='comment'><p>" + "long comment " * 40 + "</p></article></article></body>", "x"),
+    ("<body><article><h1>T</h1><p>Short.</p></article><section id=comments><article><p>" + "reader says " * 60 + "</p></article></section></body>", "T\nShort."),
+    ("<body><div class='notice'>Sale!</div><main><h1>X</h1><p>One.</p><p>Two with <a href=q>a link</a>.</p><div class='related-posts'><a>r</a></div></main>"
+     "<aside>" + "side " * 100 + "</aside></body>", "X\nOne.\nTwo with a link."),
 ]
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_PRIME), -1, 1 << 64))
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -315,3 +315,19 @@ def test_associations(spark):
     found = urls.associations(spark.createDataFrame(rows, "tokens array<string>, label boolean")).collect()
     assert {(tuple(r.tokens), r.key) for r in found} == {(("b",), "b"), (("c",), "c")}
     assert urls.associations(spark.createDataFrame([], "tokens array<string>, label boolean")).collect() == []
+
+
+def test_verdicts_of_a_language_do_not_spread(spark):
+    """A host whose few judged pages are blocked for their language is not blocked, nor is a language as such."""
+    hosts = ["http://blog.big.example.com/de/%d", "http://blog.big.example.com/en/%d", "http://m.small%d.example.net/es/", "http://m.small%d.example.org/es/",
+             "http://www.fine%d.example.net/en/", "http://www.casino.example.net/es/%d", "http://www.casino.example.org/es/%d"]
+    pages = spark.createDataFrame([(k * 100 + i, u % i) for k, u in enumerate(hosts) for i in range(40)], "page_id long, url string")
+    got = {r.id: r for r in urls.judge(pages, queries.URL_RULES).collect()}
+    unruled = {k: {got[k * 100 + i].verdict for i in range(40)} for k in (1, 3, 6)}
+    assert unruled == {1: {"allow"}, 3: {"allow"}, 6: {"block"}}
+
+
+def test_few_pages_are_judged_by_the_bound(spark):
+    """No absolute number of rows decides: 12 of 12 pages say more than a share of three tenths, 2 of 2 do not."""
+    rows = [(["bad"], True)] * 12 + [(["rare"], True)] * 2 + [(["good"], False)] * 33
+    assert [r.tokens for r in urls.associations(spark.createDataFrame(rows, "tokens array<string>, label boolean")).collect()] == [["bad"]]

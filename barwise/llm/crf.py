@@ -44,10 +44,12 @@ class Model:
         # the rows after the hashed ones: in the lexicon of each language, and a constant
         self.weights = np.zeros((BUCKETS + n + 1, n), np.float32)
         self.transitions, self.start = np.zeros((n, n), np.float32), np.zeros(n, np.float32)
-        self._rows, self._scores = {}, None
+        # what ``calibrate`` learns: hashed features seen, mean and deviation of the unseen share of a new word, lowest mean marginal
+        self.seen, self.unseen, self.lowest = None, (1.0, 0.0), 0.0
+        self._rows, self._scores, self._unseen = {}, None, None
 
     def __getstate__(self):
-        return self.__dict__ | {"_rows": {}, "_scores": None}
+        return self.__dict__ | {"_rows": {}, "_scores": None, "_unseen": None}
 
     def features(self, word):
         lexical = [BUCKETS + i for i, words in enumerate(self.lexicons) if word in words]
@@ -56,7 +58,7 @@ class Model:
     def rows(self, words, most=300_000):
         """Index of each word into ``scores``; at most ``most`` words are kept between calls."""
         if len(self._rows) > most:
-            self._rows, self._scores = {}, None
+            self._rows, self._scores, self._unseen = {}, None, None
         known = self._rows
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
@@ -68,9 +70,51 @@ class Model:
             for w in new:
                 known[w] = len(known)
             self._scores = scores if self._scores is None else np.concatenate([self._scores, scores])
+            if self.seen is not None:
+                hashed = flat < BUCKETS
+                new_to_it = np.zeros(len(flat))
+                new_to_it[hashed] = ~self.seen[flat[hashed]]
+                unseen = np.add.reduceat(new_to_it, begin) / np.add.reduceat(hashed.astype(float), begin) * [len(w) > 3 for w in new]
+                self._unseen = unseen if self._unseen is None else np.concatenate([self._unseen, unseen])
         get = known.__getitem__
         return np.fromiter(map(get, words), np.int64, len(words))
 
+    def unseen_share(self, rows):
+        """Sum over the distinct words among ``rows`` of the share of their hashed features that no learned word has (0 in
+        words of under four letters), and the number of these words."""
+        rows = np.unique(rows)
+        return (float(self._unseen[rows].sum()) if self._unseen is not None else 0.0), len(rows)
+
+    def accepts(self, score, n_words, unseen, distinct):
+        """Whether a text can be of the languages learned; both bounds tighten with its length.
+
+        Its distinct words may have as many unseen features as new words of the languages have, a tenth for names and codes,
+        and four standard errors. Runs of under four letters, of which keys and codes consist, count as seen.
+        Its mean marginal must be on the way from chance to half as far above it as the lowest labelled snippet."""
+        mean, dev = self.unseen
+        if unseen > distinct * (mean + 0.1) + 4 * max(dev, 0.1) * distinct**0.5:
+            return False
+        chance = 1 / max(len(self.langs), 1)
+        return len(self.langs) < 2 or score >= chance + max(self.lowest - chance, 0) / 2 * n_words / (n_words + 20)
+
+    def calibrate(self, snippets):
+        """Learn the bounds of ``accepts`` from the (language, words) snippets that the model was fitted on. A feature of a
+        word counts as unseen there if no other distinct word has it, so copies of texts change nothing."""
+        words = list(dict.fromkeys(w for _, snippet in snippets for w in snippet))
+        if not words:
+            return
+        parts = [sorted(set(_features(w))) for w in words]
+        flat = np.concatenate([np.array(p) for p in parts])
+        counts = np.bincount(flat, minlength=BUCKETS)
+        self.seen = counts > 0
+        shares = np.add.reduceat((counts[flat] == 1).astype(float), np.cumsum([0] + [len(p) for p in parts[:-1]])) / [len(p) for p in parts]
+        self.unseen = float(shares.mean()), float(shares.std())
+        rows = [self.rows(snippet, most=1 << 60) for _, snippet in snippets if snippet]
+        post, ends = self.marginals(rows), np.cumsum([len(r) for r in rows])
+        sums = np.add.reduceat(post, ends - [len(r) for r in rows])
+        self.lowest = float((sums.max(1) / [len(r) for r in rows]).min())
+        self._rows, self._scores, self._unseen = {}, None, None
+
     def marginals(self, sequences):
         """Per-word probabilities (words, languages) of row arrays from ``rows``, in order."""
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
@@ -116,6 +160,7 @@ def fit(snippets, epochs=4, batch=64, rate=0.3, seed=7):
     langs = sorted({l for l, _ in snippets})
     model = Model(langs, lexicons(snippets, langs))
     if len(langs) < 2:
+        model.calibrate(snippets)
         return model
     at, rng = {l: i for i, l in enumerate(langs)}, np.random.default_rng(seed)
     cache = {}
@@ -131,6 +176,7 @@ def fit(snippets, epochs=4, batch=64, rate=0.3, seed=7):
             sequences.append(([p for _, parts in some for p in parts], [y for y, parts in some for _ in parts]))
         for b in range(0, len(sequences), batch):
             _step(model, grown, sequences[b : b + batch], rate)
+    model.calibrate(snippets)
     return model
 
 

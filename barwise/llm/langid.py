@@ -54,8 +54,14 @@ def fit(docs, id_col="doc_id", text_col="text", lang_col="lang", sample=SAMPLE):
 
 def predict(texts, model):
     """(labels, scores) of a list of texts."""
+    return _judge(texts, model)[:2]
+
+
+def _judge(texts, model, known=False):
+    """(labels, scores, known) of a list of texts; known: whether the model accepts them, if asked for."""
     n = len(model.langs)
     sums, totals = np.zeros((len(texts), n)), np.zeros(len(texts))
+    unseen, distinct = np.zeros(len(texts)), np.zeros(len(texts))
     queue, owners, waiting = [], [], 0
 
     def flush():
@@ -73,6 +79,10 @@ def predict(texts, model):
                 flush()
                 queue, owners, waiting = [], [], 0
             rows = model.rows(part) if not queue else model.rows(part, most=1 << 60)
+            if known:
+                share, words_seen = model.unseen_share(rows)
+                unseen[i] += share
+                distinct[i] += words_seen
             queue += [rows[k : k + crf.SEQUENCE] for k in range(0, len(rows), crf.SEQUENCE)]
             owners += [i] * (len(queue) - len(owners))
             waiting += len(part)
@@ -80,7 +90,9 @@ def predict(texts, model):
         flush()
     labels = [model.langs[int(k)] if t else UNKNOWN for k, t in zip(sums.argmax(1) if n else totals, totals)]
     best = sums.max(1) if n else totals
-    return labels, np.minimum(best / np.maximum(totals, 1), 1.0)
+    scores = np.minimum(best / np.maximum(totals, 1), 1.0)
+    accepted = [bool(t) and model.accepts(*x) for t, *x in zip(totals, scores, totals, unseen, distinct)] if known else None
+    return labels, scores, accepted
 
 
 def _predictions(shared):
@@ -123,13 +135,13 @@ def word_languages(docs, model, id_col="doc_id", text_col="text"):
 
 
 def known_language(docs, model, text_col="text", least=0.0):
-    """The documents with a language of score ``least`` or more, with their own columns. By default only texts without
-    letters go: the score of a very short clean text may be low."""
+    """The documents with a language that the model accepts (``crf.Model.accepts``) and a score of ``least`` or more, with
+    their own columns. Texts without letters go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            labels, scores = predict(batch.column(text_col).to_pylist(), shared.value)
-            yield batch.filter(pa.array([l != UNKNOWN and bool(s >= least) for l, s in zip(labels, scores)], pa.bool_()))
+            _, scores, accepted = _judge(batch.column(text_col).to_pylist(), shared.value, known=True)
+            yield batch.filter(pa.array([a and bool(s >= least) for a, s in zip(accepted, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from barwise.llm.queries import END_ID, LIMIT, WEIGHTS, table, vocabulary_file
 
 
 def known_language(spark, docs, sf_dir):
-    """Documents without letters go."""
+    """Documents without letters, or of none of the languages learned, go."""
     return langid.known_language(docs, langid.fit(docs))
 
 

@@ -331,3 +331,16 @@ def test_few_pages_are_judged_by_the_bound(spark):
     """No absolute number of rows decides: 12 of 12 pages say more than a share of three tenths, 2 of 2 do not."""
     rows = [(["bad"], True)] * 12 + [(["rare"], True)] * 2 + [(["good"], False)] * 33
     assert [r.tokens for r in urls.associations(spark.createDataFrame(rows, "tokens array<string>, label boolean")).collect()] == [["bad"]]
+
+
+def test_known_language_drops_what_is_no_language(spark):
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = langid.fit(docs), random.Random(3)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (20, 100, 2000)]
+    noise.append("все люди рождаются свободными и равными в своем достоинстве и правах")
+    texts = [r.text for r in docs.filter("text is not null").limit(50).collect()]
+    short = [" ".join(t.split()[:k]) for t in texts for k in (1, 3, 8) if re.search("[a-z]", " ".join(t.split()[:k]))]
+    rows = spark.createDataFrame(list(enumerate(noise + short)), "doc_id long, text string")
+    assert {r.doc_id for r in langid.known_language(rows, model).collect()} == set(range(len(noise), len(noise) + len(short)))

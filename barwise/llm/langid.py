@@ -136,12 +136,16 @@ def word_languages(docs, model, id_col="doc_id", text_col="text"):
 
 def known_language(docs, model, text_col="text", least=0.0):
     """The documents with a language that the model accepts (``crf.Model.accepts``) and a score of ``least`` or more, with
-    their own columns. Texts without letters go."""
+    their own columns. Texts without letters go, and they alone if the model has no languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            _, scores, accepted = _judge(batch.column(text_col).to_pylist(), shared.value, known=True)
+            texts = batch.column(text_col).to_pylist()
+            if not shared.value.langs:
+                yield batch.filter(pa.array([bool(crf.LETTERS.search(t or "")) for t in texts], pa.bool_()))
+                continue
+            _, scores, accepted = _judge(texts, shared.value, known=True)
             yield batch.filter(pa.array([a and bool(s >= least) for a, s in zip(accepted, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -344,3 +344,8 @@ def test_known_language_drops_what_is_no_language(spark):
     short = [" ".join(t.split()[:k]) for t in texts for k in (1, 3, 8) if re.search("[a-z]", " ".join(t.split()[:k]))]
     rows = spark.createDataFrame(list(enumerate(noise + short)), "doc_id long, text string")
     assert {r.doc_id for r in langid.known_language(rows, model).collect()} == set(range(len(noise), len(noise) + len(short)))
+
+
+def test_known_language_without_labels_keeps_texts(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "", None), (4, None, None), (5, "more", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.known_language(docs, langid.fit(docs)).collect()} == {1, 5}

@@ -11,14 +11,14 @@ from collections import Counter
 
 import numpy as np
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]{1,40}")  # a longer run is several words of the chain
 BUCKETS = 1 << 15
 SEQUENCE = 256  # words; longer texts are several sequences
 _PIECE = 1 << 20
 
 
 def text_words(text):
-    """Lower-cased runs of letters, cut from a long text piece by piece."""
+    """Lower-cased runs of letters, those of over 40 letters in consecutive pieces, cut from a long text piece by piece."""
     text, out, at = text.lower(), [], 0
     while at < len(text):
         end = at + _PIECE
@@ -30,7 +30,7 @@ def text_words(text):
 
 
 def _features(word):
-    marked = f"^{word[:40]}$"
+    marked = f"^{word}$"
     n = len(marked)
     out = [f"p{marked[1:k]}" for k in range(2, min(n, 5))] + [f"s{marked[-k:-1]}" for k in range(2, min(n, 5))]
     out += [marked[i : i + k] for k in (2, 3) for i in range(n - k + 1)]

@@ -349,3 +349,12 @@ def test_known_language_drops_what_is_no_language(spark):
 def test_known_language_without_labels_keeps_texts(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, "", None), (4, None, None), (5, "more", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in langid.known_language(docs, langid.fit(docs)).collect()} == {1, 5}
+
+
+def test_long_runs_are_read_whole():
+    from barwise.llm import crf
+
+    run = "".join(chr(0x4E00 + i) for i in range(100))
+    assert [len(w) for w in crf.text_words(run)] == [40, 40, 20] and "".join(crf.text_words(run)) == run
+    model = crf.fit([("aa", ["ab" * 20]), ("bb", ["cd" * 20])] * 50)
+    assert langid.predict(["ab" * 20 + "cd" * 100], model)[0] == ["bb"]

@@ -6,11 +6,12 @@ composite density is
     C / T * log(C / LC * T / LT)  to the base  ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 with b for the body and counts of 0 taken as 1. The element whose children's densities sum to the most is the core of the
-page. The smallest density on its path to the body is the threshold: from the core the extract grows upwards while what
-it takes in is as dense as that, or a heading, and at least to the article or main element around it.
+page. The smallest density on its path to the body is the threshold: from the core the extract grows up to the body, taking
+in every neighbour that is as dense as that, or a heading; with an article or main element around it, it is that element.
 
 Elements that are no text of the page by their kind, role or name (menus, page headers, footers, side bars, notices,
-adverts, forms, scripts, comments by readers) do not count and are not shown, nor are lists that are mostly links.
+adverts, forms, scripts, comments by readers) do not count and are not shown, nor are lists that are mostly links outside
+an article or main element.
 """
 
 import html
@@ -40,7 +41,7 @@ AROUND_P = frozenset("article aside body blockquote button div dd fieldset figur
 
 # What is no part of the text.
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog embed footer form head iframe input map math menu nav noembed noframes noscript "
+    "annotation annotation-xml aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noembed noframes noscript "
     "object script select style svg template textarea title video xmp".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -214,10 +215,11 @@ def _core(nodes, body):
             return node
     node = best
     while node is not body and node.parent is not None:
-        others = [c for c in node.parent.children() if c is not node and not c.dropped and c.chars]
         whole = node.tag not in BLOCK or node.tag in HEADINGS or node.tag in ("p", "li", "blockquote", "pre")
-        if not whole and not all(c.tag in HEADINGS or c.density >= threshold for c in others):
-            break
+        if not whole:
+            for other in node.parent.children():
+                if other is not node and not other.dropped and other.chars and other.tag not in HEADINGS and other.density < threshold:
+                    other.dropped = True
         node = node.parent
     return node
 
@@ -245,7 +247,7 @@ def _blocks(core):
         if what == "out":
             end()
             continue
-        if node.dropped or (node is not core and _link_list(node)):
+        if node.dropped or (core.tag not in ("article", "main") and node is not core and _link_list(node)):
             if node.tag in BLOCK:
                 end()
             continue

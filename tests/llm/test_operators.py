@@ -358,3 +358,14 @@ def test_long_runs_are_read_whole():
     assert [len(w) for w in crf.text_words(run)] == [40, 40, 20] and "".join(crf.text_words(run)) == run
     model = crf.fit([("aa", ["ab" * 20]), ("bb", ["cd" * 20])] * 50)
     assert langid.predict(["ab" * 20 + "cd" * 100], model)[0] == ["bb"]
+
+
+def test_extract_takes_all_dense_neighbours():
+    from barwise.llm.pages import main_text
+
+    long = ["<p>" + f"{w} paragraph of the text that is long enough to be dense. " * 4 + "</p>" for w in ("First", "Second", "Third")]
+    page = f"<body><div>{long[0] * 3}</div><div><a href=a>by x</a> <a href=b>y</a></div><div>{long[1] * 2}</div><div>{long[2] * 2}</div></body>"
+    text = main_text(page)
+    assert [text.count(w) for w in ("First", "Second", "Third")] == [12, 8, 8]
+    text = main_text("<body><article><p>Text <math><mi>x</mi><annotation>TeX</annotation></math>.</p><ul><li><a>Ref one</a><li><a>Ref two</a><li><a>Ref three</a></ul></article></body>")
+    assert text == "Text x.\nRef one\nRef two\nRef three"

@@ -50,15 +50,18 @@ NAMES = frozenset(
     "cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion "
     "related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: words that make a class or id one of layout, and words that add nothing to a name
+LAYOUT = frozenset("has with without no left right".split())
+PLAIN = frozenset("area bar block box button buttons container content form icon icons item items link links list main page post posts section site top bottom wrap wrapper".split())
 #: what an article element may be instead of the article
 OTHER_ARTICLES = frozenset("ad advert advertisement comment comments promo related replies reply respond sponsored".split())
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag, parent, dropped=False):
-        self.tag, self.parent, self.parts, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag, parent, dropped=False, named=""):
+        self.tag, self.parent, self.parts, self.dropped, self.named = tag, parent, [], dropped or bool(named), "" if dropped else named
 
     def children(self):
         return [p for p in self.parts if not isinstance(p, str)]
@@ -71,18 +74,31 @@ def _attributes(text):
     return out
 
 
-def _named_away(tag, text):
-    """Whether attributes tell that the element is no part of the text."""
-    if not text or tag in ("html", "body", "main"):
+def _hidden(tag, found):
+    """Whether attributes tell that the element is not shown or has another role."""
+    if not found or tag in ("html", "body", "main"):
         return False
-    found = _attributes(text)
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    away = OTHER_ARTICLES if tag == "article" else NAMES
-    return bool(names.strip()) and not away.isdisjoint(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    return False
+
+
+def _name(tag, found):
+    """``sure`` if a class or id is the name of what is no text, ``maybe`` if such a word stands beside other words
+    (market-share), else nothing. Names of layout (has-sidebar) say nothing."""
+    if not found or tag in ("html", "body", "main"):
+        return ""
+    away, out = OTHER_ARTICLES if tag == "article" else NAMES, ""
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if away.isdisjoint(words) or not LAYOUT.isdisjoint(words):
+            continue
+        if words <= away | PLAIN:
+            return "sure"
+        out = "maybe"
+    return out
 
 
 def parse(source):
@@ -112,7 +128,8 @@ def parse(source):
             node = _close(node, root, frozenset(("p",)), AROUND_P)
         if tag in CLOSES:
             node = _close(node, root, *CLOSES[tag])
-        child = Node(tag, node, tag in DROPPED or _named_away(tag, attributes))
+        found = _attributes(attributes) if attributes else {}
+        child = Node(tag, node, tag in DROPPED or _hidden(tag, found), _name(tag, found))
         node.parts.append(child)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
@@ -140,6 +157,30 @@ def _ordered(root):
     return out
 
 
+def _weigh_names(order):
+    """A doubtful name drops an element only if most of its text is links; where no article or main element is left, no
+    name drops an element with most of the page's text outside links. ``order``: all nodes, parents first."""
+    if not any(n.named for n in order):
+        return
+    chars, links = {}, {}
+    for node in reversed(order):
+        gone = node.dropped and not node.named
+        inside = [] if gone else node.children()
+        own = 0 if gone else sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        chars[id(node)] = own + sum(chars[id(c)] for c in inside)
+        links[id(node)] = chars[id(node)] if node.tag == "a" else sum(links[id(c)] for c in inside)
+    for node in order:
+        if node.named == "maybe" and 2 * links[id(node)] <= chars[id(node)]:
+            node.dropped, node.named = False, ""
+    lost, whole = {}, chars[id(order[0])] - links[id(order[0])]
+    for node in order:
+        lost[id(node)] = node.dropped or (node.parent is not None and lost[id(node.parent)])
+    if not any(n.tag in ("article", "main") and not lost[id(n)] for n in order):
+        for node in order:
+            if node.named and 2 * (chars[id(node)] - links[id(node)]) > whole:
+                node.dropped, node.named = False, ""
+
+
 def _mark(root):
     """If every article or main element lies in something dropped, what holds one stays after all. A page header goes; the
     header of an article keeps its headings."""
@@ -147,8 +188,10 @@ def _mark(root):
     while todo:
         node = todo.pop()
         order.append(node)
-        lost[id(node)] = node.dropped or (node.parent is not None and lost[id(node.parent)])
         todo += node.children()
+    _weigh_names(order)
+    for node in order:
+        lost[id(node)] = node.dropped or (node.parent is not None and lost[id(node.parent)])
     articles = [n for n in order if n.tag in ("article", "main")]
     if articles and all(lost[id(n)] for n in articles):
         for node in articles:

@@ -369,3 +369,14 @@ def test_extract_takes_all_dense_neighbours():
     assert [text.count(w) for w in ("First", "Second", "Third")] == [12, 8, 8]
     text = main_text("<body><article><p>Text <math><mi>x</mi><annotation>TeX</annotation></math>.</p><ul><li><a>Ref one</a><li><a>Ref two</a><li><a>Ref three</a></ul></article></body>")
     assert text == "Text x.\nRef one\nRef two\nRef three"
+
+
+def test_extract_is_not_misled_by_names():
+    from barwise.llm.pages import main_text
+
+    text = "<p>" + "A paragraph of the text that is long enough to be dense. " * 4 + "</p>"
+    for name in ("class='content has-sidebar'", "id='page' class='with-footer'", "class='sidebar'", "class='no-comments'"):
+        assert main_text(f"<body><div {name}>{text * 3}</div></body>").count("A paragraph") == 12, name
+    for name, kept in (("market-share", 8), ("social-policy", 8), ("share", 4), ("cookie-notice", 4)):
+        assert main_text(f"<body><article>{text}<div class='{name}'>{text}</div></article></body>").count("A paragraph") == kept, name
+    assert main_text(f"<body><article>{text}<div class='post-share'><a>Tell friends</a></div></article></body>").count("Tell") == 0

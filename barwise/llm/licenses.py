@@ -21,7 +21,22 @@ _MARK = re.compile(r"<<\s*(optional|end|any\s+\d+\s+\d+)\s*>>")
 # Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Public license notices with markup.
+# License wording shared by templates.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of <<any 1 12>> to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+_ISC = "Permission to use, copy, modify, <<optional>>and<<end>> <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = (
+    _BSD + " <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
+    " in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = " Neither the name of <<any 1 16>> nor the names of <<any 1 6>> may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY <<any 1 16>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL <<any 1 16>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+
+# Public license notices and whole licenses with markup. The opening of a license is a notice of its own.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("cc-by-4.0", "Licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY 4.0 <<optional>>International<<end>> <<optional>>license<<end>>"),
@@ -32,9 +47,14 @@ TEMPLATES = [
     ("gpl-2.0", "licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version 2 <<optional>>of the License<<end>> <<optional>>or (at your option) any later version<<end>>"),
     ("gpl-3.0", "licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version 3 <<optional>>of the License<<end>> <<optional>>or (at your option) any later version<<end>>"),
     ("mit", "<<optional>>Released<<end>> under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of <<any 1 12>> to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mit-notice", _MIT),
+    ("mit", _MIT + " The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 1 16>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("isc-notice", _ISC),
+    ("isc", _ISC + " THE SOFTWARE IS PROVIDED AS IS AND <<any 1 16>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any 1 16>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"),
+    ("bsd-notice", _BSD),
+    ("bsd-2-clause", _BSD_2 + _BSD_END),
+    ("bsd-3-clause", _BSD_2 + "<<optional>>3<<end>>" + _BSD_NAMES + _BSD_END),
+    ("bsd-4-clause", _BSD_2 + "<<optional>>3<<end>> All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by <<any 1 20>> <<optional>>4<<end>>" + _BSD_NAMES + _BSD_END),
 ]
 
 

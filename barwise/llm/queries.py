@@ -64,8 +64,8 @@ def op7_license_scan(spark, sf_dir):
         F.array_min("base.first").alias("first_word"), F.array_max("base.first").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("labels"),
-        # a whole template was found, or only a phrase, or nothing
-        F.when(F.size("matches") > 0, 1.0).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
+        # a whole template was found, or only the opening of a license, or only a phrase, or nothing
+        F.when(F.exists("matches.label", lambda l: ~l.endswith("-notice")), 1.0).when(F.size("matches") > 0, 0.75).when(F.size("base") > 0, 0.5).otherwise(0.0).alias("score"),
     )
 
 

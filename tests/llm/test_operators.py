@@ -380,3 +380,14 @@ def test_extract_is_not_misled_by_names():
     for name, kept in (("market-share", 8), ("social-policy", 8), ("share", 4), ("cookie-notice", 4)):
         assert main_text(f"<body><article>{text}<div class='{name}'>{text}</div></article></body>").count("A paragraph") == kept, name
     assert main_text(f"<body><article>{text}<div class='post-share'><a>Tell friends</a></div></article></body>").count("Tell") == 0
+
+
+def test_licenses_are_whole_texts():
+    rules, plain = licenses.Automaton(licenses.TEMPLATES), lambda t: re.sub(r"<<any[^>]*>>", "the Example Authors", re.sub("<<(optional|end)>>", "", t))
+    labels = lambda t: {l for l, _, _ in rules.places(licenses.text_words(t))}
+    for label, text in licenses.TEMPLATES:
+        family = label.split("-")[0]
+        if family in ("mit", "isc", "bsd") and len(text) > 600:
+            assert labels(plain(text)) == {label, f"{family}-notice"}
+            assert labels(plain(text).replace("IN NO EVENT", "IN ANY EVENT")) == {f"{family}-notice"}
+            assert labels(plain(text)[:-60]) == {f"{family}-notice"}

@@ -36,3 +36,8 @@ def word_array(text):
 def row_key(*columns):
     """A 64-bit digest that, beside the identifier, tells rows of one identifier apart."""
     return F.xxhash64(*columns)
+
+
+def quoted(name):
+    """A column name as an expression reads it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barwise.llm import binary, decontaminate, exactdup, extract, langid, licenses, mixing, neardup, tokencount, urls
+from barwise.llm import bands, binary, decontaminate, exactdup, extract, langid, licenses, mixing, neardup, repair, tokencount, urls
 
 WEIGHTS, LIMIT = (5, 2, 1), 3.0
 END_ID, TOKEN_LIMIT = 2, 4096
@@ -87,6 +87,25 @@ def op10_url_filter(spark, sf_dir):
     )
 
 
+def op11_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.repair_digests(repair.damaged(conversations)).withColumnRenamed("digest", "repaired_sha256")
+    every = conversations.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    return joined.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in repair.STATS], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_quality_rules(spark, sf_dir):
+    judged = bands.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "verdict", "n_chunks", "n_bad_chunks",
+    )
+
+
 BUILDERS = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -98,6 +117,8 @@ BUILDERS = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL = {
@@ -108,4 +129,5 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """,
     "op4_mix_sources": mixing.oracle(WEIGHTS, LIMIT),
     "op8_decontaminate": decontaminate.ORACLE,
+    "op11_conversation_repair": repair.ORACLE,
 }

@@ -62,10 +62,11 @@ def compare(df, con, sql):
 
 def main(argv):
     from barwise.session import local_session
-    from barwise.plans import catalog
+    import __spark_entry__ as entry
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
-    names = argv[1:] or list(catalog.BUILDERS)
+    builders, sql = entry.queries(), entry.oracle_sql()
+    names = argv[1:] or list(builders)
     spark = local_session("oracle-check")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
@@ -73,9 +74,9 @@ def main(argv):
     for name in names:
         start = time.time()
         try:
-            df = catalog.BUILDERS[name](spark, sf_dir)
-            if name in catalog.SQL:
-                note = compare(df, con, catalog.SQL[name])
+            df = builders[name](spark, sf_dir)
+            if name in sql:
+                note = compare(df, con, sql[name])
             else:
                 note = "" if df.count() else "no rows"
         except Exception as e:  # report and go on

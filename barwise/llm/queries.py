@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barwise.llm import bands, binary, decontaminate, exactdup, extract, langid, licenses, mixing, neardup, repair, tokencount, urls
+from barwise.llm import bands, binary, decontaminate, exactdup, extract, langid, licenses, mixing, neardup, repair, tokencount, trie, urls
 
 WEIGHTS, LIMIT = (5, 2, 1), 3.0
 END_ID, TOKEN_LIMIT = 2, 4096
@@ -98,6 +98,14 @@ def op11_conversation_repair(spark, sf_dir):
     )
 
 
+def op12_prefix_trie(spark, sf_dir):
+    rows, members = trie.with_shared_heads(trie.turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(rows, members).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_words").alias("saved_tokens"),
+        F.col("ends").alias("ends_sha256"),
+    )
+
+
 def op13_quality_rules(spark, sf_dir):
     judged = bands.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -118,6 +126,7 @@ BUILDERS = {
     "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -130,4 +139,5 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
     "op4_mix_sources": mixing.oracle(WEIGHTS, LIMIT),
     "op8_decontaminate": decontaminate.ORACLE,
     "op11_conversation_repair": repair.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
 }

@@ -1,10 +1,10 @@
-"""Risk metrics of return series: single equities and weighted portfolios."""
+"""Risk metrics of return series."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE, TRADING_DAYS, Z_SCORES
-from barwise.functions.expr import ANNUAL, half_up, scalar
+from barwise.functions.expr import half_up
 from barwise.functions.percentiles import exact_percentiles, small_side
 
 METRICS = {
@@ -14,8 +14,9 @@ METRICS = {
 }
 
 
-def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2):
-    """Fifteen metrics per group of a return series (one row per group and date).
+def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2, periods=TRADING_DAYS, market=None):
+    """Fifteen metrics per group of a return series (one row per group and date), of which ``periods`` make a year. With the
+    name of a ``market`` return column also beta, alpha, treynor_ratio and information_ratio, on the dates that have one.
 
     A group is a ticker, a scenario or a portfolio: its rows are bounded by the calendar, so the
     running product and the final aggregation share one shuffle on ``by``. Groups with fewer than
@@ -25,7 +26,7 @@ def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2
     group = Window.partitionBy(*by)
     path = group.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     df = (
-        returns.select(*by, "date", F.col(ret).alias("_r"))
+        returns.select(*by, "date", F.col(ret).alias("_r"), *([F.col(market).alias("_m")] if market else []))
         .filter(r.isNotNull())
         .withColumns(
             {
@@ -43,6 +44,10 @@ def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2
     )
     loss = F.when(r < 0, r)
     n = F.count(r).cast("double")
+    m = F.col("_m")
+    against = {
+        "cov": F.covar_samp(r, m), "var": F.var_samp(m), "bm": F.avg(m) * periods, "te": F.stddev_samp(r - m) * periods**0.5,
+    } if market else {}
     agg = df.groupBy(*by).agg(
         F.count(r).alias("n"),
         (F.product(1 + r) - 1).alias("total_return"),
@@ -57,6 +62,7 @@ def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2
         F.min(r).alias("worst_day"),
         F.skewness(r).alias("g1"),
         F.kurtosis(r).alias("g2"),
+        *[a.alias(k) for k, a in against.items()],
     ).filter(F.col("n") >= min_obs)
 
     n = F.col("n").cast("double")
@@ -64,16 +70,16 @@ def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2
         {
             "annualised_return": F.pow(
                 1 + F.col("total_return"),
-                1 / F.greatest(n / TRADING_DAYS, F.lit(1.0)),
+                1 / F.greatest(n / periods, F.lit(1.0)),
             ) - 1,
-            "annualised_volatility": F.col("dev") * ANNUAL,
+            "annualised_volatility": F.col("dev") * periods**0.5,
             "var_95": F.col("mean") - Z_SCORES[0.95] * F.col("dev"),
             "var_99": F.col("mean") - Z_SCORES[0.99] * F.col("dev"),
         }
     )
     excess = F.col("annualised_return") - risk_free
     vol = F.col("annualised_volatility")
-    downside = F.when(F.col("n_down") > 1, F.col("down_dev") * ANNUAL).otherwise(vol)
+    downside = F.when(F.col("n_down") > 1, F.col("down_dev") * periods**0.5).otherwise(vol)
     ratio = lambda top, base: F.when(base > 0, F.try_divide(top, base)).otherwise(0.0)
     # Bias-corrected shape of the sample; a constant series has none.
     skew = F.when(
@@ -88,6 +94,14 @@ def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2
             F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)
         ),
     )
+    ann, bm, te = F.col("annualised_return"), F.col("bm"), F.col("te")
+    moves = F.col("var") > 0
+    beta = F.when(moves, F.try_divide(F.col("cov"), F.col("var")))
+    compared = [
+        beta.alias("beta"), (ann - (risk_free + beta * (bm - risk_free))).alias("alpha"),
+        F.try_divide(ann - risk_free, beta).alias("treynor_ratio"),
+        F.when(moves & (te > 0), F.try_divide(ann - bm, te)).alias("information_ratio"),
+    ] if market else []
     return agg.select(
         *by, "n",
         "total_return", "annualised_return", "annualised_volatility",
@@ -98,88 +112,18 @@ def risk_profile(returns, by, ret="daily_return", risk_free=RISK_FREE, min_obs=2
         "var_95",
         F.coalesce("tail_mean", "var_95").alias("cvar_95"),
         "var_99", "win_rate", "best_day", "worst_day",
-        skew.alias("skewness"), kurt.alias("kurtosis"), "mean",
+        skew.alias("skewness"), kurt.alias("kurtosis"), "mean", *compared,
     )
 
 
-def rounded(profile, by):
-    return profile.select(*by, *[half_up(c, d).alias(c) for c, d in METRICS.items()])
+def rounded(profile, by, digits=METRICS):
+    return profile.select(*by, *[half_up(c, d).alias(c) for c, d in digits.items()])
 
 
 def risk_metrics(returns, risk_free=RISK_FREE):
     return rounded(risk_profile(returns, ["ticker"], risk_free=risk_free), ["ticker"])
 
 
-def normalised_weights(returns, weights):
-    """``weights`` (ticker, weight) of the tickers that have returns, summing to 1; unknown tickers drop out."""
-    known = weights.join(returns.select("ticker").distinct(), "ticker", "left_semi")
-    return known.select("ticker", F.try_divide(F.col("weight"), scalar(known, F.sum("weight"))).alias("weight"))
-
-
-def portfolio_series(returns, weights):
-    """Daily weighted return on the dates where every known ticker has one. ``weights``: ticker, weight."""
-    held = normalised_weights(returns, weights)
-    return (
-        returns.filter(F.col("daily_return").isNotNull()).join(held, "ticker")
-        .groupBy("date")
-        .agg(F.sum(F.col("weight") * F.col("daily_return")).alias("daily_return"), F.count("weight").alias("n"))
-        .filter(F.col("n") == scalar(held, F.count("weight")))
-        .select("date", "daily_return")
-    )
-
-
-def portfolio_metrics(returns, weights, benchmark=None, risk_free=RISK_FREE):
-    """One row of portfolio metrics; with a ``benchmark`` (date, mkt_return) also beta, alpha,
-    Treynor and information ratio on the common dates."""
-    series = portfolio_series(returns, weights).withColumn("portfolio", F.lit("portfolio"))
-    base = risk_profile(series, ["portfolio"], risk_free=risk_free)
-    out = rounded(base, ["portfolio"]).drop("win_rate", "best_day", "worst_day", "skewness", "kurtosis")
-    # The holdings of one portfolio: an entry per ticker of the universe at most.
-    entries = F.sort_array(F.collect_list(F.struct("ticker", "weight")))
-    out = out.withColumn("weights", F.map_from_entries(normalised_weights(returns, weights).agg(entries).scalar()))
-    if benchmark is None:
-        return out
-    p, m = F.col("daily_return"), F.col("mkt_return")
-    # Both series hold one row per date.
-    joint = (
-        series.join(benchmark.filter(m.isNotNull()), "date")
-        .groupBy("portfolio")
-        .agg(
-            F.covar_samp(p, m).alias("cov"),
-            F.var_samp(m).alias("var"),
-            (F.avg(m) * TRADING_DAYS).alias("bm"),
-            (F.stddev_samp(p - m) * ANNUAL).alias("te"),
-        )
-    )
-    ann = F.col("annualised_return")
-    beta = F.when(F.col("var") > 0, F.try_divide(F.col("cov"), F.col("var")))
-    bm, te = F.col("bm"), F.col("te")
-    extra = (
-        base.select("portfolio", "annualised_return")
-        .join(joint, "portfolio", "left")
-        .select(
-            "portfolio",
-            half_up(beta, 4).alias("beta"),
-            half_up(ann - (risk_free + beta * (bm - risk_free)), 4).alias("alpha"),
-            half_up(F.try_divide(ann - risk_free, beta), 4).alias("treynor_ratio"),
-            half_up(
-                F.when((F.col("var") > 0) & (te > 0), F.try_divide(ann - bm, te)), 4
-            ).alias("information_ratio"),
-        )
-    )
-    return out.join(extra, "portfolio")
-
-
-def risk_bundle(returns, weights, risk_free=RISK_FREE):
-    """Metrics of the portfolio and of each held ticker, one row each."""
-    held = returns.join(weights.select("ticker").distinct(), "ticker", "left_semi")
-    parts = rounded(risk_profile(held, ["ticker"], risk_free=risk_free), ["ticker"])
-    whole = portfolio_series(returns, weights).withColumn("ticker", F.lit("PORTFOLIO"))
-    whole = rounded(risk_profile(whole, ["ticker"], risk_free=risk_free), ["ticker"])
-    weight = normalised_weights(returns, weights)
-    return parts.join(weight, "ticker", "left").unionByName(whole.withColumn("weight", F.lit(1.0)))
-
-
 def tail_risk(returns, by, levels=(0.95, 0.99), few=False):
     """Historical value at risk per level and expected shortfall at the first, per group.
 

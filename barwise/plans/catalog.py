@@ -10,7 +10,7 @@ from barwise import constants as K
 from barwise import schemas
 from barwise.functions.expr import half_up, pick
 from barwise.operators import (
-    cleanse, correlation, features, layers, market, measures, quality, risk, scenario, signals,
+    cleanse, correlation, features, layers, market, measures, portfolio, quality, risk, scenario, signals,
 )
 from barwise.plans import oracle as O
 from barwise.plans.frames import PROXY, Frames
@@ -736,63 +736,94 @@ def _(t):
     return risk.risk_metrics(t.returns)
 
 
-# A dense calendar for portfolios: the mean return of each ticker by month, so that all tickers share dates.
+# A shared calendar for portfolios: each ticker's daily returns compounded by month, twelve of which make a year. The SQL
+# is written from the definition: known weights scaled to 1, dates without a gap, weighted sum, then the metrics.
+PORTFOLIO_MONTHS = {
+    "monthly": """SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS date, product(1 + daily_return) - 1 AS r
+FROM ret_only GROUP BY ticker, date_trunc('month', date)""",
+    "stake": """SELECT ticker, weight_pct / sum(weight_pct) OVER () AS weight
+FROM univ WHERE ticker IN (SELECT DISTINCT ticker FROM ret_only)""",
+    "held": """SELECT 'portfolio' AS portfolio, date, sum(weight * r) AS r
+FROM monthly JOIN stake USING (ticker) GROUP BY date HAVING count(*) = (SELECT count(*) FROM stake)""",
+    "port": O.risk_sql("held", "portfolio", 12),
+    "mkt": "SELECT date, avg(r) AS mkt_return FROM monthly GROUP BY date",
+}
+# Two tickers that share trading days, by their daily returns; the third does not exist.
+PAIR = {"S00001": 3.0, "S00002": 1.0, "GHOST": 2.0}
 PORTFOLIO_DAYS = {
-    "monthly": "SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS date, avg(daily_return) AS daily_return FROM ret_only GROUP BY ALL",
-    "stake": "SELECT ticker, weight_pct / sum(weight_pct) OVER () AS weight FROM univ WHERE ticker IN (SELECT ticker FROM ret)",
+    "stake": "SELECT * FROM (VALUES ('S00001', 0.75::DOUBLE), ('S00002', 0.25::DOUBLE)) AS w(ticker, weight)",
     "held": """SELECT 'portfolio' AS portfolio, date, sum(weight * daily_return) AS r
-FROM monthly JOIN stake USING (ticker) GROUP BY date HAVING count(*) = (SELECT count(*) FROM stake)""",
+FROM ret_only JOIN stake USING (ticker) GROUP BY date HAVING count(*) = 2""",
     "port": O.risk_sql("held", "portfolio"),
-    "month_mkt": "SELECT date, avg(daily_return) AS mkt_return FROM monthly GROUP BY date",
+    "mkt": "SELECT date, avg(daily_return) AS mkt_return FROM ret_only GROUP BY date",
 }
-PORTFOLIO = ("total_return annualised_return annualised_volatility sharpe_ratio sortino_ratio "
-             "max_drawdown calmar_ratio var_95 cvar_95 var_99").split()
-AGAINST = "beta alpha treynor_ratio information_ratio".split()
+
+
+def _told(c):
+    """Compounded figures span many powers of ten: below a million six decimals are compared, above it nine digits."""
+    return F.when(F.abs(c) < 1e6, F.format_string("%.6f", c)).otherwise(F.format_string("%.8e", c)).alias(c)
+
+
+def _told_sql(c):
+    return f"CASE WHEN abs({c}) < 1e6 THEN printf('%.6f', {c} + 0.0) ELSE printf('%.8e', {c}) END AS {c}"
 
 
 def _digits(df, names):
-    """Compounded figures span many powers of ten, so nine significant digits of each are compared, as text."""
-    return df.select("portfolio", *[F.format_string("%.8e", c).alias(c) for c in names],
+    return df.select("portfolio", *[_told(c) for c in names],
                      F.format_string("%.4f", F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, w: a + w * w)).alias("concentration"),
                      F.size("weights").alias("n_held"))
 
 
 def _digits_sql(names):
-    return "portfolio, " + ", ".join(f"printf('%.8e', {c}) AS {c}" for c in names) + (
+    return "portfolio, " + ", ".join(_told_sql(c) for c in names) + (
         ", (SELECT printf('%.4f', sum(weight * weight)) FROM stake) AS concentration"
         ", (SELECT CAST(count(*) AS INTEGER) FROM stake) AS n_held")
 
 
-@q("portfolio_metrics", None, f"SELECT {_digits_sql(PORTFOLIO)} FROM port", PORTFOLIO_DAYS)
+def _against_sql(periods):
+    """Beta and what follows from it on the dates that the benchmark has."""
+    return f"""
+SELECT {_digits_sql([*portfolio.LONG_RUN, *portfolio.AGAINST])} FROM (SELECT port.*, ROUND(b, 4) AS beta,
+  ROUND(ann - (0.05 + b * (bm - 0.05)), 4) AS alpha, ROUND((ann - 0.05) / NULLIF(b, 0), 4) AS treynor_ratio,
+  ROUND(CASE WHEN te > 0 THEN (ann - bm) / te END, 4) AS information_ratio
+FROM port CROSS JOIN (SELECT covar_samp(r, mkt_return) / var_samp(mkt_return) AS b, avg(mkt_return) * {periods} AS bm,
+    stddev_samp(r - mkt_return) * sqrt({periods}.0) AS te FROM held JOIN mkt ON held.date = mkt.date) x
+CROSS JOIN (SELECT pow(product(1 + r), 1 / greatest(count(*) / {periods}.0, 1.0)) - 1 AS ann FROM held) y) z"""
+
+
+@q("portfolio_metrics", None, f"SELECT {_digits_sql(portfolio.LONG_RUN)} FROM port", PORTFOLIO_MONTHS)
 def _(t):
-    return _digits(risk.portfolio_metrics(t.monthly_returns, _weights(t)), PORTFOLIO)
+    return _digits(portfolio.metrics(t.monthly_returns, _weights(t), periods=12), portfolio.LONG_RUN)
 
 
-@q("portfolio_vs_benchmark", None, f"""
-SELECT {_digits_sql(PORTFOLIO + AGAINST)} FROM (SELECT port.*, ROUND(b, 4) AS beta,
-  ROUND(ann - (0.05 + b * (bm - 0.05)), 4) AS alpha, ROUND((ann - 0.05) / NULLIF(b, 0), 4) AS treynor_ratio,
-  ROUND(CASE WHEN te > 0 THEN (ann - bm) / te END, 4) AS information_ratio
-FROM port CROSS JOIN (SELECT covar_samp(r, mkt_return) / var_samp(mkt_return) AS b, avg(mkt_return) * 252 AS bm,
-    stddev_samp(r - mkt_return) * {O.ANN} AS te FROM held JOIN month_mkt ON held.date = month_mkt.date) x
-CROSS JOIN (SELECT pow(product(1 + r), 1 / greatest(count(*) / 252.0, 1.0)) - 1 AS ann FROM held) y) z""",
-   PORTFOLIO_DAYS)
+@q("portfolio_vs_benchmark", None, _against_sql(12), PORTFOLIO_MONTHS)
 def _(t):
     benchmark = features.market_returns(t.monthly_returns)
-    return _digits(risk.portfolio_metrics(t.monthly_returns, _weights(t), benchmark=benchmark), PORTFOLIO + AGAINST)
+    found = portfolio.metrics(t.monthly_returns, _weights(t), benchmark=benchmark, periods=12)
+    return _digits(found, [*portfolio.LONG_RUN, *portfolio.AGAINST])
+
+
+@q("portfolio_daily", None, _against_sql(252), PORTFOLIO_DAYS)
+def _(t):
+    """A holding that shares trading days, on these days alone."""
+    weights = t.spark.createDataFrame(list(PAIR.items()), "ticker string, weight double")
+    found = portfolio.metrics(t.returns, weights, benchmark=features.market_returns(t.returns.filter("daily_return IS NOT NULL")))
+    return _digits(found, [*portfolio.LONG_RUN, *portfolio.AGAINST])
 
 
-BUNDLE = PORTFOLIO + "win_rate best_day worst_day skewness kurtosis".split()
+BUNDLE = portfolio.LONG_RUN + "win_rate best_day worst_day skewness kurtosis".split()
 
 
-@q("portfolio_risk_bundle", None, "SELECT b.ticker, " + ", ".join(f"printf('%.8e', {c}) AS {c}" for c in BUNDLE) + """,
+@q("portfolio_risk_bundle", None, "SELECT b.ticker, " + ", ".join(_told_sql(c) for c in BUNDLE) + """,
   ROUND(coalesce(weight, 1.0), 6) AS weight
 FROM (SELECT * FROM one_by_one UNION ALL SELECT * FROM port) b LEFT JOIN stake ON b.ticker = stake.ticker""", {
-    **PORTFOLIO_DAYS,
-    "one_by_one": O.risk_sql("(SELECT ticker, date, daily_return AS r FROM monthly WHERE ticker IN (SELECT ticker FROM stake))", "ticker"),
-    "port": O.risk_sql("(SELECT 'PORTFOLIO' AS ticker, date, r FROM held)", "ticker")})
+    **PORTFOLIO_MONTHS,
+    "one_by_one": O.risk_sql("(SELECT ticker, date, daily_return AS r FROM ret_only WHERE ticker IN (SELECT ticker FROM stake))", "ticker"),
+    "port": O.risk_sql("(SELECT 'PORTFOLIO' AS ticker, date, r FROM held)", "ticker", 12)})
 def _(t):
-    found = risk.risk_bundle(t.monthly_returns, _weights(t))
-    return found.select("ticker", *[F.format_string("%.8e", c).alias(c) for c in BUNDLE], half_up("weight", 6).alias("weight"))
+    path = portfolio.series(portfolio.holding(t.monthly_returns, _weights(t)))
+    found = portfolio.bundle(t.returns, _weights(t), path, path_periods=12)
+    return found.select("ticker", *[_told(c) for c in BUNDLE], half_up("weight", 6).alias("weight"))
 
 
 @q("sector_var", "sector, var_90:6, var_95:6, var_99:6, cvar_90:6", """

@@ -4,7 +4,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from barwise.operators import cleanse, features, layers, market
+from barwise.operators import cleanse, features, layers, market, portfolio
 from barwise.sources import derived
 
 PROXY = "S00000"
@@ -80,12 +80,8 @@ class Frames:
 
     @cached_property
     def monthly_returns(self):
-        """Each ticker's mean daily return by month: a calendar that all tickers share, unlike their sparse trading days."""
-        return (
-            self.returns.filter("daily_return IS NOT NULL")
-            .groupBy("ticker", F.trunc("date", "month").alias("date"))
-            .agg(F.avg("daily_return").alias("daily_return"))
-        )
+        """Each ticker's compounded return by month: a calendar that all tickers share, unlike their sparse trading days."""
+        return portfolio.compound(self.returns, "month")
 
     @cached_property
     def latest_betas(self):

@@ -250,8 +250,8 @@ def asof_sql():
     return f"SELECT ticker, any_value(sector) AS sector, {', '.join(cells)} FROM bars GROUP BY ticker"
 
 
-def risk_sql(source, by):
-    """Fifteen metrics per group over (by, date, r)."""
+def risk_sql(source, by, periods=252):
+    """Fifteen metrics per group over (by, date, r), of which ``periods`` make a year."""
     g, path = f"PARTITION BY {by}", f"PARTITION BY {by} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     return f"""
 SELECT {by}, ROUND(tot, 6) AS total_return, ROUND(ann, 6) AS annualised_return,
@@ -263,8 +263,8 @@ SELECT {by}, ROUND(tot, 6) AS total_return, ROUND(ann, 6) AS annualised_return,
   ROUND(m - 1.6449 * s, 6) AS var_95, ROUND(coalesce(tail, m - 1.6449 * s), 6) AS cvar_95,
   ROUND(m - 2.3263 * s, 6) AS var_99, ROUND(wins, 4) AS win_rate, ROUND(best, 6) AS best_day,
   ROUND(worst, 6) AS worst_day, ROUND(sk, 4) AS skewness, ROUND(ku, 4) AS kurtosis
-FROM (SELECT *, pow(1 + tot, 1 / greatest(n / 252.0, 1.0)) - 1 AS ann, s * {ANN} AS vol,
-    CASE WHEN n_down > 1 THEN s_down * {ANN} ELSE s * {ANN} END AS down
+FROM (SELECT *, pow(1 + tot, 1 / greatest(n / {periods}.0, 1.0)) - 1 AS ann, s * sqrt({periods}.0) AS vol,
+    CASE WHEN n_down > 1 THEN s_down * sqrt({periods}.0) ELSE s * sqrt({periods}.0) END AS down
   FROM (SELECT {by}, count(r) AS n, product(1 + r) - 1 AS tot, avg(r) AS m, stddev_samp(r) AS s,
       stddev_samp(r) FILTER (r < 0) AS s_down, count(r) FILTER (r < 0) AS n_down,
       min((cum - peak) / peak) AS mdd, avg(r) FILTER (r <= gm - 1.6449 * gs) AS tail,

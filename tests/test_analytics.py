@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwise.functions.percentiles import exact_percentiles
-from barwise.operators import correlation, market, measures, risk, scenario, signals
+from barwise.operators import correlation, market, measures, portfolio, risk, scenario, signals
 
 RNG = np.random.default_rng(7)
 
@@ -86,19 +86,42 @@ def test_portfolio_ignores_unknown_and_normalises(make_returns, spark):
     a[3] = np.nan
     df = make_returns({"A": [None if np.isnan(x) else x for x in a], "B": list(b)})
     held = weights_table(spark, {"A": 3.0, "B": 1.0, "GHOST": 5.0})
-    got = risk.portfolio_metrics(df, held).first()
+    got = portfolio.metrics(df, held).first()
     want = reference_metrics(pd.Series(0.75 * a + 0.25 * b))
     assert got.total_return == pytest.approx(want["total_return"], abs=1e-6)
     assert got.max_drawdown == pytest.approx(want["max_drawdown"], abs=1e-6)
     assert got.weights == {"A": 0.75, "B": 0.25}
-    bundle = {r.ticker: r.weight for r in risk.risk_bundle(df, held).collect()}
+    path = portfolio.series(portfolio.holding(df, held))
+    bundle = {r.ticker: r.weight for r in portfolio.bundle(df, held, path).collect()}
     assert bundle == {"A": 0.75, "B": 0.25, "PORTFOLIO": 1.0}
 
 
+def test_bundle_keeps_the_days_of_each_ticker(make_returns, spark):
+    """Ticker rows are those of the daily returns, whatever days the tickers share; the portfolio row is compounded."""
+    a, b = list(RNG.normal(0, 0.01, 200)), list(RNG.normal(0, 0.01, 200))
+    a[7], b[8] = 0.9, -0.8
+    df = make_returns({"A": [x if i % 2 else None for i, x in enumerate(a)], "B": [x if i % 2 == 0 else None for i, x in enumerate(b)], "C": [0.5] * 3})
+    held = weights_table(spark, {"A": 1.0, "B": 3.0, "GHOST": 9.0})
+    months = portfolio.compound(df)
+    got = {r.ticker: r.asDict() for r in portfolio.bundle(df, held, portfolio.series(portfolio.holding(months, held)), 12).collect()}
+    own = {r.ticker: r.asDict() for r in risk.risk_metrics(df).collect()}
+    assert set(got) == {"A", "B", "PORTFOLIO"}
+    for t in "AB":
+        assert {k: v for k, v in got[t].items() if k != "weight"} == own[t]
+    assert got["A"]["best_day"] == pytest.approx(0.9) and got["B"]["worst_day"] == pytest.approx(-0.8)
+    frame = df.toPandas().dropna()
+    frame["month"] = pd.to_datetime(frame["date"]).dt.to_period("M")
+    wide = frame.groupby(["month", "ticker"])["daily_return"].apply(lambda r: (1 + r).prod() - 1).unstack()
+    r = 0.25 * wide["A"] + 0.75 * wide["B"]
+    years = max(len(r) / 12, 1)
+    assert got["PORTFOLIO"]["annualised_return"] == pytest.approx((1 + r).prod() ** (1 / years) - 1, abs=1e-6)
+    assert got["PORTFOLIO"]["annualised_volatility"] == pytest.approx(r.std() * 12**0.5, abs=1e-6)
+
+
 def test_equal_weights_over_the_universe(make_returns, spark):
     m = RNG.normal(0.0005, 0.01, (252, 40))
     df = make_returns({f"T{i:03d}": list(m[:, i]) for i in range(40)})
-    got = risk.portfolio_metrics(df, weights_table(spark, {f"T{i:03d}": 1.0 for i in range(40)})).first()
+    got = portfolio.metrics(df, weights_table(spark, {f"T{i:03d}": 1.0 for i in range(40)})).first()
     want = reference_metrics(m.mean(axis=1))
     for k in ("total_return", "annualised_return", "annualised_volatility", "sharpe_ratio", "max_drawdown", "var_95", "cvar_95"):
         assert got[k] == pytest.approx(want[k], abs=1.1 * 10 ** -risk.METRICS[k]), k
@@ -108,14 +131,14 @@ def test_equal_weights_over_the_universe(make_returns, spark):
 def test_extreme_returns_are_kept(make_returns, spark):
     """Moves beyond one half count like any other."""
     xs = [0.9, -0.6, 2.5, 0.01, -0.7] * 10
-    got = risk.portfolio_metrics(make_returns({"A": xs}), weights_table(spark, {"A": 1.0})).first()
+    got = portfolio.metrics(make_returns({"A": xs}), weights_table(spark, {"A": 1.0})).first()
     assert got.total_return == pytest.approx(reference_metrics(xs)["total_return"], rel=1e-5)
 
 
 def test_portfolio_against_itself(make_returns, spark):
     df = make_returns({"A": list(RNG.normal(0.001, 0.01, 252))})
     bench = df.select("date", F.col("daily_return").alias("mkt_return"))
-    got = risk.portfolio_metrics(df, weights_table(spark, {"A": 1.0}), benchmark=bench).first()
+    got = portfolio.metrics(df, weights_table(spark, {"A": 1.0}), benchmark=bench).first()
     assert got.beta == pytest.approx(1.0) and got.information_ratio is None
 
 

@@ -1,10 +1,10 @@
 """Data-quality checks as one report table.
 
-Row-level checks share a single aggregation. Duplicates and price moves need rows grouped by key:
-repeated rows are first collapsed to counts per (ticker, date, close), so copies of a key never
-gather in one task.
+Row-level checks share a single aggregation, which can also run as an observation of rows being written. Duplicates and
+price moves need rows grouped by key: rows are first summed by day and price step, so a key never gathers in one task.
 """
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Window
@@ -65,32 +65,35 @@ def _fail_if(condition, bad="FAIL"):
     return F.when(condition, bad).otherwise("PASS")
 
 
-def quality_checks(df, layer, config=None, null_columns=None, as_of=None):
-    """One row per check. ``as_of`` (a timestamp) replaces the clock in the freshness check."""
-    cfg = config or QualityConfig()
-    have = set(df.columns)
-    nulls = [c for c in (null_columns or df.columns) if c in have]
-    ranges = {c: r for c, r in cfg.ranges.items() if c in have}
-    prices = {"open", "high", "low", "close"} <= have
-
-    base = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("date").alias("max_date") if "date" in have else F.lit(None).cast("date").alias("max_date"),
-        (count_if(inconsistent()) if prices else F.count(F.lit(None))).alias("bad_prices"),
-        *[count_if(F.col(c).isNull()).alias(f"null_{c}") for c in nulls],
-        *[count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"range_{c}") for c, (lo, hi) in ranges.items()],
-    )
+def row_measures(columns, cfg, null_columns=None, where=None):
+    """What the row-level checks count, as named aggregates over one scan: also fit for ``DataFrame.observe``. ``where``
+    limits them to some rows."""
+    have = set(columns)
+    keep = F.lit(True) if where is None else where
+    out = {"n": count_if(keep), "max_date": F.max(F.when(keep, F.col("date"))) if "date" in have else F.max(F.lit(None).cast("date"))}
+    if {"open", "high", "low", "close"} <= have:
+        out["bad_prices"] = count_if(keep & inconsistent())
+    for c in null_columns or columns:
+        if c in have:
+            out[f"null_{c}"] = count_if(keep & F.col(c).isNull())
+    for c, (lo, hi) in cfg.ranges.items():
+        if c in have:
+            out[f"range_{c}"] = count_if(keep & ((F.col(c) < lo) | (F.col(c) > hi)))
+    return out
+
+
+def row_checks(base, columns, cfg, as_of=None):
+    """The row-level checks from one row of measures."""
+    have = set(columns)
+    nulls = [c.removeprefix("null_") for c in base.columns if c.startswith("null_")]
+    ranges = [c.removeprefix("range_") for c in base.columns if c.startswith("range_")]
+    prices = "bad_prices" in base.columns
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
 
     rates = {c: F.col(f"null_{c}") / n for c in nulls}
-    breached = F.filter(
-        F.array(*[F.when(rates[c] > cfg.null_threshold, F.lit(c)) for c in nulls]),
-        lambda c: c.isNotNull(),
-    ) if nulls else F.expr(NO_COLUMNS)
-    outside = F.filter(
-        F.array(*[F.when(F.col(f"range_{c}") > 0, F.lit(c)) for c in ranges]),
-        lambda c: c.isNotNull(),
-    ) if ranges else F.expr(NO_COLUMNS)
+    named = lambda found: F.filter(F.array(*found), lambda c: c.isNotNull()) if found else F.expr(NO_COLUMNS)
+    breached = named([F.when(rates[c] > cfg.null_threshold, F.lit(c)) for c in nulls])
+    outside = named([F.when(F.col(f"range_{c}") > 0, F.lit(c)) for c in ranges])
     worst = F.array_max(F.array(*rates.values())) if nulls else F.lit(0.0)
     missing = [c for c in cfg.required if c not in have]
     missing_cols = F.array(*[F.lit(c) for c in missing]) if missing else F.expr(NO_COLUMNS)
@@ -98,48 +101,73 @@ def quality_checks(df, layer, config=None, null_columns=None, as_of=None):
     hours = (F.unix_timestamp(now) - F.unix_timestamp(F.col("max_date").cast("timestamp"))) / 3600.0
 
     few = F.col("n") < cfg.min_rows
+    bad = F.col("bad_prices") if prices else F.lit(0)
     checks = [
         _check("row_count", _fail_if(few), F.col("n"), cfg.min_rows, F.when(few, F.col("n")).otherwise(0),
                detail=F.format_string("%d rows", F.col("n"))),
         _check("required_columns", F.lit("FAIL" if missing else "PASS"), columns=missing_cols),
         _check("null_rates", _fail_if(F.size(breached) > 0), worst, cfg.null_threshold, columns=breached),
         _check("numeric_ranges", _fail_if(F.size(outside) > 0), columns=outside),
-        _check("ohlc_consistency", _fail_if(F.col("bad_prices") > 0),
-               F.col("bad_prices") if prices else None, affected=F.col("bad_prices")),
+        _check("ohlc_consistency", _fail_if(bad > 0), bad if prices else None, affected=bad),
         _check("freshness", _fail_if(F.coalesce(hours > cfg.freshness_hours, F.lit(False)), "WARN"),
                half_up(hours, 1), cfg.freshness_hours),
     ]
-    report = base.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
-    if {"ticker", "date"} <= have:
-        report = report.unionByName(_keyed_checks(df, cfg, have))
+    return base.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+
+
+def quality_checks(df, layer, config=None, null_columns=None, as_of=None):
+    """One row per check. ``as_of`` (a timestamp) replaces the clock in the freshness check."""
+    cfg = config or QualityConfig()
+    base = df.agg(*[a.alias(k) for k, a in row_measures(df.columns, cfg, null_columns).items()])
+    report = row_checks(base, df.columns, cfg, as_of)
+    if {"ticker", "date"} <= set(df.columns):
+        report = report.unionByName(keyed_checks(df, cfg))
     return report.select(F.lit(layer).alias("layer"), "*")
 
 
-def _keyed_checks(df, cfg, have):
-    moves = "daily_return" in have
-    # Without returns or closes no move can be found and the check passes.
-    value = F.col("daily_return") if moves else F.col("close") if "close" in have else F.lit(None)
-    counted = df.groupBy("ticker", "date", value.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    # Among a ticker's distinct values in date order; equal neighbours have no move between them.
-    w = Window.partitionBy("ticker").orderBy("date", "v")
-    move = F.col("v") if moves else change("v", F.lag("v").over(w))
-    weight = F.col("n") if moves else F.lit(1)
-    # Closes that repeat add rows without a move, so only the first of them counts.
-    rows = counted.withColumn("move", move).withColumn(
-        "first", F.row_number().over(w.partitionBy("ticker", "date")) == 1
+def close_moves(df, limit):
+    """ticker, date, n (rows) and moves: how often a ticker's close, in the order of (date, close), changes by more than
+    ``limit`` from one distinct value to the next.
+
+    Rows are first summed by (ticker, date, step of a geometric scale); a step is so narrow that no extreme move fits into
+    it, so its smallest and largest close say all. A ticker with any number of rows thus leaves every map task as one row a
+    day and step, and the two windows below see days and steps, not rows.
+    """
+    v = F.col("close").cast("double")
+    steps = math.ceil(2 / math.log2(1 + limit))
+    scale = F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * steps) + 2000 * steps))
+    day = df.groupBy("ticker", "date", scale.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"))
+    before = F.lag("high").over(Window.partitionBy("ticker", "date").orderBy(F.col("low").asc_nulls_first()))
+    far = lambda new, old: F.coalesce(F.abs(change(new, old)) > limit, F.lit(False))
+    days = day.withColumn("before", before).groupBy("ticker", "date").agg(
+        F.sum("n").alias("n"), count_if(far("low", "before")).alias("inside"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.max(F.col("low").isNull()).alias("unknown"),
     )
-    total = F.greatest(F.sum("n"), F.lit(1)).cast("double")
-    agg = rows.agg(
-        F.sum("n").alias("n"),
-        count_if(F.col("first")).alias("keys"),
-        F.coalesce(F.sum(F.when(F.abs("move") > cfg.move_limit, weight)), F.lit(0)).alias("extreme"),
-        total.alias("total"),
+    # An unknown close comes first in its day and breaks the chain from the day before.
+    last = F.lag("high").over(Window.partitionBy("ticker").orderBy("date"))
+    days = days.withColumn("last", last)
+    return days.select("ticker", "date", "n", (F.col("inside") + (~F.col("unknown") & far("low", "last")).cast("long")).alias("moves"))
+
+
+def keyed_checks(df, cfg):
+    """Duplicates and extreme moves of rows keyed by (ticker, date). Given returns are judged row by row; of closes, the
+    moves between neighbours; without either no move can be found and the check passes."""
+    have = set(df.columns)
+    n = F.count(F.lit(1)).alias("n")
+    if "daily_return" in have:
+        extreme = count_if(F.abs("daily_return") > cfg.move_limit)
+        keys = df.groupBy("ticker", "date").agg(n, extreme.alias("moves"))
+    elif "close" in have:
+        keys = close_moves(df, cfg.move_limit)
+    else:
+        keys = df.groupBy("ticker", "date").agg(n).withColumn("moves", F.lit(0))
+    agg = keys.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("moves"), F.lit(0)).alias("extreme"),
     )
-    share = F.coalesce(F.col("extreme") / F.col("total"), F.lit(0.0))
-    repeats = F.coalesce(F.col("n") - F.col("keys"), F.lit(0))
+    share = F.col("extreme") / F.greatest(F.col("n"), F.lit(1)).cast("double")
+    repeats = F.col("n") - F.col("keys")
     checks = [
-        _check("price_moves", _fail_if(share > cfg.move_share, "WARN"), share, cfg.move_limit,
-               F.col("extreme")),
+        _check("price_moves", _fail_if(share > cfg.move_share, "WARN"), share, cfg.move_limit, F.col("extreme")),
         _check("duplicates", _fail_if(repeats > 0), repeats, affected=repeats),
     ]
     return agg.select(F.explode(F.array(*checks)).alias("c")).select("c.*")

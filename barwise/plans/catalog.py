@@ -10,7 +10,7 @@ from barwise import constants as K
 from barwise import schemas
 from barwise.functions.expr import half_up, pick
 from barwise.operators import (
-    cleanse, correlation, features, layers, market, measures, portfolio, quality, risk, scenario, signals,
+    cleanse, correlation, features, layers, market, measures, portfolio, publish, quality, risk, scenario, signals,
 )
 from barwise.plans import oracle as O
 from barwise.plans.frames import PROXY, Frames
@@ -1007,13 +1007,16 @@ def _(t):
     return t.layers["gold"]
 
 
-@q("sector_scenario_agg", None, f"""
+SECTOR_AGG_SQL = f"""
 SELECT sector, market_scenario, count(DISTINCT ticker) AS n_equities, ROUND(avg(daily_return) * 252, 4) AS avg_return_ann,
   ROUND(stddev_samp(daily_return) * {O.ANN}, 4) AS volatility_ann,
   ROUND(count(*) FILTER (daily_return > 0) / CAST(count(*) AS DOUBLE), 4) AS win_rate, ROUND(avg(rsi_14), 4) AS avg_rsi,
   ROUND(avg(vol_20d), 4) AS avg_vol_20d,
   ROUND((avg(daily_return) * 252 - 0.05) / CASE WHEN stddev_samp(daily_return) = 0 THEN 1e-8 ELSE stddev_samp(daily_return) * {O.ANN} END, 4) AS sharpe
-FROM gold WHERE daily_return IS NOT NULL GROUP BY sector, market_scenario""")
+FROM gold WHERE daily_return IS NOT NULL GROUP BY sector, market_scenario"""
+
+
+@q("sector_scenario_agg", None, SECTOR_AGG_SQL)
 def _(t):
     return t.layers["sector_agg"]
 
@@ -1110,8 +1113,25 @@ UNION ALL SELECT 2, 'silver', (SELECT count(*) FROM bronze), (SELECT count(*) FR
 UNION ALL SELECT 3, 'features', (SELECT count(*) FROM silver), (SELECT count(*) FROM silver), 100
 UNION ALL SELECT 4, 'gold', (SELECT count(*) FROM silver), (SELECT count(*) FROM silver), g FROM scored"""})
 def _(t):
-    config = quality.QualityConfig(min_rows=100, strict=False)
-    return layers.layer_audit(t.text_bars, t.layers, config, as_of=DQ_AS_OF)
+    """A lenient run over faulty bars: every layer is computed once, as it is written, and scored."""
+    return _gated(t, t.text_bars, strict=False).audit()
+
+
+def _gated(t, text, strict):
+    config = quality.QualityConfig(min_rows=100, strict=strict)
+    return publish.Run(t.spark, files.shared_folder(t.spark), config, DQ_AS_OF).go(text, publish.bar_steps())
+
+
+@q("gated_gold", "ticker, date, close, market_scenario, signal_score:1, year, quarter", "SELECT {cols} FROM gold")
+def _(t):
+    return _gated(t, t.text_bars, strict=False).layer("gold")
+
+
+@q("gated_sector_agg", None, SECTOR_AGG_SQL, {"bronze": "SELECT ticker, date, open, high, low, close, volume, sector FROM bars"})
+def _(t):
+    """A strict run over bars without planted faults, through every gate."""
+    text = t.bars.select(*[F.col(c).cast("string").alias(c) for c in t.bars.columns])
+    return _gated(t, text, strict=True).layer("sector_agg")
 
 
 @q("sql_over_views", "sector, n_days, avg_return:6, worst:6", """

@@ -27,9 +27,10 @@ def read_csv(spark, path, schema):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def write_parquet(df, path, partition_by=(), files_per_partition=1):
+def write_parquet(df, path, partition_by=(), files_per_partition=1, observe=None):
     """Overwrite ``path``. With ``partition_by``, rows of one partition value are spread over
-    ``files_per_partition`` tasks, so a value holding most rows does not land in one task."""
+    ``files_per_partition`` tasks, so a value holding most rows does not land in one task. ``observe``: an Observation and
+    its aggregates by name, taken of the rows as they are written."""
     if partition_by:
         if files_per_partition > 1:
             spread = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
@@ -37,6 +38,10 @@ def write_parquet(df, path, partition_by=(), files_per_partition=1):
         else:
             # An optimizer hint: adaptive execution splits oversized partition values by itself.
             df = df.hint("rebalance", *partition_by)
+    if observe is not None:
+        # Above the shuffle, so that it runs in the writing tasks, each of which counts once however often it is retried.
+        observation, aggregates = observe
+        df = df.observe(observation, *[a.alias(k) for k, a in aggregates.items()])
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -66,6 +71,13 @@ def register_views(**frames):
         df.createOrReplaceTempView(name)
 
 
+def stored(df):
+    """Write ``df`` to a fresh shared folder and read it back: it is computed once and its lineage ends there."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark):
     """A fresh folder all executors can reach.
 

@@ -1,11 +1,14 @@
 import datetime as dt
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from barwise import schemas
-from barwise.operators import cleanse, layers, quality
+from barwise.operators import cleanse, publish, quality
 from barwise.sources import files
+from conftest import SF
 
 D = dt.date(2020, 1, 1)
 
@@ -138,15 +141,57 @@ def test_a_hot_key_collapses_before_grouping(spark, make_bars):
     assert checks(df)["duplicates"].affected_rows == 19999
 
 
-def test_layers_are_checked(spark, make_bars):
+def test_layers_are_gated(spark, make_bars, tmp_path):
     """Half of the closes missing: the strict run stops at bronze, the lenient one scores every layer."""
     bars = make_bars({t: [None if i % 2 else 10.0 + i % 7 for i in range(300)] for t in "AB"})
     text = bars.select(*[F.col(c).cast("string").alias(c) for c in bars.columns])
+    strict = publish.Run(spark, str(tmp_path / "strict"), as_of="2020-10-27")
     with pytest.raises(quality.QualityError, match="bronze.*null_rates"):
-        layers.checked_medallion(text, min_days=50, as_of="2020-10-27")
-    lenient = quality.QualityConfig(strict=False)
-    got = layers.checked_medallion(text, min_days=50, config=lenient, as_of="2020-10-27")
-    audit = {r.layer: r for r in layers.layer_audit(text, got, lenient, as_of="2020-10-27").collect()}
+        strict.go(text, publish.bar_steps(50))
+    assert strict.published == {} and sorted(os.listdir(tmp_path / "strict")) == ["bronze", "raw"]  # written, not published
+    lenient = publish.Run(spark, str(tmp_path / "lenient"), quality.QualityConfig(strict=False), "2020-10-27").go(text, publish.bar_steps(50))
+    audit = {r.layer: r for r in lenient.audit().collect()}
     assert audit["bronze"].quality_score == 90.0 and audit["features"].quality_score == 100.0
     assert audit["silver"].records_in == audit["bronze"].records_out == 600 and audit["silver"].records_out == 300
     assert audit["total"].records_in == 600 + 600 + 300 + 300
+    assert lenient.layer("gold").count() == 300
+
+
+def test_a_fault_planted_in_a_query_raises(spark, monkeypatch):
+    """The gated query stops at the layer in which the fault shows, and later layers are never built."""
+    from barwise.plans import catalog
+
+    built = []
+    clean = publish.bar_steps
+
+    def faulty(min_days=252):
+        steps = clean(min_days)
+        silver = steps[1].build
+        steps[1].build = lambda b: silver(b).withColumn("close", F.when(F.col("date") != "1995-06-01", F.col("close") * -1).otherwise(F.col("close")))
+        gold = steps[3].build
+        steps[3].build = lambda f: built.append(1) or gold(f)
+        return steps
+
+    monkeypatch.setattr(publish, "bar_steps", faulty)
+    with pytest.raises(quality.QualityError, match="silver.*numeric_ranges"):
+        catalog.BUILDERS["gated_sector_agg"](spark, SF)
+    assert built == []
+
+
+def test_moves_of_a_dominating_ticker(spark):
+    """A ticker with nearly all rows and many closes a day is summed before it is shuffled; the count is exact."""
+    rng = random.Random(8)
+    rows = [("HOT", dt.date(2020, 1, 1 + i % 9), rng.choice([0.0, None, -3.0, 1e-9, *[rng.uniform(0.5, 50) for _ in range(6)]])) for i in range(4000)]
+    rows += [(t, dt.date(2020, 1, d), c) for t in "AB" for d, c in enumerate([5.0, 8.0, 2.0, None, 2.0, 7.0], 1)]
+    for limit in (0.5, 0.01, 3.0):
+        want = 0
+        for t in {r[0] for r in rows}:
+            chain = sorted(((d, c is not None, c or 0.0) for k, d, c in rows if k == t))
+            chain = [c if known else None for _, known, c in dict.fromkeys(chain)]
+            want += sum(a is not None and b is not None and a != 0 and abs((b - a) / a) > limit for a, b in zip(chain, chain[1:]))
+        df = spark.createDataFrame(rows, "ticker string, date date, close double").repartition(8)
+        moves = quality.close_moves(df, limit)
+        assert moves.agg(F.sum("moves")).first()[0] == want and moves.agg(F.sum("n")).first()[0] == len(rows)
+    hot = spark.range(200_000).select(F.lit("HOT").alias("ticker"), F.lit("2020-01-01").cast("date").alias("date"), (1 + F.rand(1)).alias("close"))
+    plan = quality.close_moves(hot, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") > plan.index("Window") and "partial_min" in plan

@@ -91,6 +91,50 @@ def long_frame(df, n, frames, key="ticker", order="date"):
     return df.withColumns(out).select(*cols, *out)
 
 
+def calendar_frame(df, days, frames, key="ticker", date="date"):
+    """Add ``_n``, ``_mean`` and ``_ss`` (as ``long_frame``) over the rows of the last ``days`` days up to each row's date,
+    for each entry ``prefix: x``.
+
+    The calendar is cut into blocks as long as the frame, so a frame is the tail of one block and the head of the next, each
+    a running aggregate. Where the frame begins is looked up: the rows of a block, moved by the frame's length, stand where
+    the frame leaves them behind, and in reverse order the last of them at or before a row holds its tail. Work a row
+    is constant, nothing is subtracted from a growing total, and rows stay partitioned by ``key``."""
+    length, cols = days + 1, list(df.columns)
+    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+    aggs = {f"{p}_{k}": a for p, x in frames.items() for k, a in _parts(F.col(x)).items()}
+    # Days from the key's first one: the window also deals the rows by key, which serves everything below.
+    first = F.min(day).over(Window.partitionBy(key))
+    df = df.withColumn("_day", day - first).withColumn("_block", F.floor(F.col("_day") / length))
+    part, upto = Window.partitionBy(key, "_block"), (Window.unboundedPreceding, Window.currentRow)
+    # By value, so rows of one date share their frame.
+    heads = {f"{k}__head": a.over(part.orderBy("_day").rangeBetween(*upto)) for k, a in aggs.items()}
+    tails = {k: a.over(part.orderBy(F.desc("_day")).rangeBetween(*upto)) for k, a in aggs.items()}
+    df = df.withColumns(heads).withColumns({f"{k}__tail": a for k, a in tails.items()})
+    own = F.struct(*cols, "_block", *heads)
+    tail = F.struct("_block", *[F.col(f"{k}__tail").alias(k) for k in aggs])
+    nothing = lambda s: F.lit(None).cast(df.select(s.alias("s")).schema["s"].dataType)
+    row = F.struct(F.col("_day").alias("at"), own.alias("own"), nothing(tail).alias("tail"))
+    left_behind = F.struct((F.col("_day") + days).alias("at"), nothing(own).alias("own"), tail.alias("tail"))
+    both = df.select(key, F.explode(F.array(row, left_behind)).alias("e")).select(key, "e.*")
+    back = Window.partitionBy(key).orderBy(F.desc("at"), F.col("tail").isNull()).rowsBetween(*upto)
+    found = both.withColumn("seen", F.last("tail", ignorenulls=True).over(back)).filter("own IS NOT NULL")
+    inside = F.col("seen._block") == F.col("own._block") - 1
+    out = {}
+    for prefix in frames:
+        names = ("n", "x", "xx")
+        head = {k: F.col(f"own.{prefix}_{k}__head") for k in names}
+        older = {k: F.when(inside, F.col(f"seen.{prefix}_{k}")) for k in names}
+        count, (mean,), ss = _merge(head, older, "n", ["x"], "xx")
+        out[f"{prefix}_n"], out[f"{prefix}_mean"] = count, mean
+        out[f"{prefix}_ss"] = F.when(ss > NOISE * count * mean * mean, ss).otherwise(0.0)
+    return found.select(*[F.col(f"own.{c}").alias(c) for c in cols], *[c.alias(k) for k, c in out.items()])
+
+
+def population_dev(prefix):
+    """Population standard deviation of a frame; null without a row."""
+    return F.sqrt(F.try_divide(F.col(f"{prefix}_ss"), F.col(f"{prefix}_n")))
+
+
 def sample_dev(prefix):
     """Sample standard deviation of a frame; null below two rows."""
     n = F.col(f"{prefix}_n")

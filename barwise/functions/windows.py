@@ -20,10 +20,3 @@ def trailing(n, key="ticker", order="date"):
 
 def running(key="ticker", order="date"):
     return timeline(key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def trailing_days(days, key="ticker", date="date"):
-    """A calendar frame: rows dated within ``days`` days before the current row."""
-    day_number = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
-    return Window.partitionBy(key).orderBy(day_number).rangeBetween(-days, Window.currentRow)
-

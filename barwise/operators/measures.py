@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE, Z_SCORES
 from barwise.functions.expr import ANNUAL, change, count_if, scalar
-from barwise.functions.windows import trailing_days
+from barwise.functions.rolling import calendar_frame, population_dev
 from barwise.operators.risk import selection_tail_risk
 from barwise.operators.scenario import capm, scenario_array
 from barwise.operators.signals import signal_label
@@ -237,18 +237,12 @@ def volume(bars, by=("sector",)):
 
 
 def rolling(returns):
-    """Trailing one-year ratio and quarter volatility per ticker over calendar-day frames."""
-    year, quarter = trailing_days(365), trailing_days(90)
-    r = F.col("daily_return")
-    ratio = F.try_divide(
-        F.avg(r).over(year) * 252 - RISK_FREE, F.stddev_pop(r).over(year) * ANNUAL
-    )
-    return returns.withColumns(
-        {
-            "rolling_252d_sharpe": ratio,
-            "rolling_60d_vol": F.stddev_pop(r).over(quarter) * ANNUAL,
-        }
-    )
+    """Trailing one-year ratio and quarter volatility per ticker over calendar-day frames, merged from day blocks."""
+    df = calendar_frame(returns, 365, {"_y": "daily_return"})
+    df = calendar_frame(df, 90, {"_q": "daily_return"})
+    ratio = F.try_divide(F.col("_y_mean") * 252 - RISK_FREE, population_dev("_y") * ANNUAL)
+    df = df.withColumns({"rolling_252d_sharpe": ratio, "rolling_60d_vol": population_dev("_q") * ANNUAL})
+    return df.drop(*[c for c in df.columns if c.startswith(("_y_", "_q_"))])
 
 
 def volatility_label(vol):

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -149,3 +151,27 @@ def test_silver_drops_short_histories(make_bars):
 def test_one_shuffle_by_ticker(make_bars):
     plan = features.feature_set(make_bars({"A": walk(5)}))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_calendar_frames_follow_the_days(spark):
+    """Gaps, repeated dates, nulls and frames that end on block borders, against the frame taken literally."""
+    from barwise.functions.rolling import calendar_frame, population_dev
+
+    rng = np.random.default_rng(12)
+    start = dt.date(1969, 11, 1)
+    rows = []
+    for t in ("A", "B"):
+        days = sorted(rng.choice(420, 150, replace=False)) if t == "A" else [0, 1, 2, 3, 30, 31, 60, 61, 62, 62, 62, 93, 300]
+        rows += [(t, start + dt.timedelta(days=int(d)), None if i % 11 == 5 else float(rng.normal(1e6, 1)), i) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "ticker string, date date, x double, i int")
+    for days in (30, 1, 365):
+        got = calendar_frame(df, days, {"_f": "x"}).withColumn("dev", population_dev("_f"))
+        assert got.count() == len(rows)
+        for r in got.collect():
+            frame = [x for t, d, x, _ in rows if t == r["ticker"] and x is not None and 0 <= (r["date"] - d).days <= days]
+            assert r["_f_n"] == len(frame)
+            if frame:
+                assert r["_f_mean"] == pytest.approx(np.mean(frame), rel=1e-12)
+                assert r["dev"] == pytest.approx(np.std(frame), rel=1e-6, abs=1e-6)
+    plan = calendar_frame(df, 30, {"_f": "x"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "-30" not in plan

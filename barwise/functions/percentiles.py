@@ -1,10 +1,12 @@
-"""Exact interpolated percentiles of groups of any size.
+"""Exact interpolated percentiles, and means of the values up to them, of groups of any size.
 
 Spark's ``percentile`` keeps a group's distinct values in one task's memory. That is fine for groups
 bounded by the calendar (one ticker), but not for a sector or the whole table. Here the wanted order
 statistics are narrowed down by two histograms whose size does not depend on the row count, and only
-the few values left in the wanted bins are ranked. Every step combines before its shuffle, so a
-group holding most rows is spread over all tasks. The result is exact.
+the few values left in the wanted bins are ranked. The histograms carry sums beside counts, so the
+mean of all values up to a percentile falls out of the same selection. Every step combines before its
+shuffle, so a group holding most rows is spread over all tasks. The rows are read twice: for the first
+histogram, and for the distinct values of the wanted bins.
 """
 
 from pyspark.sql import Window
@@ -13,94 +15,81 @@ from pyspark.sql import functions as F
 FINE_BINS = 4096
 
 
-def small_side(df, few):
-    """Broadcast a table of a few rows per group where the caller has one group. Otherwise no hint: adaptive execution
-    broadcasts by measured size and splits skewed partitions."""
-    return F.broadcast(df) if few else df
-
-
 def _log_bin(x):
     """Monotone bin number by sign and magnitude, 32 bins per power of two, about 130k at most."""
     magnitude = F.floor(F.log2(F.abs(x)) * 32) + 40000
     return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * magnitude).cast("long")
 
 
-def exact_percentiles(df, value, probs, by=("grp",), few=False):
-    """One row per group and probability: ``by`` columns, ``p``, ``percentile``.
+def _below(df, by, order):
+    """Add counts and sums of the entries before (``n_below``, ``sum_below``); ``df`` has n and sum."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns(
+        {"n_below": F.coalesce(F.sum("n").over(before), F.lit(0)), "sum_below": F.coalesce(F.sum("sum").over(before), F.lit(0.0))}
+    )
+
 
-    ``by`` needs at least one column; use a literal column for the whole table. ``few`` states that
-    there is one group by construction.
-    """
+def exact_percentiles(df, value, probs, by=()):
+    """One row per group and probability: ``by`` columns, ``p``, ``percentile``, ``tail_mean`` (of the values up to the
+    percentile) and ``tail_n``. Without ``by`` the whole table is one group: what is wanted of it then is a handful of
+    bins, which are joined by their numbers."""
     by = list(by)
     x = F.col("x")
-    rows = df.select(*by, F.col(value).alias("x")).filter(x.isNotNull())
+    rows = df.select(*by, F.col(value).cast("double").alias("x")).filter(x.isNotNull()).withColumn("bin", _log_bin(x))
+    # At most two bins per probability where there is one group; otherwise joins are sized at run time.
+    small = (lambda d: d) if by else F.broadcast
 
-    # Coarse histogram: counts and value range per magnitude bin.
-    coarse = (
-        rows.groupBy(*by, _log_bin(x).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    )
-    running = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    coarse = coarse.withColumns(
-        {
-            "upto": F.sum("n").over(running),
-            "total": F.sum("n").over(Window.partitionBy(*by)),
-        }
-    )
+    # Coarse histogram: counts, sums and value range per magnitude bin.
+    coarse = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    coarse = _below(coarse, by, "bin").withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
 
     # Wanted ranks (zero-based, fractional); a target is one of the two neighbours of a rank.
     position = F.col("p") * (F.col("total") - 1)
-    coarse = (
+    targets = (
         coarse.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("frac", position - F.floor(position))
         .withColumn("rank", F.explode(F.array(F.floor(position), F.ceil(position))))
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        .filter((F.col("rank") >= F.col("n_below")) & (F.col("rank") < F.col("n_below") + F.col("n")))
         .withColumn("side", F.when(F.col("rank") == F.floor(position), 0).otherwise(1))
     )
-    wanted = (
-        coarse.select(*by, "bin", "lo", "hi", "rank", (F.col("upto") - F.col("n")).alias("below"))
-        .distinct()
-    )
+    bins = targets.select(*by, "bin", "lo", "hi").distinct()
+    wanted = targets.select(*by, "bin", "rank", "n_below", "sum_below").distinct()
 
-    # Fine histogram inside the wanted bins only.
-    bins = wanted.select(*by, "bin", "lo", "hi").distinct()
+    # The distinct values of the wanted bins, and a fine histogram of them.
     width = (F.col("hi") - F.col("lo")) / FINE_BINS
-    fine_bin = F.least(
-        F.coalesce(F.floor(F.try_divide(x - F.col("lo"), width)), F.lit(0)), F.lit(FINE_BINS - 1)
-    )
-    inside = (
-        rows.withColumn("bin", _log_bin(x)).join(small_side(bins, few), [*by, "bin"]).withColumn("fine", fine_bin)
-    )
-    fine = inside.groupBy(*by, "bin", "fine").agg(F.count(F.lit(1)).alias("n"))
-    in_bin = Window.partitionBy(*by, "bin").orderBy("fine").rowsBetween(Window.unboundedPreceding, 0)
-    fine = fine.withColumn("upto", F.sum("n").over(in_bin))
-    local = F.col("rank") - F.col("below")
+    cell = F.least(F.coalesce(F.floor(F.try_divide(x - F.col("lo"), width)), F.lit(0)), F.lit(FINE_BINS - 1))
+    values = rows.join(small(bins), [*by, "bin"]).groupBy(*by, "bin", cell.alias("cell"), "x").agg(F.count(F.lit(1)).alias("n"))
+    values = values.withColumn("sum", x * F.col("n"))
+    fine = values.groupBy(*by, "bin", "cell").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+    fine = _below(fine, [*by, "bin"], "cell").withColumnsRenamed({"n_below": "n_cells", "sum_below": "sum_cells"}).drop("sum")
+    local = F.col("rank") - F.col("n_below")
     wanted = (
-        wanted.drop("lo", "hi").join(fine, [*by, "bin"])
-        .filter((local < F.col("upto")) & (local >= F.col("upto") - F.col("n")))
-        .select(*by, "bin", "fine", "rank", (local - F.col("upto") + F.col("n")).alias("local"))
+        wanted.join(fine, [*by, "bin"])
+        .filter((local >= F.col("n_cells")) & (local < F.col("n_cells") + F.col("n")))
+        .select(*by, "bin", "cell", "rank", (F.col("n_below") + F.col("n_cells")).alias("n_before"), (F.col("sum_below") + F.col("sum_cells")).alias("sum_before"))
     )
 
     # Rank the distinct values left in the wanted fine bins.
-    cells = wanted.select(*by, "bin", "fine").distinct()
-    left = inside.join(small_side(cells, few), [*by, "bin", "fine"]).groupBy(*by, "bin", "fine", "x").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    in_cell = (
-        Window.partitionBy(*by, "bin", "fine").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    left = left.withColumn("upto", F.sum("n").over(in_cell))
+    cells = wanted.select(*by, "bin", "cell").distinct()
+    left = _below(values.join(small(cells), [*by, "bin", "cell"]), [*by, "bin", "cell"], "x")
+    local = F.col("rank") - F.col("n_before")
     found = (
-        wanted.join(left, [*by, "bin", "fine"])
-        .filter((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("n")))
-        .select(*by, "rank", "x")
+        wanted.join(left, [*by, "bin", "cell"])
+        .filter((local >= F.col("n_below")) & (local < F.col("n_below") + F.col("n")))
+        .select(
+            *by, "rank", "x", (F.col("n_before") + F.col("n_below") + F.col("n")).alias("upto"),
+            (F.col("sum_before") + F.col("sum_below") + F.col("sum")).alias("upto_sum"),
+        )
     )
-    weight = F.when(F.col("side") == 0, 1 - F.col("frac")).otherwise(F.col("frac"))
+    lower = F.col("side") == 0
+    weight = F.when(lower, 1 - F.col("frac")).otherwise(F.col("frac"))
     # A whole-number rank has both neighbours on one value: side 0 twice with weight 1 and frac 0.
     return (
-        coarse.select(*by, "p", "frac", "rank", "side")
-        .distinct()
+        targets.select(*by, "p", "frac", "rank", "side").distinct()
         .join(found, [*by, "rank"])
         .groupBy(*by, "p")
-        .agg(F.sum(weight * F.col("x")).alias("percentile"))
+        .agg(
+            F.sum(weight * x).alias("percentile"), F.max(F.when(lower, F.col("upto_sum") / F.col("upto"))).alias("tail_mean"),
+            F.max(F.when(lower, F.col("upto"))).alias("tail_n"),
+        )
     )

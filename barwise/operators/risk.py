@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barwise.constants import RISK_FREE, TRADING_DAYS, Z_SCORES
 from barwise.functions.expr import half_up
-from barwise.functions.percentiles import exact_percentiles, small_side
+from barwise.functions.percentiles import exact_percentiles
 
 METRICS = {
     "total_return": 6, "annualised_return": 6, "annualised_volatility": 6, "sharpe_ratio": 4,
@@ -124,40 +124,30 @@ def risk_metrics(returns, risk_free=RISK_FREE):
     return rounded(risk_profile(returns, ["ticker"], risk_free=risk_free), ["ticker"])
 
 
-def tail_risk(returns, by, levels=(0.95, 0.99), few=False):
-    """Historical value at risk per level and expected shortfall at the first, per group.
-
-    Groups may hold any share of the rows: percentiles are exact but never built in one task.
-    ``few`` states that there is one group by construction.
-    """
-    df = returns.select(*by, "daily_return").filter(F.col("daily_return").isNotNull())
+def _tails(found, levels):
+    """Columns var_NN of each level and cvar_NN of the first from rows of (p, percentile, tail_mean)."""
+    at = lambda level, c: F.max(F.when(F.col("p") == round(1 - level, 10), F.col(c)))
     name = lambda level: f"var_{round(level * 100)}"
-    probs = {level: round(1 - level, 10) for level in levels}
-    wide = (
-        exact_percentiles(df, "daily_return", list(probs.values()), by, few)
-        .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(name(lv))
-               for lv, p in probs.items()])
-    )
-    first = name(levels[0])
-    shortfall = (
-        df.join(small_side(wide.select(*by, first), few), list(by))
-        .groupBy(*by)
-        .agg(F.avg(F.when(F.col("daily_return") <= F.col(first), F.col("daily_return")))
-             .alias(first.replace("var", "cvar")))
-    )
-    return wide.join(shortfall, list(by))
+    return [*[at(lv, "percentile").alias(name(lv)) for lv in levels], at(levels[0], "tail_mean").alias("c" + name(levels[0]))]
+
+
+def tail_risk(returns, by, levels=(0.95, 0.99)):
+    """Historical value at risk per level and expected shortfall at the first, per group of any size: exact percentiles
+    and the means up to them, from one selection over two reads of the returns."""
+    found = exact_percentiles(returns, "daily_return", [round(1 - lv, 10) for lv in levels], by)
+    return found.groupBy(*by).agg(*_tails(found, levels))
 
 
 def selection_tail_risk(returns, levels=(0.95, 0.99)):
-    """The same over all rows as one struct: var_95, var_99, cvar_95. The thresholds are scalars, so no table is joined
-    to them. The group key is a constant that the optimizer does not see through, which keeps the joins by key."""
-    r = F.col("daily_return")
-    everything = returns.select(r).filter(r.isNotNull()).withColumn("grp", F.hash(r) * 0)
-    probs = {level: round(1 - level, 10) for level in levels}
-    found = exact_percentiles(everything, "daily_return", list(probs.values()), ["grp"], few=True)
-    names = {level: f"var_{round(level * 100)}" for level in levels}
-    wide = found.agg(F.struct(*[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(names[lv]) for lv, p in probs.items()])).scalar()
-    first = names[levels[0]]
-    tail = returns.agg(F.avg(F.when(r <= wide[first], r))).scalar()
-    return F.struct(*[wide[n].alias(n) for n in names.values()], tail.alias(first.replace("var", "cvar")))
+    """The same over all rows as one struct scalar: var_95, var_99, cvar_95."""
+    found = exact_percentiles(returns, "daily_return", [round(1 - lv, 10) for lv in levels])
+    one = found.agg(*_tails(found, levels))
+    return one.select(F.struct(*one.columns)).scalar()
+
+
+def approximate_tail_risk(returns, by, levels=(0.95, 0.99), accuracy=10_000):
+    """Value at risk by a mergeable quantile sketch in one read: ranks are off by at most 1 / ``accuracy`` of a group, and
+    no value between two returns is given."""
+    probs = [round(1 - lv, 10) for lv in levels]
+    found = returns.groupBy(*by).agg(F.percentile_approx("daily_return", probs, accuracy).alias("q"))
+    return found.select(*by, *[F.col("q")[i].alias(f"var_{round(lv * 100)}") for i, lv in enumerate(levels)])

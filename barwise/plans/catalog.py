@@ -10,7 +10,7 @@ from barwise import constants as K
 from barwise import schemas
 from barwise.functions.expr import half_up, pick
 from barwise.operators import (
-    cleanse, correlation, features, layers, market, measures, portfolio, publish, quality, risk, scenario, signals,
+    cleanse, correlation, features, layers, market, measures, portfolio, publish, quality, report, risk, scenario, signals,
 )
 from barwise.plans import oracle as O
 from barwise.plans.frames import PROXY, Frames
@@ -126,10 +126,10 @@ def _(t):
 
 @q("stream_bars", BAR, "SELECT {cols} FROM bars")
 def _(t):
-    """Bars that arrive as files in two lots, loaded by the file stream."""
+    """Bars that arrive as files in two lots by date, the second with some dates of the first, loaded by the file stream."""
     source, target, state = (_folder(t, n) for n in ("arriving", "loaded", "state"))
-    early = F.col("sector").isin("ASIA", "EUROPE")
-    for lot in (t.bars.filter(early), t.bars.filter(~early)):
+    day = F.col("date")
+    for lot in (t.bars.filter(day < "1996-01-01"), t.bars.filter(day >= "1995-12-01")):
         lot.write.mode("append").parquet(source)
         loaded = load_new_bars(t.spark, source, target, state)
     return loaded
@@ -1295,10 +1295,11 @@ def _(t):
 # ---- summaries -------------------------------------------------------------------------------
 
 def _kpis(t):
-    """Headline figures in one row, each a scalar over its own query."""
-    last = market.latest_rows(market.market_breadth(t.equity_features), 1)
-    regime = market.latest_rows(market.volatility_regime(t.returns), 1)
-    return t.rankings.agg(
+    """Headline figures in one row, each a scalar over the stored feature table."""
+    stored = t.report_features
+    last = market.latest_rows(market.market_breadth(stored), 1)
+    regime = market.latest_rows(market.volatility_regime(stored), 1)
+    return market.equity_rankings(stored).agg(
         F.count("ticker").alias("total_equities"),
         half_up(F.avg("return_1y"), 3).alias("market_avg_return_1y"),
         half_up(F.avg("vol_20d"), 3).alias("market_avg_vol"),
@@ -1306,7 +1307,7 @@ def _kpis(t):
     ).withColumns({
         "market_breadth_pct": last.select("breadth_pct").scalar(),
         "vol_regime": regime.select("vol_regime").scalar(),
-        "var_95": half_up(risk.selection_tail_risk(t.returns)["var_95"], 6),
+        "var_95": half_up(risk.selection_tail_risk(stored)["var_95"], 6),
     })
 
 
@@ -1336,7 +1337,7 @@ FROM ret r JOIN clean_fund f ON r.ticker = f.ticker WHERE date >= (SELECT d - 25
 def _(t):
     """One row: headline figures, and as text the sector rows and both ends of the ranking (of fixed or sector-count length)."""
     sectors = market.sector_performance(t.returns, t.clean_fundamentals)
-    ends = market.top_bottom(t.rankings, 5)
+    ends = market.top_bottom(market.equity_rankings(t.report_features), 5)
 
     def told(df, text, *order):
         rows = df.select(F.struct(*order, text.alias("text")).alias("r"))
@@ -1349,3 +1350,38 @@ def _(t):
         "bottom_performers": told(ends.filter("side = 'bottom'"), F.col("ticker"), r.alias("o"), F.col("ticker").alias("k")),
     }).select("as_of_date", "total_equities", "market_avg_return_1y", "market_avg_vol", "market_breadth_pct", "vol_regime", "var_95",
               "sectors", "top_performers", "bottom_performers")
+
+
+_CELLS = "section, name, metric, ROUND(value, 5) AS value"
+
+
+def _cells_sql(section, name, metrics, source):
+    return f"SELECT '{section}' AS section, name, metric, value FROM (SELECT {name} AS name, {', '.join(f'CAST({m} AS DOUBLE) AS {m.split()[-1]}' for m in metrics)} FROM ({source}) s) u UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(m.split()[-1] for m in metrics)}))"
+
+
+REPORT_ENDS = "SELECT *, row_number() OVER (ORDER BY return_1y {order}, ticker) AS position FROM ranks QUALIFY position <= 10"
+REPORT_SQL = f"SELECT {_CELLS} FROM (" + " UNION ALL ".join([
+    _cells_sql("kpi", "'market'", ["total_equities", "avg_return_1y", "avg_vol"],
+               "SELECT count(*) AS total_equities, ROUND(avg(return_1y), 3) AS avg_return_1y, ROUND(avg(vol_20d), 3) AS avg_vol FROM ranks"),
+    _cells_sql("sector", "sector", ["n_equities", "avg_return", "volatility", "sharpe", "avg_beta"], f"""
+SELECT coalesce(sector, 'all') AS sector, count(DISTINCT ticker) AS n_equities, ROUND(avg(daily_return) * 252, 4) AS avg_return,
+  ROUND(stddev_samp(daily_return) * {O.ANN}, 4) AS volatility,
+  ROUND((avg(daily_return) * 252 - 0.05) / NULLIF(stddev_samp(daily_return) * {O.ANN}, 0), 4) AS sharpe, ROUND(avg(beta), 3) AS avg_beta
+FROM eq_feat WHERE date >= (SELECT max(date) - 252 FROM eq_feat) GROUP BY GROUPING SETS ((sector), ())"""),
+    _cells_sql("top", "ticker", ["position", "return_1y", "vol_20d", "beta", "pe_ratio"], REPORT_ENDS.format(order="DESC")),
+    _cells_sql("bottom", "ticker", ["position", "return_1y", "vol_20d", "beta", "pe_ratio"], REPORT_ENDS.format(order="ASC")),
+    _cells_sql("scenario", "scenario_name", ["scenario_return", "scenario_vol", "scenario_sharpe", "scenario_var_95", "scenario_max_drawdown"], f"""
+SELECT scenario_name, r AS scenario_return, v AS scenario_vol, (r - 0.05) / v AS scenario_sharpe,
+  mean - 1.6449 * dev * vol_multiplier AS scenario_var_95, -2 * v AS scenario_max_drawdown
+FROM (SELECT *, 0.05 + b * (mkt_return_shock - 0.05) AS r, dev * {O.ANN} * vol_multiplier AS v FROM scen
+  CROSS JOIN (SELECT avg(beta) AS b FROM clean_fund) f
+  CROSS JOIN (SELECT stddev_pop(daily_return) AS dev, avg(daily_return) AS mean FROM eq_feat) e) x"""),
+    _cells_sql("risk", "p", report.RISK, "SELECT * FROM market_risk"),
+]) + ") t"
+
+
+@q("report_bundle", "section, name, metric, value:5", REPORT_SQL, {
+    "market_risk": O.risk_sql("(SELECT 'market' AS p, date, avg(daily_return) AS r FROM eq_feat GROUP BY date)", "p")})
+def _(t):
+    """All tables of the report from one stored feature table."""
+    return report.bundle(t.report_features, measures.scenario(t.report_features, t.clean_fundamentals))

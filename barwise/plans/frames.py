@@ -4,8 +4,8 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from barwise.operators import cleanse, features, layers, market, portfolio
-from barwise.sources import derived
+from barwise.operators import cleanse, features, layers, market, portfolio, report
+from barwise.sources import derived, files
 
 PROXY = "S00000"
 
@@ -70,6 +70,11 @@ class Frames:
     def rankings(self):
         return market.equity_rankings(self.equity_features)
 
+    @cached_property
+    def report_features(self):
+        """The feature columns that reports read, computed and stored once."""
+        return files.stored(self.equity_features.select(*report.FEATURES))
+
     @cached_property
     def layers(self):
         return layers.medallion(self.text_bars)

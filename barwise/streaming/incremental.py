@@ -7,17 +7,17 @@ from barwise.operators.cleanse import dedup_bars
 
 
 def load_new_bars(spark, source, target, checkpoint):
-    """Take every file not seen yet, keep bars of tickers the target lacks, append them and stop.
+    """Take every file not seen yet, keep bars whose (ticker, date) the target lacks, append them and stop.
 
-    Each micro-batch is the batch operator on that batch's rows. Stored rows are not rewritten, since
-    only new tickers are added. A batch that runs again after a failure overwrites its own folder.
+    A ticker's files may arrive in any number of lots. Stored rows are not rewritten, so of two bars of one date the one
+    that arrived first stays. A batch that runs again after a failure overwrites its own folder.
     """
 
     def append(batch, batch_id):
         rows = batch
         known = _earlier(spark, target, batch_id)
         if known is not None:
-            rows = rows.join(known.select("ticker").distinct(), "ticker", "left_anti")
+            rows = rows.join(known.select("ticker", "date"), ["ticker", "date"], "left_anti")
         dedup_bars(rows).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     stream = spark.readStream.schema(schemas.BARS).parquet(source)

@@ -38,6 +38,15 @@ def row_key(*columns):
     return F.xxhash64(*columns)
 
 
+def packed(docs, *columns):
+    """Every row as one struct ``row``, beside the named columns as ``id``, ``text`` and so on in the order given: names in the
+    row can't clash with those of an operator."""
+    names = ("id", "text", "source")
+    return docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[F.col(quoted(c)).alias(n) for c, n in zip(columns, names)]
+    )
+
+
 def quoted(name):
     """A column name as an expression reads it, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

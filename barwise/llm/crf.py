@@ -13,7 +13,9 @@ import numpy as np
 
 LETTERS = re.compile(r"[^\W\d_]{1,40}")  # a longer run is several words of the chain
 BUCKETS = 1 << 15
-SEQUENCE = 256  # words; longer texts are several sequences
+#: Words of a sequence. Longer texts are several, each read with so many words of its neighbours on both sides: what a word
+#: tells of its surroundings fades within a few words, so marginals are those of the whole chain.
+SEQUENCE, OVERLAP = 512, 32
 _PIECE = 1 << 20
 
 
@@ -24,11 +26,26 @@ def text_words(text):
         end = at + _PIECE
         while end < len(text) and text[end].isalpha():
             end += 1
-        out += LETTERS.findall(text, at, end)
+        for word in LETTERS.findall(text, at, end):
+            # the expression takes signs such as superscripts and fractions for letters
+            out += (word,) if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
         at = end
     return out
 
 
+def has_letter(text):
+    return any(c.isalpha() for c in text or "")
+
+
+def sequences(rows):
+    """(rows of the sequence with its neighbours, where its own begin, how many they are) for a text of any length."""
+    out = []
+    for at in range(0, len(rows), SEQUENCE):
+        begin, end = max(at - OVERLAP, 0), min(at + SEQUENCE, len(rows))
+        out.append((rows[begin : end + OVERLAP], at - begin, end - at))
+    return out
+
+
 def _features(word):
     marked = f"^{word}$"
     n = len(marked)
@@ -115,8 +132,9 @@ class Model:
         self.lowest = float((sums.max(1) / [len(r) for r in rows]).min())
         self._rows, self._scores, self._unseen = {}, None, None
 
-    def marginals(self, sequences):
-        """Per-word probabilities (words, languages) of row arrays from ``rows``, in order."""
+    def marginals(self, sequences, own=None):
+        """Per-word probabilities (words, languages) of row arrays from ``rows``, in order. ``own``: for each sequence where the
+        words asked for begin and how many they are."""
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
         lengths = np.array([len(sequences[i]) for i in order])
         grid = np.zeros((lengths[0], len(order)), np.int64)
@@ -125,7 +143,8 @@ class Model:
         post = forward_backward(self._scores[grid], lengths, np.exp(self.transitions), np.exp(self.start))[0]
         out = [None] * len(order)
         for column, i in enumerate(order):
-            out[i] = post[: lengths[column], column]
+            lead, size = own[i] if own else (0, lengths[column])
+            out[i] = post[lead : lead + size, column]
         return np.concatenate(out)
 
 

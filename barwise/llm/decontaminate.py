@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barwise.llm.common import row_key, stored, word_array
+from barwise.llm.common import packed, row_key, stored, word_array
 
 WIDTH = 10
 #: Rows (a word and two small numbers each) broadcast at once.
@@ -44,10 +44,10 @@ def prefixes(wins, doc_words):
     hold the word; ties go to the smaller word."""
     vocabulary = stored(wins.select(F.explode("words").alias("word")).distinct())
     seen = doc_words.select(F.explode("words").alias("word"))
-    if vocabulary.count() <= BLOCK:
-        found = seen.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count()
-    else:
-        found = seen.groupBy("word").count().join(vocabulary, "word", "left_semi")
+    blocks = max(-(-vocabulary.count() // BLOCK), 1)
+    of_block = F.pmod(F.xxhash64("word"), F.lit(blocks))
+    parts = [seen.join(F.broadcast(vocabulary.filter(of_block == b)), "word", "left_semi") for b in range(blocks)]
+    found = reduce(DataFrame.unionAll, parts).groupBy("word").count()
     texts = wins.select("words").distinct().select("words", F.concat_ws(" ", "words").alias("window"))
     places = texts.select("window", F.size("words").alias("length"), F.posexplode("words").alias("at", "word"))
     ranked = places.join(found, "word", "left").groupBy("window", "length").agg(
@@ -101,8 +101,8 @@ def clean(docs, items, width=WIDTH, id_col="doc_id", text_col="text", item_col="
         F.col("id").alias("_id"), F.col("key").alias("_key")
     ).distinct()
     hit = stored(hit)  # few rows, whose size the planner then knows
-    own_key = row_key(F.col(id_col), F.col(text_col))
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (own_key == F.col("_key")), "left_anti")
+    rows = packed(docs, id_col, text_col).withColumn("own", row_key("id", "text")).drop("text")
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_key")), "left_anti").select("row.*")
 
 
 ORACLE = r"""

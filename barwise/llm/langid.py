@@ -1,8 +1,8 @@
 """Language of documents from a linear-chain conditional random field over their words.
 
-The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each language, chosen by a hash
-of the identifier over all eligible rows, ``SNIPPETS`` runs of ``SNIPPET`` words of each. Prediction reads whole texts:
-words are labelled with marginals by forward-backward, in sequences of 256, and a document's language is the one with
+The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each language, those with the
+smallest hashes of the identifier over all eligible rows (found by counting hash buckets, so no language is sorted), ``SNIPPETS`` runs of ``SNIPPET`` words of each. Prediction reads whole texts:
+words are labelled with marginals by forward-backward, in sequences that overlap, and a document's language is the one with
 the largest mean marginal, which is its score. Equal means go to the smaller label.
 
 Cases: null texts, and texts without letters, are ``und`` with score 0, as is everything if no row is labelled; rows
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from barwise.llm import crf
-from barwise.llm.common import stored
+from barwise.llm.common import packed, stored
 
 SAMPLE, SNIPPETS, SNIPPET = 500, 6, 20
 UNKNOWN = "und"
@@ -39,14 +39,34 @@ def _snippets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string())], ["lang", "words"])
 
 
+def _smallest(rows, sample):
+    """The ``sample`` rows (id, lang) of each language with the smallest hashes: whole hash buckets as long as they fit, then
+    the same inside the bucket that does not, and only what is left there is put in order."""
+    rows = stored(rows.withColumn("h", F.xxhash64("id")))
+    at = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge, whole, shift = rows.select("lang").distinct().select("lang", F.lit(0).cast("long").alias("taken")), None, 64
+    for _ in range(2):
+        shift -= 12
+        bucket = F.shiftright("h", shift)
+        counts = rows.join(edge, "lang").groupBy("lang", "taken", bucket.alias("bucket")).count()
+        counts = counts.withColumn("before", F.col("taken") + F.coalesce(F.sum("count").over(at), F.lit(0)))
+        last = counts.filter((F.col("before") < sample) & (F.col("before") + F.col("count") >= sample))
+        last = stored(last.select("lang", F.col("bucket").alias("edge"), F.col("before").alias("taken")))
+        inside = rows.join(last.select("lang", "edge"), "lang", "left")
+        part = inside.filter(F.col("edge").isNull() | (F.shiftright("h", shift) < F.col("edge"))).select("id", "lang")
+        whole = part if whole is None else whole.unionByName(part)
+        rows = stored(inside.filter(F.shiftright("h", shift) == F.col("edge")).select("id", "lang", "h"))
+        edge = last.select("lang", "taken")
+    by = Window.partitionBy("lang").orderBy("h", "id")
+    rest = rows.withColumn("n", F.row_number().over(by)).join(edge, "lang").filter(F.col("n") + F.col("taken") <= sample)
+    return whole.unionByName(rest.select("id", "lang"))
+
+
 def fit(docs, id_col="doc_id", text_col="text", lang_col="lang", sample=SAMPLE):
     """Learn from the rows that are labelled and not held out."""
     able = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     rows = able.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = stored(rows.filter(F.col("text").isNotNull()).select("id", "lang").withColumn("n", F.row_number().over(by)).filter(
-        F.col("n") <= sample
-    ).select("id", "lang"))
+    chosen = stored(_smallest(rows.filter(F.col("text").isNotNull()).select("id", "lang"), sample))
     texts = rows.filter(F.col("text").isNotNull()).join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")
     found = texts.select("lang", "text").mapInArrow(_snippets, "lang string, words string").toArrow()
     return crf.fit(sorted(zip(found.column(0).to_pylist(), (w.split(" ") for w in found.column(1).to_pylist()))))
@@ -65,8 +85,8 @@ def _judge(texts, model, known=False):
     queue, owners, waiting = [], [], 0
 
     def flush():
-        post = model.marginals(queue)
-        of = np.repeat(owners, [len(s) for s in queue])
+        post = model.marginals([s for s, _, _ in queue], [(lead, size) for _, lead, size in queue])
+        of = np.repeat(owners, [size for _, _, size in queue])
         for k in range(n):
             sums[:, k] += np.bincount(of, post[:, k], len(texts))
 
@@ -83,7 +103,7 @@ def _judge(texts, model, known=False):
                 share, words_seen = model.unseen_share(rows)
                 unseen[i] += share
                 distinct[i] += words_seen
-            queue += [rows[k : k + crf.SEQUENCE] for k in range(0, len(rows), crf.SEQUENCE)]
+            queue += crf.sequences(rows)
             owners += [i] * (len(queue) - len(owners))
             waiting += len(part)
     if queue:
@@ -123,8 +143,8 @@ def word_languages(docs, model, id_col="doc_id", text_col="text"):
             for text in batch.column("text").to_pylist():
                 words = crf.text_words(text or "") if model.langs else []
                 rows = model.rows(words)
-                sequences = [rows[k : k + crf.SEQUENCE] for k in range(0, len(rows), crf.SEQUENCE)]
-                best = model.marginals(sequences).argmax(1) if sequences else []
+                found = crf.sequences(rows)
+                best = model.marginals([s for s, _, _ in found], [(lead, size) for _, lead, size in found]).argmax(1) if found else []
                 all_words.append(words)
                 all_langs.append([model.langs[int(k)] for k in best])
             kind = pa.list_(pa.string())
@@ -141,11 +161,12 @@ def known_language(docs, model, text_col="text", least=0.0):
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column("row").field(text_col).to_pylist()
             if not shared.value.langs:
-                yield batch.filter(pa.array([bool(crf.LETTERS.search(t or "")) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([crf.has_letter(t) for t in texts], pa.bool_()))
                 continue
             _, scores, accepted = _judge(texts, shared.value, known=True)
             yield batch.filter(pa.array([a and bool(s >= least) for a, s in zip(accepted, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = packed(docs)
+    return rows.mapInArrow(run, rows.schema).select("row.*")

@@ -11,7 +11,7 @@ go together; a source without any words has target 0; an empty table gives an em
 
 from pyspark.sql import Window, functions as F
 
-from barwise.llm.common import BLANKS, stored
+from barwise.llm.common import BLANKS, packed, quoted, stored
 
 LEVELS, BITS = 5, 12
 SEED = "mix-1"
@@ -77,8 +77,8 @@ def thresholds(docs, budgets):
 
 def _sized(docs, id_col, text_col, source_col):
     return docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        hash60(F.col(id_col)).alias("hash"),
+        F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), word_count(F.col(quoted(text_col))).alias("size"),
+        hash60(F.col(quoted(id_col))).alias("hash"),
     )
 
 
@@ -109,11 +109,11 @@ def take(docs, weights, limit=3.0, id_col="doc_id", text_col="text", source_col=
     """The documents of the mix with their own columns; a document taken twice is there twice. Documents without a word
     follow their hash like any other."""
     plan = source_plan(stored(_sized(docs, id_col, text_col, source_col)), weights, limit)
-    plan = plan.select(F.col("source").alias("_source"), "passes", "threshold")
-    hashed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(source_col).alias("_of"), hash60(F.col(id_col)).alias("hash"))
-    joined = hashed.join(plan, F.col("_of").eqNullSafe(F.col("_source")))
+    plan = plan.select(F.col("source").alias("of"), "passes", "threshold")
+    hashed = packed(docs, id_col, text_col, source_col).select("row", "source", hash60(F.col("id")).alias("hash"))
+    joined = hashed.join(plan, F.col("source").eqNullSafe(F.col("of")))
     copies = F.sequence(F.lit(1), _times(limit))
-    return joined.filter(_times(limit) > 0).select("_doc", F.explode(copies)).select("_doc.*")
+    return joined.filter(_times(limit) > 0).select("row", F.explode(copies)).select("row.*")
 
 
 def oracle(weights, limit):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barwise.llm import darts
-from barwise.llm.common import row_key, stored
+from barwise.llm.common import packed, row_key, stored
 from barwise.llm.graph import components
 from barwise.llm.shingles import distinct, mix, shingles, words
 
@@ -182,8 +182,8 @@ def keep_one(docs, id_col="doc_id", text_col="text", **options):
     stay = stored(found.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(
         F.max("kept").alias("_kept"), F.count("*").alias("_copies")
     ).filter("_kept"))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_own"), row_key(F.col(text_col)).alias("_of"))
-    there = rows.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key")))
-    # Rows that share identifier and text are one document.
-    repeated = there.filter("_copies > 1").groupBy("_own", "_of").agg(F.min("_doc").alias("_doc"))
-    return there.filter("_copies = 1").select("_doc").unionAll(repeated.select("_doc")).select("_doc.*")
+    rows = packed(docs, id_col, text_col).select("row", "id", row_key("text").alias("of"))
+    there = rows.join(stay, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_key")))
+    # Rows that share identifier and text are one document. The first of them in any order stays; rows of any type have one.
+    repeated = there.filter("_copies > 1").groupBy("id", "of").agg(F.first("row").alias("row"))
+    return there.filter("_copies = 1").select("row").unionAll(repeated.select("row")).select("row.*")

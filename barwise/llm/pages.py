@@ -7,7 +7,11 @@ composite density is
 
 with b for the body and counts of 0 taken as 1. The element whose children's densities sum to the most is the core of the
 page. The smallest density on its path to the body is the threshold: from the core the extract grows up to the body, taking
-in every neighbour that is as dense as that, or a heading; with an article or main element around it, it is that element.
+in every neighbour but short notes on rights and those that are both less dense and mostly links; with an article or main element
+around it, it is that element. A form goes unless it holds most of the page's text, as forms around whole pages do; its
+labels and controls go all the same.
+
+Time and memory are linear in the page, however broken or deeply nested it is.
 
 Elements that are no text of the page by their kind, role or name (menus, page headers, footers, side bars, notices,
 adverts, forms, scripts, comments by readers) do not count and are not shown, nor are lists that are mostly links outside
@@ -18,9 +22,9 @@ import html
 import math
 import re
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+#: a tag whose quoted attribute values may hold ">", and one that ends at the first ">"
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?:\s*(?:\"[^\"]*\"|'[^']*'))?)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # Kinds of elements in HTML.
@@ -37,11 +41,13 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
           "th": ("td th", "tr table"), "option": ("option", "select"), "thead": ("thead tbody tfoot", "table"),
           "tbody": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody tfoot", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-AROUND_P = frozenset("article aside body blockquote button div dd fieldset figure footer form header html li main nav object section table td th".split())
+AROUND_P = ("article aside body blockquote button div dd fieldset figure footer form header html li main nav object section table td th")
+CLOSES["p"] = (frozenset(("p",)), frozenset(AROUND_P.split()))
+_SCOPES = frozenset().union(*[a | b for a, b in CLOSES.values()])
 
 # What is no part of the text.
 DROPPED = frozenset(
-    "annotation annotation-xml aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noembed noframes noscript "
+    "annotation annotation-xml aside audio button canvas datalist dialog embed footer head iframe input map menu nav noembed noframes noscript "
     "object script select style svg template textarea title video xmp".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -56,12 +62,23 @@ PLAIN = frozenset("area bar block box button buttons container content form icon
 #: what an article element may be instead of the article
 OTHER_ARTICLES = frozenset("ad advert advertisement comment comments promo related replies reply respond sponsored".split())
 
+_RIGHTS = re.compile(r"(©|\(c\)|copyright\b|all rights reserved)", re.I)
+
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "dropped", "named", "open", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag, parent, dropped=False, named=""):
         self.tag, self.parent, self.parts, self.dropped, self.named = tag, parent, [], dropped or bool(named), "" if dropped else named
+        self.open = parent.open if parent is not None else {}
+        if tag in _SCOPES:
+            # for each kind of tag that closes another: the innermost element it would close from inside this one
+            self.open = dict(self.open)
+            for kind, (closed, until) in CLOSES.items():
+                if tag in until:
+                    self.open[kind] = None
+                elif tag in closed:
+                    self.open[kind] = self
 
     def children(self):
         return [p for p in self.parts if not isinstance(p, str)]
@@ -101,52 +118,85 @@ def _name(tag, found):
     return out
 
 
+def tokens(source):
+    """(text before, tag match or None, where the rest begins). Comments and declarations are no text. Every character is
+    looked at a fixed number of times: past the last ">" nothing is a tag, and once a tag does not end outside quotes, no
+    later one is read with quotes."""
+    at = look = 0
+    end, last, quotes = len(source), source.rfind(">"), True
+    while True:
+        start = source.find("<", look)
+        if start < 0:
+            break
+        if source.startswith("<!--", start):
+            stop = source.find("-->", start + 4)
+            after = stop + 3 if stop >= 0 else end
+        elif source[start + 1 : start + 2] in ("!", "?"):
+            after = source.find(">", start) + 1 or end
+        else:
+            name = source[start + 1 : start + 3].removeprefix("/")[:1]
+            if not (name.isascii() and name.isalpha()):
+                look = start + 1
+                continue
+            if start > last:
+                break
+            match = _TAG.match(source, start) if quotes else None
+            quotes = match is not None
+            match = match or _PLAIN_TAG.match(source, start)
+            at = look = yield source[at:start], match, match.end()
+            continue
+        yield source[at:start], None, after
+        at = look = after
+    yield source[at:], None, end
+
+
 def parse(source):
     """The root of the page's tree; end tags may be missing, as HTML allows."""
     root = node = Node("#root", None)
-    at, end = 0, len(source)
-    while at < end:
-        match = _TOKEN.search(source, at)
-        text = source[at : match.start() if match else end]
+    stack = {}  # how many elements of each kind are open
+    stream, go = tokens(source), None
+
+    def leave(until):
+        """Close everything up to and with ``until``."""
+        nonlocal node
+        while node is not until:
+            stack[node.tag] -= 1
+            node = node.parent
+        stack[node.tag] -= 1
+        node = node.parent
+
+    while True:
+        try:
+            text, match, after = stream.send(go)
+        except StopIteration:
+            return root
+        go = after if match else None
         if text:
             node.parts.append(text)
         if not match:
-            break
-        at = match.end()
-        tag = match[2] or match[5]
-        if not tag:
             continue
-        tag, closing, attributes = tag.lower(), match[1] or match[4], match[3] if match[2] else match[6]
+        tag, closing, attributes = match[2].lower(), match[1], match[3]
         if closing:
-            open_ = node
-            while open_ is not root and open_.tag != tag:
-                open_ = open_.parent
-            if open_ is not root:
-                node = open_.parent
+            if stack.get(tag):
+                open_ = node
+                while open_.tag != tag:
+                    open_ = open_.parent
+                leave(open_)
             continue
-        if tag in BLOCK and tag != "option":
-            node = _close(node, root, frozenset(("p",)), AROUND_P)
-        if tag in CLOSES:
-            node = _close(node, root, *CLOSES[tag])
+        if tag in BLOCK and tag != "option" and node.open.get("p"):
+            leave(node.open["p"])
+        if tag in CLOSES and node.open.get(tag):
+            leave(node.open[tag])
         found = _attributes(attributes) if attributes else {}
-        child = Node(tag, node, tag in DROPPED or _hidden(tag, found), _name(tag, found))
+        child = Node(tag, node, tag in DROPPED or _hidden(tag, found), "sure" if tag == "form" else _name(tag, found))
         node.parts.append(child)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-            at = stop.start() if stop else end
+            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, after)
+            go = stop.start() if stop else len(source)
             child.dropped = True
         if tag not in VOID and (tag in RAW or not attributes.rstrip().endswith("/") or tag in BLOCK):
             node = child
-    return root
-
-
-def _close(node, root, tags, until):
-    open_ = node
-    while open_ is not root and open_.tag not in until:
-        if open_.tag in tags:
-            return open_.parent
-        open_ = open_.parent
-    return node
+            stack[tag] = stack.get(tag, 0) + 1
 
 
 def _ordered(root):
@@ -194,20 +244,25 @@ def _mark(root):
         lost[id(node)] = node.dropped or (node.parent is not None and lost[id(node.parent)])
     articles = [n for n in order if n.tag in ("article", "main")]
     if articles and all(lost[id(n)] for n in articles):
+        seen = set()
         for node in articles:
-            while node is not None:
+            while node is not None and id(node) not in seen:
+                seen.add(id(node))
                 node.dropped = node.dropped and (node.tag in RAW or node.tag in ("head", "template"))
                 node = node.parent
     holds = set()
     for node in reversed(order):
         if node.tag in ("article", "main") or any(id(c) in holds for c in node.children()):
             holds.add(id(node))
+    inside, forms = {}, {}  # whether an element lies in an article, main or section; in a form that stays
     for node in order:
+        up = node.parent
+        inside[id(node)] = up is not None and (inside[id(up)] or up.tag in ("article", "main", "section"))
+        forms[id(node)] = up is not None and (forms[id(up)] or up.tag == "form")
+        if node.tag in ("label", "legend") and forms[id(node)]:
+            node.dropped = True
         if node.tag == "header" and id(node) not in holds:
-            up = node.parent
-            while up is not None and up.tag not in ("article", "main", "section"):
-                up = up.parent
-            if up is None:
+            if not inside[id(node)]:
                 node.dropped = True
             else:
                 for child in node.children():
@@ -261,12 +316,26 @@ def _core(nodes, body):
         whole = node.tag not in BLOCK or node.tag in HEADINGS or node.tag in ("p", "li", "blockquote", "pre")
         if not whole:
             for other in node.parent.children():
-                if other is not node and not other.dropped and other.chars and other.tag not in HEADINGS and other.density < threshold:
-                    other.dropped = True
+                if other is node or other.dropped or not other.chars or other.tag in HEADINGS:
+                    continue
+                thin = other.density < threshold and 2 * other.link_chars > other.chars
+                other.dropped = thin or (other.chars < 200 and bool(_RIGHTS.match(" ".join(_words(other)))))
         node = node.parent
     return node
 
 
+def _words(node):
+    """Texts inside, in order."""
+    out, todo = [], [node]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, str):
+            out += html.unescape(part).split()
+        elif not part.dropped:
+            todo += reversed(part.parts)
+    return out
+
+
 def _link_list(node):
     return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.link_tags >= 3 and node.link_chars > 0.7 * node.chars
 
@@ -313,14 +382,6 @@ def main_text(source):
     nodes = _ordered(root)
     _measure(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
-    inside = [n for n in nodes if _within(n, body)]
+    inside = nodes if body is root else _ordered(body)
     _densities(inside, body)
     return "\n".join(_blocks(_core(inside, body)))
-
-
-def _within(node, body):
-    while node is not None:
-        if node is body:
-            return True
-        node = node.parent
-    return False

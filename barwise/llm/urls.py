@@ -77,7 +77,7 @@ def _above_base(found, rows, bases, dimensions, z):
     out = None
     for name in dimensions:
         base = F.col("base")
-        seen = pages.join(F.broadcast(bases[name]), name).groupBy("n").agg(
+        seen = pages.join(bases[name], name).groupBy("n").agg(
             F.sum("count").alias("pages"), F.sum("blocked").alias("blocked"), (F.sum(base * F.col("count")) / F.sum("count")).alias("expected")
         )
         size, share = F.col("pages"), F.col("blocked") / F.col("pages")

@@ -191,26 +191,43 @@ def incremental_load(cached, incoming):
     return dedup_bars(cached.unionByName(fresh))
 
 
-def wide_to_long(wide, tickers, fields=("open", "high", "low", "close", "volume")):
-    """Vendor layout (one column per field and ticker) to bars; days without a close are dropped.
-
-    Each wide row explodes into one row per ticker: no shuffle.
-    """
-    legs = [
-        F.struct(
-            F.lit(t).alias("ticker"), *[F.col(f"`{f}|{t}`").cast("double").alias(f) for f in fields]
-        )
-        for t in tickers
-    ]
+def wide_bars(bars, fields=("open", "high", "low", "close", "volume")):
+    """The vendor's wide layout: one row per date with the fields of every ticker. The tickers are the keys of a map, so no
+    list of them is needed to build the row, and the plan does not grow with them."""
+    cell = F.struct("ticker", F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias("bar"))
+    return bars.groupBy("date").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+
+
+def wide_to_long(wide):
+    """Wide rows to bars; days without a close are dropped. ``wide`` holds either a map ``cells`` (ticker to fields) or a
+    column ``field|ticker`` for each of them, as in a file with such a header; the names then are the list of tickers. Each wide
+    row explodes where it lies: no shuffle."""
+    if "cells" in wide.columns:
+        return wide.select("date", F.explode("cells").alias("ticker", "bar")).select("ticker", "date", "bar.*").filter(F.col("close").isNotNull())
+    named = [c.split("|", 1) for c in wide.columns if "|" in c]
+    fields = list(dict.fromkeys(f for f, _ in named))
+    have = {(f, t) for f, t in named}
+
+    def leg(t):
+        cell = lambda f: F.col(f"`{f}|{t}`") if (f, t) in have else F.lit(None)
+        return F.struct(F.lit(t).alias("ticker"), *[cell(f).cast("double").alias(f) for f in fields])
+
+    legs = F.array(*[leg(t) for t in dict.fromkeys(t for _, t in named)])
     return (
-        wide.select("date", F.explode(F.array(*legs)).alias("leg"))
+        wide.select("date", F.explode(legs).alias("leg"))
         .select("leg.ticker", "date", *[f"leg.{f}" for f in fields])
         .filter(F.col("close").isNotNull())
     )
 
 
+def returns_wide(returns):
+    """Dates by tickers: one row per date, with the returns of the tickers that have one as a map."""
+    known = returns.filter(F.col("daily_return").isNotNull())
+    return known.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "daily_return"))).alias("returns"))
+
+
 def returns_pivot(returns, tickers):
-    """Dates by tickers. The ticker list is given, so the pivot needs no extra pass."""
+    """Dates by the columns of chosen tickers."""
     return (
         returns.filter(F.col("daily_return").isNotNull() & F.col("ticker").isin(list(tickers)))
         .groupBy("date")

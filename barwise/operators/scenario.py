@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barwise.constants import (
     REGIME_RULES, REGIME_SENSITIVITY, REGIME_SHOCKS, RISK_FREE, SCENARIOS, SECTOR_ALIASES, SECTOR_SENSITIVITY,
 )
-from barwise.functions.expr import half_up
+from barwise.functions.expr import ANNUAL, half_up
 
 
 def _chosen(keys):
@@ -128,26 +128,42 @@ def with_market_scenario(features):
     return features.withColumn("market_scenario", label)
 
 
-COMPARE = {
-    "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
-    "<": lambda a, b: a < b, ">": lambda a, b: a > b, "==": lambda a, b: a == b,
-}
+RULE = "regime string, priority int, metric string, comparison string, threshold double"
 
 
-def regime_column(columns, rules=REGIME_RULES, default="Normal"):
-    """Rules as one ordered CASE expression. A metric that is missing or null fails its rule."""
-    groups = {}
-    for label, priority, metric, op, threshold in rules:
-        test = COMPARE[op](F.col(metric), F.lit(threshold)) if metric in columns else F.lit(False)
-        groups.setdefault((priority, label), []).append(test)
-    out = F.lit(default)
-    for (_, label), tests in sorted(groups.items(), key=lambda g: g[0], reverse=True):
-        every = tests[0]
-        for t in tests[1:]:
-            every = every & t
-        out = F.when(every, label).otherwise(out)
-    return out
+def rule_table(spark, rules=REGIME_RULES):
+    """Conditions as rows: regime, priority, metric, comparison, threshold; a regime's rows must all hold."""
+    return spark.createDataFrame([(label, priority, metric, op, float(t)) for label, priority, metric, op, t in rules], RULE)
 
 
-def classify_regimes(metrics, rules=REGIME_RULES):
-    return metrics.withColumn("regime", regime_column(metrics.columns, rules))
+def classify_regimes(metrics, rules, default="Normal"):
+    """The regime of lowest priority whose conditions all hold. ``rules``: a table as from ``rule_table``. A metric that is
+    missing or null fails its condition.
+
+    The rules become one array, a scalar of a few entries, so every row is judged where it lies: no join, no shuffle."""
+    condition = F.struct("metric", "comparison", "threshold")
+    grouped = rules.groupBy("priority", "regime").agg(F.collect_list(condition).alias("conditions"))
+    every = grouped.agg(F.collect_list(F.struct("priority", "regime", "conditions")).alias("rules")).scalar()
+    kind = dict(metrics.dtypes)
+    numbers = [c for c in metrics.columns if kind[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind[c].startswith("decimal")]
+    known = F.create_map(*[x for c in numbers for x in (F.lit(c), F.col(c).cast("double"))])
+
+    def holds(c):
+        value = F.try_element_at(F.col("_known"), c["metric"])
+        tests = {"<=": value <= c["threshold"], ">=": value >= c["threshold"], "<": value < c["threshold"], ">": value > c["threshold"], "==": value == c["threshold"]}
+        out = F.lit(False)
+        for name, test in tests.items():
+            out = F.when(c["comparison"] == name, F.coalesce(test, F.lit(False))).otherwise(out)
+        return out
+
+    met = F.filter("_rules", lambda r: F.forall(r["conditions"], holds))
+    first = F.array_min(F.transform(met, lambda r: F.struct(r["priority"], r["regime"])))
+    rows = metrics.withColumns({"_known": known, "_rules": every})
+    return rows.withColumn("regime", F.coalesce(first["regime"], F.lit(default))).drop("_known", "_rules")
+
+
+def idiosyncratic_volatility(returns, keys=("bull", "base", "bear", "stagflation", "rate_shock")):
+    """ticker, scenario_name, idio_vol: each ticker's annualised volatility, scaled by the scenario's multiplier."""
+    own = returns.groupBy("ticker").agg((F.stddev_samp("daily_return") * ANNUAL).alias("vol")).filter("vol IS NOT NULL")
+    rows = own.withColumn("s", F.explode(scenario_array(keys)))
+    return rows.select("ticker", F.col("s.scenario_name").alias("scenario_name"), (F.col("vol") * F.col("s.vol_multiplier")).alias("idio_vol"))

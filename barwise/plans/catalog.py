@@ -4,6 +4,8 @@
 stands for it.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barwise import constants as K
@@ -95,18 +97,8 @@ SELECT ticker, date, open, high, low, close, CAST(volume AS DOUBLE) AS volume
 FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY {O.BAR_ORDER}) AS n FROM raw_bars) r
 WHERE n = 1 AND close IS NOT NULL""")
 def _(t):
-    # The vendor's wide layout of one download: a column for each field and ticker of the dimension.
-    tickers = _tickers(t)
-    fields = ["open", "high", "low", "close", "volume"]
-    one = cleanse.dedup_bars(t.raw_bars)
-    packed = one.groupBy("date").pivot("ticker", tickers).agg(F.first(F.struct(*fields)))
-    wide = packed.select("date", *[F.col(f"`{k}`").getField(f).alias(f"{f}|{k}") for k in tickers for f in fields])
-    return cleanse.wide_to_long(wide, tickers, fields)
-
-
-def _tickers(t):
-    """The ticker list of the dimension: a wide layout has as many columns, so it is a list by nature."""
-    return [r.ticker for r in t.fundamentals.select("ticker").orderBy("ticker").collect()]
+    # The vendor's wide layout of one download: every field of every ticker in a date's row.
+    return cleanse.wide_to_long(cleanse.wide_bars(cleanse.dedup_bars(t.raw_bars)))
 
 
 @q("scan_fundamentals", FUND, "SELECT {cols} FROM fund")
@@ -661,12 +653,9 @@ def _joined(df, key, values, pattern):
 
 @q("returns_pivot", None, "SELECT date, ticker, ROUND(daily_return, 6) AS daily_return FROM ret_only")
 def _(t):
-    """Dates by every ticker of the dimension; told row by row, as the columns follow the data."""
-    tickers = _tickers(t)
-    wide = cleanse.returns_pivot(t.returns, tickers)
-    cells = F.map_from_arrays(F.array(*[F.lit(k) for k in tickers]), F.array(*[F.col(f"`{k}`") for k in tickers]))
-    long = wide.select("date", F.explode(cells).alias("ticker", "daily_return"))
-    return long.filter("daily_return IS NOT NULL").select("date", "ticker", half_up("daily_return", 6).alias("daily_return"))
+    """Dates by every ticker; told row by row."""
+    long = cleanse.returns_wide(t.returns).select("date", F.explode("returns").alias("ticker", "daily_return"))
+    return long.select("date", "ticker", half_up("daily_return", 6).alias("daily_return"))
 
 
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
@@ -968,7 +957,17 @@ def _(t):
         "ticker", "date", F.col("drawdown").alias("spx_drawdown_pct"), F.col("roc_20").alias("momentum_20d"),
         F.col("vol_20d").alias("realized_vol_20d"), (F.col("rsi_14") * 0.6).alias("vix_level"),
     )
-    return scenario.classify_regimes(rows)
+    # The rules are a file beside the data.
+    path = _folder(t, "rules")
+    scenario.rule_table(t.spark).coalesce(1).write.option("header", True).csv(path)
+    return scenario.classify_regimes(rows, t.spark.read.option("header", True).schema(scenario.RULE).csv(path))
+
+
+@q("idiosyncratic_volatility", "ticker, scenario_name, idio_vol:6", f"""
+SELECT ticker, scenario_name, ROUND(v * vol_multiplier, 6) AS idio_vol
+FROM (SELECT ticker, stddev_samp(daily_return) * {O.ANN} AS v FROM ret GROUP BY ticker HAVING count(daily_return) > 1) s CROSS JOIN scen""")
+def _(t):
+    return scenario.idiosyncratic_volatility(t.returns)
 
 
 # ---- signals, gold, audit --------------------------------------------------------------------
@@ -1139,10 +1138,52 @@ SELECT sector, count(DISTINCT date) AS n_days, avg(daily_return) AS avg_return,
     "SELECT sector, count", "SELECT {cols} FROM (SELECT sector, count", 1) + ") v")
 def _(t):
     """SQL text over registered views, as a notebook would write it."""
-    files.register_views(daily_returns=t.returns)
-    return t.spark.sql("""
+    name = f"daily_returns_{uuid.uuid4().hex}"
+    files.register_views(**{name: t.returns})
+    return t.spark.sql(f"""
         SELECT sector, count(DISTINCT date) AS n_days, avg(daily_return) AS avg_return, min(daily_return) AS worst
-        FROM daily_returns WHERE daily_return IS NOT NULL GROUP BY sector""")
+        FROM {name} WHERE daily_return IS NOT NULL GROUP BY sector""")
+
+
+@q("sql_jobs_shared_view", "job, name, value:4", f"""
+SELECT job, name, ROUND(value, 4) AS value FROM (
+  SELECT 'sector_performance' AS job, f.sector AS name, avg(daily_return) * 252 AS value FROM ret_only r JOIN clean_fund f ON r.ticker = f.ticker
+    WHERE date >= (SELECT max(date) - 252 FROM ret) GROUP BY f.sector
+  UNION ALL SELECT 'top_performers', ticker, ret_1y FROM (SELECT *, row_number() OVER (ORDER BY ret_1y DESC, ticker) AS k FROM (
+    SELECT ticker, arg_max(close, date) / arg_min(close, date) - 1 AS ret_1y FROM ret WHERE date >= (SELECT max(date) - 252 FROM ret) GROUP BY ticker) y) z WHERE k <= 50
+  UNION ALL SELECT 'volatility_regime', strftime(date, '%Y-%m-%d'), stddev_samp(daily_return) * {O.ANN} FROM ret_only GROUP BY date) j""")
+def _(t):
+    """The three SQL jobs of one run over one cached view; each is materialised before the cache goes."""
+    with files.shared_views(returns=t.returns.select("ticker", "date", "close", "daily_return"), fundamentals=t.clean_fundamentals) as v:
+        jobs = {
+            "sector_performance": f"""SELECT f.sector AS name, avg(daily_return) * 252 AS value FROM {v['returns']} r JOIN {v['fundamentals']} f USING (ticker)
+                WHERE date >= (SELECT date_sub(max(date), 252) FROM {v['returns']}) GROUP BY f.sector""",
+            "top_performers": f"""SELECT ticker AS name, max_by(close, date) / min_by(close, date) - 1 AS value FROM {v['returns']}
+                WHERE date >= (SELECT date_sub(max(date), 252) FROM {v['returns']}) GROUP BY ticker ORDER BY value DESC, name LIMIT 50""",
+            "volatility_regime": f"SELECT date_format(date, 'yyyy-MM-dd') AS name, stddev_samp(daily_return) * sqrt(252) AS value FROM {v['returns']} WHERE daily_return IS NOT NULL GROUP BY date",
+        }
+        done = [files.stored(t.spark.sql(text).select(F.lit(job).alias("job"), "name", "value")) for job, text in jobs.items()]
+    return done[0].unionByName(done[1]).unionByName(done[2])
+
+
+@q("bucketed_momentum", "ticker, date, sma_20:6, daily_return:6", f"""
+SELECT ticker, date, ROUND(avg(close) OVER {O.rows(20)}, 6) AS sma_20, ROUND(daily_return, 6) AS daily_return FROM ret""")
+def _(t):
+    """Windows by ticker over a table that is stored by ticker: no shuffle."""
+    name = f"bars_{uuid.uuid4().hex}"
+    stored = files.write_bucketed(t.bars, name, buckets=16, path=_folder(t, "bucketed"))
+    return features.with_moving_averages(features.with_returns(stored))
+
+
+@q("fact_quarter_rerun", "ticker, date, close, year, quarter", """
+SELECT ticker, date, CASE WHEN year = 1998 AND quarter = 2 THEN close * 2 ELSE close END AS close, year, quarter
+FROM (SELECT *, CAST(year(date) AS INTEGER) AS year, CAST(quarter(date) AS INTEGER) AS quarter FROM bars) b""")
+def _(t):
+    """One quarter computed again replaces its partition alone."""
+    rows = t.bars.select("ticker", "date", "close", F.year("date").alias("year"), F.quarter("date").alias("quarter"))
+    path = files.write_parquet(rows, _folder(t, "fact"), ["year", "quarter"])
+    again = rows.filter("year = 1998 AND quarter = 2").withColumn("close", F.col("close") * 2)
+    return t.spark.read.schema(rows.schema).parquet(files.replace_partitions(again, path, ["year", "quarter"]))
 
 
 @q("export_dimensions", "kind, name, shock:4, multiplier:4, n_days", """

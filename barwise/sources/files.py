@@ -1,8 +1,10 @@
 """File readers and writers: Parquet, CSV, JSON."""
 
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 
@@ -66,11 +68,46 @@ def write_json(df, path):
 
 
 def register_views(**frames):
-    """Name frames for use in SQL text."""
+    """Name frames for use in SQL text. The names are the session's: a second frame of one name replaces the first."""
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
 
 
+@contextlib.contextmanager
+def shared_views(**frames):
+    """Views for several SQL jobs of one run: gives their names, which are unique in the session, and keeps their rows cached
+    in two copies on the executors' disks, so that a lost executor costs no recomputation. What the jobs give must be
+    written inside the block; at its end cache and views are gone."""
+    names = {}
+    try:
+        for name, df in frames.items():
+            unique = f"{name}_{uuid.uuid4().hex}"
+            df.createOrReplaceTempView(unique)
+            df.sparkSession.catalog.cacheTable(unique, StorageLevel.DISK_ONLY_2)
+            names[name] = unique
+        yield names
+    finally:
+        for name, unique in names.items():
+            catalog = frames[name].sparkSession.catalog
+            catalog.uncacheTable(unique)
+            catalog.dropTempView(unique)
+
+
+def write_bucketed(df, table, key="ticker", order="date", buckets=64, path=None):
+    """A table whose files are dealt by ``key`` and sorted by (key, order): windows and joins by the key read it without a
+    shuffle. ``path``: where its files lie (default: the warehouse)."""
+    # Dealt as the buckets are, so that every task writes one file a bucket.
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, order)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def replace_partitions(df, path, partition_by):
+    """Overwrite those partitions of a partitioned folder that ``df`` has rows of, and leave the others."""
+    df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def stored(df):
     """Write ``df`` to a fresh shared folder and read it back: it is computed once and its lineage ends there."""
     path = shared_folder(df.sparkSession)

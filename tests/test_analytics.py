@@ -177,8 +177,23 @@ def test_row_regimes(spark, dd, vol, roc, label):
 def test_rule_regimes(spark):
     rows = [(-0.25, -0.06, 0.3, 31.0), (-0.1, 0.0, 0.22, 25.0), (-0.01, 0.05, 0.1, 15.0), (-0.15, 0.02, 0.1, 28.0), (-0.15, 0.02, 0.1, None)]
     df = spark.createDataFrame(rows, "spx_drawdown_pct double, momentum_20d double, realized_vol_20d double, vix_level double")
-    assert [r.regime for r in scenario.classify_regimes(df).collect()] == ["Bear", "Volatile", "Bull", "Recovery", "Normal"]
-    assert {r.regime for r in scenario.classify_regimes(df.drop("vix_level")).collect()} == {"Normal"}
+    rules = scenario.rule_table(spark)
+    assert [r.regime for r in scenario.classify_regimes(df, rules).collect()] == ["Bear", "Volatile", "Bull", "Recovery", "Normal"]
+    assert {r.regime for r in scenario.classify_regimes(df.drop("vix_level"), rules).collect()} == {"Normal"}
+    # rules are data: a table changes them, ties of priority go to the smaller name, without rules all is the default
+    own = spark.createDataFrame([("Up", 2, "vix_level", "<", 26.0), ("Any", 2, "momentum_20d", ">", -1.0), ("Exact", 1, "vix_level", "==", 31.0)], scenario.RULE)
+    assert [r.regime for r in scenario.classify_regimes(df, own).collect()] == ["Exact", "Any", "Any", "Any", "Any"]
+    assert {r.regime for r in scenario.classify_regimes(df, own.limit(0)).collect()} == {"Normal"}
+    plan = scenario.classify_regimes(df, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_sketched_tail_is_close(make_returns):
+    xs = [float(x) for x in RNG.normal(0, 0.02, 4000)]
+    df = make_returns({"A": xs})
+    exact, near = risk.tail_risk(df, ["sector"]).first(), risk.approximate_tail_risk(df, ["sector"]).first()
+    assert near["var_95"] == pytest.approx(exact["var_95"], abs=1e-3) and near["var_99"] == pytest.approx(exact["var_99"], abs=2e-3)
+    assert exact["cvar_95"] == pytest.approx(np.mean([x for x in xs if x <= np.percentile(xs, 5)]), rel=1e-9)
 
 
 def test_signal_score_defaults(spark):

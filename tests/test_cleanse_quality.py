@@ -103,6 +103,42 @@ def test_shared_folder_follows_the_session():
         files.shared_folder(session("yarn", None))
 
 
+def test_buckets_save_the_shuffle(spark, make_bars, tmp_path):
+    from pyspark.sql import Window
+
+    stored = files.write_bucketed(make_bars({"A": [1.0, 2.0, 4.0], "B": [3.0, 6.0]}), "bucketed_bars", buckets=4, path=str(tmp_path / "b"))
+    moves = stored.withColumn("m", F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")))
+    joined = moves.join(spark.table("bucketed_bars").select("ticker", "date", F.col("close").alias("c")), ["ticker", "date"])
+    plan = moves._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and joined.count() == 5 and sorted(r.m for r in moves.filter("m IS NOT NULL").collect()) == [2.0, 2.0, 2.0]
+    spark.sql("DROP TABLE bucketed_bars")
+
+
+def test_a_rerun_replaces_its_partition(spark, make_bars, tmp_path):
+    rows = make_bars({"A": [1.0, 2.0, 3.0]}).select("ticker", "close", F.dayofmonth("date").alias("d"))
+    path = files.write_parquet(rows, str(tmp_path / "p"), ["d"])
+    files.replace_partitions(rows.filter("d = 2").withColumn("close", F.lit(9.0)), path, ["d"])
+    assert sorted((r.d, r.close) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 9.0), (3, 3.0)]
+
+
+def test_views_of_a_run_are_their_own(spark, make_bars):
+    bars = make_bars({"A": [1.0, 2.0]})
+    with files.shared_views(bars=bars) as a, files.shared_views(bars=bars.limit(1)) as b:
+        assert a["bars"] != b["bars"] and spark.catalog.isCached(a["bars"])
+        assert spark.sql(f"SELECT count(*) FROM {a['bars']}").first()[0] == 2 and spark.sql(f"SELECT count(*) FROM {b['bars']}").first()[0] == 1
+    assert not spark.catalog.tableExists(a["bars"])
+
+
+def test_wide_rows(spark, make_bars):
+    bars = make_bars({"A": [1.0, None, 3.0], "B": [5.0]})
+    want = sorted((r.ticker, r.date, r.open, r.close) for r in bars.filter("close IS NOT NULL").collect())
+    told = lambda df: sorted((r.ticker, r.date, r.open, r.close) for r in df.collect())
+    assert told(cleanse.wide_to_long(cleanse.wide_bars(bars))) == want
+    header = bars.groupBy("date").agg(*[F.max(F.when(F.col("ticker") == t, F.col(f))).alias(f"{f}|{t}") for t in "AB" for f in ("open", "close")])
+    assert told(cleanse.wide_to_long(header)) == want
+    assert {r.date: dict(r.returns) for r in cleanse.returns_wide(bars.withColumn("daily_return", F.col("close"))).collect()}[D] == {"A": 1.0, "B": 5.0}
+
+
 def checks(df, **kw):
     return {r.check_name: r for r in quality.quality_checks(df, "bronze", as_of="2020-01-03 00:00:00", **kw).collect()}
 

@@ -22,7 +22,7 @@ HEADLINE = [
     "risk_metrics", "sector_var", "portfolio_vs_benchmark", "scenario_returns_long",
     "sector_scenario_agg",
     # reporting
-    "investment_signals", "m_risk", "m_horizon", "report_kpis", "market_summary",
+    "investment_signals", "m_risk", "m_horizon", "m_rolling", "report_kpis", "market_summary", "report_bundle", "layer_audit",
 ]
 
 

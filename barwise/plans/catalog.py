@@ -796,7 +796,7 @@ def _(t):
 def _(t):
     """A holding that shares trading days, on these days alone."""
     weights = t.spark.createDataFrame(list(PAIR.items()), "ticker string, weight double")
-    found = portfolio.metrics(t.returns, weights, benchmark=features.market_returns(t.returns.filter("daily_return IS NOT NULL")))
+    found = portfolio.metrics(t.stored_returns, weights, benchmark=features.market_returns(t.stored_returns.filter("daily_return IS NOT NULL")))
     return _digits(found, [*portfolio.LONG_RUN, *portfolio.AGAINST])
 
 
@@ -811,7 +811,7 @@ FROM (SELECT * FROM one_by_one UNION ALL SELECT * FROM port) b LEFT JOIN stake O
     "port": O.risk_sql("(SELECT 'PORTFOLIO' AS ticker, date, r FROM held)", "ticker", 12)})
 def _(t):
     path = portfolio.series(portfolio.holding(t.monthly_returns, _weights(t)))
-    found = portfolio.bundle(t.returns, _weights(t), path, path_periods=12)
+    found = portfolio.bundle(t.stored_returns, _weights(t), path, path_periods=12)
     return found.select("ticker", *[_told(c) for c in BUNDLE], half_up("weight", 6).alias("weight"))
 
 
@@ -1256,7 +1256,7 @@ CROSS JOIN (SELECT stddev_pop(daily_return) AS dev, stddev_pop(daily_return) FIL
 CROSS JOIN (SELECT min(c) - max(c) AS mdd FROM (SELECT sum(x) OVER (ORDER BY date) AS c
   FROM (SELECT date, sum(ln(1 + daily_return)) AS x FROM ret GROUP BY date) d) e) m) z""")
 def _(t):
-    return measures.risk(t.returns, t.clean_fundamentals)
+    return measures.risk(t.stored_returns, t.clean_fundamentals)
 
 
 @q("m_breadth", "market_breadth:6, n_advancing, n_declining, new_52w_highs", """

@@ -54,6 +54,11 @@ class Frames:
     def returns(self):
         return features.with_returns(self.bars)
 
+    @cached_property
+    def stored_returns(self):
+        """Returns for queries that read them several times, computed and stored once."""
+        return files.stored(self.returns.select("ticker", "date", "sector", "close", "daily_return"))
+
     @cached_property
     def features(self):
         return features.feature_set(self.bars)
@@ -85,8 +90,9 @@ class Frames:
 
     @cached_property
     def monthly_returns(self):
-        """Each ticker's compounded return by month: a calendar that all tickers share, unlike their sparse trading days."""
-        return portfolio.compound(self.returns, "month")
+        """Each ticker's compounded return by month: a calendar that all tickers share, unlike their sparse trading days. A
+        row per ticker and month, stored, as a portfolio reads it several times."""
+        return files.stored(portfolio.compound(self.returns, "month"))
 
     @cached_property
     def latest_betas(self):

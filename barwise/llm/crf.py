@@ -8,6 +8,7 @@ vectorised over many sequences at once.
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -26,9 +27,11 @@ def text_words(text):
         end = at + _PIECE
         while end < len(text) and text[end].isalpha():
             end += 1
-        for word in LETTERS.findall(text, at, end):
+        found = LETTERS.findall(text, at, end)
+        if not all(map(str.isalpha, found)):
             # the expression takes signs such as superscripts and fractions for letters
-            out += (word,) if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
+            found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+        out += found
         at = end
     return out
 
@@ -46,12 +49,37 @@ def sequences(rows):
     return out
 
 
+class _Hashes(dict):
+    """Bucket of each piece of a word; the same few pieces come again and again."""
+
+    def __missing__(self, piece):
+        if len(self) >= 1 << 19:
+            self.clear()
+        self[piece] = found = zlib.crc32(piece.encode("utf-8", "surrogatepass")) % BUCKETS
+        return found
+
+
+_bucket = _Hashes().__getitem__
+
+
 def _features(word):
     marked = f"^{word}$"
     n = len(marked)
     out = [f"p{marked[1:k]}" for k in range(2, min(n, 5))] + [f"s{marked[-k:-1]}" for k in range(2, min(n, 5))]
     out += [marked[i : i + k] for k in (2, 3) for i in range(n - k + 1)]
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in out]
+    return list(map(_bucket, out))
+
+
+def _grown(held, more, n):
+    """``held`` with ``more`` as its rows up to ``n``; room doubles, so adding costs what is added."""
+    at = n - len(more)
+    if held is None or n > len(held):
+        room = np.zeros((max(2 * n, 1024), *more.shape[1:]), more.dtype)
+        if at:
+            room[:at] = held[:at]
+        held = room
+    held[at:n] = more
+    return held
 
 
 class Model:
@@ -80,19 +108,19 @@ class Model:
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
             parts = [self.features(w) for w in new]
-            flat = np.fromiter((f for p in parts for f in p), np.int64)
+            flat = np.fromiter(chain.from_iterable(parts), np.int64)
             begin = np.cumsum([0] + [len(p) for p in parts[:-1]])
             scores = np.add.reduceat(self.weights[flat], begin)
             scores = np.exp(scores - scores.max(1, keepdims=True))
             for w in new:
                 known[w] = len(known)
-            self._scores = scores if self._scores is None else np.concatenate([self._scores, scores])
+            self._scores = _grown(self._scores, scores, len(known))
             if self.seen is not None:
                 hashed = flat < BUCKETS
                 new_to_it = np.zeros(len(flat))
                 new_to_it[hashed] = ~self.seen[flat[hashed]]
                 unseen = np.add.reduceat(new_to_it, begin) / np.add.reduceat(hashed.astype(float), begin) * [len(w) > 3 for w in new]
-                self._unseen = unseen if self._unseen is None else np.concatenate([self._unseen, unseen])
+                self._unseen = _grown(self._unseen, unseen, len(known))
         get = known.__getitem__
         return np.fromiter(map(get, words), np.int64, len(words))
 

@@ -42,6 +42,18 @@ def test_correlation_in_blocks_matches_pandas(make_returns):
             assert c == pytest.approx(want.loc[a, b], abs=1e-9)
 
 
+def test_pair_sums_are_finished_in_their_group(spark, make_returns):
+    """The common dates of a pair of series are not shuffled by pair; a value that is no number, and a constant series."""
+    days = [0.1, -0.2, 0.3, 0.0, 0.2]
+    df = make_returns({"A": days, "B": days[::-1], "C": [0.5] * 5, "D": [*days[:4], float("nan")], "E": [*days[:2], None, None, None]})
+    found = correlation.pairwise_correlation(df, min_common=3)
+    assert "hashpartitioning(a#" not in found._jdf.queryExecution().executedPlan().toString()
+    pairs = {(r.ticker_a, r.ticker_b): r for r in found.collect()}
+    assert set(pairs) == {(a, b) for a in "ABCD" for b in "ABCD" if a < b} and {r.n_common for r in pairs.values()} == {5}
+    assert pairs["A", "B"].correlation == pytest.approx(np.corrcoef(days, days[::-1])[0, 1])
+    assert pairs["A", "C"].correlation is None and pairs["C", "D"].correlation is None and np.isnan(pairs["B", "D"].correlation)
+
+
 def reference_metrics(r):
     """Brute force on one series."""
     r = pd.Series(r).dropna()

@@ -127,7 +127,8 @@ def calendar_frame(df, days, frames, key="ticker", date="date"):
         count, (mean,), ss = _merge(head, older, "n", ["x"], "xx")
         out[f"{prefix}_n"], out[f"{prefix}_mean"] = count, mean
         out[f"{prefix}_ss"] = F.when(ss > NOISE * count * mean * mean, ss).otherwise(0.0)
-    return found.select(*[F.col(f"own.{c}").alias(c) for c in cols], *[c.alias(k) for k, c in out.items()])
+    # The key itself, not its copy: rows are known to stay where they are.
+    return found.select(*[F.col(key) if c == key else F.col(f"own.{c}").alias(c) for c in cols], *[c.alias(k) for k, c in out.items()])
 
 
 def population_dev(prefix):

@@ -33,13 +33,15 @@ class Step:
     known_only: bool = False
 
 
-def bar_steps(min_days=252):
-    """Bronze, silver, features, gold and the sector aggregate over loosely typed bars."""
+def bar_steps(min_days=252, tasks=None):
+    """Bronze, silver, features, gold and the sector aggregate over loosely typed bars. With ``tasks`` the rows of a layer are
+    dealt by ticker to so many (see ``layers.bronze``)."""
+    dealt = lambda df: df if tasks is None else df.repartition(tasks, "ticker")
     bars = ("ticker", "date", "open", "high", "low", "close", "volume", "sector")
     return [
-        Step("bronze", layers.bronze, ("sector",), bars),
-        Step("silver", lambda b: layers.silver(b, min_days), (), (*bars, "daily_return", "log_return", "is_outlier")),
-        Step("features", layers.silver_features),
+        Step("bronze", lambda text: layers.bronze(text, tasks), ("sector",), bars),
+        Step("silver", lambda b: layers.silver(dealt(b), min_days), (), (*bars, "daily_return", "log_return", "is_outlier")),
+        Step("features", lambda s: layers.silver_features(dealt(s))),
         Step("gold", layers.gold_fact, ("year", "quarter"), ("ticker", "date", "close", "daily_return"), known_only=True),
         Step("sector_agg", layers.sector_scenario_agg),
     ]

@@ -1,12 +1,17 @@
 """Every query agrees with its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
 from conftest import SF
 from barwise.operators import market
+from barwise.functions import windows
+from barwise.plans import frames
 from barwise.plans.frames import Frames
+from barwise.sources import derived
 from oracle_check import compare, connect
 
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
@@ -71,3 +76,33 @@ def test_tiny_falls_are_rounded_by_the_same_rule(spark, tmp_path):
     df = QUERIES["equity_detail"](spark, str(tmp_path))
     assert " 0.000000" in df.first().history
     assert compare(df, duck, SQL["equity_detail"]) == ""
+
+
+@pytest.fixture
+def exchanges(spark, monkeypatch):
+    """The sizes of a query's exchanges by ticker or supplier, where a task is given 100 rows; and how many tasks these make."""
+    monkeypatch.setattr(frames, "n_tasks", lambda spark, rows: windows.n_tasks(spark, rows, 100))
+    monkeypatch.setattr(derived, "LINES_PER_TASK", 100)
+
+    def found(name, key="(?:ticker|l_suppkey)"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        return [int(n) for n in re.findall(rf"hashpartitioning\({key}#[^()]*, (\d+)\)", plan)]
+
+    return found, derived.n_lines(spark, SF) // 100
+
+
+@pytest.mark.parametrize("name", ["feature_set", "moving_averages", "m_rolling", "dq_report", "gold_fact", "export_features"])
+def test_tasks_follow_the_rows(exchanges, name):
+    """What a task holds does not grow with the table. (The one ticker that betas are taken against has few rows.)"""
+    found, n = exchanges
+    assert len([size for size in found(name) if size >= n]) >= 2
+
+
+def test_calendar_frames_keep_the_dealing(exchanges):
+    found, n = exchanges
+    assert found("m_rolling", "ticker") == [n]
+
+
+def test_rankings_are_computed_once(spark):
+    plan = QUERIES["portfolio_attribution"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" not in plan

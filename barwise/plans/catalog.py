@@ -750,8 +750,9 @@ FROM ret_only JOIN stake USING (ticker) GROUP BY date HAVING count(*) = 2""",
 
 
 def _told(c):
-    """Compounded figures span many powers of ten: below a million six decimals are compared, above it nine digits."""
-    return F.when(F.abs(c) < 1e6, F.format_string("%.6f", c)).otherwise(F.format_string("%.8e", c)).alias(c)
+    """Compounded figures span many powers of ten: below a million six decimals are compared, above it nine digits. A missing
+    one stays null, where ``format_string`` would spell it."""
+    return F.when(F.abs(c) < 1e6, F.format_string("%.6f", c)).when(F.col(c).isNotNull(), F.format_string("%.8e", c)).alias(c)
 
 
 def _told_sql(c):

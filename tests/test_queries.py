@@ -78,6 +78,25 @@ def test_tiny_falls_are_rounded_by_the_same_rule(spark, tmp_path):
     assert compare(df, duck, SQL["equity_detail"]) == ""
 
 
+@pytest.mark.parametrize("months", [2, 3])
+@pytest.mark.parametrize("name", ["portfolio_risk_bundle", "portfolio_metrics", "portfolio_vs_benchmark"])
+def test_portfolios_of_few_months(spark, tmp_path, name, months):
+    """Many tickers share few months: two have no skewness and no kurtosis, three no kurtosis. A missing figure is null."""
+    tables = connect(SF)
+    for table in ("region", "nation", "supplier"):
+        tables.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    tables.execute(f"""COPY (SELECT * FROM lineitem WHERE l_suppkey <> 1 OR l_shipdate >= DATE '1995-01-01'
+        AND l_shipdate < DATE '1995-01-01' + INTERVAL {months} MONTH) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    duck = duckdb.connect()
+    for table in ("region", "nation", "supplier", "lineitem"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert compare(df, duck, SQL[name]) == ""
+    if name == "portfolio_risk_bundle":
+        (whole,) = df.filter("ticker = 'PORTFOLIO'").collect()
+        assert whole.kurtosis is None and (whole.skewness is None) == (months == 2)
+
+
 @pytest.fixture
 def exchanges(spark, monkeypatch):
     """The sizes of a query's exchanges by ticker or supplier, where a task is given 100 rows; and how many tasks these make."""

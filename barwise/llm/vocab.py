@@ -4,8 +4,9 @@ A pre-token is a string whose first character names its kind. ``pretokens`` cuts
 the file's own library. Where a file's rules allow no cut, a text is one pre-token.
 """
 
+import operator
 import re
-from itertools import chain
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ WHOLE = "="  # a whole text
 TOGETHER = 500  # pre-tokens encoded as one text
 #: white space characters, and each beside a space
 _BESIDE = [(c, " " + c, c + " ") for c in map(chr, range(0x3001)) if c.isspace()]
+_spaced = operator.methodcaller("startswith", " ")
 _open, _caches = {}, {}
 
 
@@ -114,21 +116,15 @@ class Tokens:
     def flat_ids(self, pretokens):
         """Ids of pre-tokens in a row, and the number of ids of each. Those that begin with a space are encoded many at a
         time as one text, and told apart by the bytes of its tokens: cheaper for the library than as many short texts."""
-        ids, lengths, group = [], [], []
-        for p in pretokens:
-            if p[0] == " ":
-                group.append(p)
-                if len(group) < TOGETHER:
-                    continue
-                self._together(group, ids, lengths)
-                group = []
-            else:
-                if group:
-                    self._together(group, ids, lengths)
-                    group = []
-                self._apart([p[1:]], ids, lengths)
-        if group:
-            self._together(group, ids, lengths)
+        ids, lengths = [], []
+        for spaced, run in groupby(pretokens, _spaced):
+            run = list(run)
+            for at in range(0, len(run), TOGETHER):
+                some = run[at : at + TOGETHER]
+                if spaced:
+                    self._together(some, ids, lengths)
+                else:
+                    self._apart([p[1:] for p in some], ids, lengths)
         if not ids:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(ids), np.concatenate(lengths)
@@ -146,7 +142,7 @@ class Tokens:
             self._bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
         (found,) = self._encode(["".join(parts)])
         ends = np.cumsum(self._bytes[found])
-        wanted = np.cumsum([len(p.encode()) for p in parts])
+        wanted = np.cumsum(np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts)))
         at = np.searchsorted(ends, wanted)
         if at[-1] < len(ends) and (ends[at] == wanted).all():
             ids.append(found)
@@ -193,11 +189,16 @@ class Cache:
             self.used = n
 
     def _lookup(self, pretokens):
-        found = list(map(self.rows.get, pretokens))
-        if None in found:
-            self._learn(list(dict.fromkeys(p for p, r in zip(pretokens, found) if r is None)))
-            found = list(map(self.rows.get, pretokens))
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self.rows.get, pretokens, repeat(-1)), np.int64, len(pretokens))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            missing, row = [pretokens[i] for i in unknown.tolist()], len(self.rows)
+            new = list(dict.fromkeys(missing))
+            self._learn(new)
+            # New pre-tokens are appended, so those that are missing once need no second look.
+            once = len(new) == len(missing)
+            found[unknown] = np.arange(row, row + len(new)) if once else np.fromiter(map(self.rows.get, missing), np.int64, len(missing))
+        return found
 
     def encode(self, texts):
         """(ids of all texts in a row, number of ids of each text) for an Arrow array of strings; null counts as empty."""
@@ -211,11 +212,12 @@ class Cache:
             # Arrow splits and numbers the distinct parts; only these are looked up one by one.
             parts = pc.split_pattern(texts.filter(pa.array(plain)), " ")
             coded, edges = parts.flatten().dictionary_encode(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
-            distinct = coded.dictionary.to_pylist()
+            spaced = pc.binary_join_element_wise(pa.scalar("", texts.type), coded.dictionary, pa.scalar(" ", texts.type))
+            distinct = spaced.to_numpy(zero_copy_only=False).tolist()
             row_of = coded.indices.to_numpy()
             firsts = edges[:-1]
-            heads = self._lookup(["^" + distinct[k] for k in row_of[firsts]])
-            all_rows = self._lookup(list(map(" ".__add__, distinct)))[row_of]
+            heads = self._lookup(["^" + distinct[k][1:] for k in row_of[firsts].tolist()])
+            all_rows = self._lookup(distinct)[row_of]
             all_rows[firsts] = heads
             for i, a, b in zip(np.flatnonzero(plain).tolist(), edges[:-1].tolist(), edges[1:].tolist()):
                 rows[i] = all_rows[a:b]

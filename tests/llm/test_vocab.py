@@ -50,6 +50,27 @@ def test_tokens_of_whole_texts(name):
     assert [x.tolist() for x in cache.encode(pa.array([None, ""]))] == [[], [0, 0]]
 
 
+def test_new_pretokens_are_looked_up_once(monkeypatch):
+    """A new pre-token costs one lookup, and the first ones of texts go to the library together."""
+    class Rows(dict):
+        n = 0
+
+        def get(self, *a):
+            Rows.n += 1
+            return super().get(*a)
+
+    cache, calls = vocab.Cache(public_tokenizers.path("byte_bpe_50k.json")), []
+    cache.rows, encode = Rows(), cache.vocab._encode
+    monkeypatch.setattr(cache.vocab, "_encode", lambda some: calls.append(len(some)) or encode(some))
+    some = [f"head{i} one{i} two{i}" for i in range(100)]
+    for kind in (pa.string(), pa.large_string()):
+        flat, counts = cache.encode(pa.array(some, kind))
+        assert flat.tolist() == [i for e in encode(some) for i in e] and counts.sum() == len(flat)
+        assert Rows.n <= 100 + 300  # heads, distinct parts
+        Rows.n = 0
+    assert len(calls) == 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 300, n).astype("<u2")

@@ -117,6 +117,12 @@ def test_tasks_follow_the_rows(exchanges, name):
     assert len([size for size in found(name) if size >= n]) >= 2
 
 
+@pytest.mark.parametrize("name", ["silver_features", "moving_averages_full", "dq_score"])
+def test_tasks_of_layers_and_scores_follow_the_rows(exchanges, name):
+    found, n = exchanges
+    assert len([size for size in found(name) if size >= n]) >= 2
+
+
 def test_calendar_frames_keep_the_dealing(exchanges):
     found, n = exchanges
     assert found("m_rolling", "ticker") == [n]

@@ -5,6 +5,7 @@ the file's own library. Where a file's rules allow no cut, a text is one pre-tok
 """
 
 import operator
+import os
 import re
 from itertools import chain, groupby, repeat
 
@@ -20,10 +21,17 @@ _spaced = operator.methodcaller("startswith", " ")
 _open, _caches = {}, {}
 
 
+def _after(mark, strings):
+    """Each of an Arrow array's strings with a mark in front."""
+    return pc.binary_join_element_wise(pa.scalar("", strings.type), strings, pa.scalar(mark, strings.type))
+
+
 class Pieces:
     """A sentencepiece model. No piece holds a space after another character, or a line feed, so a text can be cut before
     each run of spaces and before each line feed."""
 
+    words = None
+
     _cut = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
     def __init__(self, path):
@@ -65,13 +73,21 @@ class Pieces:
 
 class Tokens:
     """A tokenizers file. With the byte-level pre-tokenizer a text can be cut before each space that stands between two
-    characters that are not white space. A text with the string of an added token is left whole."""
+    characters that are not white space. A text with the string of an added token is left whole.
+
+    In its rule a token of letters ends before any other character, one of punctuation without an apostrophe before a letter
+    or a line feed, and a lone line feed between characters that are not white space is a token. ``words`` matches pre-tokens
+    made of these alone; its groups, all but the first as ``^``, are pre-tokens whose ids in a row are those of the whole."""
+
+    _letters, _marks = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+    words = rf"\A(?P<a>[ ^][{_letters}]+)(?P<b>[{_marks}]*\n?)(?P<c>[{_letters}]*)(?P<d>[{_marks}]*)\z"
 
     def __init__(self, path):
         import json
 
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -193,13 +209,39 @@ class Cache:
         unknown = np.flatnonzero(found < 0)
         if len(unknown):
             missing, row = [pretokens[i] for i in unknown.tolist()], len(self.rows)
-            new = list(dict.fromkeys(missing))
+            new = sorted(dict.fromkeys(missing), key=_spaced, reverse=True)  # those that begin with a space go to the library together
             self._learn(new)
-            # New pre-tokens are appended, so those that are missing once need no second look.
-            once = len(new) == len(missing)
+            # New pre-tokens are appended, so those that are missing once and in order need no second look.
+            once = new == missing
             found[unknown] = np.arange(row, row + len(new)) if once else np.fromiter(map(self.rows.get, missing), np.int64, len(missing))
         return found
 
+    def _encoded(self, pretokens, single):
+        """The ids of each pre-token as an Arrow array of bytes. All but the ``single`` ones are cut into words, which recur
+        more than what stands between two spaces."""
+        cut, groups = np.zeros(len(pretokens), bool), []
+        if self.vocab.words:
+            found = pc.extract_regex(pretokens.filter(pa.array(~single)), self.vocab.words)
+            cut[~single] = found.is_valid().to_numpy(zero_copy_only=False)
+            groups = found.drop_null().flatten()
+        columns = [(0, np.flatnonzero(~cut), pretokens.filter(pa.array(~cut)))]
+        for k, group in enumerate(groups):
+            kept = pc.not_equal(group, "")
+            words = group if k == 0 else _after("^", group.filter(kept))
+            columns.append((k, np.flatnonzero(cut)[kept.to_numpy(zero_copy_only=False)], words))
+        coded = pa.concat_arrays([words for *_, words in columns]).dictionary_encode()
+        codes, numbers, at = coded.indices.to_numpy(), np.full((len(pretokens), 4), -1), 0
+        for k, places, words in columns:
+            numbers[places, k] = codes[at : at + len(words)]
+            at += len(words)
+        used = numbers >= 0
+        row = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[numbers[used]]
+        lengths = self.length[row]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = self.flat[np.repeat(self.begin[row] - ends[:-1], lengths) + np.arange(ends[-1])]
+        offsets = ends[np.concatenate([[0], np.cumsum(used.sum(1))])] * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(pretokens), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
     def encode(self, texts):
         """(ids of all texts in a row, number of ids of each text) for an Arrow array of strings; null counts as empty."""
         texts = texts.fill_null("")
@@ -207,31 +249,31 @@ class Cache:
             self._clear()
         strings = texts.to_pylist()
         plain = np.array([self.vocab.splits(t) for t in strings], bool)
-        rows, counts = [None] * len(strings), np.zeros(len(strings), np.int64)
+        pretokens, single, places, n = [], np.zeros(0, bool), [None] * len(strings), 0
         if plain.any():
             # Arrow splits and numbers the distinct parts; only these are looked up one by one.
             parts = pc.split_pattern(texts.filter(pa.array(plain)), " ")
             coded, edges = parts.flatten().dictionary_encode(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
-            spaced = pc.binary_join_element_wise(pa.scalar("", texts.type), coded.dictionary, pa.scalar(" ", texts.type))
-            distinct = spaced.to_numpy(zero_copy_only=False).tolist()
-            row_of = coded.indices.to_numpy()
-            firsts = edges[:-1]
-            heads = self._lookup(["^" + distinct[k][1:] for k in row_of[firsts].tolist()])
-            all_rows = self._lookup(distinct)[row_of]
-            all_rows[firsts] = heads
+            single = pc.utf8_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False)
+            place, firsts = coded.indices.to_numpy().copy(), edges[:-1]
+            pretokens = [_after(" ", coded.dictionary), _after("^", coded.dictionary.take(pa.array(place[firsts])))]
+            place[firsts] = np.arange(len(single), len(single) + len(firsts))
+            n = len(single) + len(firsts)
             for i, a, b in zip(np.flatnonzero(plain).tolist(), edges[:-1].tolist(), edges[1:].tolist()):
-                rows[i] = all_rows[a:b]
+                places[i] = place[a:b]
+        numbers = {}  # of the other texts' pre-tokens
         for i in np.flatnonzero(~plain).tolist():
-            rows[i] = self._lookup(self.vocab.pretokens(strings[i]))
-        edges = np.cumsum([0] + [len(r) for r in rows])
-        row = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-        lengths = self.length[row]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        kind = np.int32 if max(self.used, ends[-1]) < 1 << 31 else np.int64
-        places = np.repeat((self.begin[row] - ends[:-1]).astype(kind), lengths)
-        places += np.arange(ends[-1], dtype=kind)
-        counts = np.diff(ends[edges])
-        return self.flat[places], counts
+            some = self.vocab.pretokens(strings[i])
+            places[i] = np.array([numbers.setdefault(p, n + len(numbers)) for p in some], np.int64)
+        pretokens = pa.concat_arrays([*pretokens, pa.array(list(numbers), texts.type)])
+        single = np.pad(single, (0, len(pretokens) - len(single)))
+        edges = np.cumsum([0] + [len(p) for p in places])
+        if not edges[-1]:
+            return np.zeros(0, self.dtype), np.zeros(len(strings), np.int64)
+        taken = self._encoded(pretokens, single).take(pa.array(np.concatenate(places)))
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(taken) + 1) // self.dtype.itemsize
+        return np.frombuffer(data, self.dtype, ends[-1]), np.diff(ends[edges])
 
 
 def cache(path):

@@ -71,6 +71,33 @@ def test_new_pretokens_are_looked_up_once(monkeypatch):
     assert len(calls) == 2
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_beside_marks(name):
+    """Words between marks and line feeds, with the apostrophe, digits and letters of other scripts that forbid a cut."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library, cache, draw = Tokenizer.from_file(path), vocab.Cache(path), random.Random(5)
+    parts = ["word", "Straße", "señor", "it's", "x'll", "'s", "don't", "a1", "日本", "ª", "²", "Ω", "×", *".,!-_&$'^=|@~", "...", "###", "\n", "\n\n", "\t", "\r", " ", "\x85"]
+    some = [" ".join("".join(draw.choices(parts, k=draw.randint(1, 5))) for _ in range(draw.randint(1, 30))) for _ in range(1000)]
+    for kind in (pa.string(), pa.large_string()):
+        flat, counts = cache.encode(pa.array(some, kind))
+        ends = np.cumsum(counts)
+        for t, a, b in zip(some, ends - counts, ends):
+            assert flat[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_words_go_to_the_library_once(monkeypatch):
+    """A word is encoded once, whatever marks and line feeds it has behind it or in front."""
+    cache, sent = vocab.Cache(public_tokenizers.path("byte_bpe_50k.json")), []
+    encode = cache.vocab._encode
+    monkeypatch.setattr(cache.vocab, "_encode", lambda some: sent.extend(some) or encode(some))
+    some = ["so word word. word, word### word!\nword a.b.c"]
+    flat, counts = cache.encode(pa.array(some))
+    assert flat.tolist() == encode(some)[0].tolist() and counts.tolist() == [len(flat)]
+    assert "".join(sent).count("word") == 2  # behind a space, and behind the line feed
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 300, n).astype("<u2")

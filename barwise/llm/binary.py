@@ -22,7 +22,7 @@ from barwise.llm.common import stored
 from barwise.sources.files import shared_folder
 
 SHARD_TOKENS = 1 << 22
-_STEP_BYTES = 8 << 20  # text encoded at a time, about
+_STEP_BYTES = 4 << 20  # text encoded at a time, about
 
 
 def _shards(path, end_id, shard_tokens):

@@ -17,6 +17,11 @@ def bronze(text, tasks=None):
     typed = cleanse.conform_bars(text)
     if tasks is not None:
         typed = typed.repartition(tasks, "ticker")
+    return bronze_rows(typed)
+
+
+def bronze_rows(typed):
+    """One row per (ticker, date) of typed bars, with lineage."""
     return cleanse.with_lineage(cleanse.dedup_bars(typed), stamp="_bronze_loaded_at")
 
 

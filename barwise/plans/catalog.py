@@ -1120,7 +1120,7 @@ def _(t):
 
 def _gated(t, text, strict):
     config = quality.QualityConfig(min_rows=100, strict=strict)
-    return publish.Run(t.spark, files.shared_folder(t.spark), config, DQ_AS_OF).go(text, publish.bar_steps(tasks=t.tasks))
+    return publish.Run(t.spark, files.shared_folder(t.spark), config, DQ_AS_OF, t.tasks).go(text, publish.bar_steps())
 
 
 @q("gated_gold", "ticker, date, close, market_scenario, signal_score:1, year, quarter", "SELECT {cols} FROM gold")

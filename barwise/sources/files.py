@@ -7,6 +7,9 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+#: The codec of tables that take much disk: a tenth to a third less than the default on prices, at no more time.
+DENSE = "zstd"
+
 
 def conform(df, schema):
     """Cast to a declared schema by column name; unknown columns are dropped."""
@@ -29,7 +32,7 @@ def read_csv(spark, path, schema):
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def write_parquet(df, path, partition_by=(), files_per_partition=1, observe=None):
+def write_parquet(df, path, partition_by=(), files_per_partition=1, observe=None, compression=None):
     """Overwrite ``path``. With ``partition_by``, rows of one partition value are spread over
     ``files_per_partition`` tasks, so a value holding most rows does not land in one task. ``observe``: an Observation and
     its aggregates by name, taken of the rows as they are written."""
@@ -40,15 +43,19 @@ def write_parquet(df, path, partition_by=(), files_per_partition=1, observe=None
         else:
             # An optimizer hint: adaptive execution splits oversized partition values by itself.
             df = df.hint("rebalance", *partition_by)
+    _writer(df, partition_by, observe, compression).parquet(path)
+    return path
+
+
+def _writer(df, partition_by, observe, compression):
     if observe is not None:
         # Above the shuffle, so that it runs in the writing tasks, each of which counts once however often it is retried.
         observation, aggregates = observe
         df = df.observe(observation, *[a.alias(k) for k, a in aggregates.items()])
     writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
+    if compression:
+        writer = writer.option("compression", compression)
+    return writer.partitionBy(*partition_by) if partition_by else writer
 
 
 def write_small(df, path):
@@ -93,11 +100,12 @@ def shared_views(**frames):
             catalog.dropTempView(unique)
 
 
-def write_bucketed(df, table, key="ticker", order="date", buckets=64, path=None):
+def write_bucketed(df, table, key="ticker", order="date", buckets=64, path=None, partition_by=(), observe=None, compression=None):
     """A table whose files are dealt by ``key`` and sorted by (key, order): windows and joins by the key read it without a
-    shuffle. ``path``: where its files lie (default: the warehouse)."""
-    # Dealt as the buckets are, so that every task writes one file a bucket.
-    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, order)
+    shuffle. ``path``: where its files lie (default: the warehouse). With ``partition_by`` a bucket is a file in each partition
+    value that it has rows of. ``observe``: as for ``write_parquet``."""
+    # Dealt as the buckets are, so that every task writes one file a bucket; rows dealt so already are not shuffled.
+    writer = _writer(df.repartition(buckets, key), partition_by, observe, compression).format("parquet").bucketBy(buckets, key).sortBy(key, order)
     (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)
 

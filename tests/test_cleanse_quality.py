@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import os
 import random
@@ -214,6 +215,44 @@ def test_a_fault_planted_in_a_query_raises(spark, monkeypatch):
     assert built == []
 
 
+def test_layers_are_moved_and_stored_once(spark):
+    """Every layer lies in buckets by ticker, so windows and key checks over it shuffle no rows; features are columns of gold's files."""
+    from pyspark.sql import Window
+    from barwise.plans import catalog
+    from barwise.plans.frames import Frames
+
+    t = Frames(spark, SF)
+    t.tasks = 3  # more than the one that so few rows ask for
+    run = catalog._gated(t, t.text_bars, strict=False)
+    assert sorted(os.listdir(run.folder)) == ["bronze", "gold", "manifest", "raw", "sector_agg", "silver"]
+    for name in ("bronze", "silver", "features", "gold"):
+        last = run.layer(name).withColumn("last", F.lag("close").over(Window.partitionBy("ticker").orderBy("date")))
+        assert "Exchange" not in last._jdf.queryExecution().executedPlan().toString()
+    keyed = quality.keyed_checks(run.layer("gold").select("ticker", "date", "daily_return"), quality.QualityConfig())
+    assert keyed._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of one row a task
+    for name in ("bronze", "features"):
+        got, want = run.layer(name), t.layers[name]
+        assert got.columns == want.columns
+        known = [c for c in want.columns if c != "_bronze_loaded_at"]
+        assert collections.Counter(map(tuple, got.select(*known).collect())) == collections.Counter(map(tuple, want.select(*known).collect()))
+
+
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_features_stay_when_gold_fails(spark, make_bars, tmp_path, tasks):
+    """Gold shares its files with the features; if it fails its checks, they are published and it is not."""
+    bars = make_bars({t: [10.0 + i % 7 for i in range(300)] for t in "ABC"})
+    text = bars.select(*[F.col(c).cast("string").alias(c) for c in bars.columns])
+    steps = publish.bar_steps(50)
+    gold = steps[3].build
+    steps[3].build = lambda f: gold(f).withColumn("close", -F.col("close"))
+    run = publish.Run(spark, str(tmp_path / "run"), as_of="2020-10-27", tasks=tasks)
+    with pytest.raises(quality.QualityError, match="gold.*numeric_ranges"):
+        run.go(text, steps)
+    assert list(run.published) == ["bronze", "silver", "features"] and run.layer("features").count() == 900
+    assert "signal_score" not in run.layer("features").columns
+    assert {r.layer: (r.step, r.records_in, r.records_out) for r in run.audit().collect()}["features"] == (3, 900, 900)
+
+
 def test_moves_of_a_dominating_ticker(spark):
     """A ticker with nearly all rows and many closes a day is summed before it is shuffled; the count is exact."""
     rng = random.Random(8)

@@ -1,7 +1,9 @@
 import datetime as dt
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,46 @@ def test_pair_sums_are_finished_in_their_group(spark, make_returns):
     assert pairs["A", "C"].correlation is None and pairs["C", "D"].correlation is None and np.isnan(pairs["B", "D"].correlation)
 
 
+def test_a_group_gets_packed_series(spark, make_returns, monkeypatch):
+    """What is shuffled is a row for a series and block, however many dates it has; a block is bounded in values too."""
+    def counted(_):
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["b"]), pa.array([n]), pa.array([None], pa.float64())],
+                                             ["a", "b", "n_common", "correlation"])
+
+        return run
+
+    monkeypatch.setattr(correlation, "_block_pairs", counted)
+    df = make_returns({f"T{i:02d}": RNG.normal(0, 0.01, 60) for i in range(40)})
+    for limits, n_blocks in (({}, correlation.SPREAD), ({"values": 100}, 25)):
+        found = correlation.pairwise_correlation(df, min_common=5, **limits).collect()
+        assert sum(r.n_common for r in found) == 40 * n_blocks and len(found) <= n_blocks * (n_blocks + 1) // 2
+
+
+def test_a_group_in_panels_and_slices(monkeypatch):
+    """Tables bounded in series on both sides and in dates give the pairs that whole ones give."""
+    monkeypatch.setattr(correlation, "_PANEL", 3)
+    monkeypatch.setattr(correlation, "_SLICE", 5)
+    monkeypatch.setattr(correlation, "_DAYS", 7)
+    m = RNG.normal(0.3, 0.01, (30, 23))
+    m[RNG.random(m.shape) < 0.3] = np.nan
+    names, own = [f"T{i:02d}" for i in range(23)], RNG.integers(0, 2, 23)
+    want = pd.DataFrame(m, columns=names).corr(min_periods=5)
+    got = []
+    for bi, bj in ((0, 0), (0, 1), (1, 1)):
+        mine = [i for i in RNG.permutation(23) if own[i] in (bi, bj)]
+        known = [np.flatnonzero(~np.isnan(m[:, i])).astype(np.int32) for i in mine]
+        rows = pa.table({"k": [names[i] for i in mine], "d": pa.array(known, pa.list_(pa.int32())),
+                         "v": pa.array([m[d, i] for d, i in zip(known, mine)], pa.list_(pa.float64())), "own": own[mine]})
+        for batch in correlation._block_pairs(5)((pa.scalar(bi), pa.scalar(bj)), iter(rows.to_batches(max_chunksize=4))):
+            got += batch.to_pylist()
+    pairs = {(r["a"], r["b"]): r["correlation"] for r in got}
+    assert len(pairs) == len(got)
+    assert set(pairs) == {(a, b) for a in names for b in names if a < b and not np.isnan(want.loc[a, b])}
+    assert all(c == pytest.approx(want.loc[p], abs=1e-9) for p, c in pairs.items())
+
+
 def reference_metrics(r):
     """Brute force on one series."""
     r = pd.Series(r).dropna()

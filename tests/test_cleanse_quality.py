@@ -237,6 +237,26 @@ def test_layers_are_moved_and_stored_once(spark):
         assert collections.Counter(map(tuple, got.select(*known).collect())) == collections.Counter(map(tuple, want.select(*known).collect()))
 
 
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["layer_audit", "gated_gold"])
+def test_gated_queries_follow_the_rows(spark, monkeypatch, name):
+    """The run of a query deals its rows to as many tasks as they ask for."""
+    from barwise.plans import catalog
+    from barwise.plans.frames import Frames
+
+    def go(run, raw, steps):
+        assert [s.name for s in steps if s.with_next] == ["features"]
+        raise Stopped(run.tasks)
+
+    monkeypatch.setattr(publish.Run, "go", go)
+    monkeypatch.setattr(Frames, "tasks", 7)
+    with pytest.raises(Stopped, match="7"):
+        catalog.BUILDERS[name](spark, SF)
+
+
 @pytest.mark.parametrize("tasks", [None, 3])
 def test_features_stay_when_gold_fails(spark, make_bars, tmp_path, tasks):
     """Gold shares its files with the features; if it fails its checks, they are published and it is not."""

@@ -241,7 +241,7 @@ class Stopped(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["layer_audit", "gated_gold"])
+@pytest.mark.parametrize("name", ["layer_audit", "gated_gold", "gated_sector_agg"])
 def test_gated_queries_follow_the_rows(spark, monkeypatch, name):
     """The run of a query deals its rows to as many tasks as they ask for."""
     from barwise.plans import catalog
